@@ -1,0 +1,58 @@
+"""Intermediate tables in the folder that all executors share."""
+
+from __future__ import annotations
+
+import atexit
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+
+_own: dict[str, str] = {}
+_made: list[tuple[SparkSession, str]] = []
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """``spark.checkpoint.dir`` of the session; a folder of our own only where that is unset (local tests)."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        folder = _own.setdefault("dir", "file://" + tempfile.mkdtemp(prefix="cairn-"))
+    return folder.rstrip("/")
+
+
+def new_path(spark: SparkSession, name: str) -> str:
+    path = f"{shared_folder(spark)}/cairn-{name}-{uuid.uuid4().hex}"
+    _made.append((spark, path))
+    return path
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` as a Parquet table in the shared folder: the lineage ends there, and any executor can read it again."""
+    spark = df.sparkSession
+    path = new_path(spark, name)
+    df.write.parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._cairn_path = path
+    return out
+
+
+def dropped(df: DataFrame) -> None:
+    """Delete the files of a table from ``written`` that no later step reads."""
+    path = getattr(df, "_cairn_path", None)
+    if path:
+        _delete(df.sparkSession, path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    jvm = spark.sparkContext._jvm
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
+@atexit.register
+def _clean() -> None:
+    for spark, path in _made:
+        try:
+            _delete(spark, path)
+        except Exception:  # the session may be gone by now; its folder is then the cluster's to clear
+            return
