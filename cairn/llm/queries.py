@@ -6,22 +6,67 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import bpe, fair_mix, guess_cost, host_reputation, simhash_pivot, transport_stream, tree_extract, warc_zip
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_guess_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return guess_cost.scan(table(spark, sf_dir, "documents"))
+
+
+def op2_warc_zip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc_zip.archive_round_trip(table(spark, sf_dir, "pages"))
+
+
+#: host, path, verdict
+URL_RULES = [
+    ("com", "/en/", "block"),
+    ("example.com", "/en/7", "allow"),
+    ("net", "/de/", "allow"),
+    ("example.net", "/de/8", "block"),
+    ("org", "/es/", "block"),
+]
+
+
+def op3_host_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return host_reputation.judge(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels"), URL_RULES)
+
+
+def op4_fair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fair_mix.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op5_tree_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tree_extract.extract(table(spark, sf_dir, "pages"))
+
+
+def op6_transport_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return transport_stream.described(transport_stream.store(table(spark, sf_dir, "documents")))
+
+
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    from . import bpe
-
     ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     return bpe.encode(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN, ids=False)
 
 
+def op10_simhash_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_pivot.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_guess_cost": op1_guess_cost,
+    "op2_warc_zip": op2_warc_zip,
+    "op3_host_reputation": op3_host_reputation,
+    "op4_fair_mix": op4_fair_mix,
+    "op5_tree_extract": op5_tree_extract,
+    "op6_transport_stream": op6_transport_stream,
     "op7_bpe": op7_bpe,
+    "op10_simhash_pivot": op10_simhash_pivot,
 }
 
 SQL: dict[str, str] = {}
