@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, fair_mix, guess_cost, host_reputation, simhash_pivot, transport_stream, tree_extract, warc_zip
+from . import bpe, fair_mix, guess_cost, host_reputation, importance, isolation, simhash_pivot, transport_stream, tree_extract, warc_zip
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -54,6 +54,16 @@ def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN, ids=False)
 
 
+def op8_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return importance.classify(docs, table(spark, sf_dir, "labels"), keep=["doc_id"])
+
+
+def op9_isolation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = isolation.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "score")
+
+
 def op10_simhash_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_pivot.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -66,6 +76,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_tree_extract": op5_tree_extract,
     "op6_transport_stream": op6_transport_stream,
     "op7_bpe": op7_bpe,
+    "op8_importance": op8_importance,
+    "op9_isolation": op9_isolation,
     "op10_simhash_pivot": op10_simhash_pivot,
 }
 
