@@ -17,12 +17,12 @@ alternating large-star and small-star steps over those edges, each written to th
 
 Defined results: null text counts as empty; empty texts share fingerprint zero and link like any other; repeated rows come
 back once each; null ids take part, and a component's id is its smallest non-null ``doc_id`` (null if it has none); an
-empty table gives an empty result; other columns of the input are not read.
+empty table gives an empty result; other columns of the input are not read, except that ``distinct_documents`` passes them on.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from itertools import combinations
 
 import numpy as np
@@ -55,18 +55,18 @@ def fingerprint(raw: bytes) -> int:
     return int.from_bytes(np.packbits(2 * votes > take).tobytes(), "big")
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """``doc_id`` and ``fp``, the fingerprint as a signed long."""
+def fingerprints(docs: DataFrame, keep: Sequence[str] = ("doc_id",)) -> DataFrame:
+    """The columns ``keep`` of every row, and ``__fp``, the fingerprint as a signed long."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "text"):
-                raw = part.column("text").cast(pa.large_binary()).to_pylist()
+            for part in slices(batch, "__text"):
+                raw = part.column("__text").cast(pa.large_binary()).to_pylist()
                 fps = np.array([fingerprint(t or b"") for t in raw], np.uint64).view(np.int64)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(fps)], ["doc_id", "fp"])
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(fps)], [*keep, "__fp"])
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(run, f"doc_id {kind}, fp bigint")
+    fields = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
+    return docs.select(*keep, F.col("text").cast("string").alias("__text")).mapInArrow(run, f"{fields}, __fp bigint")
 
 
 def blocks_for(distinct: int) -> int:
@@ -219,14 +219,29 @@ def components(edges: DataFrame) -> DataFrame:
     return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """``doc_id, fingerprint, component_id`` of every row."""
-    prints = written(fingerprints(docs), "fingerprints")
-    classes = written(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "classes")
+def grouped(prints: DataFrame) -> DataFrame:
+    """``fp, root, component_id`` of each distinct fingerprint of ``prints`` (``doc_id, __fp``)."""
+    classes = written(prints.groupBy(F.col("__fp").alias("fp")).agg(F.min("doc_id").alias("first")), "classes")
     roots = components(links(classes, classes.count()))
     both = roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())
     lowest = written(both.join(classes, both.node == classes.fp).groupBy("root").agg(F.min("first").alias("component_id")), "lowest")
-    moved = written(both.join(lowest, "root").select(F.col("node").alias("fp"), "component_id"), "moved")
-    named = written(classes.join(moved, "fp", "left").select("fp", F.coalesce("component_id", "first").alias("component_id")), "named")
-    joined = prints.join(named, "fp")
+    moved = written(both.join(lowest, "root").select(F.col("node").alias("fp"), "root", "component_id"), "moved")
+    named = classes.join(moved, "fp", "left")
+    return written(named.select("fp", F.coalesce("root", "fp").alias("root"), F.coalesce("component_id", "first").alias("component_id")), "named")
+
+
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """``doc_id, fingerprint, component_id`` of every row."""
+    prints = written(fingerprints(docs), "fingerprints")
+    joined = prints.join(grouped(prints), F.col("__fp") == F.col("fp"))
     return joined.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def distinct_documents(docs: DataFrame) -> DataFrame:
+    """One row of each component, with all its columns: that of the smallest id, null ids last; of rows that share it, any one."""
+    rows = written(fingerprints(docs, docs.columns).withColumn("__uid", F.monotonically_increasing_id()), "fingerprints")
+    named = grouped(rows.select("doc_id", "__fp")).select("fp", "root")
+    ids = rows.select("__fp", "doc_id", "__uid").join(named, F.col("__fp") == F.col("fp"))
+    first = ids.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "__uid")).alias("first"))
+    kept = written(first.select(F.col("first.__uid").alias("__uid")), "kept")
+    return rows.join(kept, "__uid", "left_semi").select(*docs.columns)
