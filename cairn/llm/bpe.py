@@ -21,6 +21,7 @@ import re
 from collections.abc import Iterable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -197,7 +198,7 @@ def decode(encoded: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
     ranks = encoded.sparkSession.sparkContext.broadcast(open(ranks_path, "rb").read())
 
     @F.pandas_udf("binary")
-    def joined(ids: "pd.Series") -> "pd.Series":  # noqa: F821
+    def joined(ids: pd.Series) -> pd.Series:
         codec = _codec(ranks.value, pattern)
         return ids.map(lambda x: codec.decoded(",".join(map(str, x))) if x is not None else b"")
 

@@ -122,3 +122,20 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.
     )
     out = queue.join(short.withColumnRenamed("source", "got_source"), _same(F.col("source"), F.col("got_source")), "left").drop("got_source")
     return out.withColumn("got", F.coalesce("got", F.lit(0))).withColumn("taken", words).drop("got")
+
+
+def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, repeats: int = 2) -> DataFrame:
+    """The mix itself, with the columns of ``docs``: a row for each pass that takes a document.
+
+    A document that the cut meets keeps the words served, joined by single spaces.  Texts do not go through the queues: they are
+    written once with a row number, and join the words taken by it.
+    """
+    rows = written(docs.withColumn("__uid", F.monotonically_increasing_id()), "documents")
+    taken = mix(rows, weights, share, repeats, keep=("__uid",))
+    passes = [F.least(F.col("size"), F.greatest(F.lit(0), F.col("taken") - F.col("size") * k)) for k in range(repeats)]
+    parts = taken.select("__uid", F.col("size").alias("__size"), F.explode(F.array(*passes)).alias("__words")).filter("__words > 0")
+    parts = written(parts, "parts")
+    joined = rows.join(parts, "__uid")
+    start = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(f"({WORD})"), 1), F.lit(1), F.col("__words").cast("int")), " ")
+    text = F.when(F.col("__words") < F.col("__size"), start).otherwise(F.col("text"))
+    return joined.withColumn("text", text).select(*docs.columns)

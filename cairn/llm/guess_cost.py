@@ -20,6 +20,7 @@ import re
 from collections.abc import Iterator
 from math import log10
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -155,7 +156,7 @@ def redact(docs: DataFrame, mark: str = "[secret]") -> DataFrame:
     """``docs`` with every span replaced by ``mark``; overlapping spans are replaced together.  Null texts stay null."""
 
     @F.pandas_udf("string")
-    def without(texts: "pd.Series") -> "pd.Series":  # noqa: F821
+    def without(texts: pd.Series) -> pd.Series:
         def one(text):
             if text is None:
                 return None
