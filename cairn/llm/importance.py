@@ -28,7 +28,8 @@ from .labelled import label_sample, lowest_kept
 from .tables import written
 from .textblock import flat, mixed, slices, span_hashes, word_spans
 
-BUCKETS = 1 << 16
+BUCKETS = 1 << 14
+SMOOTHING = 0.01
 SAMPLE = 20_000
 RECALL = 0.998
 SEED = 7
@@ -85,7 +86,7 @@ def counts(docs: DataFrame, target_ids: np.ndarray) -> np.ndarray:
 
 def log_ratios(count: np.ndarray) -> np.ndarray:
     """Log ratio of the target's to the raw model for each bucket; each n-gram order is a distribution of its own."""
-    by_order = count.reshape(2, 2, BUCKETS) + 1.0
+    by_order = count.reshape(2, 2, BUCKETS) + SMOOTHING
     models = np.log(by_order) - np.log(by_order.sum(2, keepdims=True))
     return (models[1] - models[0]).reshape(-1)
 
