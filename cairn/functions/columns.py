@@ -206,7 +206,7 @@ def vector_id(generation: Column | str, dataset: Column | str, entity: Column |
 
 def generation_of(vector: Column | str) -> Column:
     """The generation of a qualified id, null for others."""
-    return F.nullif(F.regexp_extract(_c(vector), r"^([^:]+):[^:]+:[^:]+$", 1), F.lit(""))
+    return F.nullif(F.regexp_extract(_c(vector), r"^(.+):(?:ontologies|software):(?:Q\d+)$", 1), F.lit(""))
 
 
 # F17
