@@ -190,7 +190,7 @@ def store(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "text", 2 << 20):
+            for part in slices(batch, "text"):
                 raw = [x or b"" for x in part.column("text").cast(pa.large_binary()).to_pylist()]
                 media = pa.array([mux(padded(x)) for x in raw], pa.binary())
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([len(x) for x in raw], pa.int64()), media], ["doc_id", "n_bytes", "media"])
@@ -211,7 +211,7 @@ def described(stored: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
         for batch in batches:
-            for part in slices(batch, "media", 2 << 20):
+            for part in slices(batch, "media"):
                 rows = []
                 for stream in part.column("media").to_pylist():
                     found = demux(stream)
