@@ -6,6 +6,7 @@ from html.parser import HTMLParser
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Tags that part words.
 BREAKS = frozenset("br div h1 h2 h3 h4 li p tr".split())
@@ -36,6 +37,6 @@ def fragment_text(value: str | None) -> str | None:
     return " ".join("".join(parser.parts).split())
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def html_text(values: pd.Series) -> pd.Series:
     return values.map(fragment_text)

@@ -8,6 +8,7 @@ from urllib.parse import parse_qsl, urlencode, urlparse, urlunparse
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def _each(function):
@@ -18,24 +19,24 @@ def _each(function):
     return over
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def ascii_form(values: pd.Series) -> pd.Series:
     """Compatibility decomposition without what is not ASCII."""
     return _each(lambda v: v if v.isascii() else unicodedata.normalize("NFKD", v).encode("ascii", "ignore").decode())(values)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def casefolded(values: pd.Series) -> pd.Series:
     return _each(str.casefold)(values)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def composed(values: pd.Series) -> pd.Series:
     """Canonical composition, white space folded and trimmed."""
     return _each(lambda v: " ".join(unicodedata.normalize("NFC", v).split()))(values)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def identity_form(values: pd.Series) -> pd.Series:
     """Compatibility composition, white space folded, case folded; null for nothing."""
     return _each(lambda v: " ".join(unicodedata.normalize("NFKC", v).split()).casefold() or None)(values)
@@ -56,7 +57,7 @@ def _canonical(url: str) -> str | None:
     return urlunparse(("https", parts.netloc.lower(), parts.path or "/", parts.params, urlencode(query), ""))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def canonical_https_url(urls: pd.Series) -> pd.Series:
     """An absolute https url without credentials, tracking parameters and fragment; null for others."""
     return _each(_canonical)(urls)
@@ -65,7 +66,7 @@ def canonical_https_url(urls: pd.Series) -> pd.Series:
 _NATURAL = re.compile(r"\d+")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def natural_key(values: pd.Series) -> pd.Series:
     """Sort key: no accents, no case, numbers padded with zeros."""
 

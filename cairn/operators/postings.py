@@ -20,7 +20,7 @@ from ..session import written
 
 FIELDS = ("title", "description", "qualifications", "responsibilities")
 
-POSTING = T.StructType.fromDDL(
+POSTING = (
     "id string, sourceRecordId string, canonicalUrl string, sourceName string, sourceUrl string, sourceDataset string, title string, description string, "
     "hiringOrganization string, remote boolean, canonicalFingerprint string, firstSeenAt timestamp, lastSeenAt timestamp, retrievedAt timestamp, active boolean, "
     "discoveredBy array<string>, location string, applicantLocationRequirements array<string>, datePosted date, validThrough date, employmentType string, "
@@ -28,6 +28,10 @@ POSTING = T.StructType.fromDDL(
 )
 
 
+def posting_schema() -> T.StructType:
+    return T.StructType.fromDDL(POSTING)
+
+
 def extract_text(pages: DataFrame, html: str = "body") -> DataFrame:
     """Adds ``text``."""
     return pages.withColumn("text", html_text(html))
@@ -67,7 +71,7 @@ def _posting(rows: DataFrame, source: dict, at: Column, url: Column, record_id:
         "retrievedAt": at, "active": F.lit(True), "discoveredBy": F.array(discovered), "id": F.concat(F.lit(source["key"] + "-"), F.col("_rid")),
     }
     known |= columns
-    out = [known[f.name].cast(f.dataType).alias(f.name) if f.name in known else F.lit(None).cast(f.dataType).alias(f.name) for f in POSTING.fields]
+    out = [known[f.name].cast(f.dataType).alias(f.name) if f.name in known else F.lit(None).cast(f.dataType).alias(f.name) for f in posting_schema().fields]
     missing = [F.when(F.coalesce(F.nullif(F.col(c), F.lit("")), F.lit(None)).isNull(), F.lit(n)) for c, n in (("_title", "title"), ("_text", "description"), ("_org", "employer"), ("_rid", "id"), ("_url", "url"))]
     return named.select(*out, F.nullif(F.concat_ws(",", *missing), F.lit("")).alias("rejected"))
 

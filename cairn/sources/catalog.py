@@ -44,17 +44,30 @@ def read_feed(spark: SparkSession, path: str, source: str, item: str, array: str
     return postings_of(pages, item, array, most)
 
 
-ITEM = T.StructType.fromDDL(
+ITEM = (
     "title string, description string, wikidataId string, canonicalUrl string, homepage string, sourceRepo string, namespaceURI string, partOf string, category string, softwareType string, "
     "latestVersion string, releaseDate string, types array<string>, licenses array<string>, programmingLanguages array<string>, aliases array<string>, "
     "creators array<struct<name:string,type:string,wikidataId:string,githubProfile:string,googleScholarProfile:string>>, relatedTools array<struct<title:string,canonicalUrl:string>>"
 )
 
 
+def _items(documents: DataFrame, dataset: str) -> DataFrame:
+    found = documents.select(F.explode("items").alias("i")).select(F.lit(dataset).alias("dataset"), "i.*")
+    return found.withColumn("aliases", F.coalesce("aliases", F.array().cast("array<string>")))
+
+
+def _document() -> T.StructType:
+    return T.StructType([T.StructField("generatedAt", T.StringType()), T.StructField("items", T.ArrayType(T.StructType.fromDDL(ITEM)))])
+
+
 def read_catalog(spark: SparkSession, path: str, dataset: str) -> DataFrame:
-    """S3: items of a document ``{generatedAt, items}``."""
-    schema = T.StructType([T.StructField("generatedAt", T.StringType()), T.StructField("items", T.ArrayType(ITEM))])
-    return spark.read.schema(schema).json(path, multiLine=True).select(F.explode("items").alias("i")).select(F.lit(dataset).alias("dataset"), "i.*").withColumn("aliases", F.coalesce("aliases", F.array().cast("array<string>")))
+    """S3: items of files that are one document ``{generatedAt, items}`` each."""
+    return _items(spark.read.schema(_document()).json(path, multiLine=True), dataset)
+
+
+def read_catalog_lines(spark: SparkSession, path: str, dataset: str) -> DataFrame:
+    """S3 for catalogs that are cut into documents of one line, which tasks can read side by side."""
+    return _items(spark.read.schema(_document()).json(path), dataset)
 
 
 def write_catalog(items: DataFrame, path: str, generated_at: str) -> None:

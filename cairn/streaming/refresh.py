@@ -28,7 +28,7 @@ def refreshed(raw: DataFrame, normalize: Callable[[DataFrame], DataFrame], terms
     return kept.join(classes, "id")
 
 
-def _table(spark: SparkSession, path: str) -> DataFrame | None:
+def current_snapshot(spark: SparkSession, path: str) -> DataFrame | None:
     """The last complete version below ``path``: ``_current`` names it."""
     try:
         name = spark.read.text(f"{path}/_current").first()[0]
@@ -54,7 +54,7 @@ def refresh_postings(stream: DataFrame, path: str, checkpoint: str, normalize: C
 
     def batch(raw: DataFrame, number: int) -> None:
         spark = raw.sparkSession
-        snapshot = _table(spark, path)
+        snapshot = current_snapshot(spark, path)
         for row in raw.select("source").distinct().orderBy("source").collect():
             current = refreshed(raw.filter(F.col("source") == row.source), normalize, terms)
             dataset = current.select("sourceDataset").first()
