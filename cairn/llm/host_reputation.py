@@ -63,7 +63,7 @@ def concentration(groups: DataFrame) -> float:
     """``m`` of a level from rows ``n, k, mu``: the observed spread around the parents' means against the binomial one."""
     mu, n = F.col("mu"), F.col("n")
     spread = mu * (1 - mu)
-    rho = (F.sum(n * (F.col("k") / n - mu) ** 2) - F.sum(spread)) / F.sum((n - 1) * spread)
+    rho = F.try_divide(F.sum(n * (F.try_divide(F.col("k"), n) - mu) ** 2) - F.sum(spread), F.sum((n - 1) * spread))
     found = groups.filter("n > 0").agg(rho.alias("rho")).first()[0]
     found = min(max(0.0 if found is None else found, 1e-4), 0.999)
     return 1 / found - 1
