@@ -154,7 +154,7 @@ def identity_diff(current: DataFrame, baseline: DataFrame, keys: list[str] | Non
 def check_regressions(current: DataFrame, baseline: DataFrame, fields: list[str]) -> DataFrame:
     """Losses (additions do not make up for them), changed urls of survivors, low homepage coverage, fields that fell."""
     states = identity_diff(current, baseline).groupBy("dataset").agg(F.count_if(F.col("state") == "lost").alias("lost"), F.count_if(F.col("state") != "added").alias("before"))
-    ratio = F.col("lost") / F.col("before")
+    ratio = F.try_divide("lost", "before")
     known = states.filter("before > 0")
     loss = violations(known.filter(ratio > LOSS_ERROR), "record-loss", "dataset", F.col("lost"))
     warn = violations(known.filter((ratio > LOSS_WARNING) & (ratio <= LOSS_ERROR)), "record-loss", "dataset", F.col("lost"), "warning")

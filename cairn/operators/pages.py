@@ -87,8 +87,8 @@ def recommendation_coverage(survivors: DataFrame) -> DataFrame:
     linked = links.groupBy("dataset", "qid").count().groupBy("dataset").agg(F.count("*").alias("with_links"), F.sum("count").alias("links"))
     sizes = survivors.groupBy("dataset").agg(F.count("*").alias("pages"))
     both = survivors.sparkSession.createDataFrame([(d,) for d in DATASETS], "dataset string").join(sizes, "dataset", "left").join(linked, "dataset", "left").na.fill(0)
-    share = F.when(F.col("pages") > 0, F.round(F.col("with_links") / F.col("pages"), 6)).otherwise(F.lit(0.0))
-    return both.select("dataset", "pages", "with_links", "links", share.alias("coverage"), F.round(1 - F.when(F.col("pages") > 0, F.col("with_links") / F.col("pages")).otherwise(F.lit(0.0)), 6).alias("empty_share"))
+    share = F.when(F.col("pages") > 0, F.round(F.try_divide("with_links", "pages"), 6)).otherwise(F.lit(0.0))
+    return both.select("dataset", "pages", "with_links", "links", share.alias("coverage"), F.round(1 - F.when(F.col("pages") > 0, F.try_divide("with_links", "pages")).otherwise(F.lit(0.0)), 6).alias("empty_share"))
 
 
 def reasons_by_catalog(survivors: DataFrame, relationships: DataFrame) -> DataFrame:
