@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, fair_mix, guess_cost, host_reputation, importance, isolation, simhash_pivot, transport_stream, tree_extract, warc_zip
+from . import bpe, fair_mix, guess_cost, host_reputation, importance, isolation, oracle, simhash_pivot, transport_stream, tree_extract, warc_zip
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -81,4 +81,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_simhash_pivot": op10_simhash_pivot,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"op2_warc_zip": oracle.OP2, "op3_host_reputation": oracle.op3(URL_RULES)}
