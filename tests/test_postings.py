@@ -120,7 +120,7 @@ def test_evidence_and_classes(spark):
 def test_fragment_text():
     from cairn.functions.html import fragment_text
 
-    assert fragment_text("<p>A<b>b</b>c</p><p>d &amp; e</p><script>x</script>") == "Abc d & ex"
+    assert fragment_text("<p>A<b>b</b>c</p><p>d &amp; e</p><script>x</script>") == "Abc d & e x"
     assert fragment_text(None) is None and fragment_text("") == ""
 
 
