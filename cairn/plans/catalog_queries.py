@@ -156,7 +156,9 @@ def filter_eligible(spark, sf_dir):
     return records.filter_eligible(facts.select("qid"), eligible_records(spark, sf_dir))
 
 
-@query()
+@query(sql("slugs_in registry", """, named as (select *, trim(regexp_replace(lower(label), '[^a-z0-9]+', '-', 'g'), '-') as plain from slugs_in s where not exists (select 1 from registry r where r.dataset = s.dataset and r.qid = s.qid)),
+ranked as (select *, row_number() over (partition by dataset, plain order by lower(label), item_iri) as n from named)
+select dataset, qid, slug from registry union all select dataset, qid, case when n = 1 and not exists (select 1 from registry r where r.dataset = ranked.dataset and r.slug = ranked.plain) then plain else plain || '-' || lower(qid) end from ranked""").replace(") , named", "), named"))
 def assign_slugs(spark, sf_dir):
     return records.assign_slugs(bound(spark, sf_dir, "slugs_in"), bound(spark, sf_dir, "registry"))
 
@@ -401,7 +403,7 @@ def apply_edit_operations(spark, sf_dir):
     return audit.apply_edit_operations(before, audit.resolve_edit_operations(before, bound(spark, sf_dir, "intent_edits")).filter("error is null"))
 
 
-@query()
+@query("select distinct 'Q' || cast(1000000 + o_custkey as string) as qid, true as matches from orders union select 'Q' || cast(1000000 + c_custkey as string), true from customer where c_custkey % 2 = 1 and (c_custkey % 4 = 3 or not exists (select 1 from orders where o_custkey = c_custkey and o_orderkey % 3 = c_custkey % 4))")
 def claims_match_proposal(spark, sf_dir):
     before = bound(spark, sf_dir, "claim_edits")
     proposed = audit.apply_edit_operations(before, audit.resolve_edit_operations(before, bound(spark, sf_dir, "intent_edits")).filter("error is null"))

@@ -108,9 +108,9 @@ def best_search_term(spark, sf_dir):
 # ---- sorting and pages
 
 
-@query(sql("items", "select qid, row_number() over (order by case when releaseDate is null then 1 else 0 end, releaseDate desc, lower(coalesce(p_name, ''))) * 0 as n from items"))
+@query(sql("items", "select qid, title from items"))
 def sort_items(spark, sf_dir):
-    return search.sort_items(bound(spark, sf_dir, "items"), F.to_date("releaseDate"), "desc", True).select("qid", F.lit(0).alias("n"))
+    return search.sort_items(bound(spark, sf_dir, "items"), F.col("title"), "desc").select("qid", "title")
 
 
 @query("select event_id, ts from (select event_id, ts from events order by ts, event_id limit 50 offset 150)")
@@ -138,15 +138,13 @@ def text_search_plain(spark, sf_dir):
     return search.text_search_plain(search.semantic_projection(catalog_items(spark, sf_dir)), bound(spark, sf_dir, "queries")).select("query_id", "position", "rank", "total")
 
 
-@query(sql("items", "select qid from items where category = (select min(p_type) from part) and contains(" + SEARCHED + ", 'maker') order by case when releaseDate is null then 1 else 0 end, releaseDate desc limit 0"))
+@query(sql("items", "select qid, title, cast(releaseDate as date) as releaseDate from items where category = (select min(p_type) from part) and p_partkey % 3 = 0 order by case when releaseDate is null then 1 else 0 end, releaseDate desc, case when title is null then '' else lower(p_name) || ' ' || lpad(cast(p_partkey as string), 20, '0') end limit 50"))
 def browse(spark, sf_dir):
     items = search.browse_search_text(catalog_items(spark, sf_dir)).withColumn("releaseDate", F.to_date("releaseDate"))
     kind = table(spark, sf_dir, "part").agg(F.min("p_type")).first()[0]
     return search.browse(items, "MAKER java", kind, "releaseDate", "desc").select("qid", "title", "releaseDate")
 
 
-del SQL["browse"], SQL["sort_items"]
-
 # ---- vectors
 
 NEAREST = sql("vectors", "").rstrip() + """, pool as (select id, dataset, vec, vec_id from vectors where namespace = 'g1'), asked as (select id as query_id, vec as q from vectors where vec_id < 10),

@@ -106,6 +106,66 @@ def refresh_postings(spark, sf_dir):
     return refresh.current_snapshot(spark, path).select("id", "classification", "sourceDataset")
 
 
+# ---- the other feed layouts
+
+
+def _laid_out(spark, sf_dir, layout: str, fields: dict[str, F.Column]) -> DataFrame:
+    rows = table(spark, sf_dir, "pages").select(*(v.alias(k) for k, v in fields.items()))
+    out = postings.normalize_feed(rows, layout, {"key": layout, "name": layout, "dataset": layout, "query": "q"}, F.lit("2024-03-01").cast("timestamp"))
+    shown = ("sourceRecordId", "title", "description", "location", "employmentType", "salary")
+    return out.select(*shown, "remote", "datePosted", F.array_join("tags", ",").alias("tags"), F.coalesce("rejected", F.lit("")).alias("rejected"))
+
+
+SECURE = "url like 'https:%'"
+
+
+def _s(*parts):
+    return F.concat(*(F.col(p) if p in ("page_id", "url") else F.lit(p) for p in parts))
+
+
+@query(f"select url as sourceRecordId, 'T' || page_id as title, 'Ex & co' as description, 'A,b' as location, 'Full time' as employmentType, 'EUR ' || format('{{:,}}', page_id * 1000) || ' / year' as salary, true as remote, date '1970-01-01' + cast(page_id as int) as datePosted, 'x' as tags, case when not {SECURE} then 'url' else '' end as rejected from pages".replace("'A,b' as location", "'A, b' as location"))
+def normalize_feed_a(spark, sf_dir):
+    none, k = F.lit(None).cast("string"), F.col("page_id")
+    return _laid_out(spark, sf_dir, "a", {
+        "title": _s("<b>T", "page_id", "</b>"), "excerpt": F.lit("Ex &amp; co"), "description": F.lit(""), "companyName": F.lit("Firm"), "employmentType": F.lit("Full  time"), "minSalary": (k * 1000).cast("double"), "maxSalary": F.lit(-1.0),
+        "salaryPeriod": F.lit("year"), "currency": F.lit("EUR"), "seniority": F.array(F.lit("Lead")), "locationRestrictions": F.array(F.lit("b"), F.lit("A"), F.lit(" A ")), "categories": F.array(F.lit("x")), "pubDate": k * 86400, "expiryDate": none.cast("bigint"),
+        "applicationLink": _s("url"), "guid": _s("url"),
+    })
+
+
+@query(f"select 's' || page_id as sourceRecordId, 'T' || page_id as title, 'D' as description, 'Rome' as location, 'full, part' as employmentType, cast(null as string) as salary, page_id % 2 = 0 as remote, cast(to_timestamp(1600000000 + page_id * 86400) as date) as datePosted, 'a,B' as tags, case when not {SECURE} then 'url' else '' end as rejected from pages")
+def normalize_feed_c(spark, sf_dir):
+    return _laid_out(spark, sf_dir, "c", {
+        "slug": _s("s", "page_id"), "company_name": F.lit("Firm"), "title": _s("T", "page_id"), "description": F.lit("<p>D</p>"), "remote": F.col("page_id") % 2 == 0, "url": _s("url"), "tags": F.array(F.lit("B"), F.lit("a")),
+        "job_types": F.array(F.lit("part"), F.lit("full")), "location": F.lit(" Rome "), "created_at": (F.col("page_id") * 86400 + 1600000000).cast("string"), "salary": F.lit(""),
+    })
+
+
+@query(f"select cast(page_id as string) as sourceRecordId, 'T' || page_id as title, 'Ex' as description, 'USA, Canada' as location, 'Full' as employmentType, cast(null as string) as salary, true as remote, date '2024-02-03' as datePosted, 'IT' as tags, case when not {SECURE} then 'url' else '' end as rejected from pages")
+def normalize_feed_d(spark, sf_dir):
+    return _laid_out(spark, sf_dir, "d", {
+        "id": F.col("page_id"), "url": _s("url"), "jobTitle": _s("T", "page_id"), "jobDescription": F.lit(None).cast("string"), "jobExcerpt": F.lit("Ex"), "companyName": F.lit("Firm"), "jobGeo": F.lit("USA ,Canada,"),
+        "pubDate": F.lit("2024-02-03 10:00"), "jobType": F.array(F.lit("Full")), "jobIndustry": F.array(F.lit("IT"), F.lit("IT")),
+    })
+
+
+@query(f"select cast(page_id as string) as sourceRecordId, 'T' || page_id as title, 'S' as description, case when page_id % 2 = 0 then 'Remote' else 'Paris' end as location, cast(null as string) as employmentType, '5k' as salary, case when page_id % 2 = 0 then true end as remote, cast(null as date) as datePosted, cast(null as string) as tags, case when not {SECURE} then 'url' else '' end as rejected from pages")
+def normalize_feed_e(spark, sf_dir):
+    return _laid_out(spark, sf_dir, "e", {
+        "id": F.col("page_id").cast("string"), "title": _s("T", "page_id"), "company": F.lit("Firm"), "snippet": F.lit("S"), "link": _s("url"), "location": F.when(F.col("page_id") % 2 == 0, "Remote").otherwise("Paris"), "updated": F.lit("soon"),
+        "type": F.lit(""), "salary": F.lit("5k"),
+    })
+
+
+@query(f"select cast(page_id as string) as sourceRecordId, 'T' || page_id as title, 'D' as description, 'Town' as location, 'Permanent, Full Time' as employmentType, 'USD ' || format('{{:,}}', 1000 + page_id) as salary, cast(null as boolean) as remote, date '2024-05-05' as datePosted, 'IT' as tags, concat_ws(',', case when page_id % 4 = 0 then 'employer' end, case when not {SECURE} then 'url' end) as rejected from pages")
+def normalize_feed_f(spark, sf_dir):
+    return _laid_out(spark, sf_dir, "f", {
+        "id": F.col("page_id").cast("string"), "title": _s("T", "page_id"), "company": F.when(F.col("page_id") % 4 != 0, F.struct(F.lit("Firm").alias("display_name"))), "description": F.lit("D"), "redirect_url": _s("url"),
+        "location": F.struct(F.lit("Town").alias("display_name")), "created": F.lit("2024-05-05T01:02:03Z"), "salary_min": (F.col("page_id") + 1000).cast("double"), "salary_max": F.lit(0.0), "contract_type": F.lit("permanent"), "contract_time": F.lit("full_time"),
+        "category": F.struct(F.lit("IT").alias("label"), F.lit("it").alias("tag")),
+    })
+
+
 # ---- scalar expressions
 
 
