@@ -244,4 +244,5 @@ def distinct_documents(docs: DataFrame) -> DataFrame:
     ids = rows.select("__fp", "doc_id", "__uid").join(named, F.col("__fp") == F.col("fp"))
     first = ids.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "__uid")).alias("first"))
     kept = written(first.select(F.col("first.__uid").alias("__uid")), "kept")
-    return rows.join(kept, "__uid", "left_semi").select(*docs.columns)
+    # Texts meet the kept numbers by a shuffle at every size, so that disk and memory follow the input.
+    return rows.join(kept.hint("merge"), "__uid", "left_semi").select(*docs.columns)

@@ -43,6 +43,25 @@ def dropped(df: DataFrame) -> None:
         _delete(df.sparkSession, path)
 
 
+def mark() -> int:
+    """A place in the list of tables made so far, for ``made_since``."""
+    return len(_made)
+
+
+def made_since(place: int) -> list[str]:
+    return [path for _, path in _made[place:]]
+
+
+def discard(spark: SparkSession, paths: list[str], still_read: DataFrame) -> list[str]:
+    """Delete tables that ``still_read`` does not read; what it does read comes back."""
+    files = " ".join(still_read.inputFiles())
+    used = [p for p in paths if p.rsplit("/", 1)[-1] in files]
+    for path in paths:
+        if path not in used:
+            _delete(spark, path)
+    return used
+
+
 def _delete(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     target = jvm.org.apache.hadoop.fs.Path(path)
