@@ -12,12 +12,13 @@ Scale.  Counts are summed inside each task before anything leaves it: at most ``
 found by counting into ranges, never by sorting all rows.  Only the model and the labelled sample reach the driver, both of fixed bounds.
 
 Defined results: null text counts as empty and has weight 0; equal texts get equal weights and equal noise; rows that tie with the
-k-th are all kept; without labelled good rows everything is kept; an empty table gives an empty result; extra columns pass through ``select_top`` only.
+k-th are all kept; without labelled good rows everything is kept; an empty table gives an empty result; of other columns those
+asked for pass through, except names that the result has itself.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -91,21 +92,26 @@ def log_ratios(count: np.ndarray) -> np.ndarray:
     return (models[1] - models[0]).reshape(-1)
 
 
-def scored(docs: DataFrame, ratios: np.ndarray) -> DataFrame:
-    """``docs`` with ``n_words``, ``log_weight`` and ``key``, the weight with its noise."""
+#: Columns that ``classify`` adds; those of ``docs`` that have these names give way.
+ADDED = ("n_words", "log_weight", "key", "kept")
+
+
+def scored(docs: DataFrame, ratios: np.ndarray, keep: Sequence[str] | None = None) -> DataFrame:
+    """Columns ``keep`` of ``docs`` (all without it) with ``n_words``, ``log_weight`` and ``key``, the weight with its noise."""
     model = docs.sparkSession.sparkContext.broadcast(ratios)
+    keep = [c for c in (docs.columns if keep is None else keep) if c not in ADDED]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "text"):
-                rows, buckets, words, texts = ngrams(part.column("text"))
-                weight = np.bincount(rows, model.value[buckets], minlength=part.num_rows)
+            for part in slices(batch, "__text"):
+                rows, buckets, words, texts = ngrams(part.column("__text"))
+                weight = np.bincount(rows, model.value[buckets], minlength=part.num_rows).astype(float)
                 uniform = ((mixed(texts + np.uint64(SEED)) >> np.uint64(11)).astype(np.float64) + 0.5) / 2.0**53
                 new = [pa.array(words.astype(np.int64)), pa.array(weight), pa.array(weight - np.log(-np.log(uniform)))]
-                yield pa.RecordBatch.from_arrays([*part.columns, *new], [*part.schema.names, "n_words", "log_weight", "key"])
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], *new], [*keep, "n_words", "log_weight", "key"])
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return docs.mapInArrow(run, f"{fields}, n_words bigint, log_weight double, key double")
+    fields = "".join(f"`{c}` {docs.schema[c].dataType.simpleString()}, " for c in keep)
+    return docs.select(*keep, F.col("text").cast("string").alias("__text")).mapInArrow(run, f"{fields}n_words bigint, log_weight double, key double")
 
 
 def kth_largest(keys: DataFrame, k: int, column: str = "key") -> float:
@@ -147,15 +153,12 @@ def calibrated_k(scores: DataFrame, held_out: dict[int, bool], recall: float) ->
     return scores.filter(F.col("key") >= lowest_kept(keys, recall)).count()
 
 
-def classify(docs: DataFrame, labels: DataFrame, k: int | None = None, recall: float = RECALL, bound: int = SAMPLE, keep: list[str] | None = None) -> DataFrame:
-    """``keep`` columns of ``docs`` (all without it) with ``n_words, log_weight, key, kept`` for every row.
+def classify(docs: DataFrame, labels: DataFrame, k: int | None = None, recall: float = RECALL, bound: int = SAMPLE, keep: Sequence[str] | None = None) -> DataFrame:
+    """``doc_id`` and the columns ``keep`` of ``docs`` (all without it) with ``n_words, log_weight, key, kept`` for every row.
 
     Scores are written once, with the columns kept, as they are read for the cut and for the result.
     """
     ratios, held_out = fitted(docs, labels, bound)
-    scores = scored(docs, ratios)
-    if keep is not None:
-        scores = scores.select(*keep, "n_words", "log_weight", "key")
-    scores = written(scores, "weights")
+    scores = written(scored(docs, ratios, list(dict.fromkeys(["doc_id", *(docs.columns if keep is None else keep)]))), "weights")
     cut = kth_largest(scores.select("key"), calibrated_k(scores, held_out, recall) if k is None else k)
     return scores.withColumn("kept", F.col("key") >= F.lit(cut))
