@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import audit, claims, profile, records, related
+from ..session import written
 from .bindings import bound, sql
 
 QUERIES: dict = {}
@@ -227,7 +228,7 @@ scored as (select s.dataset, s.subject, s.candidate, reasons, cast(points + coal
 
 
 def _scored(spark, sf_dir):
-    features = bound(spark, sf_dir, "features")
+    features = written(bound(spark, sf_dir, "features"), "features")
     context = related.similarity_context(features)
     return features, context, related.score_pairs(features, context)
 
@@ -238,7 +239,7 @@ def _flat(scored):
 
 @query(EVIDENCE + " select distinct dataset, subject, candidate from evidence")
 def related_candidates(spark, sf_dir):
-    features = bound(spark, sf_dir, "features")
+    features = written(bound(spark, sf_dir, "features"), "features")
     return related.related_candidates(features, related.similarity_context(features))
 
 
@@ -267,6 +268,7 @@ union all select dataset, 'reason', r, count(*) from (select dataset, unnest(str
 )
 def related_diagnostics(spark, sf_dir):
     features, context, scored = _scored(spark, sf_dir)
+    scored = written(scored.drop("components"), "scored")
     return related.related_diagnostics(scored, related.related_top_k(scored), features, context)
 
 

@@ -96,7 +96,8 @@ def _normalized(rows: DataFrame) -> DataFrame:
     return postings.normalize_feed(rows, "b", {"key": "b", "name": "Feed b", "dataset": "feed-b"}, F.lit("2024-03-01").cast("timestamp"))
 
 
-@query("select 'b-' || cast(page_id as string) as id, 'not_match' as classification, 'feed-b' as sourceDataset from pages where page_id % 9 <> 0 and url like 'https:%'")
+@query("""select 'b-' || cast(page_id as string) as id, 'not_match' as classification, 'feed-b' as sourceDataset from (select page_id, row_number() over (partition by replace(replace(replace(url, '?utm_source=feed', ''), '#top', ''), '&ref=x', '')
+order by cast(page_id as string)) as n from pages where page_id % 9 <> 0 and url like 'https:%') where n = 1""")
 def refresh_postings(spark, sf_dir):
     """Raw rows of one feed in a batch; the snapshot after it."""
     rows = catalog.postings_of(_feed_pages(spark, sf_dir), FEED, "jobs")
