@@ -7,6 +7,7 @@ import unicodedata
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -184,25 +185,48 @@ def _keys(r: dict) -> tuple[str | None, list[str]]:
     return (f"s\x1f{r['sourceDataset'] or ''}\x1f{r['_rid']}" if r["_rid"] else None), [u for u in dict.fromkeys((r["_url"], r["_surl"])) if u]
 
 
-def _greedy(rows: list[dict]) -> Iterator[tuple[str, dict]]:
-    """(kept row's number, row): rows in order join the first representative that owns one of their keys, and hand it all of them."""
-    owner: dict[str, dict] = {}
-    for r in rows:
-        source, urls = _keys(r)
-        print_ = f"f\x1f{r['_fp']}" if r["_fp"] else None
-        own = [k for k in (source, print_) if k] + [f"u\x1f{u}" for u in urls]
-        if not own:
-            own = [f"v\x1f{r['sourceDataset'] or ''}\x1f{r['_org']}\x1f{r['_title']}\x1f{r['_loc']}"]
-        kept = next((owner[k] for k in own if k in owner), r)
-        owner.update(dict.fromkeys(own, kept))
-        yield kept["_row"], r
+def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows in order of component and of the rule: each joins the first representative that owns one of its keys, and hands it all of them.
+
+    Only the owners of one component's keys and its representatives' lists are held.
+    """
+    component, owner, found = None, {}, {}
+    rows, lists = [], []
+
+    def close() -> None:
+        rows.extend(found)
+        lists.extend(sorted(v, key=lambda t: (t.casefold(), t)) for v in found.values())
+
+    def out() -> pa.RecordBatch:
+        made = pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), pa.array(lists, pa.list_(pa.string()))], ["_row", "discoveredBy"])
+        rows.clear()
+        lists.clear()
+        return made
+
+    for batch in batches:
+        for r in batch.to_pylist():
+            if r["component"] != component:
+                close()
+                if len(rows) >= 5000:
+                    yield out()
+                component, owner, found = r["component"], {}, {}
+            source, urls = _keys(r)
+            print_ = f"f\x1f{r['_fp']}" if r["_fp"] else None
+            own = [k for k in (source, print_) if k] + [f"u\x1f{u}" for u in urls]
+            if not own:
+                own = [f"v\x1f{r['sourceDataset'] or ''}\x1f{r['_org']}\x1f{r['_title']}\x1f{r['_loc']}"]
+            kept = next((owner[k] for k in own if k in owner), r["_row"])
+            owner.update(dict.fromkeys(own, kept))
+            found.setdefault(kept, set()).update(r["discoveredBy"] or ())
+    close()
+    yield out()
 
 
 def dedup_postings(records: DataFrame) -> DataFrame:
     """One row of each group of copies, ``discoveredBy`` united; independent of the order of rows.
 
     A record joins the first earlier one that owns its (source, id), fingerprint or url; visible fields count only without those.  Records that share
-    no chain of keys never meet, so that rule runs inside key-connected components, whose small key rows alone are grouped.
+    no chain of keys never meet, so that rule runs inside key-connected components, over a stream of their sorted key rows.
     """
     folded = {"_rid": "sourceRecordId", "_fp": "canonicalFingerprint", "_url": "canonicalUrl", "_surl": "sourceUrl", "_org": "hiringOrganization", "_title": "title", "_loc": "location"}
     named = written(records.withColumn("_row", F.monotonically_increasing_id()).withColumns({k: identity_form(v) for k, v in folded.items()}), "postings")
@@ -222,17 +246,10 @@ def dedup_postings(records: DataFrame) -> DataFrame:
             break
         label = after
     order = ("sourceDataset", "sourceRecordId", "canonicalFingerprint", "canonicalUrl", "id")
-    small = named.select("_row", "discoveredBy", *order, *folded).join(label, "_row")
-
-    def merge(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = pdf.astype(object).where(pdf.notna(), None).to_dict("records")
-        rows.sort(key=lambda r: tuple(r[c] or "" for c in order))
-        found: dict[int, set] = {}
-        for kept, r in _greedy(rows):
-            found.setdefault(kept, set()).update(r["discoveredBy"] if r["discoveredBy"] is not None else ())
-        return pd.DataFrame({"_row": list(found), "discoveredBy": [sorted(v, key=lambda t: (t.casefold(), t)) for v in found.values()]})
-
-    merged = small.groupBy("component").applyInPandas(merge, "_row bigint, discoveredBy array<string>")
+    raw = [F.coalesce(F.col(c), F.lit("")) for c in order]
+    small = named.join(label, "_row").select("component", "_row", "discoveredBy", "sourceDataset", *folded, *(c.alias(f"_o{i}") for i, c in enumerate(raw)))
+    in_order = small.repartition("component").sortWithinPartitions("component", *(f"_o{i}" for i in range(len(raw))))
+    merged = in_order.mapInArrow(_merged, "_row bigint, discoveredBy array<string>")
     return named.drop("discoveredBy", *folded).join(merged, "_row").select(*records.columns)
 
 
