@@ -7,7 +7,12 @@ brute-force spans, each with the logarithm of the guesses it takes; the cheapest
 the value's positions.  A value whose cheapest segmentation still takes ``LIMIT`` decades of guesses is a secret, and
 where it overlaps no base span it is added as kind ``guess``.
 
-Each document is one row; nothing is shuffled.  A text is searched by patterns only where it holds their fixed parts.
+Vocabulary.  Words of all documents, and of all languages, are ranked by the number of documents that hold them; a word takes the guesses of its rank.
+Values that stand after a credential word are left out of the count, and a word counts from two documents on, so a secret does not
+make itself a word.  At most ``VOCABULARY`` words are broadcast; rarer ones are brute force.  A run of letters of a script written without
+spaces is prose and takes as much as a rare word.
+
+Each document is one row; only words and their counts are shuffled.  A text is searched by patterns only where it holds their fixed parts.
 
 Defined results: null text counts as empty; a text without spans gives zeros and the digest of the empty string; repeated
 rows come back once each; null ids pass through; an empty table gives an empty result; other columns are not read.  Positions are code points.
@@ -17,17 +22,21 @@ from __future__ import annotations
 
 import hashlib
 import re
+from collections import Counter
 from collections.abc import Iterator
 from math import log10
+from unicodedata import category
 
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .tables import dropped, written
 from .textblock import slices
 
 LIMIT = 10.0
+VOCABULARY = 100_000
 KINDS = ("assign", "access", "hex", "guess")
 LOW, LOW_HEX, LOW_ACCESS = 6, 24, 20
 _A = re.ASCII
@@ -50,7 +59,18 @@ COMMON = (
     "file name mail email phone number date time year month day king queen star blue green red black white gold silver"
 ).split()
 WORD_COST = {w: log10(rank + 1) for rank, w in enumerate(COMMON, 1)}
-LONGEST = max(map(len, COMMON))
+LONGEST = 40  # code points of a word
+# Patterns over lower-cased text: what follows a credential word, and whole words with their compounds (letters and marks).
+_VALUES = re.compile(
+    r"""(?:pass(?:word|wd|phrase|code)?|pwd|secret|token|(?:api|access|private|secret)[_ -]?key|auth(?:orization)?|bearer|credentials?|login)["']?\x20{0,8}"""
+    r"""(?:[:=]|\x20is\x20|->)\x20{0,8}["']?[^\s"'<>,;]+|://[^\s/:@"'<>]+:[^\s/@"'<>]+@""",
+    _A,
+)
+_LETTER = "(?:[^\\W\\d_]|[" + "".join(c for c in map(chr, range(0x300, 0x20000)) if category(c).startswith("M")) + "])"
+_WHOLE = re.compile(rf"(?<!\w){_LETTER}++(?:[-_./]{_LETTER}++)*+(?![\d_])")
+_PARTS = re.compile("[-_./]")
+# Scripts written without spaces (Thai, Lao, Burmese, Khmer, kana, Han), with their punctuation.
+_UNSPACED = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u2e80-\u9fff\uf900-\ufaff\uff01-\uff0f\uff1a-\uff20\uff3b-\uff40\uff5b-\uff9f\U00020000-\U0003ffff]+")
 _LEET = str.maketrans("013457@$!", "oleastasi")
 # Rows of a keyboard.
 ROWS = ("`1234567890-=", "qwertyuiop[]\\", "asdfghjkl;'", "zxcvbnm,./", "abcdefghijklmnopqrstuvwxyz")
@@ -65,16 +85,71 @@ def _char_cost(c: str) -> float:
     return 1.0 if c.isdigit() else 1.415 if c.isalpha() and c.isascii() else 1.519 if c.isascii() else 3.0
 
 
-def pieces(value: str) -> Iterator[tuple[int, int, float]]:
+def _words(text: str, known: dict[str, tuple[str, ...]]) -> set[str]:
+    """Words and compounds of a text outside credential values; ``known`` remembers those of runs between blanks."""
+    low = text.lower()
+    if any(h in low for h in _HINTS):
+        low = _VALUES.sub(" ", low)
+    if len(known) > 100_000:
+        known.clear()
+    out: set[str] = set()
+    for run in set(low.split()):
+        if (some := known.get(run)) is None:
+            plain = run.strip(".,;:!?()")
+            whole = [plain] if plain.isalpha() else _WHOLE.findall(run)
+            some = tuple(w for w in {*whole, *(x for w in whole for x in _PARTS.split(w))} if 3 <= len(w) <= LONGEST)
+            if len(run) <= 2 * LONGEST:
+                known[run] = some
+        out.update(some)
+    return out
+
+
+def vocabulary(docs: DataFrame, bound: int = VOCABULARY) -> dict[str, float]:
+    """Costs of at most ``bound`` words of ``docs``, by the number of documents that hold them, and of the fixed words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[str, tuple[str, ...]] = {}
+        counts: Counter[str] = Counter()
+        for batch in batches:
+            for part in slices(batch, "text"):
+                for text in part.column("text").to_pylist():
+                    counts.update(_words(text or "", known))
+                    if len(counts) > 200_000:  # the sums follow after the shuffle
+                        yield counted(counts)
+                        counts = Counter()
+        yield counted(counts)
+
+    def counted(counts: Counter[str]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(counts.keys(), pa.string()), pa.array(counts.values(), pa.int64())], ["word", "docs"])
+
+    words = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "word string, docs bigint")
+    counts = words.groupBy("word").agg(F.sum("docs").alias("docs")).filter("docs > 1")
+    counts = written(counts, "words")
+    room, least, part = bound, None, F.lit(False)
+    for n, some in sorted(counts.groupBy("docs").count().collect(), reverse=True):
+        if some > room:  # the level that does not fit: as many of its words as do
+            part = (F.col("docs") == n) & (F.pmod(F.xxhash64("word"), F.lit(1_000_000)) < 1_000_000 * room // some)
+            break
+        room, least = room - some, n
+    wanted = part if least is None else (F.col("docs") >= least) | part
+    ranked = sorted(counts.filter(wanted).collect(), key=lambda r: (-r.docs, r.word))[:bound]
+    dropped(counts)
+    costs = {r.word: log10(rank + 1) for rank, r in enumerate(ranked, 1)}
+    return costs | {w: min(cost, costs.get(w, cost)) for w, cost in WORD_COST.items()}
+
+
+def pieces(value: str, words: dict[str, float] = WORD_COST) -> Iterator[tuple[int, int, float]]:
     """Spans (start, end, decades of guesses) that are cheaper than brute force."""
     n, low = len(value), value.lower()
     plain = low.translate(_LEET)
     for i in range(n):
         for j in range(i + 3, min(n, i + LONGEST) + 1):
             for text, extra in ((low, 0.0), (plain, 0.5)):
-                if (cost := WORD_COST.get(text[i:j])) is not None:
+                if (cost := words.get(text[i:j])) is not None:
                     yield i, j, cost + extra + (0.0 if value[i:j] == low[i:j] else 0.3 if value[i:j].istitle() or value[i:j].isupper() else 1.0)
                     break
+    for m in _UNSPACED.finditer(value):
+        yield m.start(), m.end(), log10(VOCABULARY)
     for m in _DATE.finditer(value):
         yield m.start(1), m.end(1), 2.1 if len(m[1]) == 4 else 4.7
     for period in range(1, 5):  # the unit once, and the logarithm of how often
@@ -97,10 +172,10 @@ def pieces(value: str) -> Iterator[tuple[int, int, float]]:
             i = max(i + 1, j)
 
 
-def guess_cost(value: str) -> float:
+def guess_cost(value: str, words: dict[str, float] = WORD_COST) -> float:
     """Decades of guesses of the cheapest segmentation."""
     ending: dict[int, list[tuple[int, float]]] = {}
-    for i, j, cost in pieces(value):
+    for i, j, cost in pieces(value, words):
         ending.setdefault(j, []).append((i, cost))
     best = [0.0] * (len(value) + 1)
     for j in range(1, len(value) + 1):
@@ -108,7 +183,7 @@ def guess_cost(value: str) -> float:
     return best[-1]
 
 
-def spans(text: str) -> list[tuple[str, int, int]]:
+def spans(text: str, words: dict[str, float] = WORD_COST) -> list[tuple[str, int, int]]:
     """(kind, start, end) of all spans, by start and then kind."""
     low = text.lower() if text.isascii() else text.translate(_ASCII_LOW)
     found: list[tuple[int, int, int]] = []
@@ -123,7 +198,7 @@ def spans(text: str) -> list[tuple[str, int, int]]:
             start, end = m.span(1) if m[1] is not None else m.span(2)
             value = text[start:end].rstrip(".)!?")
             end = start + len(value)
-            if len(value) >= 8 and all(end <= a or start >= b for a, _, b in base) and guess_cost(value) >= LIMIT:
+            if len(value) >= 8 and all(end <= a or start >= b for a, _, b in base) and guess_cost(value, words) >= LIMIT:
                 found.append((start, 3, end))
     return [(KINDS[k], a, b) for a, k, b in sorted(found)]
 
@@ -137,12 +212,13 @@ def written_out(some: list[tuple[str, int, int]]) -> str:
 
 def scan(docs: DataFrame) -> DataFrame:
     """``doc_id, n_assign, n_access, n_hex, n_guess, base_sha256, spans`` of every row."""
+    words = docs.sparkSession.sparkContext.broadcast(vocabulary(docs))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["doc_id", "n_assign", "n_access", "n_hex", "n_guess", "base_sha256", "spans"]
         for batch in batches:
             for part in slices(batch, "text"):
-                found = [spans(x or "") for x in part.column("text").to_pylist()]
+                found = [spans(x or "", words.value) for x in part.column("text").to_pylist()]
                 counts = [pa.array([sum(s[0] == kind for s in f) for f in found], pa.int64()) for kind in KINDS]
                 digests = [hashlib.sha256(written_out([s for s in f if s[0] != "guess"]).encode()).hexdigest() for f in found]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), *counts, pa.array(digests, pa.string()), pa.array(map(written_out, found), pa.string())], names)
@@ -154,6 +230,7 @@ def scan(docs: DataFrame) -> DataFrame:
 
 def redact(docs: DataFrame, mark: str = "[secret]") -> DataFrame:
     """``docs`` with every span replaced by ``mark``; overlapping spans are replaced together.  Null texts stay null."""
+    words = docs.sparkSession.sparkContext.broadcast(vocabulary(docs))
 
     @F.pandas_udf("string")
     def without(texts: pd.Series) -> pd.Series:
@@ -161,7 +238,7 @@ def redact(docs: DataFrame, mark: str = "[secret]") -> DataFrame:
             if text is None:
                 return None
             out, at = [], 0
-            for _, a, b in spans(text):
+            for _, a, b in spans(text, words.value):
                 if a >= at:
                     out += [text[at:a], mark]
                 at = max(at, b)

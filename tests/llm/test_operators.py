@@ -96,6 +96,29 @@ def test_redaction_takes_every_span(spark):
     assert [r.text for r in guess_cost.redact(df).orderBy("doc_id").collect()] == ["a [secret] b", None]
 
 
+def test_ordinary_words_are_no_secrets(spark):
+    prose = ("patience available constitution state-of-the-art", "Geduld Verfassung Umgebungsvariable", "constitución disponible", "patience étranger бесконечность")
+    rows = [(i, prose[i % 4] + f" item{i} qzkvwxjprt" * (i == 0), "xx", "s", 1) for i in range(8)]
+    said = ["the secret is patience.", "login: available", "login -> Constitution", "bearer: state-of-the-art", "login: Umgebungsvariable", "login: disponible", "login: étranger", "login: бесконечность", "login: 请在登录页面，输入您的密码。"]
+    random_ = ["the secret is xK9$vQ2#mLp8", "login: qzkvwxjprt", "login: hTqPzVwRkc", "pwd: b8afebf33dd8eac10b"]
+    rows += [(100 + i, t, "xx", "s", 1) for i, t in enumerate(said + random_ + random_)]
+    df = spark.createDataFrame(rows, DOCS)
+    found = {r.doc_id: r.n_guess for r in guess_cost.scan(df).collect()}
+    assert [t for i, t in enumerate(said) if found[100 + i]] == []
+    assert all(found[100 + len(said) + i] == 1 for i in range(2 * len(random_)))
+    kept = {r.doc_id: r.text for r in guess_cost.redact(df).collect()}
+    assert all(kept[100 + i] == t for i, t in enumerate(said))
+
+
+def test_vocabulary_is_bounded_and_ranked(spark):
+    df = spark.createDataFrame([(i, " ".join(["often"] + ["seldom"] * (i < 3) + ["zeta", "theta", "kappa", "sigma"] * (i < 2) + ["once"] * (i == 0)), "en", "s", 1) for i in range(5)], DOCS)
+    whole = set(guess_cost.vocabulary(df)) - set(guess_cost.WORD_COST)
+    assert whole == {"often", "seldom", "zeta", "theta", "kappa", "sigma"}
+    words = guess_cost.vocabulary(df, 4)
+    assert {"often", "seldom"} <= set(words) - set(guess_cost.WORD_COST) <= whole and len(set(words) - set(guess_cost.WORD_COST)) <= 4
+    assert words["often"] < words["seldom"]
+
+
 # ---- 2
 
 
