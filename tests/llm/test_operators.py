@@ -467,6 +467,22 @@ def test_anomaly_scores_equal_a_walk_down_each_tree():
         assert score == pytest.approx(2 ** -(total / 7 / float(forest["norm"])))
 
 
+def test_unlabelled_kinds_of_anomalies_go(spark):
+    chance = random.Random(8)
+    words = ["".join(chance.choice("etaoinshrdlu") for _ in range(chance.choice((2, 3, 4, 5, 6, 7, 9)))) for _ in range(3000)]
+    some = lambda n: [chance.choice(words) for _ in range(n)]
+    prose = lambda: ".\n".join(" ".join(some(12)).capitalize() for _ in range(chance.randint(10, 60)))
+    rows = [(i, prose(), "en", "s", 1) for i in range(1500)]
+    rows += [(2000 + i, "\n".join(" ".join(some(5)) + "\nMenu" for _ in range(60)), "en", "s", 1) for i in range(5)]
+    rows += [(3000 + i, " ".join("".join(some(6)) for _ in range(100)), "en", "s", 1) for i in range(5)]
+    rows += [(4000 + i, " ".join("".join(some(14))), "en", "s", 1) for i in range(5)]
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(1200)], "doc_id bigint, quality int, toxic int")
+    found = {r.doc_id: r for r in isolation.judge(spark.createDataFrame(rows, DOCS), labels).collect()}
+    assert not any(r.base_failed for r in found.values())
+    assert [i for i, r in found.items() if i >= 2000 and r.kept] == []
+    assert sum(r.kept for i, r in found.items() if i < 1500) >= 0.98 * 1500
+
+
 def test_rules_keep_good_rows(spark, sf_dir, docs):
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     rows = {r.doc_id: r for r in isolation.judge(docs, labels).collect()}
