@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .tables import dropped, written
+from ..session import dropped, written
 from .textblock import slices
 
 LIMIT = 10.0

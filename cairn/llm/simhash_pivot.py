@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .tables import dropped, written
+from ..session import dropped, written
 from .textblock import mixed, slices
 
 NEAR = 4

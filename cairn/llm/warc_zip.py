@@ -32,7 +32,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .tables import new_path, written
+from ..session import new_folder, written
 from .textblock import slices
 
 MEMBER = 8 << 20
@@ -263,6 +263,6 @@ def read_archives(spark: SparkSession, folder: str) -> DataFrame:
 
 def archive_round_trip(pages: DataFrame) -> DataFrame:
     """``page_id, payload_bytes, payload_digest, record_type, refers_to`` of every row, from the archives."""
-    folder = new_path(pages.sparkSession, "archives")
+    folder = new_folder(pages.sparkSession, "archives")
     write_archives(with_roles(pages), folder)
     return read_archives(pages.sparkSession, folder)
