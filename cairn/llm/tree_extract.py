@@ -1,14 +1,21 @@
 """Main text of HTML pages by tree scoring.
 
-A tolerant scanner builds a tree of a page's elements.  Paragraphs pass points (one, one a comma, and up to three for length) in full to their
-parent and in half to their grandparent; a container's points are discounted by its link density.  The best container is kept, widened to the
-``article`` or ``main`` around it, together with siblings that score like it or read like text.  Inside what is kept, navigation, page headers, footers,
-asides, notices, adverts, forms, scripts, styles, reader comments and lists of links go; everything else stays in page order.
+A tolerant scanner builds a tree of a page's elements.  Paragraphs pass points (one, one a comma, and up to three for length, discounted by
+their own links) to all their ancestors: in full to the parent, half to the grandparent, a third of the depth beyond.  A container's points are
+discounted by its link density, and the best one is kept; tags of articles give no points and only settle ties.
 
-Each page is one row; nothing is shuffled.  Memory per task: a slice of pages and the tree of one.
+The kept container is widened to an ancestor where wanted parts beside it hold at least a fifth of its readable points, but not past an
+``article`` or ``main`` around it.  Siblings go with it: those that score like it or read like text, headings right before it, and all wanted ones between.
+
+Inside what is kept, navigation, page headers, footers, asides, notices, adverts, forms, scripts, styles and reader comments go; everything
+else stays in page order.  Class and id names count as whole names (``ad``, ``cookie-banner``), not by their pieces
+(``has-sidebar``, ``share-price``), and an element so named stays all the same where it holds most of the page's readable points.
+
+Each page is one row; nothing is shuffled.  Memory per task: a slice of pages and the tree of one; time grows with the page's length.
 
 Defined results: null or empty html gives empty text; a page cut off in the middle keeps what is there; a page without any
-paragraph falls back to its body; repeated rows come back once each; null ids and urls pass through; other columns are not read.
+paragraph falls back to its body; a very long page is read whole, and comes alone in its slice; repeated rows come back once each; null ids and urls
+pass through; ids are of any type; other columns are not read, whatever their names are.
 """
 
 from __future__ import annotations
@@ -29,55 +36,98 @@ RAW = frozenset("script style textarea title noscript iframe xmp noembed noframe
 BLOCK = frozenset(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table tbody tfoot thead tr ul".split()
 )
-DROPPED = frozenset("head nav footer aside form script style noscript template iframe svg canvas object embed select button textarea title dialog menu input math audio video xmp noembed noframes".split())
+DROPPED = frozenset("head nav footer aside form script style noscript template iframe svg canvas object embed select button textarea title dialog menu input audio video xmp noembed noframes".split())
 PARAGRAPH = frozenset("p pre blockquote td dd".split())
-HEADING = frozenset("h1 h2 h3 h4 h5 h6".split())
+HEADING = frozenset("h1 h2 h3 h4 h5 h6 hgroup header".split())
 DROPPED_ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert form menu menubar note".split())
-# Words of class and id names that mark what is not the article.
-DROPPED_NAMES = frozenset(
-    "ad ads adv advert adverts advertisement advertising adbox adslot banner breadcrumb breadcrumbs comment comments commentlist consent cookie cookies disqus discussion footer gdpr hidden masthead menu modal nav navbar navigation newsletter notice notices notification pager pagination popup promo promoted promotion recommended related replies respond share sharing sidebar signup social sponsor sponsored subscribe toolbar topbar widget".split()
+# Class and id names of what is not the article, and words that may stand beside them in one name.
+COMMENTS = frozenset("comment comments commentlist discussion disqus replies respond".split())
+DROPPED_NAMES = COMMENTS | frozenset(
+    "ad ads adv advert adverts advertisement advertising adbox adslot banner breadcrumb breadcrumbs consent cookie cookies footer gdpr hidden masthead menu modal nav navbar navigation newsletter notice notices notification pager pagination popup promo promoted promotion recommended related share sharing sidebar signup social sponsor sponsored subscribe toolbar topbar widget".split()
 )
+BESIDE = frozenset("area articles bar block bottom box button buttons container form inner item items left link links list main page posts right section site slot stories top unit user wrapper".split())
 
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)(?:>|\Z)|<[!?][^>]*(?:>|\Z)|<([a-zA-Z/][^>]*)(?:>|\Z)", re.S)
-_ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
-_WORDS = re.compile(r"[a-z]+|[A-Z][a-z]*|[0-9]+")
+_ATTRIBUTE = re.compile(r"""(?<![\w-])(class|id|role|hidden|aria-hidden|style)(?![\w-])(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
+_PIECES = re.compile(r"[a-z]+|[A-Z][a-z]*|[0-9]+")
 _HIDING = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 #: A start tag ends an open element of these names first.
-_ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
+_ENDS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 _SCOPE = frozenset("html body table ul ol dl div section article td th".split())
+#: Elements that hold text beside others; a run of text ends at each.
+_CELLS = frozenset("br td th".split())
 
 
 class Node:
-    __slots__ = ("tag", "parent", "children", "unwanted", "points", "chars", "linked")
+    __slots__ = ("tag", "parent", "children", "unwanted", "points", "readable", "chars", "linked", "commas")
 
-    def __init__(self, tag: str, parent: Node | None, unwanted: bool):
+    def __init__(self, tag: str, parent: Node | None, unwanted: str):
+        #: ``unwanted`` is empty, ``hard`` (by tag, role or style), ``name`` or ``comment`` (by class or id).
         self.tag, self.parent, self.children, self.unwanted = tag, parent, [], unwanted
-        self.points = self.chars = self.linked = 0
+        self.points = self.readable = 0.0
+        self.chars = self.linked = self.commas = 0
+
+
+def named(value: str) -> str:
+    """``comment`` or ``name`` where one of the names in a class or id marks what is not the article, else empty."""
+    for name in value.split():
+        pieces = [x.lower() for x in _PIECES.findall(name) if not x.isdigit()]
+        marks = [x for x in pieces if x in DROPPED_NAMES]
+        if marks and all(x in DROPPED_NAMES or x in BESIDE for x in pieces):
+            return "comment" if COMMENTS.intersection(marks) else "name"
+    return ""
 
 
-def _unwanted(tag: str, attributes: str, inside_article: bool) -> bool:
+def _unwanted(tag: str, attributes: str, inside_article: bool) -> str:
     if tag in DROPPED or tag == "header" and not inside_article:
-        return True
+        return "hard"
+    mark = ""
     for name, value in _ATTRIBUTE.findall(attributes) if attributes else ():
         name, value = name.lower(), value.strip("\"'")
         if name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and _HIDING.search(value):
-            return True
+            return "hard"
         if name == "role" and value.lower() in DROPPED_ROLES:
-            return True
-        if name in ("class", "id") and tag not in ("html", "body", "article", "main") and any(w.lower() in DROPPED_NAMES for w in _WORDS.findall(value)):
-            return True
-    return False
+            return "hard"
+        if name in ("class", "id") and tag not in ("html", "body", "article", "main"):
+            mark = mark or named(value)
+    return mark
+
+
+class _Open:
+    """The open elements, with the places of each name, so that no tag walks the stack."""
+
+    def __init__(self, root: Node):
+        self.stack, self.places, self.blocks, self.scopes = [root], {}, [], [0]
+
+    def push(self, node: Node) -> None:
+        at = len(self.stack)
+        self.stack.append(node)
+        self.places.setdefault(node.tag, []).append(at)
+        if node.tag in BLOCK:
+            self.blocks.append(at)
+        if node.tag in _SCOPE:
+            self.scopes.append(at)
+
+    def last(self, tag: str) -> int:
+        return places[-1] if (places := self.places.get(tag)) else 0
+
+    def close(self, at: int) -> None:
+        for node in reversed(self.stack[at:]):
+            self.places[node.tag].pop()
+        del self.stack[at:]
+        for places in (self.blocks, self.scopes):
+            while places and places[-1] >= at and places[-1] > 0:
+                places.pop()
 
 
 def tree(page: str) -> Node:
     """The elements of a page; text is kept as strings among the children."""
-    root = Node("html", None, False)
-    stack = [root]
+    root = Node("html", None, "")
+    open_ = _Open(root)
     at = 0
-    articles = 0
     while (found := _TAG.search(page, at)) is not None:
         if found.start() > at:
-            stack[-1].children.append(page[at : found.start()])
+            open_.stack[-1].children.append(page[at : found.start()])
         at = found.end()
         closing, tag, attributes, odd = found.groups()
         if odd is not None:  # a tag with an unmatched quote: its name still counts
@@ -86,108 +136,157 @@ def tree(page: str) -> Node:
             continue
         tag = tag.lower()
         if closing:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag == tag:
-                    articles -= sum(n.tag in ("article", "main") for n in stack[i:])
-                    del stack[i:]
-                    break
-                if tag not in BLOCK and stack[i].tag in BLOCK:
-                    break  # a stray end tag of an inline element ends no block
+            place = open_.last(tag)
+            # A stray end tag of an inline element ends no block.
+            if place and (tag in BLOCK or not open_.blocks or open_.blocks[-1] <= place):
+                open_.close(place)
             continue
         if tag in ("html", "body"):
-            if tag == "body" and len(stack) > 1 and stack[1].tag == "head":
-                del stack[1:]
+            if tag == "body" and len(open_.stack) > 1 and open_.stack[1].tag == "head":
+                open_.close(1)
             continue
-        if tag in BLOCK:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag == "p":
-                    del stack[i:]
-                    break
-                if stack[i].tag in _SCOPE:
-                    break
-        for i in range(len(stack) - 1, 0, -1) if tag in _ENDS else ():
-            if stack[i].tag in _ENDS[tag]:
-                del stack[i:]
-                break
-            if stack[i].tag in _SCOPE:
-                break
-        node = Node(tag, stack[-1], _unwanted(tag, attributes, articles > 0))
-        stack[-1].children.append(node)
+        if tag in BLOCK and (place := open_.last("p")) > open_.scopes[-1]:
+            open_.close(place)
+        if tag in _ENDS:
+            # The element to end may be a scope itself (a cell): it counts as long as no other scope stands after it.
+            place = max(map(open_.last, _ENDS[tag]))
+            if place and place >= open_.scopes[-1]:
+                open_.close(place)
+                if tag == "tr" and (row := open_.last("tr")) > open_.scopes[-1]:
+                    open_.close(row)
+        inside = open_.last("article") or open_.last("main")
+        node = Node(tag, open_.stack[-1], _unwanted(tag, attributes, bool(inside)))
+        open_.stack[-1].children.append(node)
         if tag in RAW:
             end = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>?", re.I).search(page, at)
             at = end.end() if end else len(page)
         elif tag not in VOID and not (attributes or "").endswith("/"):
-            stack.append(node)
-            articles += tag in ("article", "main")
+            open_.push(node)
     if at < len(page):
-        stack[-1].children.append(page[at:])
+        open_.stack[-1].children.append(page[at:])
     return root
 
 
-def _wanted(root: Node) -> list[Node]:
-    """All elements outside unwanted ones, parents first."""
+def _nodes(root: Node, skipped: tuple[str, ...]) -> list[Node]:
+    """All elements outside those of the ``skipped`` marks, parents first."""
     out, todo = [], [root]
     while todo:
         node = todo.pop()
         out.append(node)
-        todo += [c for c in node.children if isinstance(c, Node) and not c.unwanted]
+        todo += [c for c in node.children if isinstance(c, Node) and c.unwanted not in skipped]
     return out
 
 
-def _score(nodes: list[Node]) -> None:
+def paragraph_points(chars: int, linked: int, commas: int) -> float:
+    return (1 + commas + min(3, chars / 100)) * (1 - linked / chars)
+
+
+def score(nodes: list[Node]) -> None:
+    """``points`` that paragraphs pass to each node by depth, and ``readable``, the sum of those inside it."""
     for node in nodes:
-        node.chars = node.linked = 0
-        node.points = 25 if node.tag in ("article", "main") else 0
-    commas = {}
+        node.chars = node.linked = node.commas = 0
+        node.points = node.readable = 0.0
+    # One sum a node: at distance 1 points count in full, at 2 by half, then by a third of the distance.  ``far`` holds those sums
+    # by distance, and a node of great depth passes on at most FAR of them.
+    far: dict[Node, list[float]] = {}
     for node in reversed(nodes):
-        own = [c for c in node.children if isinstance(c, str)]
-        node.chars += sum(len(c) for c in own if not c.isspace())
-        commas[node] = commas.get(node, 0) + sum(c.count(",") for c in own)
+        for child in node.children:
+            if isinstance(child, str):
+                node.commas += child.count(",")
+                node.chars += 0 if child.isspace() else len(child)
         if node.tag == "a":
             node.linked = node.chars
-        if node.tag in PARAGRAPH and node.chars and node.parent is not None:
-            points = (1 + commas[node] + min(3, node.chars / 100)) * (1 - node.linked / node.chars)
-            node.parent.points += points
-            if node.parent.parent is not None:
-                node.parent.parent.points += points / 2
-        if node.parent is not None:
-            node.parent.chars += node.chars
-            node.parent.linked += node.linked
-            commas[node.parent] = commas.get(node.parent, 0) + commas[node]
+        levels = far.pop(node, [])
+        node.points = sum(x / (1, 2)[d] if d < 2 else x / (3 * d) for d, x in enumerate(levels))
+        node.readable += sum(levels)
+        if node.parent is None:
+            continue
+        own = paragraph_points(node.chars, node.linked, node.commas) if node.tag in PARAGRAPH and node.chars else 0.0
+        passed = far.setdefault(node.parent, [])
+        for d, x in enumerate([own, *levels]):
+            d = min(d, FAR - 1)
+            passed.extend([0.0] * (d + 1 - len(passed)))
+            passed[d] += x
+        node.parent.chars += node.chars
+        node.parent.linked += node.linked
+        node.parent.commas += node.commas
+
+
+#: Distances told apart when points are passed up.
+FAR = 12
 
 
 def _density(node: Node) -> float:
     return node.linked / node.chars if node.chars else 0.0
 
 
-def _kept(root: Node) -> list[Node]:
+def _settle_names(root: Node) -> None:
+    """Elements that only a name marks are wanted after all where they hold most of what can be read; comments, where nothing else can."""
+    marked = [n for n in _nodes(root, ("hard",)) if n.unwanted]
+    if not marked:
+        return
+    score(_nodes(root, ("hard",)))
+    whole = root.readable
+    comments = 0.0
+    todo = [root]
+    while todo:
+        node = todo.pop()
+        if node.unwanted == "comment":
+            comments += node.readable
+        else:
+            todo += [c for c in node.children if isinstance(c, Node) and c.unwanted != "hard"]
+    for node in marked:
+        if node.unwanted == "name" and whole > comments and node.readable > (whole - comments) / 2 or node.unwanted == "comment" and whole > 0 and whole - comments <= 1e-9 and node.readable > whole / 2:
+            node.unwanted = ""
+
+
+def kept(root: Node) -> list[Node]:
     """The best container and the siblings that belong to it, in page order."""
-    nodes = _wanted(root)
-    _score(nodes)
-    best = max(nodes, key=lambda n: n.points * (1 - _density(n)))
+    _settle_names(root)
+    nodes = _nodes(root, ("hard", "name", "comment"))
+    score(nodes)
+    worth = lambda n: n.points * (1 - _density(n))
+    best = max(nodes, key=lambda n: (round(worth(n), 9), n.tag in ("article", "main")))
     if best.points <= 0:
         return [root]
-    up = best
-    while up is not None and up.tag not in ("article", "main"):
-        up = up.parent
-    best = up or best
-    if best.parent is None:
+    top = node = best
+    while node.parent is not None and node.tag not in ("article", "main"):
+        others = [c for c in node.parent.children if isinstance(c, Node) and not c.unwanted and c is not node and _density(c) < 0.5]
+        if sum(c.readable for c in others) >= 0.2 * best.readable:
+            top = node.parent
+        node = node.parent
+    best = top
+    if best.parent is None or best.tag in ("article", "main"):
         return [best]
-    floor = max(10, 0.2 * best.points * (1 - _density(best)))
-    out = []
-    for node in best.parent.children:
-        if not isinstance(node, Node) or node.unwanted and node is not best:
-            continue
-        reads = node.tag in PARAGRAPH and node.chars and _density(node) < 0.25 and (node.chars > 80 or node.linked == 0)
-        if node is best or node.points * (1 - _density(node)) >= floor or reads:
-            out.append(node)
-    return out
+    beside = [c for c in best.parent.children if isinstance(c, Node) and not c.unwanted]
+    floor = max(10.0, 0.2 * worth(best))
+    reads = lambda c: c.tag in PARAGRAPH and c.chars and _density(c) < 0.25 and (c.chars > 80 or c.linked == 0)
+    chosen = [i for i, c in enumerate(beside) if c is best or worth(c) >= floor or reads(c)]
+    first, last = chosen[0], chosen[-1]
+    while first and beside[first - 1].tag in HEADING:
+        first -= 1
+    return beside[first : last + 1]
 
 
-def _blocks(nodes: list[Node]) -> Iterator[str]:
+def _link_list(node: Node) -> bool:
+    return node.tag in ("ul", "ol", "div", "table", "dl") and node.chars > 0 and _density(node) > 0.8
+
+
+def _blocks(chosen: list[Node]) -> Iterator[str]:
     """Texts of blocks, before white space is folded."""
     run: list[str] = []
-    todo: list = list(reversed(nodes))
+    todo: list = list(reversed(chosen))
+    # Where the whole page is the container, lists of links before its first text and after its last are menus.
+    bare = len(chosen) == 1 and chosen[0].parent is None
+    menus: set[Node] = set()
+    if bare:
+        inside = [c for c in chosen[0].children if isinstance(c, Node) and not c.unwanted]
+        for side in (inside, list(reversed(inside))):
+            for c in side:
+                if c.readable > 0 and not _link_list(c) or c.tag in PARAGRAPH and c.chars:
+                    break
+                if _link_list(c):
+                    menus.add(c)
     while todo:
         item = todo.pop()
         if item is None:
@@ -195,15 +294,15 @@ def _blocks(nodes: list[Node]) -> Iterator[str]:
             run = []
         elif isinstance(item, str):
             run.append(entities.unescape(item))
-        elif item.unwanted and item not in nodes or item.tag in ("ul", "ol", "div", "table") and item.chars and _density(item) > 0.8:
+        elif item.unwanted or item in menus:
             if item.tag in BLOCK:
                 todo.append(None)
         else:
-            if item.tag in ("br", "td", "th"):
+            if item.tag in _CELLS:
                 run.append(" ")
             inside = item.children
-            if item.tag == "header":  # an article's own header holds its headings, and dates and names that are not text
-                inside = [c for c in inside if isinstance(c, Node) and c.tag in HEADING | {"hgroup"}]
+            if item.tag == "header":  # an article's own header: its bare text, dates and names, is no text of the article
+                inside = [c for c in inside if isinstance(c, Node) and c.tag in BLOCK]
             ends = [None] if item.tag in BLOCK else []
             todo += ends + list(reversed(inside)) + ends
     yield "".join(run)
@@ -213,7 +312,7 @@ def main_text(page: str | None) -> str:
     """The article's blocks, joined by blank lines."""
     if not page:
         return ""
-    return "\n\n".join(x for x in (" ".join(b.split()) for b in _blocks(_kept(tree(page)))) if x)
+    return "\n\n".join(x for x in (" ".join(b.split()) for b in _blocks(kept(tree(page)))) if x)
 
 
 def extract(pages: DataFrame) -> DataFrame:
