@@ -1,19 +1,24 @@
 """Quality classifier by importance resampling.
 
 Hashed n-gram models (bags of buckets) of target text, the good rows of a bounded labelled sample, and of raw text, all documents, are
-counted in one pass.  A document's log importance weight is the sum over its n-grams of the log ratio of the two models.  Gumbel noise is
-added and the top k are kept: sampling without replacement in proportion to the weights.  ``k`` is given, or calibrated on labelled rows that the
-models have not seen, as the number of documents that score like all but ``1 - recall`` of the good ones.
+counted in one pass.  A document's log importance weight is the mean log ratio of the two models over its n-grams, times its words, of which at most ``EVIDENCE``
+count: n-grams of one text are not independent, and length alone shall not decide.  Gumbel noise is added to the weight and the top k are kept:
+sampling without replacement in proportion to the weights.  The draw decides among documents about as good as the k-th.
 
-The n-grams are single words and pairs, of word shapes: the kinds of a word's first two and last two characters, and whether it
-repeats the word before it.  On held-out labels these separate better than the words themselves.
+``k`` is given, or calibrated on labelled rows that the models have not seen: the number of documents whose weight, without noise, is that of all
+but ``1 - recall`` of the good ones.
 
-Scale.  Counts are summed inside each task before anything leaves it: at most ``2 * BUCKETS`` rows a task.  The k-th largest key is
-found by counting into ranges, never by sorting all rows.  Only the model and the labelled sample reach the driver, both of fixed bounds.
+The n-grams are single words and pairs of words, and single shapes and pairs of shapes: the kinds of a word's first two and last two characters, and
+whether it repeats the word before it.  A bucket's ratio is ``(t + s) / (e + s)`` of the count ``t`` in target text and ``e``, the count that raw text
+makes expect there; the smoothing ``s`` draws rare n-grams to one.  Two n-grams of one bucket share its ratio.
 
-Defined results: null text counts as empty and has weight 0; equal texts get equal weights and equal noise; rows that tie with the
-k-th are all kept; without labelled good rows everything is kept; an empty table gives an empty result; of other columns those
-asked for pass through, except names that the result has itself.
+Scale.  Counts are summed inside each task before anything leaves it: at most ``4 * BUCKETS`` rows a task.  The k-th largest key is
+found by counting into ranges, never by sorting all rows.  Only the model and the labelled sample reach the driver, both of fixed bounds.  Texts are
+never written: where other columns than the id are asked for, documents are scored a second time instead.
+
+Defined results: null text counts as empty and has weight 0; a very long text is read whole, alone in its slice; equal texts get equal weights and equal noise; rows that tie with the
+k-th are all kept; where an id repeats, its best row calibrates; without labelled good rows everything is kept; ids are of any type, and null ids are
+never labelled; an empty table gives an empty result; of other columns those asked for pass through, except names that the result has itself.
 """
 
 from __future__ import annotations
@@ -25,12 +30,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .labelled import label_sample, lowest_kept
 from ..session import written
+from .labelled import label_sample, lowest_kept
 from .textblock import flat, mixed, slices, span_hashes, word_spans
 
 BUCKETS = 1 << 14
-SMOOTHING = 0.01
+ORDERS = 4
+SMOOTHING = 2.0
+EVIDENCE = 64
 SAMPLE = 20_000
 RECALL = 0.998
 SEED = 7
@@ -43,8 +50,8 @@ _KIND[65:91], _KIND[97:123], _KIND[128:], _KIND[48:58] = 2, 3, 3, 4
 _KIND[list(b".,;:")] = 5
 
 
-def ngrams(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(row, bucket) of all n-grams, single words and pairs one after the other; words in each row; a hash of each row's text."""
+def ngrams(column: pa.Array) -> tuple[list[tuple[np.ndarray, np.ndarray]], np.ndarray, np.ndarray]:
+    """(row, bucket) of the n-grams of each order; words in each row; a hash of each row's text."""
     data, offsets = flat(column)
     starts, ends, rows = word_spans(data, offsets)
     words = span_hashes(_LOWER[data], starts, ends)
@@ -55,41 +62,44 @@ def ngrams(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nda
     repeats[1:] = follows & (words[1:] == words[:-1])
     shape = mixed(shape << np.uint64(1) | repeats)
     first = np.flatnonzero(follows)
+    size, orders = np.uint64(BUCKETS), []
     with np.errstate(over="ignore"):
-        pairs = mixed(shape[first] * np.uint64(5) + shape[first + 1])
-    size = np.uint64(BUCKETS)
-    buckets = np.concatenate((shape % size, pairs % size + size)).astype(np.int64)
-    return np.concatenate((rows, rows[first])), buckets, np.bincount(rows, minlength=len(column)), span_hashes(data, offsets[:-1], offsets[1:])
+        for term in (words, shape):
+            orders.append((rows, (term % size).astype(np.int64)))
+            orders.append((rows[first], (mixed(term[first] * np.uint64(5) + term[first + 1]) % size).astype(np.int64)))
+    return orders, np.bincount(rows, minlength=len(column)), span_hashes(data, offsets[:-1], offsets[1:])
 
 
-def counts(docs: DataFrame, target_ids: np.ndarray) -> np.ndarray:
-    """Counts of each bucket in raw text and in the target's documents: two rows."""
-    ids = docs.sparkSession.sparkContext.broadcast(target_ids)
+def counts(docs: DataFrame, target: DataFrame) -> np.ndarray:
+    """Counts of each bucket in raw text and in the documents whose ids are in ``target`` (a bounded table): shape (2, orders, buckets)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((2, 2 * BUCKETS), np.int64)
+        total = np.zeros((2, ORDERS, BUCKETS), np.int64)
         for batch in batches:
             for part in slices(batch, "text"):
-                rows, buckets, _, _ = ngrams(part.column("text"))
-                target = np.isin(part.column("doc_id").fill_null(-1).to_numpy(zero_copy_only=False), ids.value)
-                total[0] += np.bincount(buckets, minlength=2 * BUCKETS)
-                total[1] += np.bincount(buckets[target[rows]], minlength=2 * BUCKETS)
-        seen = np.flatnonzero(total[0])
-        yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(total[0, seen]), pa.array(total[1, seen])], ["bucket", "raw", "target"])
-
-    columns = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    summed = columns.mapInArrow(run, "bucket bigint, raw bigint, target bigint").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target"))
-    out = np.zeros((2, 2 * BUCKETS), np.int64)
-    for bucket, raw, target in summed.collect():
-        out[:, bucket] = raw, target
-    return out
+                wanted = part.column("wanted").to_numpy(zero_copy_only=False)
+                for order, (rows, buckets) in enumerate(ngrams(part.column("text"))[0]):
+                    total[0, order] += np.bincount(buckets, minlength=BUCKETS)
+                    total[1, order] += np.bincount(buckets[wanted[rows]], minlength=BUCKETS)
+        flat_ = total.reshape(2, -1)
+        seen = np.flatnonzero(flat_[0])
+        yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(flat_[0, seen]), pa.array(flat_[1, seen])], ["bucket", "raw", "target"])
+
+    ids = target.select(F.col("doc_id").cast("string").alias("target_id"), F.lit(True).alias("wanted"))
+    texts = docs.select(F.col("doc_id").cast("string").alias("id"), F.col("text").cast("string").alias("text"))
+    marked = texts.join(F.broadcast(ids), F.col("id") == F.col("target_id"), "left").select("text", F.coalesce("wanted", F.lit(False)).alias("wanted"))
+    summed = marked.mapInArrow(run, "bucket bigint, raw bigint, target bigint").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target"))
+    out = np.zeros((2, ORDERS * BUCKETS), np.int64)
+    for bucket, raw, own in summed.collect():
+        out[:, bucket] = raw, own
+    return out.reshape(2, ORDERS, BUCKETS)
 
 
 def log_ratios(count: np.ndarray) -> np.ndarray:
-    """Log ratio of the target's to the raw model for each bucket; each n-gram order is a distribution of its own."""
-    by_order = count.reshape(2, 2, BUCKETS) + SMOOTHING
-    models = np.log(by_order) - np.log(by_order.sum(2, keepdims=True))
-    return (models[1] - models[0]).reshape(-1)
+    """Log ratio of the target's to the raw model for each order and bucket; each n-gram order is a distribution of its own."""
+    raw, own = count.astype(float)
+    expected = raw * own.sum(1, keepdims=True) / np.maximum(1, raw.sum(1, keepdims=True))
+    return np.log(own + SMOOTHING) - np.log(expected + SMOOTHING)
 
 
 #: Columns that ``classify`` adds; those of ``docs`` that have these names give way.
@@ -99,19 +109,25 @@ ADDED = ("n_words", "log_weight", "key", "kept")
 def scored(docs: DataFrame, ratios: np.ndarray, keep: Sequence[str] | None = None) -> DataFrame:
     """Columns ``keep`` of ``docs`` (all without it) with ``n_words``, ``log_weight`` and ``key``, the weight with its noise."""
     model = docs.sparkSession.sparkContext.broadcast(ratios)
-    keep = [c for c in (docs.columns if keep is None else keep) if c not in ADDED]
+    keep = [c for c in (docs.columns if keep is None else keep) if c.lower() not in ADDED]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "__text"):
-                rows, buckets, words, texts = ngrams(part.column("__text"))
-                weight = np.bincount(rows, model.value[buckets], minlength=part.num_rows).astype(float)
+            text = len(keep)
+            for part in slices(batch, batch.schema.names[text]):
+                n = part.num_rows
+                orders, words, texts = ngrams(part.column(text))
+                mean = np.zeros(n)
+                for ratio, (rows, buckets) in zip(model.value, orders):
+                    mean += np.bincount(rows, ratio[buckets], minlength=n) / np.maximum(1, np.bincount(rows, minlength=n))
+                weight = mean * np.minimum(words, EVIDENCE)
                 uniform = ((mixed(texts + np.uint64(SEED)) >> np.uint64(11)).astype(np.float64) + 0.5) / 2.0**53
                 new = [pa.array(words.astype(np.int64)), pa.array(weight), pa.array(weight - np.log(-np.log(uniform)))]
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], *new], [*keep, "n_words", "log_weight", "key"])
+                yield pa.RecordBatch.from_arrays([*part.columns[:text], *new], [*keep, "n_words", "log_weight", "key"])
 
     fields = "".join(f"`{c}` {docs.schema[c].dataType.simpleString()}, " for c in keep)
-    return docs.select(*keep, F.col("text").cast("string").alias("__text")).mapInArrow(run, f"{fields}n_words bigint, log_weight double, key double")
+    named = [F.col(c).alias(f"keep_{i}") for i, c in enumerate(keep)]
+    return docs.select(*named, F.col("text").cast("string").alias("scored_text")).mapInArrow(run, f"{fields}n_words bigint, log_weight double, key double")
 
 
 def kth_largest(keys: DataFrame, k: int, column: str = "key") -> float:
@@ -137,28 +153,27 @@ def kth_largest(keys: DataFrame, k: int, column: str = "key") -> float:
     return low
 
 
-def fitted(docs: DataFrame, labels: DataFrame, bound: int = SAMPLE) -> tuple[np.ndarray, dict[int, bool]]:
-    """Log ratios, and the labelled rows that are left for calibrating (id to good)."""
-    sample = label_sample(labels, bound).collect()
-    target = np.array([r.doc_id for r in sample if r.fold == 0 and r.good], np.int64)
-    return log_ratios(counts(docs, target)), {r.doc_id: r.good for r in sample if r.fold == 1}
+def fitted(docs: DataFrame, labels: DataFrame, bound: int = SAMPLE) -> tuple[np.ndarray, DataFrame]:
+    """Log ratios, and the good labelled rows that are left for calibrating."""
+    sample = written(label_sample(labels, bound).filter("good"), "labelled")
+    return log_ratios(counts(docs, sample.filter("fold = 0"))), sample.filter("fold = 1")
 
 
-def calibrated_k(scores: DataFrame, held_out: dict[int, bool], recall: float) -> int:
-    """The number of documents that score like all but ``1 - recall`` of the held-out good ones."""
-    good = [i for i, is_good in held_out.items() if is_good]
-    spark = scores.sparkSession
-    ids = spark.createDataFrame([(i,) for i in good], "doc_id bigint")
-    keys = np.array([r[0] for r in scores.join(F.broadcast(ids), "doc_id", "left_semi").select("key").collect()]) if good else np.zeros(0)
-    return scores.filter(F.col("key") >= lowest_kept(keys, recall)).count()
+def calibrated_k(scores: DataFrame, held_out: DataFrame, recall: float) -> int:
+    """The number of documents that weigh like all but ``1 - recall`` of the held-out good ones."""
+    ids = held_out.select(F.col("doc_id").cast("string").alias("held_id"))
+    good = scores.select(F.col("doc_id").cast("string").alias("id"), "log_weight").join(F.broadcast(ids), F.col("id") == F.col("held_id"))
+    weights = np.array([r[0] for r in good.groupBy("id").agg(F.max("log_weight")).select("max(log_weight)").collect()])
+    return scores.filter(F.col("log_weight") >= lowest_kept(weights, recall)).count()
 
 
 def classify(docs: DataFrame, labels: DataFrame, k: int | None = None, recall: float = RECALL, bound: int = SAMPLE, keep: Sequence[str] | None = None) -> DataFrame:
     """``doc_id`` and the columns ``keep`` of ``docs`` (all without it) with ``n_words, log_weight, key, kept`` for every row.
 
-    Scores are written once, with the columns kept, as they are read for the cut and for the result.
+    Scores are written once, with ids only, as they are read for the cut.
     """
     ratios, held_out = fitted(docs, labels, bound)
-    scores = written(scored(docs, ratios, list(dict.fromkeys(["doc_id", *(docs.columns if keep is None else keep)]))), "weights")
+    scores = written(scored(docs, ratios, ["doc_id"]), "weights")
     cut = kth_largest(scores.select("key"), calibrated_k(scores, held_out, recall) if k is None else k)
-    return scores.withColumn("kept", F.col("key") >= F.lit(cut))
+    wanted = list(dict.fromkeys(["doc_id", *(docs.columns if keep is None else keep)]))
+    return (scores if wanted == ["doc_id"] else scored(docs, ratios, wanted)).withColumn("kept", F.col("key") >= F.lit(cut))

@@ -377,39 +377,71 @@ def test_classifier_separates_held_out_rows(spark, sf_dir, docs):
     assert sum(good) >= 0.97 * len(good) and sum(bad) <= 0.2 * len(bad)
 
 
-def plain_weights(texts, target):
-    """Shapes, pairs and log ratios of whole texts, one n-gram at a time."""
+def plain_grams(text):
+    """Words, pairs of words, shapes and pairs of shapes of a text, one n-gram at a time."""
     kind = lambda b: 2 if 65 <= b < 91 else 3 if 97 <= b < 123 or b >= 128 else 4 if 48 <= b < 58 else 5 if b in b".,;:" else 1
-
-    def grams(text):
-        words = WORD.findall(text)
-        shapes = []
-        for i, w in enumerate(words):
-            raw = w.encode()
-            lower = "".join(c.lower() if c.isascii() else c for c in w)
-            before = "".join(c.lower() if c.isascii() else c for c in words[i - 1]) if i else None
-            shapes.append((kind(raw[0]), kind(raw[min(1, len(raw) - 1)]), kind(raw[max(len(raw) - 2, 0)]), kind(raw[-1]), lower == before))
-        return shapes, list(zip(shapes, shapes[1:]))
-
-    return [grams(t) for t in texts], target
+    words, shapes = ["".join(c.lower() if c.isascii() else c for c in w) for w in WORD.findall(text)], []
+    for i, w in enumerate(WORD.findall(text)):
+        raw = w.encode()
+        shapes.append((kind(raw[0]), kind(raw[min(1, len(raw) - 1)]), kind(raw[max(len(raw) - 2, 0)]), kind(raw[-1]), i > 0 and words[i] == words[i - 1]))
+    return [words, list(zip(words, words[1:])), shapes, list(zip(shapes, shapes[1:]))]
 
 
 def test_weights_equal_plain_counts(spark):
-    texts = ["Aa bb bb cc", "Aa bb!! $$$ cc", "", "x"]
+    texts = ["Aa bb bb cc", "Aa bb!! $$$ cc", "", "x", " ".join(f"w{i} the" for i in range(200))]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
-    target = np.array([0])
-    found, _ = plain_weights(texts, target)
+    grams = [plain_grams(t) for t in texts]
     expected = np.zeros(len(texts))
-    size, smooth = importance.BUCKETS, importance.SMOOTHING
-    for order in (0, 1):
-        raw = collections.Counter(g for grams in found for g in grams[order])
-        own = collections.Counter(found[0][order])
-        total, mine = sum(raw.values()) + smooth * size, sum(own.values()) + smooth * size
-        for i, grams in enumerate(found):
-            expected[i] += sum(np.log((own[g] + smooth) / mine) - np.log((raw[g] + smooth) / total) for g in grams[order])
-    ratios = importance.log_ratios(importance.counts(df, target))
-    got = {r.doc_id: r.log_weight for r in importance.scored(df, ratios).collect()}
-    assert [got[i] for i in range(len(texts))] == pytest.approx(list(expected))
+    for order in range(4):
+        raw, own = collections.Counter(g for some in grams for g in some[order]), collections.Counter(grams[0][order])
+        share = sum(own.values()) / sum(raw.values())
+        for i, some in enumerate(grams):
+            ratios = [np.log((own[g] + importance.SMOOTHING) / (raw[g] * share + importance.SMOOTHING)) for g in some[order]]
+            expected[i] += min(importance.EVIDENCE, len(some[0])) * sum(ratios) / max(1, len(ratios))
+    ratios = importance.log_ratios(importance.counts(df, spark.createDataFrame([(0,)], "doc_id bigint")))
+    rows = importance.scored(df, ratios).collect()
+    # A few of the 200 words share a bucket by chance; the other texts have none that do.
+    assert [r.log_weight for r in sorted(rows, key=lambda r: r.doc_id)][:4] == pytest.approx(list(expected[:4]))
+    assert sorted(rows, key=lambda r: r.doc_id)[4].log_weight == pytest.approx(expected[4], rel=0.1)
+
+
+def test_kept_are_the_drawn_top_k(spark, docs, sf_dir):
+    """k is the number of rows that weigh like all but a share of the held-out good ones; the rows kept are those of the k largest keys."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    rows = importance.classify(docs, labels, recall=0.9, keep=["doc_id"]).collect()
+    sample = importance.label_sample(labels, importance.SAMPLE).collect()
+    weight = {r.doc_id: r.log_weight for r in rows}
+    held = sorted(weight[r.doc_id] for r in sample if r.fold == 1 and r.good and r.doc_id in weight)
+    k = sum(r.log_weight >= held[int(len(held) * (1 - 0.9))] for r in rows)
+    keys = sorted((r.key for r in rows), reverse=True)
+    assert all(r.kept == (r.key >= keys[k - 1]) for r in rows)
+    # The draw has a say: some rows kept weigh less than some that are not.
+    assert min(r.log_weight for r in rows if r.kept) < max(r.log_weight for r in rows if not r.kept)
+
+
+def test_words_alone_separate(spark, sf_dir, docs, monkeypatch):
+    """Shapes off: word models still tell good rows from bad."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    ratios, _ = importance.fitted(docs, labels)
+    ratios[2:] = 0
+    weight = {r.doc_id: r.log_weight for r in importance.scored(docs, ratios, ["doc_id"]).collect()}
+    rows = labels.collect()
+    good = sorted(weight[r.doc_id] for r in rows if r.quality == 1 and r.doc_id in weight)
+    bad = [weight[r.doc_id] for r in rows if r.quality == 0 and r.doc_id in weight]
+    assert sum(b < good[len(good) // 20] for b in bad) >= 0.7 * len(bad)
+
+
+def test_string_ids_and_clashing_names(spark, docs, sf_dir):
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    plain = {r.doc_id: (r.kept, r.log_weight) for r in importance.classify(docs, labels, keep=["doc_id"]).collect()}
+    named = docs.select(F.concat(F.lit("d"), "doc_id").alias("doc_id"), "text", F.lit(1).alias("KEY"), F.lit("x").alias("scored_text"), F.lit(2).alias("keep_0"))
+    text = labels.withColumn("doc_id", F.concat(F.lit("d"), "doc_id"))
+    got = importance.classify(named, text)
+    assert got.columns == ["doc_id", "text", "scored_text", "keep_0", "n_words", "log_weight", "key", "kept"]
+    rows = got.collect()
+    assert all((r.scored_text, r.keep_0) == ("x", 2) for r in rows)
+    # Another sample is drawn, as ids hash differently; good rows stay all the same.
+    assert sum(r.kept == plain[int(r.doc_id[1:])][0] for r in rows) >= 0.95 * len(rows)
 
 
 def test_kth_largest(spark):
