@@ -1,15 +1,19 @@
 """URL filter: rules first, then empirical-Bayes host reputation, in DataFrame functions only.
 
+Levels.  A host without user info, port and final dot is its name.  Its suffix is the longest one known: the last label, a country's own second level
+(``co.uk``, ``com.br``), or an entry of a table of suffixes under which strangers register; the registered domain is the suffix with one label more.  A
+numeric address is its own domain, under the suffix ``ip``; a bare suffix is its own domain.
+
 Labelled pages are Bernoulli outcomes (1 = bad).  Rates are shrunk from the top down: all pages, suffix, registered domain, host.
 At each level a group's bad pages follow a beta-binomial whose mean is the posterior mean of its parent and whose
 concentration ``m`` is estimated by moments over the labelled groups of that level.  A host's pages are blocked when the lower
-posterior bound of its bad rate, ``mean - z * sd``, is above ``limit``; a host without labels keeps its parent's prior.
+posterior bound of its bad rate, ``mean - z * sd`` (the normal approximation of the beta quantile, which is loose for few labels), is above ``limit``; a host without labels keeps its parent's prior.
 
-Scale.  Outcomes are summed per host before any level is joined, so a host with a third of all pages is one row from the
-first partial aggregate on.  Higher levels are made from lower ones.  Pages join the verdicts of hosts; Spark splits a hot host.
+Scale.  Only pages with a document number meet the labels, counted by host and document before they do.  Outcomes are summed per host before any level is
+joined, so a host with a third of all pages is one row from the first partial aggregate on.  Higher levels are made from lower ones.  Pages join the verdicts of hosts; Spark splits a hot host.
 
 Defined results: a url that is null or has no ``://`` has an empty host and path, fits no rule, and is judged as the host
-``""``; null labels and pages without labels count nowhere; repeated rows come back once each; where a document has several
+``""``; a path that has no whole number where documents stand has none; ids are of any type and meet as text; a very long url is read whole; null labels and pages without labels count nowhere; repeated rows come back once each; where a document has several
 labels the worst counts; an empty table gives an empty result.  Other columns of the inputs are not read.
 """
 
@@ -37,16 +41,33 @@ def path_of(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(url, r"(?s)^.*?://[^/?#]*([^?#]*)", 1), F.lit(""))
 
 
-def suffix_of(host: Column, second_level: Sequence[str]) -> Column:
-    """The last label, or the last two where those are a registry's own second level."""
-    two = F.substring_index(host, ".", -2)
-    return F.when(two.isin(*second_level), two).otherwise(F.substring_index(host, ".", -1))
+# Labels that registries of countries use as a second level, and suffixes under which strangers register names.
+SECOND_LEVEL = "ac co com edu gob gov gouv go ltd me mil ne net nhs nom or org plc sch".split()
+SHARED = (
+    "appspot.com azurewebsites.net blogspot.com cloudfront.net firebaseapp.com fly.dev github.io gitlab.io glitch.me herokuapp.com medium.com myshopify.com neocities.org "
+    "netlify.app onrender.com pages.dev substack.com tumblr.com vercel.app web.app weebly.com wixsite.com wordpress.com workers.dev"
+).split()
+
+
+def name_of(host: Column) -> Column:
+    """The host's name without user info, port and final dot."""
+    return F.regexp_replace(F.regexp_replace(F.regexp_replace(host, r"^.*@", ""), r":[0-9]*$", ""), r"\.$", "")
+
+
+def suffix_of(name: Column, shared: Sequence[str] = SHARED) -> Column:
+    """The longest suffix that is known."""
+    one, two = F.substring_index(name, ".", -1), F.substring_index(name, ".", -2)
+    own = F.when(two.rlike(rf"^({'|'.join(SECOND_LEVEL)})\.[a-z]{{2}}$"), two).otherwise(one)
+    for entry in sorted(shared, key=lambda e: (e.count("."), e)):
+        own = F.when((name == entry) | name.endswith("." + entry), F.lit(entry)).otherwise(own)
+    return F.when(name.rlike(r"^[0-9]+(\.[0-9]+){3}$|^\["), F.lit("ip")).otherwise(own)
 
 
-def domain_of(host: Column, second_level: Sequence[str]) -> Column:
+def domain_of(name: Column, suffix: Column) -> Column:
     """The suffix and the label before it."""
-    two, three = F.substring_index(host, ".", -2), F.substring_index(host, ".", -3)
-    return F.when(two.isin(*second_level), three).otherwise(two)
+    labels = F.size(F.split(suffix, r"\.")) + 1
+    last = F.slice(F.split(name, r"\."), -F.least(labels, F.size(F.split(name, r"\."))), labels)
+    return F.when(suffix == "ip", name).otherwise(F.array_join(last, "."))
 
 
 def matched_rule(host: Column, path: Column, rules: Sequence[Rule]) -> tuple[Column, Column]:
@@ -85,8 +106,18 @@ def posteriors(outcomes: DataFrame) -> DataFrame:
     return level.select("host", (a / (a + b)).alias("mean"), F.sqrt(a * b / ((a + b) ** 2 * (a + b + 1))).alias("sd"))
 
 
+def outcomes_of(named: DataFrame, labels: DataFrame, doc_id_in_path: str) -> DataFrame:
+    """``host, n, k``: labelled pages of each host that has some, and the bad ones among them."""
+    doc = F.nullif(F.regexp_replace(F.regexp_extract("path", doc_id_in_path, 1), "^0+(?=.)", ""), F.lit(""))
+    pages = named.select("host", doc.alias("doc")).filter("doc is not null").groupBy("host", "doc").agg(F.count("*").alias("pages"))
+    bad = F.greatest(1 - F.col("quality"), F.col("toxic"))
+    outcomes = labels.groupBy(F.col("doc_id").cast("string").alias("label_doc")).agg(F.max(bad).cast("bigint").alias("bad")).filter("bad is not null")
+    joined = pages.join(outcomes, F.col("doc") == F.col("label_doc"))
+    return joined.groupBy("host").agg(F.sum("pages").alias("n"), F.sum(F.col("pages") * F.col("bad")).alias("k"))
+
+
 def judge(
-    pages: DataFrame, labels: DataFrame, rules: Sequence[Rule], z: float = 1.64, limit: float = 0.5, doc_id_in_path: str = r"^/[^/]+/([0-9]{1,18})", second_level: Sequence[str] = ("co.uk", "com.au", "co.jp")
+    pages: DataFrame, labels: DataFrame, rules: Sequence[Rule], z: float = 1.64, limit: float = 0.5, doc_id_in_path: str = r"^/[^/]+/([0-9]+)(?:/|$)", shared: Sequence[str] = SHARED
 ) -> DataFrame:
     """``page_id, host, path, rule, verdict`` for every row of ``pages`` (``page_id, url``).
 
@@ -95,12 +126,10 @@ def judge(
     """
     host, path = host_of(F.col("url")), path_of(F.col("url"))
     named = pages.select("page_id", host.alias("host"), path.alias("path"))
-    bad = F.greatest(1 - F.col("quality"), F.col("toxic"))
-    outcomes = labels.groupBy(F.col("doc_id").cast("bigint").alias("label_doc")).agg(F.max(bad).cast("bigint").alias("bad"))
-    doc = F.expr(f"try_cast(regexp_extract(path, '{doc_id_in_path}', 1) as bigint)")
-    labelled = named.withColumn("doc", doc).join(outcomes, F.col("doc") == F.col("label_doc"), "left")
-    by_host = labelled.groupBy("host").agg(F.count("bad").alias("n"), F.coalesce(F.sum("bad"), F.lit(0)).alias("k"))
-    by_host = by_host.select("host", domain_of(F.col("host"), second_level).alias("domain"), suffix_of(F.col("host"), second_level).alias("suffix"), "n", "k")
+    seen = outcomes_of(named, labels, doc_id_in_path).withColumnRenamed("host", "seen")
+    hosts = named.select("host").distinct().join(seen, F.col("host") == F.col("seen"), "left").withColumn("name", name_of(F.col("host"))).withColumn("suffix", suffix_of(F.col("name"), shared))
+    zero = F.lit(0).cast("bigint")
+    by_host = hosts.select("host", domain_of(F.col("name"), F.col("suffix")).alias("domain"), "suffix", F.coalesce("n", zero).alias("n"), F.coalesce("k", zero).alias("k"))
     verdicts = posteriors(by_host).select(F.col("host").alias("known"), F.when(F.col("mean") - z * F.col("sd") > limit, "block").otherwise("allow").alias("judged"))
     rule, said = matched_rule(F.col("host"), F.col("path"), rules)
     joined = named.join(verdicts, F.col("host") == F.col("known"), "left")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from .host_reputation import SECOND_LEVEL, SHARED
+
 _HOST = "translate(coalesce(regexp_extract(url, '^.*?://([^/?#]*)', 1, 's'), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _PATH = "coalesce(regexp_extract(url, '^.*?://[^/?#]*([^?#]*)', 1, 's'), '')"
 
@@ -24,12 +26,16 @@ def op3(rules: list[tuple[str, str, str]], z: float = 1.64, limit: float = 0.5)
     name = "case " + " ".join(f"when {fits(r)} then '{r[0]}{r[1]}'" for r in longest) + " end"
     said = "case " + " ".join(f"when {fits(r)} then '{r[2]}'" for r in longest) + " end"
     m = lambda t: f"(select 1 / least(greatest(coalesce((sum(n * (k * 1.0 / n - mu) ** 2) - sum(mu * (1 - mu))) / nullif(sum((n - 1) * mu * (1 - mu)), 0), 0), 0.0001), 0.999) - 1 from {t} where n > 0)"
+    shared = " ".join(f"when name = '{e}' or name like '%.{e}' then '{e}'" for e in sorted(SHARED, key=lambda e: (-e.count("."), e)))
+    second = "|".join(SECOND_LEVEL)
     return f"""
 with named as (select page_id, {_HOST} as host, {_PATH} as path from pages),
-outcomes as (select doc_id, max(greatest(1 - quality, toxic)) as bad from labels group by 1),
-seen as (select host, count(bad) as n, coalesce(sum(bad), 0) as k from named left join outcomes on doc_id = try_cast(nullif(regexp_extract(path, '^/[^/]+/([0-9]{{1,18}})', 1), '') as bigint) group by 1),
-placed as (select *, array_to_string(list_slice(string_split(host, '.'), -2, -1), '.') as two, array_to_string(list_slice(string_split(host, '.'), -3, -1), '.') as three, string_split(host, '.')[-1] as one from seen),
-hosts as (select host, n, k, case when two in ('co.uk', 'com.au', 'co.jp') then two else one end as suffix, case when two in ('co.uk', 'com.au', 'co.jp') then three else two end as domain from placed),
+outcomes as (select doc_id::varchar as doc, max(greatest(1 - quality, toxic)) as bad from labels group by 1 having max(greatest(1 - quality, toxic)) is not null),
+numbered as (select host, ltrim(regexp_extract(path, '^/[^/]+/([0-9]+)(/|$)', 1), '0') as cut, regexp_extract(path, '^/[^/]+/([0-9]+)(/|$)', 1) as raw from named),
+counted as (select host, count(*) as n, sum(bad) as k from numbered join outcomes on raw <> '' and doc = case when cut = '' then '0' else cut end group by 1),
+seen as (select host, coalesce(n, 0) as n, coalesce(k, 0) as k, regexp_replace(regexp_replace(regexp_replace(host, '^.*@', ''), ':[0-9]*$', ''), '[.]$', '') as name from (select distinct host from named) left join counted using (host)),
+suffixed as (select *, case when regexp_matches(name, '^[0-9]+([.][0-9]+){{3}}$|^\[') then 'ip' {shared} when regexp_matches(name, '(^|[.])({second})[.][a-z]{{2}}$') then array_to_string(string_split(name, '.')[-2:], '.') else string_split(name, '.')[-1] end as suffix from seen),
+hosts as (select host, n, k, suffix, case when suffix = 'ip' then name else array_to_string(list_slice(string_split(name, '.'), -1 - len(string_split(suffix, '.')), -1), '.') end as domain from suffixed),
 domains as (select domain, suffix, sum(n) as n, sum(k) as k from hosts group by 1, 2), suffixes as (select suffix, sum(n) as n, sum(k) as k from domains group by 1),
 s as (select *, (select (sum(k) + 0.5) / (sum(n) + 1) from suffixes) as mu from suffixes),
 d as (select domains.*, (s.mu * {m('s')} + s.k) / (s.n + {m('s')}) as mu from domains join s using (suffix)),

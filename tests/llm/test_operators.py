@@ -183,6 +183,33 @@ def test_bad_hosts_are_blocked_and_others_pull_few_labels_up(spark):
     assert got == {("bad.example.com", "block"), ("good.example.com", "allow"), ("new.example.com", "allow")}
 
 
+def test_registered_domains(spark):
+    want = {
+        "www.a.co.uk": ("co.uk", "a.co.uk"), "x.y.org.uk": ("org.uk", "y.org.uk"), "a.com.br": ("com.br", "a.com.br"), "b.a.co.kr": ("co.kr", "a.co.kr"), "me.github.io": ("github.io", "me.github.io"),
+        "user@a.example.com:8080": ("com", "example.com"), "10.0.0.1:80": ("ip", "10.0.0.1"), "[::1]:80": ("ip", "[::1]"), "example.com.": ("com", "example.com"), "co.uk": ("co.uk", "co.uk"), "": ("", ""), "localhost": ("localhost", "localhost"),
+    }
+    df = spark.createDataFrame([(h,) for h in want], "host string").withColumn("name", host_reputation.name_of(F.col("host"))).withColumn("suffix", host_reputation.suffix_of(F.col("name")))
+    assert {r.host: (r.suffix, r.domain) for r in df.withColumn("domain", host_reputation.domain_of(F.col("name"), F.col("suffix"))).collect()} == want
+
+
+def test_documents_are_whole_numbers(spark):
+    """Numbers of any length count whole, and what only begins with a number is none."""
+    urls = ["http://a.com/x/7", "http://b.com/x/7abc", "http://c.com/x/0007/", "http://d.com/x/1234567890123456789012", "http://e.com/x/123456789012345678"]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id bigint, url string")
+    named = pages.select(host_reputation.host_of(F.col("url")).alias("host"), host_reputation.path_of(F.col("url")).alias("path"))
+    for kind, ids in (("bigint", [7, 123456789012345678]), ("string", ["7", "1234567890123456789012"])):
+        labels = spark.createDataFrame([(i, 0, 0) for i in ids], f"doc_id {kind}, quality int, toxic int")
+        got = {r.host for r in host_reputation.outcomes_of(named, labels, r"^/[^/]+/([0-9]+)(?:/|$)").collect()}
+        assert got == {"a.com", "c.com", "e.com" if kind == "bigint" else "d.com"}
+
+
+def test_strangers_under_one_suffix_do_not_answer_for_each_other(spark):
+    rows = [(i, f"http://bad.com.br/x/{i}") for i in range(60)] + [(i, f"http://s{i % 8}.com.br/x/{i}") for i in range(60, 220)] + [(999, "http://new.com.br/x/999")]
+    labels = spark.createDataFrame([(i, 0 if i < 58 else 1, 0) for i in range(220)], "doc_id bigint, quality int, toxic int")
+    got = {(r.host, r.verdict) for r in host_reputation.judge(spark.createDataFrame(rows, "page_id bigint, url string"), labels, []).collect()}
+    assert ("bad.com.br", "block") in got and all(v == "allow" for h, v in got if h != "bad.com.br")
+
+
 def test_posteriors_equal_plain_shrinkage(spark):
     rows = [("a.x.com", "x.com", "com", 10, 8), ("b.x.com", "x.com", "com", 5, 0), ("y.com", "y.com", "com", 0, 0), ("z.org", "z.org", "org", 20, 3)]
     got = {r.host: (r["mean"], r.sd) for r in host_reputation.posteriors(spark.createDataFrame(rows, "host string, domain string, suffix string, n bigint, k bigint")).collect()}
@@ -515,6 +542,29 @@ def test_unlabelled_kinds_of_anomalies_go(spark):
     assert sum(r.kept for i, r in found.items() if i < 1500) >= 0.98 * 1500
 
 
+def test_repeated_ids_leave_the_sample_whole(spark):
+    """Where ids repeat, no labelled document falls out of the sample, whatever its length."""
+    chance = random.Random(3)
+    text = lambda n: " ".join(chance.choice("alpha beta gamma delta epsilon zeta eta theta iota kappa".split()) + chance.choice("abc") for _ in range(n))
+    rows = [(i % 40, text(60 + 40 * (i % 40)), "en", "s", 1) for i in range(400)]
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(40)], "doc_id bigint, quality int, toxic int")
+    got = isolation.judge(spark.createDataFrame(rows, DOCS), labels, bound=40).collect()
+    passed = [r for r in got if not r.base_failed]
+    assert len(got) == 400 and sum(r.kept for r in passed) >= 0.9 * len(passed)
+    assert {r.doc_id for r in passed if r.kept} == {r.doc_id for r in passed}
+
+
+def test_verdicts_follow_from_the_threshold(spark, sf_dir, docs):
+    """``kept`` from plain sums: the held-out good rows set the threshold, scores decide."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    rows = isolation.judge(docs, labels, recall=0.9).collect()
+    sample = {r.doc_id: r for r in isolation.label_sample(labels, isolation.SAMPLE).collect()}
+    held = sorted(r.score for r in rows if not r.base_failed and r.doc_id in sample and sample[r.doc_id].good and sample[r.doc_id].fold == 1)
+    threshold = held[min(len(held) - 1, int(np.ceil(len(held) * 0.9)))]
+    assert all(r.kept == (not r.base_failed and r.score <= threshold) for r in rows)
+    assert any(not r.kept and not r.base_failed for r in rows)
+
+
 def test_rules_keep_good_rows(spark, sf_dir, docs):
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     rows = {r.doc_id: r for r in isolation.judge(docs, labels).collect()}
