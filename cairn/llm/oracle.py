@@ -34,7 +34,7 @@ outcomes as (select doc_id::varchar as doc, max(greatest(1 - quality, toxic)) as
 numbered as (select host, ltrim(regexp_extract(path, '^/[^/]+/([0-9]+)(/|$)', 1), '0') as cut, regexp_extract(path, '^/[^/]+/([0-9]+)(/|$)', 1) as raw from named),
 counted as (select host, count(*) as n, sum(bad) as k from numbered join outcomes on raw <> '' and doc = case when cut = '' then '0' else cut end group by 1),
 seen as (select host, coalesce(n, 0) as n, coalesce(k, 0) as k, regexp_replace(regexp_replace(regexp_replace(host, '^.*@', ''), ':[0-9]*$', ''), '[.]$', '') as name from (select distinct host from named) left join counted using (host)),
-suffixed as (select *, case when regexp_matches(name, '^[0-9]+([.][0-9]+){{3}}$|^\[') then 'ip' {shared} when regexp_matches(name, '(^|[.])({second})[.][a-z]{{2}}$') then array_to_string(string_split(name, '.')[-2:], '.') else string_split(name, '.')[-1] end as suffix from seen),
+suffixed as (select *, case when regexp_matches(name, '^[0-9]+([.][0-9]+){{3}}$|^[[]') then 'ip' {shared} when regexp_matches(name, '(^|[.])({second})[.][a-z]{{2}}$') then array_to_string(string_split(name, '.')[-2:], '.') else string_split(name, '.')[-1] end as suffix from seen),
 hosts as (select host, n, k, suffix, case when suffix = 'ip' then name else array_to_string(list_slice(string_split(name, '.'), -1 - len(string_split(suffix, '.')), -1), '.') end as domain from suffixed),
 domains as (select domain, suffix, sum(n) as n, sum(k) as k from hosts group by 1, 2), suffixes as (select suffix, sum(n) as n, sum(k) as k from domains group by 1),
 s as (select *, (select (sum(k) + 0.5) / (sum(n) + 1) from suffixes) as mu from suffixes),
