@@ -5,7 +5,8 @@ Base spans.  Three kinds of matches, leftmost and non-overlapping within a kind:
 Method.  A value that stands after a credential word (or before the ``@`` of a url) is cut into words, dates, repeats, keyboard walks and
 brute-force spans, each with the logarithm of the guesses it takes; the cheapest segmentation is found from left to right over
 the value's positions.  A value whose cheapest segmentation still takes ``LIMIT`` decades of guesses is a secret, and
-where it overlaps no base span it is added as kind ``guess``.
+where it overlaps no base span it is added as kind ``guess``.  After a credential word stand a colon, an equals sign or an arrow, or the word "is"; what follows
+"is" and looks like a word of prose (letters only, no inner capitals) is no secret.
 
 Vocabulary.  Words of all documents, and of all languages, are ranked by the number of documents that hold them; a word takes the guesses of its rank.
 Values that stand after a credential word are left out of the count, and a word counts from two documents on, so a secret does not
@@ -15,13 +16,15 @@ spaces is prose and takes as much as a rare word.
 Each document is one row; only words and their counts are shuffled.  A text is searched by patterns only where it holds their fixed parts.
 
 Defined results: null text counts as empty; a text without spans gives zeros and the digest of the empty string; repeated
-rows come back once each; null ids pass through; an empty table gives an empty result; other columns are not read.  Positions are code points.
+rows come back once each; a very long text is searched whole, in time that grows with its length; null ids pass through; ids are of any type; an empty table gives an empty
+result; other columns are not read, except that ``redact`` passes them on.  Positions are code points.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 from math import log10
@@ -43,8 +46,10 @@ _A = re.ASCII
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | _A)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+", _A)
 HEX = re.compile(r"[0-9a-f]{24,}", _A)
+# A credential word, alone or at the end of a name (``db_password``, ``dbPassword``), but not inside another word (``bypass``).
+_WORD = r"(?:(?<![A-Za-z])|(?-i:(?<=[a-z])(?=[A-Z])))(?:pass(?:word|wd|phrase|code)?|pwd|secret|token|(?:api|access|private|secret)[_ -]?key|auth(?:orization)?|bearer|credentials?|login)"
 CONTEXT = re.compile(
-    r"""(?:pass(?:word|wd|phrase|code)?|pwd|secret|token|(?:api|access|private|secret)[_ -]?key|auth(?:orization)?|bearer|credentials?|login)["']?\x20{0,8}(?:[:=]|\x20is\x20|->)\x20{0,8}["']?([^\s"'<>,;]{8,})|://[^\s/:@"'<>]+:([^\s/@"'<>]{8,})@""",
+    _WORD + r"""(?:["']?\x20*(?:[:=]|->)\x20*["']?([^\s"'<>,;]{8,})|\x20+is\x20+["']?([^\s"'<>,;]{8,}))|://[^\s/:@"'<>]+:([^\s/@"'<>]{8,})@""",
     re.I | _A,
 )
 _HINTS = ("passw", "passp", "passc", "pass", "pwd", "secret", "token", "key", "auth", "bearer", "credential", "login", "://")
@@ -62,8 +67,8 @@ WORD_COST = {w: log10(rank + 1) for rank, w in enumerate(COMMON, 1)}
 LONGEST = 40  # code points of a word
 # Patterns over lower-cased text: what follows a credential word, and whole words with their compounds (letters and marks).
 _VALUES = re.compile(
-    r"""(?:pass(?:word|wd|phrase|code)?|pwd|secret|token|(?:api|access|private|secret)[_ -]?key|auth(?:orization)?|bearer|credentials?|login)["']?\x20{0,8}"""
-    r"""(?:[:=]|\x20is\x20|->)\x20{0,8}["']?[^\s"'<>,;]+|://[^\s/:@"'<>]+:[^\s/@"'<>]+@""",
+    r"""(?<![a-z])(?:pass(?:word|wd|phrase|code)?|pwd|secret|token|(?:api|access|private|secret)[_ -]?key|auth(?:orization)?|bearer|credentials?|login)"""
+    r"""(?:["']?\x20*(?:[:=]|->)\x20*|\x20+is\x20+)["']?[^\s"'<>,;]+|://[^\s/:@"'<>]+:[^\s/@"'<>]+@""",
     _A,
 )
 _LETTER = "(?:[^\\W\\d_]|[" + "".join(c for c in map(chr, range(0x300, 0x20000)) if category(c).startswith("M")) + "])"
@@ -183,6 +188,25 @@ def guess_cost(value: str, words: dict[str, float] = WORD_COST) -> float:
     return best[-1]
 
 
+def _plain(value: str) -> bool:
+    """A word of prose, as may follow "is": letters, hyphens and apostrophes, with no capitals but the first or all."""
+    letters = re.sub("[-'\u2019]", "", value)
+    return letters.isalpha() and (letters[1:].islower() or letters.isupper() or not letters.isascii())
+
+
+def _covered(found: list[tuple[int, int, int]]) -> tuple[list[int], list[int]]:
+    """Starts and ends of the stretches that spans cover, in order and apart from each other."""
+    starts: list[int] = []
+    ends: list[int] = []
+    for a, _, b in sorted(found):
+        if ends and a < ends[-1]:
+            ends[-1] = max(ends[-1], b)
+        else:
+            starts.append(a)
+            ends.append(b)
+    return starts, ends
+
+
 def spans(text: str, words: dict[str, float] = WORD_COST) -> list[tuple[str, int, int]]:
     """(kind, start, end) of all spans, by start and then kind."""
     low = text.lower() if text.isascii() else text.translate(_ASCII_LOW)
@@ -193,12 +217,15 @@ def spans(text: str, words: dict[str, float] = WORD_COST) -> list[tuple[str, int
         found += [(m.start(), 1, m.end()) for m in ACCESS.finditer(text) if len(m[0]) >= LOW_ACCESS]
     found += [(m.start(), 2, m.end()) for m in HEX.finditer(text)]
     if any(h in low for h in _HINTS):
-        base = list(found)
+        starts, ends = _covered(found)
         for m in CONTEXT.finditer(text):
-            start, end = m.span(1) if m[1] is not None else m.span(2)
+            start, end = next(m.span(g) for g in (1, 2, 3) if m[g] is not None)
             value = text[start:end].rstrip(".)!?")
             end = start + len(value)
-            if len(value) >= 8 and all(end <= a or start >= b for a, _, b in base) and guess_cost(value, words) >= LIMIT:
+            if len(value) < 8 or m[2] is not None and _plain(value):
+                continue
+            at = bisect_left(starts, end) - 1  # the last covered stretch that begins before the value ends
+            if (at < 0 or ends[at] <= start) and guess_cost(value, words) >= LIMIT:
                 found.append((start, 3, end))
     return [(KINDS[k], a, b) for a, k, b in sorted(found)]
 
@@ -211,20 +238,20 @@ def written_out(some: list[tuple[str, int, int]]) -> str:
 
 
 def scan(docs: DataFrame) -> DataFrame:
-    """``doc_id, n_assign, n_access, n_hex, n_guess, base_sha256, spans`` of every row."""
+    """``doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_guess`` of every row."""
     words = docs.sparkSession.sparkContext.broadcast(vocabulary(docs))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["doc_id", "n_assign", "n_access", "n_hex", "n_guess", "base_sha256", "spans"]
+        names = ["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_guess"]
         for batch in batches:
             for part in slices(batch, "text"):
                 found = [spans(x or "", words.value) for x in part.column("text").to_pylist()]
                 counts = [pa.array([sum(s[0] == kind for s in f) for f in found], pa.int64()) for kind in KINDS]
                 digests = [hashlib.sha256(written_out([s for s in f if s[0] != "guess"]).encode()).hexdigest() for f in found]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), *counts, pa.array(digests, pa.string()), pa.array(map(written_out, found), pa.string())], names)
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), *counts[:3], pa.array(digests, pa.string()), pa.array(map(written_out, found), pa.string()), counts[3]], names)
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    schema = f"doc_id {kind}, n_assign bigint, n_access bigint, n_hex bigint, n_guess bigint, base_sha256 string, spans string"
+    schema = f"doc_id {kind}, n_assign bigint, n_access bigint, n_hex bigint, base_sha256 string, spans string, n_guess bigint"
     return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(run, schema)
 
 
