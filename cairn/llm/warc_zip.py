@@ -9,11 +9,15 @@ a newline, which falls between members, and the last one is the archive's one-by
 The reader finds the end record in an archive's tail, parses its central directory, locates the index, and turns its lines into byte
 ranges.  Ranges are dealt out anew, and each task reads neighbouring ones together; nothing is extracted.
 
-Equal payloads.  The largest page id of a payload is found by one aggregation over digests, and pages join it by digest; Spark splits
+Archives.  Their number follows from all payload bytes, so that one holds about 64 MB; a writing task holds its index lines and one member.  Ranges are
+read by as many tasks as their bytes ask for.
+
+Equal payloads.  The largest page id of a payload is found by one aggregation over digests, and ids join it by digest; Spark splits
 a payload that holds many rows.  Revisit records carry no payload.
 
 Defined results: null html counts as empty; rows that repeat both page id and payload are all responses or all revisits; null page ids never
-answer for others, and where a payload has no other id they are responses; an empty table gives an empty result; other columns
+answer for others, and where a payload has no other id they are responses; ids are of any type and stand in records as escaped text; a very long payload makes a large
+member of its own size; an empty table gives an empty result; other columns
 are not read.
 """
 
@@ -26,6 +30,7 @@ import json
 import struct
 import zlib
 from collections.abc import Callable, Iterator
+from urllib.parse import quote, unquote
 
 import pyarrow as pa
 from pyarrow import fs
@@ -35,8 +40,12 @@ from pyspark.sql import functions as F
 from ..session import new_folder, written
 from .textblock import slices
 
+#: Bytes of payload in an archive, at most about ARCHIVE, and at least about LEAST before more are made; bytes of a member, and of one range read.
+ARCHIVE, LEAST = 64 << 20, 4 << 20
 MEMBER = 8 << 20
 TOGETHER = 1 << 20
+#: Bytes of archives that one reading task takes.
+READ = 16 << 20
 _U32, _U16 = 0xFFFFFFFF, 0xFFFF
 DATE = "2024-01-01T00:00:00Z"
 
@@ -46,19 +55,38 @@ def digest_of(payload: bytes) -> str:
 
 
 def with_roles(pages: DataFrame) -> DataFrame:
-    """``page_id, url, html, digest, response_id``; ``response_id`` answers for all records of the payload."""
+    """``page_id, url, html, digest, response_id``; ``digest`` is the payload's SHA-1 in hexadecimal, ``response_id`` answers for all records of it.
+
+    Digests with ids are written once, without html.  Only ids meet in the aggregation and in the join by digest, which Spark splits where a payload
+    is hot; html then joins by page, over as many partitions as archives shall be.
+    """
+    spark = pages.sparkSession
+    html = F.coalesce(F.col("html").cast("string"), F.lit(""))
+    digest = F.sha1(html.cast("binary"))
+    ids = written(pages.select("page_id", digest.alias("digest"), F.octet_length(html).cast("bigint").alias("bytes")), "digests")
+    total = ids.agg(F.sum("bytes")).first()[0] or 0
+    archives = max(1, -(-total // ARCHIVE), min(spark.sparkContext.defaultParallelism, -(-total // LEAST)))
+    largest = ids.groupBy("digest").agg(F.max("page_id").alias("response_id"))
+    one = ids.select("page_id", "digest").distinct().join(largest, "digest")
+    # The page and its digest as one key, that also holds for null ids.
+    key = lambda digest: F.concat(digest, F.coalesce(F.concat(F.lit("="), F.col("page_id").cast("string")), F.lit("-")))
+    roles = one.select(key(F.col("digest")).alias("key"), "digest", "response_id").repartition(archives, "key")
+    rows = pages.select("page_id", F.col("url").cast("string").alias("url"), html.alias("html"), key(digest).alias("row_key")).repartition(archives, "row_key")
+    return rows.join(roles.hint("shuffle_hash"), F.col("row_key") == F.col("key")).select("page_id", "url", "html", "digest", "response_id")
+
+
+def base32_of(digest: str) -> str:
+    return base64.b32encode(bytes.fromhex(digest)).decode()
+
+
+def urn_of(page_id) -> str:
+    """``urn:page``, and the id as text with all but letters and digits escaped, if there is one."""
+    return "urn:page" + ("" if page_id is None else ":" + quote(str(page_id), safe=""))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in slices(batch, "html"):
-                found = [digest_of(x or b"") for x in part.column("html").cast(pa.large_binary()).to_pylist()]
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(found, pa.string())], [*part.schema.names, "digest"])
 
-    columns = pages.select("page_id", F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
-    kind = pages.schema["page_id"].dataType.simpleString()
-    digests = columns.mapInArrow(run, f"page_id {kind}, url string, html string, digest string")
-    largest = written(digests.groupBy("digest").agg(F.max("page_id").alias("response_id")), "responses")
-    return digests.join(largest, "digest")
+def id_of(urn: str | None) -> str | None:
+    """The text of the id in ``<urn:page:...>``."""
+    return unquote(urn[10:-1]) if urn is not None and urn.startswith("<urn:page:") else None
 
 
 def record(page_id, url: str | None, payload: bytes, digest: str, response_id) -> bytes:
@@ -68,7 +96,7 @@ def record(page_id, url: str | None, payload: bytes, digest: str, response_id) -
     head = [
         "WARC/1.1",
         f"WARC-Type: {'revisit' if revisit else 'response'}",
-        f"WARC-Record-ID: <urn:page:{'' if page_id is None else page_id}>",
+        f"WARC-Record-ID: <{urn_of(page_id)}>",
         f"WARC-Date: {DATE}",
         f"WARC-Payload-Digest: sha1:{digest}",
         "Content-Type: application/http; msgtype=response",
@@ -76,7 +104,7 @@ def record(page_id, url: str | None, payload: bytes, digest: str, response_id) -
     if url is not None:
         head.append("WARC-Target-URI: " + url.replace("\r", "%0D").replace("\n", "%0A"))
     if revisit:
-        head.append(f"WARC-Refers-To: <urn:page:{response_id}>")
+        head.append(f"WARC-Refers-To: <{urn_of(response_id)}>")
         head.append("WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")
     block = http if revisit else http + payload
     head.append(f"Content-Length: {len(block)}")
@@ -120,8 +148,8 @@ def write_archives(rows: DataFrame, folder: str) -> None:
             for part in slices(batch, "html"):
                 for row in part.to_pylist():
                     payload = (row["html"] or "").encode()
-                    packed = gzip.compress(record(row["page_id"], row["url"], payload, row["digest"], row["response_id"]), 1, mtime=0)
-                    index.append(json.dumps({"urn": row["page_id"], "filename": name(), "offset": held, "length": len(packed)}))
+                    packed = gzip.compress(record(row["page_id"], row["url"], payload, base32_of(row["digest"]), row["response_id"]), 1, mtime=0)
+                    index.append(json.dumps({"urn": urn_of(row["page_id"]), "filename": name(), "offset": held, "length": len(packed)}))
                     member.append(packed)
                     held += len(packed)
                     if held >= MEMBER:
@@ -200,13 +228,12 @@ def ranges(size: int, read_at: ReadAt) -> list[tuple[int, int]]:
 
 
 def parsed(raw: bytes) -> dict:
-    """Page id, payload size, digest, type and reference of one record."""
+    """Page id (as text), payload size, digest, type and reference of one record."""
     head, _, block = raw.partition(b"\r\n\r\n")
     fields = dict(line.split(": ", 1) for line in head.decode().split("\r\n")[1:])
     block = block[: int(fields["Content-Length"])]
     http, _, payload = block.partition(b"\r\n\r\n")
-    urn = lambda x: int(x[10:-1]) if x and x[10:-1] else None
-    out = {"page_id": urn(fields["WARC-Record-ID"]), "record_type": fields["WARC-Type"], "refers_to": urn(fields.get("WARC-Refers-To"))}
+    out = {"page_id": id_of(fields["WARC-Record-ID"]), "record_type": fields["WARC-Type"], "refers_to": id_of(fields.get("WARC-Refers-To"))}
     if fields["WARC-Type"] == "response":
         out |= {"payload_bytes": len(payload), "payload_digest": digest_of(payload)}
     else:
@@ -225,8 +252,8 @@ def _reader(file: pa.NativeFile) -> ReadAt:
     return lambda at, n: file.read_at(n, at)
 
 
-_RECORD = pa.schema([("page_id", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64())])
-_COLUMNS = "page_id bigint, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint"
+_RECORD = pa.schema([("page_id", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.string())])
+_COLUMNS = "page_id string, payload_bytes bigint, payload_digest string, record_type string, refers_to string"
 
 
 def read_archives(spark: SparkSession, folder: str) -> DataFrame:
@@ -256,13 +283,20 @@ def read_archives(spark: SparkSession, folder: str) -> DataFrame:
                         i = j
             yield pa.RecordBatch.from_pylist(out, _RECORD)
 
-    planned = files.select("path", "length").repartition("path").mapInArrow(plan, "path string, at bigint, length bigint")
+    # Ranges are tiny rows that stand for large reads, so their tasks are counted by the bytes they read.
+    count, total = files.agg(F.count("*"), F.sum("length")).first()
+    if not count:
+        return spark.createDataFrame([], _COLUMNS)
+    tasks = max(1, min(spark.sparkContext.defaultParallelism, count), -(-total // READ))
+    planned = files.select("path", "length").repartition(min(count, tasks), "path").mapInArrow(plan, "path string, at bigint, length bigint")
     stretch = F.floor(F.col("at") / TOGETHER)
-    return planned.repartition("path", stretch).sortWithinPartitions("path", "at").mapInArrow(fetch, _COLUMNS)
+    return planned.repartition(tasks, "path", stretch).sortWithinPartitions("path", "at").mapInArrow(fetch, _COLUMNS)
 
 
 def archive_round_trip(pages: DataFrame) -> DataFrame:
     """``page_id, payload_bytes, payload_digest, record_type, refers_to`` of every row, from the archives."""
     folder = new_folder(pages.sparkSession, "archives")
     write_archives(with_roles(pages), folder)
-    return read_archives(pages.sparkSession, folder)
+    kind = pages.schema["page_id"].dataType
+    read = read_archives(pages.sparkSession, folder)
+    return read.select(F.col("page_id").cast(kind), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast(kind))

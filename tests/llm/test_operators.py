@@ -177,6 +177,34 @@ def test_archives_round_trip(spark, sf_dir):
     assert collections.Counter(map(tuple, got)) == expected
 
 
+def test_ids_of_text_and_very_long_pages(spark):
+    rows = [("a>b: \u00e9", "u", "same"), ("", "u", "same"), ("z\n", "u", "x" * (9 << 20)), (None, None, None)]
+    df = spark.createDataFrame(rows, "page_id string, url string, html string").withColumns({"key": F.lit(1), "bytes": F.lit(2), "response_id": F.lit(3)})
+    got = {r.page_id: (r.payload_bytes, r.record_type, r.refers_to) for r in warc_zip.archive_round_trip(df).collect()}
+    assert got == {"a>b: \u00e9": (4, "response", None), "": (4, "revisit", "a>b: \u00e9"), "z\n": (9 << 20, "response", None), None: (0, "response", None)}
+
+
+def test_bytes_of_every_value_pass_the_text_writer(spark, tmp_path):
+    pieces = [bytes([i]) + bytes(range(256)) + bytes([255 - i]) for i in range(256)]
+    df = spark.createDataFrame([(p,) for p in pieces], "piece binary").coalesce(1)
+    df.select(F.col("piece").cast("string").alias("value")).write.option("lineSep", "\n").text(f"{tmp_path}/out")
+    assert b"".join(p.read_bytes() for p in (tmp_path / "out").glob("*.txt")) == b"".join(p + b"\n" for p in pieces)
+
+
+def test_archives_are_many_and_each_has_an_index(spark, tmp_path, monkeypatch):
+    import zipfile
+
+    monkeypatch.setattr(warc_zip, "ARCHIVE", 1 << 16)
+    monkeypatch.setattr(warc_zip, "MEMBER", 1 << 14)
+    pages = spark.createDataFrame([(i, "u", random.Random(i).randbytes(4000).hex()) for i in range(60)], "page_id bigint, url string, html string")
+    warc_zip.write_archives(warc_zip.with_roles(pages), f"{tmp_path}/zips")
+    files = sorted((tmp_path / "zips").glob("*.txt"))
+    assert len(files) >= 7
+    for f in files:
+        with zipfile.ZipFile(f) as z:
+            assert z.testzip() is None and "indexes/index.cdxj" in z.namelist() and max(i.file_size for i in z.infolist()) < 1 << 16
+
+
 def test_archive_reader_takes_both_forms_of_directory(tmp_path):
     import zipfile
 
