@@ -44,7 +44,7 @@ def op5_tree_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_transport_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return transport_stream.described(transport_stream.store(table(spark, sf_dir, "documents")))
+    return transport_stream.described(transport_stream.stored(table(spark, sf_dir, "documents")))
 
 
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

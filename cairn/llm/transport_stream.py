@@ -8,11 +8,13 @@ the random-access flag and a clock reference.
 Reading.  The tables are parsed and their checksums held, continuity counters are checked for every packet identifier, PES packets
 are put together again, and each one's time stamp is kept with its packet number and whether it is a random-access point.
 
-Each document is one row; nothing is shuffled.  Packets of a stream are laid out and taken apart as one array.  Both steps
-are chained Arrow UDFs, so stored bytes pass from one to the other in batches.
+Reading takes all programs and streams, sections over several packets, packets sent twice and announced breaks; a unit that lost bytes is marked.
+
+Each document is one row; nothing is shuffled.  Packets of a stream are laid out and taken apart as one array.  ``stored`` writes the media column as
+a table in the shared folder, and what is read is that table.
 
 Defined results: null text counts as empty, whose payload is 576 bytes 255; equal texts give equal values; repeated rows come back once
-each; null ids pass through; an empty table gives an empty result; other columns are not read.
+each; a very long text makes one long stream, alone in its slice; null ids pass through; ids are of any type; an empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -27,6 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import written
 from .textblock import slices
 
 UNIT = 576
@@ -140,49 +143,140 @@ def mux(payload: bytes) -> bytes:
     return stream.tobytes()
 
 
-def _section(packet: np.ndarray) -> bytes:
-    raw = packet.tobytes()
-    raw = raw[4 + (1 + raw[4] if raw[3] & 0x20 else 0) :]
-    raw = raw[1 + raw[0] :]
-    section = raw[: 3 + ((raw[1] & 15) << 8 | raw[2])]
-    if crc32_mpeg(section):
-        raise ValueError("a program table's checksum is wrong")
-    return section
+def sections(packets: np.ndarray) -> list[bytes]:
+    """Whole sections of the packets of one identifier, put together across packets, with their checksums held."""
+    found, open_ = [], None
+    for packet in packets:
+        raw = packet.tobytes()
+        if not raw[3] & 0x10:
+            continue
+        data = raw[4 + (1 + raw[4] if raw[3] & 0x20 else 0) :]
+        if raw[1] & 0x40:  # a pointer to the first section that begins here; what stands before it ends the open one
+            begin = 1 + data[0]
+            if open_ is not None:
+                open_ += data[1:begin]
+                _whole(open_, found)
+            open_ = data[begin:]
+        elif open_ is not None:
+            open_ += data
+        if open_ is not None:
+            open_ = _whole(open_, found)
+    return found
+
+
+def _whole(data: bytes, found: list[bytes]) -> bytes | None:
+    """Move the whole sections at the head of ``data`` to ``found``; what is left of one that goes on comes back, or None at stuffing."""
+    while data and data[0] != 0xFF:
+        if len(data) < 3 or len(data) < (size := 3 + ((data[1] & 15) << 8 | data[2])):
+            return data
+        if crc32_mpeg(data[:size]):
+            raise ValueError("a program table's checksum is wrong")
+        found.append(data[:size])
+        data = data[size:]
+    return None
+
+
+def programs(packets: np.ndarray, pid: np.ndarray) -> dict[int, dict[int, tuple[int, int]]]:
+    """Program number to its map table's identifier and streams: ``{number: {pid: (stream type, map pid)}}``; later tables replace earlier ones."""
+    out: dict[int, dict[int, tuple[int, int]]] = {}
+    maps: dict[int, int] = {}
+    seen: set[bytes] = set()
+    for section in sections(packets[pid == 0]):
+        if section in seen:
+            continue
+        seen.add(section)
+        for at in range(8, len(section) - 4, 4):
+            number = section[at] << 8 | section[at + 1]
+            if number:  # program 0 names the network's own table
+                maps[number] = (section[at + 2] & 0x1F) << 8 | section[at + 3]
+    for map_pid in sorted(set(maps.values())):
+        for section in dict.fromkeys(sections(packets[pid == map_pid])):
+            if section[0] != 2:
+                continue
+            number, at, streams = section[3] << 8 | section[4], 12 + ((section[10] & 15) << 8 | section[11]), {}
+            while at < len(section) - 4:
+                streams[(section[at + 1] & 0x1F) << 8 | section[at + 2]] = (section[at], map_pid)
+                at += 5 + ((section[at + 3] & 15) << 8 | section[at + 4])
+            if maps.get(number) == map_pid:
+                out[number] = streams
+    return out
+
+
+def counted(packets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of one identifier's packets with payload: which to keep (a packet may be sent twice), and before which of those the counter breaks."""
+    if not len(packets):
+        return np.zeros(0, bool), np.zeros(0, bool)
+    counters = packets[:, 3] & 15
+    step = (counters[1:].astype(np.int16) - counters[:-1]) % 16
+    # A second copy has the counter and the bytes of the one before it, but for the clock in its adaptation field.
+    alike = step == 0
+    if alike.any():
+        at = np.flatnonzero(alike)
+        same = packets[at + 1] == packets[at]
+        clock = (packets[at, 3] & 0x20 != 0) & (packets[at, 4] > 6) & (packets[at, 5] & 0x10 != 0)
+        same[:, 6:12] |= clock[:, None]
+        alike[at] = same.all(1)
+    keep = np.concatenate(([True], ~alike))
+    announced = (packets[:, 3] & 0x20 != 0) & (packets[:, 4] > 0) & (packets[:, 5] & 0x80 != 0)
+    kept = counters[keep].astype(np.int16)
+    breaks = np.concatenate(([False], (kept[1:] - kept[:-1]) % 16 != 1)) & ~announced[keep]
+    return keep, breaks
+
+
+def elementary(packets: np.ndarray, numbers: np.ndarray) -> dict:
+    """``payload, units, breaks`` of one stream's packets, whose places in the transport stream are ``numbers``.
+
+    A unit is (time stamp or None, packet number, random access, whole): it is not whole if the counter breaks inside it or bytes are missing.
+    Bytes before the first unit are left out.
+    """
+    keep, broken = counted(packets)
+    media, numbers = packets[keep], numbers[keep]
+    begins = np.minimum(PACKET, 4 + np.where(media[:, 3] & 0x20 != 0, 1 + media[:, 4].astype(np.int32), 0))
+    data = media[np.arange(PACKET) >= begins[:, None]].tobytes()
+    starts = np.flatnonzero(media[:, 1] & 0x40)
+    offsets = np.concatenate(([0], np.cumsum(PACKET - begins)))
+    edges = [*offsets[starts].tolist(), len(data)]
+    access = ((media[starts, 3] & 0x20 != 0) & (media[starts, 4] > 0) & (media[starts, 5] & 0x40 != 0)).tolist()
+    inside = np.concatenate(([0], np.cumsum(broken)))
+    lost = (inside[np.append(starts[1:], len(media))] - inside[np.minimum(starts + 1, len(media))]).tolist() if len(starts) else []
+    parts, units = [], []
+    for i, (a, b) in enumerate(zip(edges, edges[1:])):
+        if data[a : a + 3] != b"\0\0\1":
+            raise ValueError("a PES packet has no start code")
+        declared = int.from_bytes(data[a + 4 : a + 6], "big")
+        end = min(b, a + 6 + declared) if declared else b
+        stamp = None
+        if data[a + 7] & 0x80:
+            t = data[a + 9 : a + 14]
+            stamp = (t[0] >> 1 & 7) << 30 | t[1] << 22 | t[2] >> 1 << 15 | t[3] << 7 | t[4] >> 1
+        parts.append(data[a + 9 + data[a + 8] : end])
+        units.append((stamp, int(numbers[starts[i]]), access[i], not lost[i] and (not declared or b >= a + 6 + declared)))
+    return {"payload": b"".join(parts), "units": units, "breaks": int(broken.sum())}
 
 
 def demux(stream: bytes) -> dict:
-    """``payload, units`` (time stamp, packet number, random access), ``breaks`` in continuity, and what the tables say."""
+    """All programs and streams: ``programs`` as in ``programs``, ``streams`` by identifier, ``breaks`` of all identifiers together.
+
+    The first stream of the lowest program stands at the top too: ``payload, units, pid, kind``.
+    """
     packets = np.frombuffer(stream, np.uint8).reshape(-1, PACKET)
     if (packets[:, 0] != 0x47).any():
         raise ValueError("a packet lost its sync byte")
     pid = (packets[:, 1] & 0x1F).astype(np.int32) << 8 | packets[:, 2]
-    has_field, has_payload = packets[:, 3] & 0x20 != 0, packets[:, 3] & 0x10 != 0
-    association = _section(packets[np.flatnonzero(pid == 0)[0]])
-    pmt_pid = (association[10] & 0x1F) << 8 | association[11]
-    program = _section(packets[np.flatnonzero(pid == pmt_pid)[0]])
-    at = 12 + ((program[10] & 15) << 8 | program[11])
-    kind, media_pid = program[at], (program[at + 1] & 0x1F) << 8 | program[at + 2]
-    breaks = 0
-    for p in (0, pmt_pid, media_pid):
-        counters = packets[(pid == p) & has_payload, 3] & 15
-        breaks += int(((counters[1:] - counters[:-1]) % 16 != 1).sum())
-    numbers = np.flatnonzero((pid == media_pid) & has_payload)
-    media = packets[numbers]
-    begins = 4 + np.where(has_field[numbers], 1 + media[:, 4].astype(np.int32), 0)
-    data = media[np.arange(PACKET) >= begins[:, None]]
-    starts = np.flatnonzero(media[:, 1] & 0x40)
-    offsets = np.concatenate(([0], np.cumsum(PACKET - begins)))
-    edges = [*offsets[starts].tolist(), len(data)]
-    access = (has_field[numbers[starts]] & (media[starts, 4] > 0) & (media[starts, 5] & 0x40 != 0)).tolist()
-    raw, parts, units = data.tobytes(), [], []
-    for i, (a, b) in enumerate(zip(edges, edges[1:])):
-        if raw[a : a + 3] != b"\0\0\1" or raw[a + 7] & 0x80 == 0:
-            raise ValueError("a PES packet has no start code or time stamp")
-        t = raw[a + 9 : a + 14]
-        stamp = (t[0] >> 1 & 7) << 30 | t[1] << 22 | t[2] >> 1 << 15 | t[3] << 7 | t[4] >> 1
-        parts.append(raw[a + 9 + raw[a + 8] : min(b, a + 6 + int.from_bytes(raw[a + 4 : a + 6], "big"))])
-        units.append((stamp, int(numbers[starts[i]]), access[i]))
-    return {"payload": b"".join(parts), "units": units, "breaks": breaks, "pid": media_pid, "kind": kind}
+    has_payload = packets[:, 3] & 0x10 != 0
+    tables = programs(packets, pid)
+    streams, breaks = {}, 0
+    for streams_of in tables.values():
+        for media_pid, (kind, _) in streams_of.items():
+            numbers = np.flatnonzero((pid == media_pid) & has_payload)
+            streams[media_pid] = elementary(packets[numbers], numbers) | {"kind": kind}
+            breaks += streams[media_pid]["breaks"]
+    for p in {0, *(map_pid for streams_of in tables.values() for _, map_pid in streams_of.values())}:
+        breaks += int(counted(packets[(pid == p) & has_payload])[1].sum())
+    out = {"programs": tables, "streams": streams, "breaks": breaks, "payload": b"", "units": [], "pid": None, "kind": None}
+    if tables and (first := next(iter(tables[min(tables)]), None)) is not None:
+        out |= {"payload": streams[first]["payload"], "units": streams[first]["units"], "pid": first, "kind": streams[first]["kind"]}
+    return out
 
 
 def store(docs: DataFrame) -> DataFrame:
@@ -199,9 +293,14 @@ def store(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(run, f"doc_id {kind}, n_bytes bigint, media binary")
 
 
+def stored(docs: DataFrame) -> DataFrame:
+    """The media column as a written table."""
+    return written(store(docs), "media")
+
+
 def feature_of(found: dict) -> str:
     """Identifier, type, units, continuity breaks, last time stamp, and time stamp@packet of each random-access point."""
-    points = ",".join(f"{t}@{n}" for t, n, access in found["units"] if access)
+    points = ",".join(f"{t}@{n}" for t, n, access, _ in found["units"] if access)
     return f"pid={found['pid']};type={found['kind']};units={len(found['units'])};breaks={found['breaks']};last={found['units'][-1][0]};access={points}"
 
 

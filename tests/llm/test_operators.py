@@ -399,7 +399,8 @@ def test_streams_round_trip(size):
     stream = transport_stream.mux(payload)
     found = transport_stream.demux(stream)
     assert found["payload"] == payload and found["breaks"] == 0 and len(stream) % 188 == 0
-    assert [t for t, _, _ in found["units"]] == [i * transport_stream.TICKS for i in range(len(found["units"]))]
+    assert all(whole for *_, whole in found["units"])
+    assert [t for t, *_ in found["units"]] == [i * transport_stream.TICKS for i in range(len(found["units"]))]
     assert [i for i, u in enumerate(found["units"]) if u[2]] == list(range(0, len(found["units"]), transport_stream.GROUP))
 
 
@@ -411,6 +412,71 @@ def test_lost_and_damaged_packets_show():
         transport_stream.demux(bytes(stream))
 
 
+def plain_stream(stream):
+    """Payload and time stamps of the one stream in packets, read byte by byte."""
+    pes, out, stamps = {}, [], []
+    program = media = None
+    for at in range(0, len(stream), 188):
+        p = stream[at : at + 188]
+        pid, body = (p[1] & 31) << 8 | p[2], p[4 + (p[4] + 1 if p[3] & 32 else 0) :]
+        if pid == 0:
+            program = (body[11] & 31) << 8 | body[12]
+        elif pid == program:
+            media = (body[14] & 31) << 8 | body[15]
+        elif pid == media:
+            if p[1] & 64:
+                pes[len(pes)] = b""
+            pes[len(pes) - 1] += body
+    for unit in pes.values():
+        assert unit[:4] == b"\0\0\1\xbd"
+        out.append(unit[9 + unit[8] : 6 + int.from_bytes(unit[4:6], "big")])
+        bits = "".join(f"{b:08b}" for b in unit[9:14])
+        stamps.append(int(bits[4:7] + bits[8:23] + bits[24:39], 2))
+    return b"".join(out), stamps
+
+
+@pytest.mark.parametrize("size", [0, 577, 73_729])
+def test_streams_equal_a_plain_reader(size):
+    payload = transport_stream.padded(bytes(random.Random(size).randbytes(size)))
+    stream = transport_stream.mux(payload)
+    raw, stamps = plain_stream(stream)
+    found = transport_stream.demux(stream)
+    assert (found["payload"], [t for t, *_ in found["units"]]) == (raw, stamps) == (payload, stamps)
+
+
+def packet(pid, counter, data, start=False, field=b""):
+    """One packet; short data is filled up by the adaptation field."""
+    room = 184 - len(data)
+    adaptation = bytes([room - 1]) + (field or b"\0" if room > 1 else b"") if room else b""
+    return (bytes([0x47, (0x40 if start else 0) | pid >> 8, pid & 255, (0x30 if room else 0x10) | counter % 16]) + adaptation.ljust(room, b"\xff") + data).ljust(188, b"\xff")
+
+
+def section(table, extension, body):
+    raw = bytes([table, 0xB0 | (len(body) + 9) >> 8, (len(body) + 9) & 255, extension >> 8, extension & 255, 0xC1, 0, 0]) + body
+    return raw + transport_stream.crc32_mpeg(raw).to_bytes(4, "big")
+
+
+def test_programs_streams_and_sections_over_packets():
+    """Two programs, three streams, a map table of several packets, a packet sent twice, and a break inside one unit."""
+    pids = lambda number, pid: bytes([number >> 8, number & 255, 0xE0 | pid >> 8, pid & 255])
+    stream = lambda kind, pid, info=b"": bytes([kind, 0xE0 | pid >> 8, pid & 255, 0xF0 | len(info) >> 8, len(info) & 255]) + info
+    association = section(0, 1, pids(0, 0x10) + pids(1, 0x100) + pids(2, 0x200))
+    first = section(2, 1, b"\xe1\x01\xf0\0" + stream(0x1B, 0x101, b"i" * 200) + stream(0x0F, 0x102, b"j" * 150))
+    second = section(2, 2, b"\xe2\x01\xf0\0" + stream(6, 0x201))
+    head = b"\0" + first
+    out = [packet(0, 0, b"\0" + association, True), packet(0x100, 0, head[:184], True), packet(0x100, 1, head[184:368]), packet(0x100, 2, (head[368:] + b"\xff" * 184)[:184]), packet(0x200, 0, b"\0" + second, True)]
+    pes = lambda data: b"\0\0\1\xe0" + (len(data) + 3).to_bytes(2, "big") + b"\x80\0\0" + data
+    a, b = pes(b"A" * 300), pes(b"B" * 100)
+    out += [packet(0x101, 5, a[:184], True), packet(0x102, 9, b, True), packet(0x101, 6, a[184:]), packet(0x101, 6, a[184:])]
+    c = pes(b"C" * 500)
+    out += [packet(0x201, 0, c[:184], True), packet(0x201, 2, c[184:368]), packet(0x201, 3, c[368:]), packet(0x201, 4, pes(b"D"), True), packet(0x201, 9, pes(b"E"), True, b"\x80")]
+    found = transport_stream.demux(b"".join(out))
+    assert found["programs"] == {1: {0x101: (0x1B, 0x100), 0x102: (0x0F, 0x100)}, 2: {0x201: (6, 0x200)}}
+    assert {p: s["payload"] for p, s in found["streams"].items()} == {0x101: b"A" * 300, 0x102: b"B" * 100, 0x201: b"C" * 500 + b"DE"}
+    assert [u[3] for u in found["streams"][0x201]["units"]] == [False, True, True] and found["streams"][0x101]["breaks"] == 0 and found["breaks"] == 1
+    assert found["pid"] == 0x101 and all(u[0] is None for u in found["units"])
+
+
 def test_media_columns(odd):
     got = collections.Counter((r.doc_id, r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) for r in transport_stream.described(transport_stream.store(odd)).collect())
     want = collections.Counter()
