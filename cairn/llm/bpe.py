@@ -4,12 +4,12 @@ Each piece that the split pattern finds is encoded separately.  A piece's tree h
 live position holds ``rank * width + position`` of the pair that starts there, so that the root is the leftmost pair of
 minimum rank.  A merge replaces the left part, kills the right one, and updates three leaves (the merged position, the dead
 one, the live neighbour before) and their ancestors: O(log width).  The trees of many distinct pieces stand side by side
-as rows of one array, and one round merges once in each.
+as rows of one array, and one round merges once in each; a long piece is merged by itself, by the same tree.
 
 Spark deals out whole documents; nothing is shuffled.  Memory per task: a slice of text, and a piece cache of at most
 ``CACHE`` entries, which only saves time.
 
-Defined results: null text counts as empty; empty text gives no ids and the digests of no bytes; repeated rows each give
+Defined results: null text counts as empty; a very long text is read whole, and a piece of n bytes takes n log n steps; ids are of any type; empty text gives no ids and the digests of no bytes; repeated rows each give
 their own row; extra columns of the input do not matter, as only ``doc_id`` and ``text`` are read.
 """
 
@@ -31,6 +31,8 @@ from .textblock import slices
 
 CACHE = 300_000
 STEP = 1 << 15
+#: Pieces so long that fewer than FEW trees fit in a step are merged one by one.
+FEW = 64
 #: The split pattern of the public rank files, and for texts that hold only code points below U+0250 (without number forms and
 #: odd separators) a quicker pattern that finds the same pieces.
 PUBLIC_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -56,6 +58,7 @@ class Codec:
                 left, right = self.ranks.get(token[:cut]), self.ranks.get(token[cut:])
                 if left is not None and right is not None:
                     pairs[left << 20 | right] = rank
+        self.pairs = pairs
         self.pair_keys = np.array(sorted(pairs), np.int64)
         self.pair_ranks = np.array([pairs[k] for k in self.pair_keys.tolist()], np.int64)
         self.known: dict[str, str] = {}
@@ -74,6 +77,10 @@ class Codec:
             by_width.setdefault(max(2, 1 << (len(piece) - 1).bit_length()), []).append(i)
         for width, rows in by_width.items():
             step = max(1, STEP // width)
+            if step < FEW:
+                for i in rows:
+                    out[i] = self._merge_long(pieces[i], width)
+                continue
             for k in range(0, len(rows), step):
                 some = rows[k : k + step]
                 for i, ids in zip(some, self._merge_rows([pieces[i] for i in some], width)):
@@ -123,6 +130,48 @@ class Codec:
         flat, ends = ids[ids >= 0].tolist(), np.cumsum((ids >= 0).sum(1)).tolist()
         return [flat[a:b] for a, b in zip([0, *ends], ends)]
 
+    def _merge_long(self, piece: bytes, width: int) -> list[int]:
+        """One piece by itself: the same tree and links in lists, a merge at a time, as arrays pay only for many rows."""
+        n, ranks = len(piece), self.pairs
+        ids = [int(self.byte_rank[b]) for b in piece]
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        none = int(_INF)
+        tree = [none] * (2 * width)
+        for i in range(n - 1):
+            if (rank := ranks.get(ids[i] << 20 | ids[i + 1])) is not None:
+                tree[width + i] = rank * width + i
+        for node in range(width - 1, 0, -1):
+            tree[node] = min(tree[2 * node], tree[2 * node + 1])
+
+        def put(leaf: int, value: int) -> None:
+            node = width + leaf
+            if tree[node] == value:
+                return
+            tree[node] = value
+            while node > 1:
+                node >>= 1
+                a, b = tree[2 * node], tree[2 * node + 1]
+                least = a if a < b else b
+                if tree[node] == least:
+                    return
+                tree[node] = least
+
+        while (root := tree[1]) < none:
+            new, at = divmod(root, width)
+            dead = after[at]
+            following, previous = after[dead], before[at]
+            ids[at], ids[dead], after[at] = new, -1, following
+            put(dead, none)
+            rank = None
+            if following < n:
+                before[following] = at
+                rank = ranks.get(new << 20 | ids[following])
+            put(at, none if rank is None else rank * width + at)
+            if previous >= 0:
+                rank = ranks.get(ids[previous] << 20 | new)
+                put(previous, none if rank is None else rank * width + previous)
+        return [x for x in ids if x >= 0]
+
     def split(self, text: str) -> list[str]:
         return self.general(text) if _NOT_LATIN(text) else self.latin(text)
 

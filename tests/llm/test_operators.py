@@ -517,6 +517,18 @@ def test_odd_texts_equal_the_library(tiktoken_encoding):
     assert [codec.decoded(x).decode() for x in codec.encoded(texts)] == texts
 
 
+def test_long_pieces_equal_the_library_in_good_time(tiktoken_encoding):
+    import time
+
+    codec = bpe.Codec(open(RANKS, "rb").read(), public_tokenizers.PATTERN)
+    chance = random.Random(2)
+    texts = ["".join(chance.choice("etaoinshr") for _ in range(n)) for n in (511, 512, 513, 1025, 20_000)] + ["a" * 30_000, "中" * 5000]
+    assert codec.encoded(texts) == [",".join(map(str, tiktoken_encoding.encode_ordinary(t))) for t in texts]
+    started = time.time()
+    long = "".join(chance.choice("etaoinshrdlu") for _ in range(100_000))
+    assert codec.decoded(codec.encoded([long])[0]).decode() == long and time.time() - started < 8
+
+
 def test_decode_gives_the_bytes_back(docs):
     ids = bpe.encode(docs, RANKS, public_tokenizers.PATTERN)
     both = bpe.decode(ids, RANKS, public_tokenizers.PATTERN).select(F.sha2("decoded", 256).alias("d"), "decoded_sha256")
