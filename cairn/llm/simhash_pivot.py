@@ -3,27 +3,24 @@
 Fingerprints.  Text is lower-cased (A-Z), split into words, and each shingle of four words (fewer words: all of them) is
 hashed by XXH64 with seed 42.  A bit is set when over half the hashes, repeats included, have it.  No words: zero.
 
-Candidates.  The 64 bits fall into ``BLOCKS`` of bits.  Reference fingerprints stand in each block: zero and the single bits.
-A fingerprint's Hamming distances to a block's references are its coordinates there; equal blocks have equal coordinates.
-Two fingerprints within four bits differ in four blocks at most, so they agree in all coordinates of some choice of
-``blocks - 4`` blocks.  Each choice is a distance table keyed by those coordinates, and no link is missed.  The number of blocks follows
-the number of distinct fingerprints, so that tables stay selective; any number gives the same links.  Within a key, rows
-are sorted by the distance to the first of sixteen full-width references; pairs whose coordinates differ by more than four anywhere
-are discarded, and the Hamming distance of the rest is checked.
-
-Large groups.  Equal fingerprints are one row from the start.  A key with more than ``LIMIT`` fingerprints is dealt out as pairs of
-chunks, each its own small group.  A group emits a spanning forest of its links, never its pairs.  Components come from
+Candidates.  The distances of a fingerprint to many reference fingerprints are its coordinates; two fingerprints within four bits differ by four
+at most in every coordinate, so a pair whose coordinates differ by more is discarded, and the Hamming distance of the rest is checked.  Coordinates of random
+fingerprints lie so close together (half of all pairs pass one, one pair in some thousands passes sixteen) that they cannot be keys: looking
+through all pairs takes quadratic time.  So rows first meet by keys that no link crosses: the 64 bits fall into five blocks, and two fingerprints within four bits
+are equal in one of them.  A key that holds more than ``LIMIT`` fingerprints is split by five blocks of its remaining bits, and so on:
+five rows a fingerprint at each level, the same rule at every size.  Within a key, rows are sorted by their first coordinate.
+
+Large groups.  Equal fingerprints are one row from the start.  A group emits a spanning forest of its links, never its pairs.  Components come from
 alternating large-star and small-star steps over those edges, each written to the shared folder.
 
 Defined results: null text counts as empty; empty texts share fingerprint zero and link like any other; repeated rows come
-back once each; null ids take part, and a component's id is its smallest non-null ``doc_id`` (null if it has none); an
-empty table gives an empty result; other columns of the input are not read, except that ``distinct_documents`` passes them on.
+back once each; a very long text is read whole, alone in its slice; ids are of any type; null ids take part, and a component's id is its smallest non-null ``doc_id`` (null if it has none); an
+empty table gives an empty result; other columns of the input are not read, whatever their names are, except that ``distinct_documents`` passes them on.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
-from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -31,13 +28,16 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import dropped, written
+from ..session import dropped, fresh_name, written
+from . import near_copies
 from .textblock import mixed, slices
 
 NEAR = 4
 WORDS = 4
 SEED = 42
 LIMIT = 1000
+#: Levels of splitting: 64 bits less a fifth at each level are 16 after six.
+DEEPEST = 6
 
 
 def fingerprint(raw: bytes) -> int:
@@ -69,28 +69,30 @@ def fingerprints(docs: DataFrame, keep: Sequence[str] = ("doc_id",)) -> DataFram
     return docs.select(*keep, F.col("text").cast("string").alias("__text")).mapInArrow(run, f"{fields}, __fp bigint")
 
 
-def blocks_for(distinct: int) -> int:
-    """Blocks of bits such that a table's key has about as many values as there are fingerprints."""
-    for blocks in range(NEAR + 1, NEAR + 7):
-        if 64 * (blocks - NEAR) // blocks >= np.log2(max(2, distinct)) - 2:
-            return blocks
-    return NEAR + 7
+BLOCKS = NEAR + 1
 
 
-def block_masks(blocks: int) -> list[int]:
-    edges = [64 * i // blocks for i in range(blocks + 1)]
-    return [((1 << (b - a)) - 1) << a for a, b in zip(edges, edges[1:])]
+def free_bits(path: int) -> list[list[int]]:
+    """The blocks of bits that a key may be split by next; ``path`` holds the blocks chosen so far as octal digits, from 1."""
+    bits = list(range(64))
+    for digit in oct(path)[2:].lstrip("0"):
+        chosen = _dealt(bits)[int(digit) - 1]
+        bits = [b for b in bits if b not in chosen]
+    return _dealt(bits)
 
 
-def block_codes(fps: np.ndarray, mask: int) -> np.ndarray:
-    """The coordinates of each fingerprint against the block's references, folded into one number."""
-    part = fps & np.uint64(mask)
-    references = [0, *(1 << i for i in range(64) if mask >> i & 1)]
-    code = np.zeros(len(fps), np.uint64)
-    with np.errstate(over="ignore"):
-        for reference in references:
-            code = code * np.uint64(0x100000001B3) + np.bitwise_count(part ^ np.uint64(reference)).astype(np.uint64) + np.uint64(1)
-    return mixed(code)
+def _dealt(bits: list[int]) -> list[list[int]]:
+    return [bits[len(bits) * i // BLOCKS : len(bits) * (i + 1) // BLOCKS] for i in range(BLOCKS)]
+
+
+def split_keys(path: int, keys: np.ndarray, fps: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """Path and keys of the rows in each block of what a key leaves free; none where fewer bits than blocks are left."""
+    blocks = free_bits(path)
+    for i, block in enumerate(blocks if min(map(len, blocks)) else []):
+        below = path * 8 + i + 1
+        part = fps & np.uint64(sum(1 << b for b in block))
+        with np.errstate(over="ignore"):
+            yield below, mixed(keys + mixed(part + mixed(np.full(len(fps), below, np.uint64))))
 
 
 def coordinates(fps: np.ndarray, references: int = 16) -> np.ndarray:
@@ -99,21 +101,19 @@ def coordinates(fps: np.ndarray, references: int = 16) -> np.ndarray:
     return np.stack([np.bitwise_count(fps ^ r).astype(np.int16) for r in chosen])
 
 
-def distance_tables(classes: DataFrame, blocks: int) -> DataFrame:
-    """A row ``key, fp`` of each fingerprint for each choice of blocks."""
-    masks, choices = block_masks(blocks), list(combinations(range(blocks), blocks - NEAR))
+def tables(rows: DataFrame) -> DataFrame:
+    """The next level of rows ``path, key, fp``: one for each block that the path leaves free."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps = batch.column("fp").to_numpy().view(np.uint64)
-            codes = [block_codes(fps, m) for m in masks]
-            for i, choice in enumerate(choices):
-                key = np.full(len(fps), i + 1, np.uint64)
-                for b in choice:
-                    key = mixed(key ^ codes[b])
-                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), batch.column("fp")], ["key", "fp"])
+            paths = batch.column("path").to_numpy()
+            keys, fps = (batch.column(c).to_numpy().view(np.uint64) for c in ("key", "fp"))
+            for path in np.unique(paths).tolist():
+                own = paths == path
+                for below, key in split_keys(path, keys[own], fps[own]):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(key), below)), pa.array(key.view(np.int64)), pa.array(fps[own].view(np.int64))], ["path", "key", "fp"])
 
-    return classes.select("fp").mapInArrow(run, "key bigint, fp bigint")
+    return rows.select("path", "key", "fp").mapInArrow(run, "path bigint, key bigint, fp bigint")
 
 
 def _joined(labels: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -160,7 +160,7 @@ def near_forest(keys: np.ndarray, fps: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 
 def _forests(rows: DataFrame) -> DataFrame:
-    """``near_forest`` of every key; rows of a key meet in one task, at most some thousands of them."""
+    """``near_forest`` of every key; rows of a key meet in one task, at most ``LIMIT`` of them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, fps = np.zeros(0, np.int64), np.zeros(0, np.uint64)
@@ -181,22 +181,21 @@ def _forests(rows: DataFrame) -> DataFrame:
     return rows.repartition("key").sortWithinPartitions("key").mapInArrow(run, "u bigint, v bigint")
 
 
-def links(classes: DataFrame, count: int) -> DataFrame:
+def links(classes: DataFrame) -> DataFrame:
     """Edges ``u, v`` between fingerprints whose components are those of all links."""
-    rows = written(distance_tables(classes, blocks_for(count)), "tables")
-    large = written(rows.groupBy("key").count().filter(F.col("count") > LIMIT), "large-keys")
-    if large.isEmpty():
-        return _forests(rows)
-    dealt = rows.join(large, "key", "left").withColumn("chunks", F.ceil(F.col("count") / (LIMIT // 2)))
-    small = dealt.filter("count is null").select("key", "fp")
-    chunk = F.pmod(F.xxhash64("fp"), F.col("chunks"))
-    pairs = (
-        dealt.filter("count is not null")
-        .withColumn("chunk", chunk)
-        .withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("chunks") - 1)))
-        .select(F.xxhash64("key", F.least("chunk", "other"), F.greatest("chunk", "other")).alias("key"), "fp")
-    )
-    return _forests(small.unionByName(pairs))
+    zero = F.lit(0).cast("bigint")
+    rows, edges = tables(classes.select(zero.alias("path"), zero.alias("key"), "fp")), None
+    while True:
+        rows = written(rows, "tables")
+        # Paths whose free bits are fewer than blocks end here: their keys leave at most 16 values.
+        large = written(rows.groupBy("path", "key").count().filter(F.col("count") > LIMIT).filter(F.col("path") < 8**DEEPEST).select(F.col("key").alias("large_key")), "large-keys")
+        some = written(_forests(rows.join(large, F.col("key") == F.col("large_key"), "left_anti")), "forests")
+        edges = some if edges is None else edges.unionByName(some)
+        if large.isEmpty():
+            return edges
+        below = written(tables(rows.join(large, F.col("key") == F.col("large_key"), "left_semi")), "below")
+        dropped(rows, large)
+        rows = below
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -222,7 +221,7 @@ def components(edges: DataFrame) -> DataFrame:
 def grouped(prints: DataFrame) -> DataFrame:
     """``fp, root, component_id`` of each distinct fingerprint of ``prints`` (``doc_id, __fp``)."""
     classes = written(prints.groupBy(F.col("__fp").alias("fp")).agg(F.min("doc_id").alias("first")), "classes")
-    roots = components(links(classes, classes.count()))
+    roots = components(links(classes))
     both = roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())
     lowest = written(both.join(classes, both.node == classes.fp).groupBy("root").agg(F.min("first").alias("component_id")), "lowest")
     moved = written(both.join(lowest, "root").select(F.col("node").alias("fp"), "root", "component_id"), "moved")
@@ -237,12 +236,14 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return joined.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def distinct_documents(docs: DataFrame) -> DataFrame:
-    """One row of each component, with all its columns: that of the smallest id, null ids last; of rows that share it, any one."""
-    rows = written(fingerprints(docs, docs.columns).withColumn("__uid", F.monotonically_increasing_id()), "fingerprints")
-    named = grouped(rows.select("doc_id", "__fp")).select("fp", "root")
-    ids = rows.select("__fp", "doc_id", "__uid").join(named, F.col("__fp") == F.col("fp"))
-    first = ids.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "__uid")).alias("first"))
-    kept = written(first.select(F.col("first.__uid").alias("__uid")), "kept")
-    # Texts meet the kept numbers by a shuffle at every size, so that disk and memory follow the input.
-    return rows.join(kept.hint("merge"), "__uid", "left_semi").select(*docs.columns)
+def distinct_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """One row of each group of near copies, with all its columns: that of the smallest id, null ids last; of rows that share it, any one.
+
+    Groups are the components of links between texts whose sets of shingles of ``words`` words have a Jaccard ``similarity`` or more
+    (``near_copies``); texts without words are copies of each other.
+    """
+    number = fresh_name(docs, "row_number")
+    rows = written(docs.withColumn(number, F.monotonically_increasing_id()), "documents")
+    gone = near_copies.copies(rows.select(F.col(number).alias("row"), "doc_id", "text"), words, similarity)
+    # The copies are the fewer rows; where they are few, Spark sends them to the texts.
+    return rows.join(gone.select(F.col("row").alias(number)), number, "left_anti").select(*docs.columns)

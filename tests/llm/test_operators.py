@@ -776,24 +776,92 @@ def test_dense_groups_lose_no_link(spark, monkeypatch, limit):
     assert [named[f] for f in signed] == plain_components(list(range(len(signed))), [f & (1 << 64) - 1 for f in signed])
 
 
-@pytest.mark.parametrize("blocks", [5, 6, 8])
-def test_tables_meet_every_close_pair(blocks):
-    chance = random.Random(blocks)
-    for _ in range(50):
+def test_tables_meet_every_close_pair():
+    """At every level some block of a close pair is equal, and so is its key."""
+    chance = random.Random(5)
+    for _ in range(100):
         a = chance.getrandbits(64)
         b = a
         for bit in chance.sample(range(64), 4):
             b ^= 1 << bit
-        masks = simhash_pivot.block_masks(blocks)
-        same = [simhash_pivot.block_codes(np.array([a, b], np.uint64), m) for m in masks]
-        assert sum(int(c[0] == c[1]) for c in same) >= blocks - 4
-        assert (np.abs(np.diff(simhash_pivot.coordinates(np.array([a, b], np.uint64)).astype(int), axis=1)) <= 4).all()
-
-
-def test_one_document_of_each_component_stays(odd):
-    got = [r.doc_id for r in simhash_pivot.distinct_documents(odd).collect()]
-    components = {r.component_id for r in simhash_pivot.near_duplicates(odd).collect()}
-    assert sorted(x for x in got if x is not None) == sorted(c for c in components if c is not None)
+        pair = np.array([a, b], np.uint64)
+        assert (np.abs(np.diff(simhash_pivot.coordinates(pair).astype(int), axis=1)) <= 4).all()
+        paths = {0: np.zeros(2, np.uint64)}
+        for _ in range(4):
+            met = [(p, k) for path, keys in paths.items() for p, k in simhash_pivot.split_keys(path, keys, pair) if k[0] == k[1]]
+            assert met
+            paths = dict(met)
+
+
+def jaccard(a, b, words=5):
+    def grams(text):
+        w = WORD.findall("".join(c.lower() if c.isascii() else c for c in text))
+        return {tuple(w[i : i + words]) for i in range(max(1, len(w) - words + 1))} if w else set()
+
+    a, b = grams(a), grams(b)
+    return len(a & b) / len(a | b) if a | b else 1.0
+
+
+def test_shingle_sets_equal_plain_ones(docs, odd):
+    import pyarrow as pa
+
+    from cairn.llm import near_copies
+
+    for df in (docs.limit(60), odd):
+        texts = [r.text for r in df.select("text").collect()]
+        hashes, rows = near_copies.shingles(pa.array(texts, pa.string()), 5)
+        plain = []
+        for t in texts:
+            w = WORD.findall("".join(c.lower() if c.isascii() else c for c in t or ""))
+            plain.append(len({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))}) if w else 0)
+        assert np.bincount(rows, minlength=len(texts)).tolist() == plain
+
+
+def test_one_document_of_each_group_stays(odd):
+    got = sorted((r.doc_id is None, r.doc_id or 0) for r in simhash_pivot.distinct_documents(odd).collect())
+    # 1 and 2 are copies but for their case; 3, 4, 6 and a null id have no words.
+    assert got == [(False, 1), (False, 3), (False, 5), (False, 7), (True, 0)]
+    assert simhash_pivot.distinct_documents(odd).columns == odd.columns
+
+
+@pytest.mark.parametrize("limit", [2000, 8])
+def test_near_copies_go_and_others_stay(spark, monkeypatch, limit):
+    """Copies of similarity 0.8 and more are found, in groups below and above the limit; texts of less stay."""
+    from cairn.llm import near_copies
+
+    monkeypatch.setattr(near_copies, "LIMIT", limit)
+    chance = random.Random(12)
+    word = lambda: "".join(chance.choice("etaoinshrdlu") for _ in range(chance.randint(2, 8)))
+    base = [[word() for _ in range(200)] for _ in range(30)]
+    rows, near, apart = [], [], []
+    for i, text in enumerate(base):
+        rows.append((1000 * i, " ".join(text)))
+        for k in range(12 if i % 3 else 2):
+            copy = list(text)
+            for _ in range(chance.choice([0, 1, 2, 3]) if k < 11 else 14):
+                copy[chance.randrange(200)] = word()
+            j = jaccard(" ".join(text), " ".join(copy))
+            (near if j >= 0.8 else apart).append(1000 * i + k + 1)
+            rows.append((1000 * i + k + 1, " ".join(copy)))
+    kept = {r.doc_id for r in simhash_pivot.distinct_documents(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert {1000 * i for i in range(30)} <= kept
+    assert sum(i not in kept for i in near) >= 0.95 * len(near)
+    texts = dict(rows)
+    assert all(any(jaccard(texts[i], texts[j]) >= 0.8 for j in texts if j // 1000 == i // 1000 and j != i) for i in apart if i not in kept)
+
+
+def test_recall_against_brute_force(spark, docs):
+    """Links of whole tables: nearly all pairs of similarity 0.8 or more end in one group, and no group has a text without one."""
+    from cairn.llm import near_copies
+
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
+    texts = [(r.row, r.text) for r in rows.collect()]
+    group = {r.row: r.group for r in near_copies.grouped(spark.createDataFrame(rows.collect(), "row bigint, doc_id bigint, text string"), 5, 0.8).collect()}
+    pairs = [(a, b) for k, (a, s) in enumerate(texts) for b, t in texts[:k] if jaccard(s or "", t or "") >= 0.8]
+    assert sum(group[a] == group[b] for a, b in pairs) >= 0.95 * len(pairs)
+    linked = {x for p in pairs for x in p}
+    sizes = collections.Counter(group.values())
+    assert all(sizes[g] == 1 or r in linked for r, g in group.items())
 
 
 # ---- all
