@@ -15,7 +15,7 @@ alternating large-star and small-star steps over those edges, each written to th
 
 Defined results: null text counts as empty; empty texts share fingerprint zero and link like any other; repeated rows come
 back once each; a very long text is read whole, alone in its slice; ids are of any type; null ids take part, and a component's id is its smallest non-null ``doc_id`` (null if it has none); an
-empty table gives an empty result; other columns of the input are not read, whatever their names are, except that ``distinct_documents`` passes them on.
+empty table gives an empty result; other columns of the input are not read, whatever their names are.
 """
 
 from __future__ import annotations
@@ -28,8 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import dropped, fresh_name, written
-from . import near_copies
+from ..session import dropped, written
 from .textblock import mixed, slices
 
 NEAR = 4
@@ -128,9 +127,9 @@ def _joined(labels: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return labels
 
 
-def near_forest(keys: np.ndarray, fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Edges (fingerprint, root) of a spanning forest of the links inside each key's group."""
-    table = coordinates(fps)
+def near_forest(keys: np.ndarray, fps: np.ndarray, near: int = NEAR, references: int = 16) -> tuple[np.ndarray, np.ndarray]:
+    """Places (row, root) of a spanning forest of the links inside each key's group; every row but the roots stands once on the left."""
+    table = coordinates(fps, references)
     order = np.lexsort((table[0], keys))
     keys, fps, table = keys[order], fps[order], table[:, order]
     n = len(keys)
@@ -140,23 +139,23 @@ def near_forest(keys: np.ndarray, fps: np.ndarray) -> tuple[np.ndarray, np.ndarr
     while len(active):
         shift += 1
         active = active[active + shift < ends[active]]
-        active = active[table[0, active + shift] - table[0, active] <= NEAR]
+        active = active[table[0, active + shift] - table[0, active] <= near]
         a, b = active, active + shift
         open_ = labels[a] != labels[b]
         a, b = a[open_], b[open_]
         for row in table[1:]:
-            near = np.abs(row[a] - row[b]) <= NEAR
-            a, b = a[near], b[near]
-        near = np.bitwise_count(fps[a] ^ fps[b]) <= NEAR
-        left.append(a[near])
-        right.append(b[near])
-        held += int(near.sum())
+            close = np.abs(row[a] - row[b]) <= near
+            a, b = a[close], b[close]
+        close = np.bitwise_count(fps[a] ^ fps[b]) <= near
+        left.append(a[close])
+        right.append(b[close])
+        held += int(close.sum())
         if held > 200_000:
             labels, left, right, held = _joined(labels, np.concatenate(left), np.concatenate(right)), [], [], 0
     if left:
         labels = _joined(labels, np.concatenate(left), np.concatenate(right))
     child = np.flatnonzero(labels != np.arange(n))
-    return fps[child], fps[labels[child]]
+    return order[child], order[labels[child]]
 
 
 def _forests(rows: DataFrame) -> DataFrame:
@@ -176,7 +175,7 @@ def _forests(rows: DataFrame) -> DataFrame:
 
     def edges(keys: np.ndarray, fps: np.ndarray) -> pa.RecordBatch:
         a, b = near_forest(keys, fps)
-        return pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in (a, b)], ["u", "v"])
+        return pa.RecordBatch.from_arrays([pa.array(fps[x].view(np.int64)) for x in (a, b)], ["u", "v"])
 
     return rows.repartition("key").sortWithinPartitions("key").mapInArrow(run, "u bigint, v bigint")
 
@@ -234,16 +233,3 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     prints = written(fingerprints(docs), "fingerprints")
     joined = prints.join(grouped(prints), F.col("__fp") == F.col("fp"))
     return joined.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
-
-
-def distinct_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
-    """One row of each group of near copies, with all its columns: that of the smallest id, null ids last; of rows that share it, any one.
-
-    Groups are the components of links between texts whose sets of shingles of ``words`` words have a Jaccard ``similarity`` or more
-    (``near_copies``); texts without words are copies of each other.
-    """
-    number = fresh_name(docs, "row_number")
-    rows = written(docs.withColumn(number, F.monotonically_increasing_id()), "documents")
-    gone = near_copies.copies(rows.select(F.col(number).alias("row"), "doc_id", "text"), words, similarity)
-    # The copies are the fewer rows; where they are few, Spark sends them to the texts.
-    return rows.join(gone.select(F.col("row").alias(number)), number, "left_anti").select(*docs.columns)

@@ -13,7 +13,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from cairn.llm import bpe, fair_mix, guess_cost, host_reputation, importance, isolation, queries, simhash_pivot, transport_stream, tree_extract, warc_zip
+from cairn.llm import bpe, fair_mix, guess_cost, host_reputation, importance, isolation, near_copies, queries, simhash_pivot, transport_stream, tree_extract, warc_zip
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint"
@@ -805,8 +805,6 @@ def jaccard(a, b, words=5):
 def test_shingle_sets_equal_plain_ones(docs, odd):
     import pyarrow as pa
 
-    from cairn.llm import near_copies
-
     for df in (docs.limit(60), odd):
         texts = [r.text for r in df.select("text").collect()]
         hashes, rows = near_copies.shingles(pa.array(texts, pa.string()), 5)
@@ -818,18 +816,17 @@ def test_shingle_sets_equal_plain_ones(docs, odd):
 
 
 def test_one_document_of_each_group_stays(odd):
-    got = sorted((r.doc_id is None, r.doc_id or 0) for r in simhash_pivot.distinct_documents(odd).collect())
+    got = sorted((r.doc_id is None, r.doc_id or 0) for r in near_copies.distinct_documents(odd).collect())
     # 1 and 2 are copies but for their case; 3, 4, 6 and a null id have no words.
     assert got == [(False, 1), (False, 3), (False, 5), (False, 7), (True, 0)]
-    assert simhash_pivot.distinct_documents(odd).columns == odd.columns
+    assert near_copies.distinct_documents(odd).columns == odd.columns
 
 
 @pytest.mark.parametrize("limit", [2000, 8])
 def test_near_copies_go_and_others_stay(spark, monkeypatch, limit):
     """Copies of similarity 0.8 and more are found, in groups below and above the limit; texts of less stay."""
-    from cairn.llm import near_copies
-
     monkeypatch.setattr(near_copies, "LIMIT", limit)
+    monkeypatch.setattr(near_copies, "SHINGLES", limit * 200)
     chance = random.Random(12)
     word = lambda: "".join(chance.choice("etaoinshrdlu") for _ in range(chance.randint(2, 8)))
     base = [[word() for _ in range(200)] for _ in range(30)]
@@ -843,17 +840,47 @@ def test_near_copies_go_and_others_stay(spark, monkeypatch, limit):
             j = jaccard(" ".join(text), " ".join(copy))
             (near if j >= 0.8 else apart).append(1000 * i + k + 1)
             rows.append((1000 * i + k + 1, " ".join(copy)))
-    kept = {r.doc_id for r in simhash_pivot.distinct_documents(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    kept = {r.doc_id for r in near_copies.distinct_documents(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
     assert {1000 * i for i in range(30)} <= kept
     assert sum(i not in kept for i in near) >= 0.95 * len(near)
     texts = dict(rows)
     assert all(any(jaccard(texts[i], texts[j]) >= 0.8 for j in texts if j // 1000 == i // 1000 and j != i) for i in apart if i not in kept)
 
 
+def test_search_links_what_all_pairs_link():
+    """Forests of small sets, some rows linked beforehand, against all pairs."""
+    chance = random.Random(21)
+    for _ in range(30):
+        n = chance.randint(1, 25)
+        sets = [np.unique(np.array([chance.randint(0, 12) for _ in range(chance.randint(1, 12))], np.int64)) for _ in range(n)]
+        labels = np.array([chance.choice([i, 3]) for i in range(n)])
+        found = list(near_copies.verified(np.zeros((n, 4), np.uint64), sets, labels, 0.5))
+        sims = {(i, j) for i in range(n) for j in range(n) if len(set(sets[i]) & set(sets[j])) >= 0.5 * len(set(sets[i]) | set(sets[j]))}
+        assert set(found) <= sims and len(found) < n
+        groups = [np.arange(n), np.arange(n)]
+        for own, pairs in zip(groups, (found, sims)):
+            for a, b in [*pairs, *((i, j) for i in range(n) for j in range(n) if labels[i] == labels[j])]:
+                own[own == own[a]] = own[b]
+        assert all((groups[0][i] == groups[0][j]) == (groups[1][i] == groups[1][j]) for i in range(n) for j in range(n))
+
+
+def test_large_groups_of_near_copies_take_few_comparisons(spark):
+    """A thousand near copies of one text: the tables and the search give about a row a copy."""
+    chance = random.Random(13)
+    base = [f"w{chance.randrange(10**6)}" for _ in range(120)]
+    rows = []
+    for i in range(1000):
+        copy = list(base)
+        for _ in range(chance.randint(0, 2)):
+            copy[chance.randrange(120)] = f"x{chance.randrange(10**6)}"
+        rows.append((i, i, " ".join(copy)))
+    texts = spark.createDataFrame(rows, "row bigint, doc_id bigint, text string")
+    groups = collections.Counter(r.group for r in near_copies.grouped(texts, 5, 0.8).collect())
+    assert max(groups.values()) >= 995
+
+
 def test_recall_against_brute_force(spark, docs):
     """Links of whole tables: nearly all pairs of similarity 0.8 or more end in one group, and no group has a text without one."""
-    from cairn.llm import near_copies
-
     rows = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
     texts = [(r.row, r.text) for r in rows.collect()]
     group = {r.row: r.group for r in near_copies.grouped(spark.createDataFrame(rows.collect(), "row bigint, doc_id bigint, text string"), 5, 0.8).collect()}
