@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .unicode import ascii_form, canonical_https_url, casefolded
@@ -241,3 +241,15 @@ def is_negated(before: Column | str) -> Column:
 
 def any_of(conditions: list[Column]) -> Column:
     return reduce(lambda a, b: a | b, conditions, F.lit(False))
+
+
+def lines_digest(lines: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """``lines, digest`` of a column ``line``, for each ``by``: independent of the order of rows, and of no task that holds them all.
+
+    Lines fall into parts by the first four hexadecimal digits of their SHA-256; a part's digest is the SHA-256 of its sorted lines, joined by newlines, and the whole
+    digest is that of the parts' digests in the order of those digits, joined by newlines.
+    """
+    part = F.substring(F.sha2("line", 256), 1, 4)
+    parts = lines.filter("line is not null").groupBy(*by, part.alias("part")).agg(F.count("*").alias("n"), F.sha2(F.array_join(F.array_sort(F.collect_list("line")), "\n"), 256).alias("d"))
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("part", "d"))), lambda x: x["d"]), "\n")
+    return parts.groupBy(*by).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("lines"), F.sha2(joined, 256).alias("digest"))

@@ -68,10 +68,13 @@ _NATURAL = re.compile(r"\d+")
 
 @F.pandas_udf(T.StringType())
 def natural_key(values: pd.Series) -> pd.Series:
-    """Sort key: no accents, no case, numbers padded with zeros."""
+    """Sort key: no accents, no case, numbers by value at any length: padded to twenty digits, and longer ones after those by their length."""
 
     def key(v: str) -> str:
         plain = "".join(c for c in unicodedata.normalize("NFD", v) if not unicodedata.combining(c)).casefold()
-        return _NATURAL.sub(lambda m: m[0].lstrip("0").zfill(20), plain)
+        return _NATURAL.sub(lambda m: padded(m[0].lstrip("0")), plain)
+
+    def padded(digits: str) -> str:
+        return digits.zfill(20) if len(digits) <= 20 else f":{len(digits):010}{digits}"
 
     return _each(key)(values)

@@ -34,21 +34,20 @@ def apply_declared_relationships(records: DataFrame, edges: DataFrame, mapping:
     return joined.withColumns({f: F.coalesce(F.col(f), F.array().cast("array<string>")) for f in fields})
 
 
-def closure(edges: DataFrame, start: DataFrame, limit: int = 100) -> DataFrame:
-    """``(root, node)``: every node that reaches a start over zero or more edges ``child, parent``.
+def closure(edges: DataFrame, start: DataFrame) -> DataFrame:
+    """``(root, node)``: every node that reaches a start over zero or more edges ``child, parent``, at any depth; cycles end by themselves.
 
-    The frontier is joined with the edges, and only pairs not seen before go on; each round is written to the shared folder.
+    The frontier is joined with the edges, and only pairs not seen before go on; each round writes its new pairs to the shared folder.
     """
-    seen = written(start.select(F.col("node").alias("root"), "node").distinct(), "closure")
-    frontier = seen
-    for _ in range(limit):
+    frontier = written(start.select(F.col("node").alias("root"), "node").distinct(), "closure")
+    paths, schema = [frontier._cairn_path], frontier.schema
+    while True:
+        seen = start.sparkSession.read.schema(schema).parquet(*paths)
         step = frontier.join(edges, frontier["node"] == edges["parent"]).select("root", F.col("child").alias("node")).distinct()
-        new = written(step.join(seen, ["root", "node"], "left_anti"), "frontier")
-        if new.isEmpty():
+        frontier = written(step.join(seen, ["root", "node"], "left_anti"), "closure")
+        if frontier.isEmpty():
             return seen
-        seen = written(seen.unionByName(new), "closure")
-        frontier = new
-    raise ValueError("the hierarchy is deeper than the limit")
+        paths.append(frontier._cairn_path)
 
 
 def instances_of(claims: DataFrame, classes: DataFrame, instance: str = "P31", subclass: str = "P279") -> DataFrame:

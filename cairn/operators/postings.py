@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.columns import (
-    NEGATION_WINDOW, NEGATIONS, canonical_url, date_only, finite_bound, present, salary_range, salary_text, slugify, sorted_strings, spaced, unix_date,
+    NEGATION_WINDOW, NEGATIONS, canonical_url, date_only, finite_bound, lines_digest, present, salary_range, salary_text, slugify, sorted_strings, spaced, unix_date,
 )
 from ..functions.html import html_text
 from ..functions.unicode import identity_form
@@ -217,7 +217,7 @@ def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 own = [f"v\x1f{r['sourceDataset'] or ''}\x1f{r['_org']}\x1f{r['_title']}\x1f{r['_loc']}"]
             kept = next((owner[k] for k in own if k in owner), r["_row"])
             owner.update(dict.fromkeys(own, kept))
-            found.setdefault(kept, set()).update(r["discoveredBy"] or ())
+            found.setdefault(kept, set()).update(x for x in r["discoveredBy"] or () if x is not None)
     close()
     yield out()
 
@@ -330,13 +330,14 @@ def classification_counts(postings: DataFrame) -> DataFrame:
 
 
 def run_summary(postings: DataFrame, at: str, fetched: int, complete: bool) -> DataFrame:
-    """One row: counts by class, active and all, completeness, and an id made of the time and a digest of the sorted ids."""
-    ids = F.array_join(F.array_sort(F.collect_list("id")), "\n")
+    """One row: counts by class, active and all, completeness, and an id made of the time and a digest of the ids (``lines_digest``)."""
     stamp = at.replace("-", "").replace(":", "")
-    return postings.agg(
-        F.concat(F.lit(stamp + "-"), F.substring(F.sha2(ids, 256), 1, 12)).alias("runId"), F.lit(fetched).cast("bigint").alias("fetchedCount"), F.count("*").alias("deduplicatedCount"),
-        F.count_if("active").alias("activeCount"), F.lit(complete).alias("completeSourceSnapshot"), *(F.count_if(F.col("classification") == c).alias(c) for c in CLASSES),
+    digest = lines_digest(postings.select(F.col("id").alias("line"))).select(F.concat(F.lit(stamp + "-"), F.substring("digest", 1, 12)).alias("runId"))
+    counts = postings.agg(
+        F.lit(fetched).cast("bigint").alias("fetchedCount"), F.count("*").alias("deduplicatedCount"), F.count_if("active").alias("activeCount"), F.lit(complete).alias("completeSourceSnapshot"),
+        *(F.count_if(F.col("classification") == c).alias(c) for c in CLASSES),
     )
+    return digest.crossJoin(counts)  # a row each
 
 
 def employers(postings: DataFrame) -> DataFrame:

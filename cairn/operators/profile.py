@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.columns import lines_digest
+from ..session import written
+
 
 def degree_aggregates(column: str, prefix: str = "") -> list[Column]:
     """Min, nearest-rank median and 95th percentile, max, and mean to six places; zeros without rows."""
@@ -30,13 +33,12 @@ def in_cohort(edges: DataFrame, cohort: DataFrame) -> DataFrame:
 def predicate_profile(edges: DataFrame, cohort: DataFrame, examples: int = 5) -> DataFrame:
     """A row for each property: edges, same- and cross-catalog edges, distinct ends, degree statistics both ways, and a few examples.
 
-    Degrees are counted first per (property, subject) and (property, object), so a property with most of the edges is many rows until the last step.
+    Edges inside the cohort are found and written once.  Degrees are counted first per (property, subject) and (property, object), so a property with most of the edges is many rows until the last step.
     """
-    own = in_cohort(edges, cohort)
-    same = F.arrays_overlap("subject_catalogs", "object_catalogs")
-    totals = own.groupBy("property_id").agg(F.count("*").alias("edges"), F.count_if(same).alias("same_catalog"), F.count_if(~same).alias("cross_catalog"))
-    out = own.groupBy("property_id", "subject_qid").agg(F.count("*").alias("degree"))
-    into = own.groupBy("property_id", "object_qid").agg(F.count("*").alias("degree"))
+    own = written(in_cohort(edges, cohort).withColumn("same", F.arrays_overlap("subject_catalogs", "object_catalogs")).select("property_id", "subject_qid", "object_qid", "same"), "profile")
+    out = written(own.groupBy("property_id", "subject_qid").agg(F.count("*").alias("degree"), F.count_if("same").alias("same")), "degrees")
+    into = written(own.groupBy("property_id", "object_qid").agg(F.count("*").alias("degree")), "degrees")
+    totals = out.groupBy("property_id").agg(F.sum("degree").alias("edges"), F.sum("same").alias("same_catalog"), F.sum(F.col("degree") - F.col("same")).alias("cross_catalog"))
     outs = out.groupBy("property_id").agg(F.count("*").alias("unique_subjects"), *degree_aggregates("degree", "out_"))
     ins = into.groupBy("property_id").agg(F.count("*").alias("unique_objects"), *degree_aggregates("degree", "in_"))
     ends = out.select("property_id", F.col("subject_qid").alias("qid")).union(into.select("property_id", "object_qid")).distinct().groupBy("property_id").agg(F.count("*").alias("unique_records"))
@@ -72,8 +74,7 @@ def reviewed_profile(edges: DataFrame, cohort: DataFrame, reviewed: DataFrame, k
 
 
 def cohort_summary(cohort: DataFrame) -> DataFrame:
-    """Members of each catalog, of all, and a digest of the sorted ``qid:catalogs`` lines (ids only: small beside the data)."""
+    """Members of each catalog, of all, and a digest of the sorted ``qid:catalogs`` lines (``lines_digest``)."""
     each = cohort.select(F.explode("catalogs").alias("catalog")).groupBy("catalog").agg(F.count("*").alias("members"))
-    line = F.concat_ws(":", "qid", F.array_join(F.array_sort("catalogs"), ","))
-    whole = cohort.agg(F.count("*").alias("members"), F.sha2(F.array_join(F.array_sort(F.collect_list(line)), "\n"), 256).alias("digest"))
-    return each.select("catalog", "members", F.lit(None).cast("string").alias("digest")).unionByName(whole.select(F.lit("all").alias("catalog"), "members", "digest"))
+    whole = lines_digest(cohort.select(F.concat_ws(":", "qid", F.array_join(F.array_sort("catalogs"), ",")).alias("line")))
+    return each.select("catalog", "members", F.lit(None).cast("string").alias("digest")).unionByName(whole.select(F.lit("all").alias("catalog"), F.col("lines").alias("members"), "digest"))

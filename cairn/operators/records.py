@@ -39,32 +39,39 @@ def latest_version(versions: DataFrame) -> DataFrame:
     return clean.groupBy("item").agg(best.alias("b")).select("item", F.col("b.version").alias("version"), F.to_date("b.at").alias("release_date"))
 
 
-def eligible_records(facts: DataFrame, markers: list[str], exclusions: DataFrame, exceptions: DataFrame, rounds: int = 100) -> DataFrame:
+def eligible_records(facts: DataFrame, markers: list[str], exclusions: DataFrame, exceptions: DataFrame) -> DataFrame:
     """``qid, eligible, reason`` from ``qid, types, parents``; reason: declared, exception, unmarked, rule, orphan, cycle.
 
     Only marked records depend on parents.  A round decides those with an eligible parent (not eligible) and those whose parents in the snapshot are
-    all decided and not eligible (eligible); what no round can decide is a cycle, with a null verdict.
+    all decided and not eligible (eligible), for as long as a round decides any, whatever the depth; what is left then is a cycle, with a null verdict.
+    A round reads what the one before decided, and the edges to parents that are still open; it writes what it decides once.
     """
+    spark = facts.sparkSession
     marked = F.arrays_overlap("types", F.array(*map(F.lit, markers))) if markers else F.lit(False)
     out, allowed = exclusions.select("qid", F.lit(True).alias("_out")).distinct(), exceptions.select("qid", F.lit(True).alias("_in")).distinct()
     state = facts.select("qid", marked.alias("marked")).join(out, "qid", "left").join(allowed, "qid", "left")
     reason = F.when(F.col("_out"), "declared").when(F.col("_in"), "exception").when(~F.coalesce("marked", F.lit(False)), "unmarked")
     state = written(state.select("qid", reason.alias("reason")), "eligibility")
-    parents = written(facts.select("qid", F.explode("parents").alias("parent")).join(facts.select(F.col("qid").alias("parent")), "parent", "left_semi"), "parents")
-    verdict = F.when(F.col("reason").isin("exception", "unmarked", "orphan"), True).when(F.col("reason").isin("declared", "rule"), False)
-    open_ = state.filter("reason is null").count()
-    for _ in range(rounds):
-        if not open_:
-            break
-        known = state.select(F.col("qid").alias("parent"), verdict.alias("ok"))
-        above = parents.join(known, "parent").groupBy("qid").agg(F.max("ok").alias("any_ok"), F.max(F.col("ok").isNull()).alias("any_open"))
-        new = F.when(F.col("reason").isNotNull(), F.col("reason")).when(F.col("any_ok"), "rule").when(~F.coalesce("any_open", F.lit(False)), "orphan")
-        state = written(state.join(above, "qid", "left").select("qid", new.alias("reason")), "eligibility")
-        left = state.filter("reason is null").count()
-        if left == open_:
+    open_ = state.filter("reason is null").select("qid")
+    parents = facts.select("qid", F.explode("parents").alias("parent")).join(facts.select(F.col("qid").alias("parent")), "parent", "left_semi")
+    waiting = written(parents.join(open_, "qid", "left_semi").select("qid", "parent").distinct(), "waiting")
+    decided = [written(state.filter("reason is not null"), "decided")]
+    while True:
+        known = decided[-1].select(F.col("qid").alias("parent"), F.col("reason").isin("exception", "unmarked", "orphan").alias("ok"))
+        met = waiting.join(known, "parent")
+        rule = met.filter("ok").select("qid").distinct()
+        waits = written(waiting.join(known, "parent", "left_anti").join(rule, "qid", "left_anti"), "waiting")
+        orphan = open_.join(rule, "qid", "left_anti").join(waits.select("qid").distinct(), "qid", "left_anti")
+        now = written(rule.withColumn("reason", F.lit("rule")).unionByName(orphan.withColumn("reason", F.lit("orphan"))), "decided")
+        if now.isEmpty():
             break
-        open_ = left
-    return state.select("qid", verdict.alias("eligible"), F.coalesce("reason", F.lit("cycle")).alias("reason"))
+        open_ = written(open_.join(now, "qid", "left_anti"), "open")
+        decided.append(now)
+        waiting = waits
+    found = spark.read.schema(state.schema).parquet(*(d._cairn_path for d in decided))
+    done = found.unionByName(open_.withColumn("reason", F.lit("cycle")))
+    verdict = F.when(F.col("reason").isin("exception", "unmarked", "orphan"), True).when(F.col("reason").isin("declared", "rule"), False)
+    return done.select("qid", verdict.alias("eligible"), "reason")
 
 
 def filter_eligible(rows: DataFrame, verdicts: DataFrame) -> DataFrame:

@@ -120,13 +120,14 @@ def best_search_term(title: Column, aliases: Column) -> Column:
 # ---- sorting and pages
 
 
-def sort_items(items: DataFrame, key: Column, order: str = "asc", numeric: bool = False) -> DataFrame:
-    """Missing values last either way; numbers and dates by value, texts naturally without case and accents; ties by title."""
+def sort_items(items: DataFrame, key: Column, order: str = "asc", numeric: bool = False, tie: str = "qid") -> DataFrame:
+    """Missing values last either way; numbers and dates by value, texts naturally without case and accents; ties by title, then by the id ``tie``."""
     missing = key.isNull() if numeric else F.coalesce(F.trim(key.cast("string")) == "", F.lit(True))
     value = key if numeric else natural_key(key.cast("string"))
     named = items.withColumns({"_missing": missing, "_value": value, "_title": natural_key(F.coalesce("title", F.lit("")))})
     by = F.col("_value").desc() if order == "desc" else F.col("_value").asc()
-    return named.orderBy("_missing", by, "_title").drop("_missing", "_value", "_title")
+    ends = [tie] if tie in items.columns else []
+    return named.orderBy("_missing", by, "_title", *ends).drop("_missing", "_value", "_title")
 
 
 def page_of(total: int, page: int, size: int = 50) -> tuple[int, int]:
@@ -158,14 +159,14 @@ def _limited(matches: DataFrame, limit: int) -> DataFrame:
 def text_search(items: DataFrame, queries: DataFrame, limit: int = 20) -> DataFrame:
     """Q1: ``query_id, position, total, rank`` of items that hold an identifier equal to the query or all its words.
 
-    ``items`` has ``position, projection, identifiers, category, dataset``; ``queries(query_id, q, category, dataset)`` is a batch of questions, joined by
-    every item once.  Categories compare without case; the total counts before the limit.
+    ``items`` has ``position, projection, identifiers, category, dataset``; ``queries(query_id, q, category, dataset)`` is a batch of questions, each held
+    against every item: a small batch goes to all items, a large one meets them block by block, as Spark measures it.  Categories compare without case; the total counts before the limit.
     """
     asked = queries.select("query_id", F.lower(spaced("q")).alias("_q"), _terms(F.col("q")).alias("_terms"), F.col("category").alias("_category"), F.col("dataset").alias("_dataset")).filter("_q <> ''")
     low = items.withColumn("_low", F.lower("projection"))
     hit = F.array_contains("identifiers", F.col("_q")) | F.forall("_terms", lambda t: F.contains("_low", t))
     fits = (F.col("_category").isNull() | (F.lower("category") == F.lower("_category"))) & (F.col("_dataset").isNull() | (F.col("dataset") == F.col("_dataset")))
-    return _limited(low.join(F.broadcast(asked), hit & fits).select("query_id", "position"), limit)
+    return _limited(low.join(asked, hit & fits).select("query_id", "position"), limit)
 
 
 def text_search_plain(items: DataFrame, queries: DataFrame, limit: int = 20) -> DataFrame:
@@ -173,7 +174,7 @@ def text_search_plain(items: DataFrame, queries: DataFrame, limit: int = 20) ->
     asked = queries.select("query_id", _terms(F.col("q")).alias("_terms"), F.col("category").alias("_category")).filter(F.size("_terms") > 0)
     low = items.withColumn("_low", F.lower("projection"))
     fits = F.col("_category").isNull() | (F.lower("category") == F.lower("_category"))
-    found = _limited(low.join(F.broadcast(asked), F.forall("_terms", lambda t: F.contains("_low", t)) & fits).select("query_id", "position"), limit)
+    found = _limited(low.join(asked, F.forall("_terms", lambda t: F.contains("_low", t)) & fits).select("query_id", "position"), limit)
     return found.withColumn("total", F.count("*").over(Window.partitionBy("query_id")))
 
 
@@ -199,14 +200,15 @@ def _norm(v: Column) -> Column:
 def vector_top_k(queries: DataFrame, vectors: DataFrame, k: int, generation: str | None = None, by: list[str] | None = None) -> DataFrame:
     """``query_id, id, score, rank``: the ``k`` nearest by cosine, ties by id; ``by``: columns that a query may fix (null: any).
 
-    Vectors stay where they are; the batch of queries goes to each of them, and each partition keeps its best before the ranks are made.
+    A small batch of queries goes to the vectors, which stay where they are; a large one meets them block by block, as Spark measures it.  Each partition keeps
+    its best before the ranks are made.
     """
     pool = vectors if generation is None else vectors.filter(F.col("namespace") == generation)
     asked = queries.withColumnsRenamed({"values": "_q", **{c: f"_{c}" for c in by or ()}}).withColumn("_qn", _norm(F.col("_q")))
     fits = F.lit(True)
     for c in by or ():
         fits = fits & (F.col(f"_{c}").isNull() | F.col(f"_{c}").eqNullSafe(F.col(c)))
-    pairs = pool.withColumn("_vn", _norm(F.col("values"))).join(F.broadcast(asked), fits)
+    pairs = pool.withColumn("_vn", _norm(F.col("values"))).join(asked, fits)
     dot = F.aggregate(F.zip_with("values", "_q", lambda a, b: a.cast("double") * b.cast("double")), F.lit(0.0), lambda a, x: a + x)
     score = F.coalesce(dot / F.nullif(F.col("_vn") * F.col("_qn"), F.lit(0.0)), F.lit(0.0))
     best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "id")

@@ -103,7 +103,7 @@ union all select 'm' || cast(page_id as string), cast(null as string), cast(null
 B["classified"] = """
 select 'd' || cast(doc_id as string) as id, case when doc_id % 3 = 0 then 'qualified' when doc_id % 3 = 1 then 'not_match' else 'review' end as classification, doc_id % 4 <> 0 as active, source as sourceDataset, 'Firm ' || cast(doc_id % 31 as string) || case when doc_id % 2 = 0 then '!' else '' end as hiringOrganization from documents
 """
-B["texts"] = "select 'd' || cast(doc_id as string) as id, doc_id, text as description, lang from documents where lang = 'en'"
+B["texts"] = "select 'd' || cast(doc_id as string) as id, doc_id, text as description, lang from documents"
 B["match_terms"] = """
 select 'the' as text, false as case_sensitive, 'k:the' as concept_uri, 'The' as concept_label, 'S' as concept_scheme, 'contextual' as strength union all select 'thing', true, 'k:thing', 'Thing', 'S', 'strong'
 union all select 'and', true, 'k:and', 'And', 'S', 'contextual' union all select 'Licensed', true, 'k:licence', 'Licence', 'S', 'strong'
@@ -120,8 +120,8 @@ B["log"] = "select cast(user_id as string) as session, ts, event_id, 'tab' || ca
 B["crawl"] = "select url, html as body, case when page_id % 10 = 0 then 403 when page_id % 10 = 1 then 404 when page_id % 10 = 2 then 500 else 200 end as status from pages"
 B["files"] = "select 'part' || cast(p_partkey % 3 as string) || '/' || cast(p_partkey as string) as path, p_name as content from part"
 B["queries"] = """
-select cast(p_partkey as string) as query_id, p_name as q, case when p_partkey % 2 = 0 then lower(p_type) end as category, cast(null as string) as dataset from part where p_partkey <= 20
-union all select 'i' || cast(p_partkey as string), 'http://www.wikidata.org/entity/q' || cast(2000000 + p_partkey as string), null, null from part where p_partkey <= 5
+select cast(p_partkey as string) as query_id, p_name as q, case when p_partkey % 2 = 0 then lower(p_type) end as category, cast(null as string) as dataset from part where p_partkey % 50 = 0
+union all select 'i' || cast(p_partkey as string), 'http://www.wikidata.org/entity/q' || cast(2000000 + p_partkey as string), null, null from part where p_partkey % 50 = 0
 """
 B["claim_edits"] = """
 select 'Q' || cast(1000000 + o_custkey as string) as qid, 'o' || cast(o_orderkey as string) as guid, 'P' || cast(o_orderkey % 3 as string) as property, 'V' || cast(o_custkey % 5 as string) as value, 'normal' as rank from orders

@@ -34,12 +34,12 @@ truthy as (select distinct subject as subject_qid, property as property_id, valu
   where ((pref = 1 and rank = 'preferred') or (pref = 0 and rank = 'normal')) and datatype = 'wikibase-item')"""
 
 
-@query(sql("claims", "select subject, property, rank, datatype, value, guid from claims where property <> 'P279'"))
+@query(sql("claims", "select subject, property, rank, datatype, value, guid from claims"))
 def read_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Claims as entity documents, and flat again."""
     from ..sources.catalog import claims_of
 
-    flat = bound(spark, sf_dir, "claims").filter("property <> 'P279'")
+    flat = bound(spark, sf_dir, "claims")
     snak = F.struct("datatype", F.struct(F.to_json(F.struct(F.col("value").alias("id"))).alias("value")).alias("datavalue"))
     one = F.struct(F.col("guid").alias("id"), "rank", snak.alias("mainsnak"))
     by_property = flat.groupBy("subject", "property").agg(F.collect_list(one).alias("s"))
@@ -144,14 +144,21 @@ def latest_version(spark, sf_dir):
     return records.latest_version(bound(spark, sf_dir, "versions"))
 
 
-@query()
+ELIGIBLE = """with recursive facts as (select o_custkey as k, 'Q' || cast(o_custkey as string) as qid, bool_or(o_orderkey % 6 = 3) as marked, bool_or(o_orderkey % 3 = 0) as has_parent from orders group by o_custkey),
+linked as (select f.*, case when f.has_parent then p.k end as parent from facts f left join facts p on p.k = f.k // 2),
+decided as (select k, qid, case when k % 50 = 7 then 'declared' when k % 50 = 9 then 'exception' when not marked then 'unmarked' else 'orphan' end as reason from linked where k % 50 in (7, 9) or not marked or parent is null
+  union all select l.k, l.qid, case when d.reason in ('exception', 'unmarked', 'orphan') then 'rule' else 'orphan' end from linked l join decided d on l.parent = d.k where l.k % 50 not in (7, 9) and l.marked and l.k <> d.k),
+verdicts as (select f.qid, case when d.reason is null then null else d.reason in ('exception', 'unmarked', 'orphan') end as eligible, coalesce(d.reason, 'cycle') as reason from facts f left join decided d on d.k = f.k)"""
+
+
+@query(ELIGIBLE + " select qid, eligible, reason from verdicts")
 def eligible_records(spark, sf_dir):
     facts = _facts(spark, sf_dir).withColumn("k", F.substring("qid", 2, 20).cast("bigint"))
     few = lambda cond: facts.filter(cond).select("qid")
     return records.eligible_records(facts.drop("k"), ["Q3"], few("k % 50 = 7"), few("k % 50 = 9"))
 
 
-@query()
+@query(ELIGIBLE + " select qid from verdicts where eligible")
 def filter_eligible(spark, sf_dir):
     facts = _facts(spark, sf_dir)
     return records.filter_eligible(facts.select("qid"), eligible_records(spark, sf_dir))
@@ -272,7 +279,18 @@ def related_diagnostics(spark, sf_dir):
     return related.related_diagnostics(scored, related.related_top_k(scored), features, context)
 
 
-@query()
+STOPS = "('about', 'data', 'from', 'graph', 'knowledge', 'ontology', 'resource', 'semantic', 'software', 'that', 'this', 'tool', 'using', 'vocabulary', 'with')"
+OWN_FEATURES = sql("items", "").rstrip() + f""", usable as (select *, canonicalUrl as subject from items where homepage is not null)
+select distinct dataset, subject, kind, key from (
+select dataset, subject, 'entity' as kind, wikidataId as key from usable union all select dataset, subject, 'category', p_type from usable
+union all select dataset, subject, 'license', 'L' || cast(p_size % 3 as string) from usable where p_partkey % 4 <> 0
+union all select dataset, subject, 'language', case p_partkey % 3 when 0 then 'java' when 1 then 'rust' else 'c' end from usable
+union all select dataset, subject, 'repository', 'https://github.com/' || replace(p_brand, '#', '-') || '/r' || cast(p_partkey % 50 as string) from usable where p_partkey % 5 <> 0 and p_partkey % 3 = 0
+union all select dataset, subject, 'namespace', 'http://ns.example.org/' || replace(p_brand, '#', '-') || '/s' || cast(p_size as string) from usable
+union all select dataset, subject, 'token', key from (select dataset, subject, unnest(regexp_extract_all(lower(coalesce(title, '') || ' ' || description), '[a-z0-9]+')) as key from usable) where length(key) >= 4 and key not in {STOPS}) """
+
+
+@query(OWN_FEATURES)
 def extract_features(spark, sf_dir):
     from .bindings import catalog_items
 
@@ -354,7 +372,7 @@ def highest_degree(spark, sf_dir):
 
 
 @query(COHORT + """ select catalog, count(distinct qid) as members, cast(null as string) as digest from members group by 1
-union all select 'all', count(*), sha256(string_agg(line, chr(10) order by line)) from (select qid || ':' || array_to_string(list_sort(catalogs), ',') as line from cohort)""")
+union all select 'all', sum(n), sha256(string_agg(d, chr(10) order by part)) from (select substr(sha256(line), 1, 4) as part, count(*) as n, sha256(string_agg(line, chr(10) order by line)) as d from (select qid || ':' || array_to_string(list_sort(catalogs), ',') as line from cohort) group by 1)""")
 def cohort_summary(spark, sf_dir):
     return profile.cohort_summary(_cohort(spark, sf_dir))
 

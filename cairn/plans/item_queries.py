@@ -138,7 +138,7 @@ def text_search_plain(spark, sf_dir):
     return search.text_search_plain(search.semantic_projection(catalog_items(spark, sf_dir)), bound(spark, sf_dir, "queries")).select("query_id", "position", "rank", "total")
 
 
-@query(sql("items", "select qid, title, cast(releaseDate as date) as releaseDate from items where category = (select min(p_type) from part) and p_partkey % 3 = 0 order by case when releaseDate is null then 1 else 0 end, releaseDate desc, case when title is null then '' else lower(p_name) || ' ' || lpad(cast(p_partkey as string), 20, '0') end limit 50"))
+@query(sql("items", "select qid, title, cast(releaseDate as date) as releaseDate from items where category = (select min(p_type) from part) and p_partkey % 3 = 0 order by case when releaseDate is null then 1 else 0 end, releaseDate desc, case when title is null then '' else lower(p_name) || ' ' || lpad(cast(p_partkey as string), 20, '0') end, qid limit 50"))
 def browse(spark, sf_dir):
     items = search.browse_search_text(catalog_items(spark, sf_dir)).withColumn("releaseDate", F.to_date("releaseDate"))
     kind = table(spark, sf_dir, "part").agg(F.min("p_type")).first()[0]
@@ -147,7 +147,7 @@ def browse(spark, sf_dir):
 
 # ---- vectors
 
-NEAREST = sql("vectors", "").rstrip() + """, pool as (select id, dataset, vec, vec_id from vectors where namespace = 'g1'), asked as (select id as query_id, vec as q from vectors where vec_id < 10),
+NEAREST = sql("vectors", "").rstrip() + """, pool as (select id, dataset, vec, vec_id from vectors where namespace = 'g1'), asked as (select id as query_id, vec as q from vectors where vec_id % 50 = 0),
 scored as (select query_id, id, list_sum([cast(vec[i] as double) * cast(q[i] as double) for i in range(1, len(vec) + 1)]) / sqrt(list_sum([cast(x as double) * x for x in vec])) / sqrt(list_sum([cast(x as double) * x for x in q])) as score from pool, asked)"""
 
 
@@ -158,11 +158,14 @@ def _vectors(spark, sf_dir):
 @query(NEAREST + " select query_id, id, rank from (select *, row_number() over (partition by query_id order by score desc, id) as rank from scored) where rank <= 5")
 def vector_top_k(spark, sf_dir):
     own = _vectors(spark, sf_dir)
-    asked = own.filter("vec_id < 10").select(F.col("id").alias("query_id"), "values")
+    asked = own.filter("vec_id % 50 = 0").select(F.col("id").alias("query_id"), "values")
     return search.vector_top_k(asked, own, 5, "g1").select("query_id", "id", "rank")
 
 
-@query(sql("vectors", "select dataset, min(id) as id, true as found from vectors group by 1"))
+@query(sql("vectors", """, first as (select dataset, min(id) as id from vectors group by 1), own as (select f.dataset, f.id, v.vec as q from first f join vectors v on v.id = f.id),
+near as (select own.dataset, own.id, v.id as other, row_number() over (partition by own.id order by list_sum([cast(vec[i] as double) * cast(q[i] as double) for i in range(1, len(vec) + 1)]) / sqrt(list_sum([cast(x as double) * x for x in vec])) / sqrt(list_sum([cast(x as double) * x for x in q])) desc, v.id) as n
+  from own join vectors v on v.dataset = own.dataset)
+select dataset, id, bool_or(id = other and n <= 5) as found from near group by 1, 2""").replace(") , first", "), first"))
 def representatives(spark, sf_dir):
     return search.representatives(_vectors(spark, sf_dir))
 
@@ -170,7 +173,7 @@ def representatives(spark, sf_dir):
 @query(NEAREST + " select query_id, id, rank from (select *, row_number() over (partition by query_id order by score desc, id) as rank from scored) where rank <= 20")
 def semantic_search(spark, sf_dir):
     own = _vectors(spark, sf_dir)
-    asked = own.filter("vec_id < 10").select(F.col("id").alias("query_id"), "values")
+    asked = own.filter("vec_id % 50 = 0").select(F.col("id").alias("query_id"), "values")
     return search.semantic_search(asked, own, "g1")[0].select("query_id", "id", "rank")
 
 
@@ -539,9 +542,9 @@ def _feed_pages(spark, sf_dir):
     return groups.select(F.lit("b").alias("source"), "request_no", F.lit("q").alias("query"), F.to_json(F.struct("jobs")).alias("json"))
 
 
-@query("select page_id as id, cast(floor(page_id / 10) as bigint) as request_no, cast(page_id % 10 as int) as pos from pages order by page_id limit 120")
+@query("select page_id as id, cast(floor(page_id / 10) as bigint) as request_no, cast(page_id % 10 as int) as pos from pages")
 def read_feed(spark, sf_dir):
-    return catalog.postings_of(_feed_pages(spark, sf_dir), FEED, "jobs", 120).select("id", "request_no", "pos")
+    return catalog.postings_of(_feed_pages(spark, sf_dir), FEED, "jobs").select("id", "request_no", "pos")
 
 
 @query("""select 'b-' || cast(page_id as string) as id, 'Job & ' || cast(page_id as string) as title, 'Text ' || cast(page_id as string) as description, case when page_id % 9 <> 0 then 'Firm ' || cast(page_id % 25 as string) end as hiringOrganization, 'a,b' as tags, cast(null as date) as datePosted,
@@ -585,8 +588,11 @@ def dedup_postings(spark, sf_dir):
     return kept.select("id", "sourceDataset", "canonicalUrl", joined("discoveredBy"))
 
 
-COUNTED = sql("texts", "").rstrip() + r""", e as (select id, 'k:the' as concept_uri, len(regexp_extract_all(description, '(?i)\bthe\b')) as n from texts union all select id, 'k:thing', len(regexp_extract_all(description, '\bthing\b')) from texts
-union all select id, 'k:and', len(regexp_extract_all(description, '\band\b')) from texts union all select id, 'k:licence', len(regexp_extract_all(description, '\bLicensed\b')) from texts)"""
+# A term of one word is met where a whole run of letters, digits and underscores is that word.
+COUNTED = sql("texts", "").rstrip() + r""", runs as (select id, regexp_extract_all(description, '[\p{L}\p{N}_]+') as w from texts where description is not null),
+e as (select id, 'k:the' as concept_uri, len([x for x in w if lower(x) = 'the']) as n from runs union all select id, 'k:thing', len([x for x in w if x = 'thing']) from runs
+union all select id, 'k:and', len([x for x in w if x = 'and']) from runs union all select id, 'k:licence', len([x for x in w if x = 'Licensed']) from runs),
+found as (select id, concept_uri from e where n > 0)"""
 
 
 def _evidence(spark, sf_dir):
@@ -599,17 +605,21 @@ def find_evidence(spark, sf_dir):
     return _evidence(spark, sf_dir)[1].groupBy("id", "concept_uri").agg(F.count("*").alias("n"))
 
 
-@query()
+@query(COUNTED + """ select t.id, case when count(f.concept_uri) filter (f.concept_uri in ('k:thing', 'k:licence')) > 0 then 'qualified' when count(f.concept_uri) > 1 then 'review' else 'not_match' end as classification
+from texts t left join found f on f.id = t.id group by t.id""")
 def classify_evidence(spark, sf_dir):
     return postings.classify_evidence(*_evidence(spark, sf_dir))
 
 
-@query()
+@query(COUNTED + " select id, string_agg(substr(concept_uri, 3), ',' order by concept_uri) as concepts from found group by id")
 def matched_concepts(spark, sf_dir):
     return postings.matched_concepts(_evidence(spark, sf_dir)[1], "k:").select("id", joined("concepts"))
 
 
-@query()
+# Strings of scripts hold an end tag, which is text there; the other tags go, and those that part words become blanks.
+@query(r"""select url, trim(regexp_replace(replace(replace(replace(replace(replace(replace(replace(regexp_replace(regexp_replace(regexp_replace(replace(html, '"</p>"', '"\x01"'),
+'<!--.*?-->|<![^>]*>', '', 'gs'), '</?(?:br|div|h1|h2|h3|h4|li|p|tr)(?:\s[^>]*)?/?>', ' ', 'gi'), '</?[a-zA-Z][^>]*>', '', 'g'),
+'&lt;', '<'), '&gt;', '>'), '&copy;', '©'), '&middot;', '·'), '&quot;', '"'), '&amp;', '&'), chr(1), '</p>'), '\s+', ' ', 'g')) as text from pages""".replace("\\x01", "' || chr(1) || '"))
 def extract_text(spark, sf_dir):
     return postings.extract_text(bound(spark, sf_dir, "crawl")).select("url", "text")
 
@@ -633,7 +643,7 @@ def classification_counts(spark, sf_dir):
     return postings.classification_counts(bound(spark, sf_dir, "classified"))
 
 
-@query(sql("classified", "select '20240301T000000Z-' || substr(sha256(string_agg(id, chr(10) order by id)), 1, 12) as runId, 300 as fetchedCount, count(*) as deduplicatedCount, count(*) filter (active) as activeCount, true as completeSourceSnapshot, count(*) filter (classification = 'qualified') as qualified, count(*) filter (classification = 'review') as review, count(*) filter (classification = 'not_match') as not_match from classified"))
+@query(sql("classified", "select '20240301T000000Z-' || (select substr(sha256(string_agg(d, chr(10) order by part)), 1, 12) from (select substr(sha256(id), 1, 4) as part, sha256(string_agg(id, chr(10) order by id)) as d from classified group by 1)) as runId, 300 as fetchedCount, count(*) as deduplicatedCount, count(*) filter (active) as activeCount, true as completeSourceSnapshot, count(*) filter (classification = 'qualified') as qualified, count(*) filter (classification = 'review') as review, count(*) filter (classification = 'not_match') as not_match from classified"))
 def run_summary(spark, sf_dir):
     return postings.run_summary(bound(spark, sf_dir, "classified"), "2024-03-01T00:00:00Z", 300, True)
 
@@ -693,9 +703,13 @@ def parse_datetime(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", F.to_date(c.parse_datetime(bad)).alias("day"))
 
 
-@query("""select doc_id, case when len(list_distinct(list_concat(a, b))) = 0 then 0.0 else len(list_intersect(a, b)) * 1.0 / len(list_distinct(list_concat(a, b))) end as likeness from (select doc_id, [w for w in list_distinct(regexp_extract_all(lower(substr(text, 1, 200)), '[a-z0-9]+')) if length(w) >= 4 and w not in ('about', 'data', 'from', 'graph', 'knowledge', 'ontology', 'resource', 'semantic', 'software', 'that', 'this', 'tool', 'using', 'vocabulary', 'with')] as a,
-[w for w in list_distinct(regexp_extract_all(lower(substr(text, 100, 200)), '[a-z0-9]+')) if length(w) >= 4 and w not in ('about', 'data', 'from', 'graph', 'knowledge', 'ontology', 'resource', 'semantic', 'software', 'that', 'this', 'tool', 'using', 'vocabulary', 'with')] as b from documents where lang = 'en')""")
+WORDS = "[w for w in list_distinct(regexp_extract_all(replace(lower(coalesce(text, '')), 'ß', 'ss'), '[a-z0-9]+')) if length(w) >= 4 and w not in ('about', 'data', 'from', 'graph', 'knowledge', 'ontology', 'resource', 'semantic', 'software', 'that', 'this', 'tool', 'using', 'vocabulary', 'with')]"
+
+
+@query(f"""with own as (select doc_id, {WORDS} as w from documents)
+select x.doc_id, case when len(list_distinct(list_concat(x.w, y.w))) = 0 then 0.0 else len(list_intersect(x.w, y.w)) * 1.0 / len(list_distinct(list_concat(x.w, y.w))) end as likeness from own x join own y on y.doc_id = x.doc_id + 1""")
 def jaccard(spark, sf_dir):
-    own = table(spark, sf_dir, "documents").filter("lang = 'en'")
-    named = own.select("doc_id", c.text_tokens(F.substring("text", 1, 200)).alias("a"), c.text_tokens(F.substring("text", 100, 200)).alias("b"))
-    return named.select("doc_id", c.jaccard("a", "b").alias("likeness"))
+    """Each whole text against that of the next id."""
+    own = table(spark, sf_dir, "documents").select("doc_id", c.text_tokens("text").alias("a"))
+    following = own.select((F.col("doc_id") - 1).alias("doc_id"), F.col("a").alias("b"))
+    return own.join(following, "doc_id").select("doc_id", c.jaccard("a", "b").alias("likeness"))

@@ -83,7 +83,7 @@ def append_query_log(spark, sf_dir):
     return spark.read.parquet(out).select("session", "event_id", "tab")
 
 
-@query()
+@query(sql("log", r"""select session, ts, tab, query from (select *, coalesce(lag(mark) over (partition by session order by ts, event_id), '') as before from (select session, ts, event_id, tab, q, case when trim(q) = '' then null when contains(q, '@') then '[redacted]' else replace(regexp_replace(lower(q), ' +', ' ', 'g'), '!', '') end as query, case when trim(q) = '' then '' else tab || '|' || case when contains(q, '@') then '[redacted]' else replace(regexp_replace(lower(q), ' +', ' ', 'g'), '!', '') end end as mark from log)) where query is not null and mark <> before"""))
 def query_log_stream(spark, sf_dir):
     """One batch, so that the order inside a session is that of time."""
     stream = _streamed(bound(spark, sf_dir, "log").select("session", "ts", "tab", "q"), "searches", 1)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import logged_query
 from ..operators.postings import classify_evidence, dedup_postings, find_evidence, preserve_first_seen, union_sources
+from ..session import written
 
 
 def merged_snapshot(current: DataFrame, previous: DataFrame | None, source: str, at: F.Column) -> DataFrame:
@@ -28,21 +30,67 @@ def refreshed(raw: DataFrame, normalize: Callable[[DataFrame], DataFrame], terms
     return kept.join(classes, "id")
 
 
-def current_snapshot(spark: SparkSession, path: str) -> DataFrame | None:
-    """The last complete version below ``path``: ``_current`` names it."""
+POINTER = "_current"
+
+
+def _file_system(spark: SparkSession, path: str):
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return target, target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def current_version(spark: SparkSession, path: str) -> str | None:
+    """The name that the pointer below ``path`` holds."""
+    target, files = _file_system(spark, f"{path}/{POINTER}")
+    if not files.exists(target):
+        return None
+    stream = files.open(target)
     try:
-        name = spark.read.text(f"{path}/_current").first()[0]
-    except Exception as e:
-        if "PATH_NOT_FOUND" in str(e):
-            return None
-        raise
-    return spark.read.parquet(f"{path}/{name}")
+        return spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8").strip()
+    finally:
+        stream.close()
+
+
+def current_snapshot(spark: SparkSession, path: str) -> DataFrame | None:
+    """The last complete version below ``path``."""
+    name = current_version(spark, path)
+    return None if name is None else spark.read.parquet(f"{path}/{name}")
 
 
 def publish(df: DataFrame, path: str, version: str) -> None:
-    """Write a version and then point to it, so that a batch that is replayed gives the same table."""
-    df.write.mode("overwrite").parquet(f"{path}/{version}")
-    df.sparkSession.createDataFrame([(version,)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/_current")
+    """Write a version under a fresh name and then put its name in the place of the pointer, in one step.
+
+    Nothing that a reader, or ``df`` itself, may still read is overwritten: a write that fails, or is repeated, leaves the version before it whole.
+    """
+    spark = df.sparkSession
+    name = f"{version}-{uuid.uuid4().hex}"
+    df.write.parquet(f"{path}/{name}")
+    made, files = _file_system(spark, f"{path}/{POINTER}-{uuid.uuid4().hex}")
+    out = files.create(made)
+    out.write(bytearray(name.encode()))
+    out.close()
+    jvm = spark.sparkContext._jvm
+    overwrite = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+    overwrite[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+    context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(made.toUri() if made.toUri().getScheme() else files.getUri(), spark.sparkContext._jsc.hadoopConfiguration())
+    context.rename(made, jvm.org.apache.hadoop.fs.Path(f"{path}/{POINTER}"), overwrite)
+
+
+def refresh_batch(raw: DataFrame, number: int, path: str, normalize: Callable[[DataFrame], DataFrame], terms: DataFrame, at: F.Column) -> None:
+    """One batch into the snapshot at ``path``; a batch that was published before changes nothing, and neither does one without postings.
+
+    The sources of a batch are few, as feeds are declared; each one's postings are made and written once, and the snapshot once for all of them.
+    """
+    spark = raw.sparkSession
+    if (current_version(spark, path) or "").startswith(f"v{number}-"):
+        return
+    snapshot, changed = current_snapshot(spark, path), False
+    for row in raw.select("source").distinct().orderBy("source").collect():
+        current = written(refreshed(raw.filter(F.col("source").eqNullSafe(F.lit(row.source))), normalize, terms), "refreshed")
+        dataset = current.select("sourceDataset").first()
+        if dataset is not None:
+            snapshot, changed = merged_snapshot(current, snapshot, dataset[0], at), True
+    if changed:
+        publish(snapshot, path, f"v{number}")
 
 
 def refresh_postings(stream: DataFrame, path: str, checkpoint: str, normalize: Callable[[DataFrame], DataFrame], terms: DataFrame, at: F.Column | None = None):
@@ -51,18 +99,7 @@ def refresh_postings(stream: DataFrame, path: str, checkpoint: str, normalize: C
     Each source in a batch is replaced as a whole; a source without rows in the batch keeps its postings.
     """
     at = F.current_timestamp() if at is None else at
-
-    def batch(raw: DataFrame, number: int) -> None:
-        spark = raw.sparkSession
-        snapshot = current_snapshot(spark, path)
-        for row in raw.select("source").distinct().orderBy("source").collect():
-            current = refreshed(raw.filter(F.col("source") == row.source), normalize, terms)
-            dataset = current.select("sourceDataset").first()
-            if dataset is not None:
-                snapshot = merged_snapshot(current, snapshot, dataset[0], at)
-        if snapshot is not None:
-            publish(snapshot, path, f"v{number}")
-
+    batch = lambda raw, number: refresh_batch(raw, number, path, normalize, terms, at)
     return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
