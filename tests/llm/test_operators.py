@@ -854,7 +854,8 @@ def test_search_links_what_all_pairs_link():
         n = chance.randint(1, 25)
         sets = [np.unique(np.array([chance.randint(0, 12) for _ in range(chance.randint(1, 12))], np.int64)) for _ in range(n)]
         labels = np.array([chance.choice([i, 3]) for i in range(n)])
-        found = list(near_copies.verified(np.zeros((n, 4), np.uint64), sets, labels, 0.5))
+        offsets = np.concatenate(([0], np.cumsum([len(x) for x in sets])))
+        found = list(near_copies.verified(np.zeros((n, 4), np.uint64), np.concatenate(sets), offsets, labels, 0.5))
         sims = {(i, j) for i in range(n) for j in range(n) if len(set(sets[i]) & set(sets[j])) >= 0.5 * len(set(sets[i]) | set(sets[j]))}
         assert set(found) <= sims and len(found) < n
         groups = [np.arange(n), np.arange(n)]
