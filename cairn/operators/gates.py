@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import is_absolute_iri, is_bare_id, page_iri, present, qid
+from ..functions.columns import is_absolute_iri, is_bare_id, page_iri, page_type, present, qid
 
 # Limits of regressions.
 LOSS_ERROR, LOSS_WARNING, HOMEPAGE_WARNING, FIELD_DROP_WARNING = 0.10, 0.02, 0.30, 0.02
@@ -179,11 +179,20 @@ def check_known_records(items: DataFrame, fixtures: DataFrame) -> DataFrame:
     return violations(joined.withColumn("_code", code).filter("_code is not null"), F.col("_code"), "qid", F.col("field"))
 
 
+MENTIONS = "array<map<string,string>>"
+
+
 def check_page_contracts(pages: DataFrame, items: DataFrame, sitemap: DataFrame, baseline: DataFrame, base: str) -> DataFrame:
-    """Pages (``dataset, slug, html``) against records, urls, the site map and their links; lost pages of surviving records warn."""
+    """Pages (``dataset, slug, html``) against records, urls, the site map, their links and mentions; lost pages of surviving records warn.
+
+    A page mentions the record's related links that have a page and a title, in their order, and has no list of mentions without any.
+    """
     named = pages.withColumn("url", page_iri(base, "dataset", "slug"))
     data = F.regexp_extract("html", r'(?s)<script type="application/ld\+json">(.*?)</script>', 1)
-    named = named.withColumn("_id", F.get_json_object(data, "$['@id']"))
+    said = F.get_json_object(data, "$.mentions")
+    # Each mention as its sorted entries, so that an additional one is a difference.
+    listed_mentions = F.transform(F.from_json(said, MENTIONS), lambda m: F.array_sort(F.map_entries(m)))
+    named = named.withColumns({"_id": F.get_json_object(data, "$['@id']"), "_said": said, "_mentions": listed_mentions})
     urls = named.select("url").distinct()
     records = items.select("dataset", "qid", F.col("canonicalUrl").alias("url"))
     no_record = violations(named.join(records.select("url"), "url", "left_anti"), "page-without-record", "url")
@@ -191,10 +200,18 @@ def check_page_contracts(pages: DataFrame, items: DataFrame, sitemap: DataFrame,
     not_listed = violations(named.join(sitemap.select("url"), "url", "left_anti"), "page-not-in-sitemap", "url")
     listed = sitemap.filter(F.col("url").rlike("/(resource|software)/[^/]+/$")).join(urls, "url", "left_anti")
     with_page = items.withColumn("url", F.col("canonicalUrl")).join(urls, "url", "left_semi")
-    links = with_page.select("dataset", "url", F.explode("relatedTools.canonicalUrl").alias("_to"))
-    dead = violations(links.join(urls.withColumnRenamed("url", "_to"), "_to", "left_anti"), "related-without-page", "url", F.col("_to"))
+    links = with_page.select("dataset", "url", F.posexplode("relatedTools").alias("_pos", "_tool")).withColumn("_to", F.col("_tool.canonicalUrl"))
+    targets = urls.withColumnRenamed("url", "_to")
+    dead = violations(links.join(targets, "_to", "left_anti"), "related-without-page", "url", F.col("_to"))
+    pairs = {"@id": F.col("_to"), "@type": page_type(base, "_to"), "name": F.col("_tool.title")}
+    entry = F.array(*(F.struct(F.lit(k).alias("key"), v.alias("value")) for k, v in pairs.items()))
+    wanted = links.join(targets, "_to", "left_semi").filter(present("_tool.title").isNotNull()).groupBy("url").agg(F.array_sort(F.collect_list(F.struct("_pos", entry.alias("e")))).alias("_wanted"))
+    met = named.select("dataset", "url", "_said", "_mentions").join(wanted, "url", "left").withColumn("_wanted", F.transform("_wanted", lambda w: w["e"]))
+    kind = met.schema["_mentions"].dataType
+    differs = F.when(F.col("_wanted").isNull(), F.col("_said").isNotNull()).otherwise(~F.col("_mentions").eqNullSafe(F.col("_wanted").cast(kind)))
+    mentions = violations(met.filter(differs), "page-mentions-differ", "url")
     lost = baseline.select("dataset", "qid").join(records.select("dataset", "qid", "url"), ["dataset", "qid"]).join(urls, "url", "left_anti")
-    return _all(no_record, no_data, not_listed, violations(listed, "sitemap-without-page", "url"), dead, violations(lost, "page-lost", "qid", "", "warning"))
+    return _all(no_record, no_data, not_listed, violations(listed, "sitemap-without-page", "url"), dead, mentions, violations(lost, "page-lost", "qid", "", "warning"))
 
 
 EPSILON = 1e-12

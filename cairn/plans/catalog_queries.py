@@ -394,14 +394,17 @@ def _signalled(spark, sf_dir):
     part = spark.read.parquet(f"{sf_dir}/part.parquet")
     rows = part.select(
         F.concat(F.lit("Q"), (c("p_partkey") + 1000000).cast("string")).alias("qid"), F.when(c("p_partkey") % 7 == 0, F.lit("a property name")).otherwise(c("p_name")).alias("label"),
-        F.when(c("p_partkey") % 5 == 0, F.lit("An ontology term of note")).otherwise(c("p_type")).alias("description"), F.array("p_brand").alias("types"),
+        F.when(c("p_partkey") % 5 == 0, F.lit("An ontology term of note")).otherwise(c("p_type")).alias("description"), F.array("p_brand").alias("types"), F.array(F.concat(F.lit("Q"), (c("p_size") % 4).cast("string"))).alias("matched_classes"),
         F.when(c("p_partkey") % 9 == 0, F.array(F.lit("Q1"))).otherwise(F.array().cast("array<string>")).alias("parents"), F.array(F.concat(F.lit("https://x/"), F.when(c("p_partkey") % 4 == 0, "#a").otherwise(""))).alias("websites"),
     )
     return audit.candidate_signals(rows, ["Brand#11", "Brand#1"], part.filter("p_partkey % 30 = 0").select(F.concat(F.lit("Q"), (c("p_partkey") + 1000000).cast("string")).alias("qid")))
 
 
-@query("""select 'Q' || cast(p_partkey + 1000000 as string) as qid, concat_ws(',', case when p_partkey % 30 = 0 then 'confirmed-exclusion' end, case when p_brand in ('Brand#11', 'Brand#1') then 'direct-term-component-type' end,
-case when p_partkey % 9 = 0 then 'direct-part-of' end, case when p_partkey % 4 = 0 then 'fragment-homepage' end, case when p_partkey % 5 = 0 then 'term-like-description' end, case when p_partkey % 7 = 0 then 'term-like-label' end) as signals from part""")
+SIGNALS = """concat_ws(',', case when p_partkey % 30 = 0 then 'confirmed-exclusion' end, case when p_brand in ('Brand#11', 'Brand#1') then 'direct-term-component-type' end,
+case when p_partkey % 9 = 0 then 'direct-part-of' end, case when p_partkey % 4 = 0 then 'fragment-homepage' end, case when p_partkey % 5 = 0 then 'term-like-description' end, case when p_partkey % 7 = 0 then 'term-like-label' end)"""
+
+
+@query(f"select 'Q' || cast(p_partkey + 1000000 as string) as qid, {SIGNALS} as signals from part")
 def candidate_signals(spark, sf_dir):
     return _signalled(spark, sf_dir).select("qid", joined("signals"))
 
@@ -433,27 +436,60 @@ def claims_match_proposal(spark, sf_dir):
 
 def _audit(spark, sf_dir):
     signalled = _signalled(spark, sf_dir)
-    intent = signalled.filter("substring(qid, 8, 1) = '3'").select("qid", F.lit("edit").alias("decision"), F.when(F.substring("qid", 7, 1) == "2", "executed").otherwise("planned").alias("status"), F.lit("because").alias("rationale"))
-    claims_ = bound(spark, sf_dir, "claim_edits")
+    n = F.substring("qid", 2, 20).cast("bigint") - 1000000
+    intent = signalled.filter(n % 10 == 3).select("qid", F.lit("edit").alias("decision"), F.lit("because").alias("rationale"), F.array(F.lit("https://e.example/1")).alias("evidence_urls"))
     operations = bound(spark, sf_dir, "intent_edits").join(intent.select("qid"), "qid", "left_semi")
-    return signalled, intent, audit.build_audit(signalled, claims_, intent, operations)
+    planned = audit.build_audit(signalled, bound(spark, sf_dir, "claim_edits"), intent, operations, signalled.select("qid", (n * 10 + 1).alias("revision")))
+    kind = F.floor(n / 100) % 4
+    left = F.transform("proposed_claims", lambda c: F.struct(c["property"].alias("property"), c["value"].alias("value"), F.when(c["guid"] == "", "new").otherwise(c["guid"]).alias("guid"), c["rank"].alias("rank")))
+    made = planned.filter((n % 100 == 23) & (F.col("status") == "planned")).select(
+        "qid", F.when(kind == 2, F.array().cast(audit.CLAIM_LIST)).otherwise(left).alias("claims"), (F.col("old_revision") + F.when(kind == 1, 0).otherwise(1)).alias("revision")
+    )
+    return signalled, intent, audit.record_edits(planned, made)
+
+
+AUDIT = EDITS + f""", signalled as (select p_partkey as n, p_partkey // 100 % 4 as kind, 'Q' || cast(p_partkey + 1000000 as string) as qid, case when p_partkey % 7 = 0 then 'a property name' else p_name end as label, {SIGNALS} as signals, 'Q' || cast(p_size % 4 as string) as classes from part),
+mine as (select r.* from resolved r join signalled s on s.qid = r.qid where n % 10 = 3),
+proposed as (select qid, guid, property, value, rank from claim_edits c where not exists (select 1 from mine where error is null and action = 'remove' and mine.qid = c.qid and claim_guid = c.guid) union all select qid, '', property, value, 'normal' from mine where error is null and action = 'add'),
+b as (select qid, string_agg(property || '|' || value || '|' || guid || '|' || rank, ',' order by property, value, guid) as before_claims from claim_edits group by 1),
+p as (select qid, string_agg(property || '|' || value || '|' || guid || '|' || rank, ',' order by property, value, guid) as proposed_claims, string_agg(property || '|' || value || '|' || case guid when '' then 'new' else guid end || '|' || rank, ',' order by property, value, guid) as after_claims from proposed group by 1),
+audits as (select n, kind, s.qid, label, signals, case when n % 10 = 3 then 'edit' when n % 30 = 0 then 'exclude-locally' else 'retain' end as decision, case when n % 100 = 23 then 'executed' when n % 10 = 3 then 'planned' else 'no-edit' end as status,
+  case when n % 10 = 3 then 'because' when n % 30 = 0 then 'Exclude locally after source review against source class match(es) ' || classes || '. The reviewed record is not a standalone {audit.STANDALONE}. No additional Wikidata claim change is proposed.'
+  else 'Retain after review against source class match(es) ' || classes || ': ' || coalesce(nullif(concat_ws('; ', case when n % 9 = 0 then '{audit.OBSERVATIONS[("direct-part-of",)]}' end, case when n % 4 = 0 then '{audit.OBSERVATIONS[("fragment-homepage",)]}' end,
+    case when n % 5 = 0 or n % 7 = 0 then '{audit.OBSERVATIONS[("term-like-description", "term-like-label")]}' end), ''), '{audit.NO_OBSERVATION}') || '. No Wikidata claim change is proposed.' end as rationale,
+  action || '|' || m.property || '|' || m.value || '|' || coalesce(claim_guid, '') as operations, cast(case when error is null then 0 else 1 end as bigint) as edit_errors, before_claims, proposed_claims,
+  concat_ws(',', case when n % 10 = 3 then 'https://e.example/1' end, 'https://www.wikidata.org/wiki/' || s.qid, case when n % 4 = 0 then 'https://x/#a' else 'https://x/' end) as evidence_urls, n * 10 + 1 as old_revision,
+  case when n % 100 = 23 then case when kind = 2 then '' else after_claims end end as after_claims, case when n % 100 = 23 then n * 10 + case when kind = 1 then 1 else 2 end end as new_revision
+  from signalled s left join mine m on m.qid = s.qid left join b on b.qid = s.qid left join p on p.qid = s.qid where signals <> '')"""
+
+
+def _lines(column: str, *fields: str) -> F.Column:
+    return F.array_join(F.transform(column, lambda c: F.concat_ws("|", *(F.coalesce(c[f], F.lit("")) for f in fields))), ",").alias(column)
 
 
-@query()
+@query(AUDIT + " select * exclude (n, kind), 'https://www.wikidata.org/w/index.php?title=' || qid || '&diff=' || cast(new_revision as string) || '&oldid=' || cast(old_revision as string) as diff_url from audits")
 def build_audit(spark, sf_dir):
-    return _audit(spark, sf_dir)[2].select("qid", "label", joined("signals"), "decision", "status", "rationale", F.to_json("operations").alias("operations"), "edit_errors", F.to_json("before_claims").alias("before_claims"), F.to_json("proposed_claims").alias("proposed_claims"))
+    lists = {c: _lines(c, "property", "value", "guid", "rank") for c in ("before_claims", "proposed_claims", "after_claims")}
+    lists |= {"operations": _lines("operations", "action", "property", "value", "claim_guid"), "signals": joined("signals"), "evidence_urls": joined("evidence_urls")}
+    return _audit(spark, sf_dir)[2].withColumns(lists)
 
 
-@query()
+@query(AUDIT + " select case when done = 0 then 'review-first' when done = total then 'executed' else 'partially-executed' end as mode from (select count(*) filter (status = 'executed') as done from audits), (select count(*) as total from signalled where n % 10 = 3)")
 def audit_mode(spark, sf_dir):
     _, intent, rows = _audit(spark, sf_dir)
     return audit.audit_mode(rows, intent)
 
 
-@query()
+@query(AUDIT + """, held as (select * from audits where n % 10 <> 5)
+select 'candidate-missing' as code, qid as subject from audits where n % 10 = 5 union all select 'intent-missing', qid from signalled where n % 10 = 3 and signals = '' union all select 'operation-unresolved', qid from held where edit_errors > 0
+union all select 'planned-state', qid from held where status = 'planned' and operations is null union all select 'revision-evidence-missing', qid from held where status = 'executed' and after_claims is null
+union all select 'revision-not-advanced', qid from held where status = 'executed' and kind = 1 union all select 'diff-url-differs', qid from held where status = 'executed' and kind = 3
+union all select 'after-claims-differ', qid from held where status = 'executed' and kind = 2 and proposed_claims is not null""")
 def audit_checks(spark, sf_dir):
     signalled, intent, rows = _audit(spark, sf_dir)
-    return audit.audit_checks(rows.filter("substring(qid, 8, 1) <> '5'"), signalled, intent)
+    n = F.substring("qid", 2, 20).cast("bigint") - 1000000
+    changed = rows.withColumn("diff_url", F.when((n % 100 == 23) & (F.floor(n / 100) % 4 == 3), "https://else.example/").otherwise(F.col("diff_url")))
+    return audit.audit_checks(changed.filter(n % 10 != 5), signalled, intent)
 
 
 def _first_letter(batch):

@@ -293,7 +293,13 @@ def reasons_by_catalog(spark, sf_dir):
     return pages.reasons_by_catalog(survivors, items.select("dataset", F.col("canonicalUrl").alias("subject"), F.col("relatedTools")[0]["canonicalUrl"].alias("candidate"), reasons.alias("reasons")))
 
 
-@query()
+JSON_LD = f"""concat('{{"@context":"https://schema.org","@type":"', case dataset when 'software' then 'SoftwareApplication' else 'DefinedTermSet' end, '","@id":"', canonicalUrl, '","name":"', title, '","description":"', description, '","url":"', homepage, '","sameAs":"', wikidataId, '"',
+case when p_partkey % 3 = 0 then ',"alternateName":"' || upper(substr(p_name, 1, 4)) || '"' end, ',"license":"' || nullif({LIST_TEXT}, '') || '"', ',"isPartOf":{{"@type":"DataCatalog","name":"Catalog","url":"{BASE}"}},"softwareVersion":"', latestVersion, '"', ',"datePublished":"' || releaseDate || '"',
+',"codeRepository":"' || nullif(sourceRepo, '') || '"', ',"applicationCategory":"', softwareType, '","programmingLanguage":"', {LANG_TEXT}, '","creator":{{"@type":"Person","name":"Maker ', cast(p_partkey % 20 as string), '"}},"mentions":[',
+(select string_agg('{{"@type":"' || case dataset when 'software' then 'SoftwareApplication' else 'DefinedTermSet' end || '","@id":"{BASE}/' || dataset || '/part-' || cast(p_partkey + k as string) || '/","name":"Part ' || cast(p_partkey + k as string) || '"}}', ',' order by k) from (select unnest([2, 22]) as k)), ']}}')"""
+
+
+@query(sql("items", f"select dataset, qid, {JSON_LD} as json_ld from items where title is not null and homepage is not null"))
 def project_json_ld(spark, sf_dir):
     return pages.project_json_ld(catalog_items(spark, sf_dir), BASE, "Catalog")[0]
 
@@ -412,10 +418,15 @@ def check_known_records(spark, sf_dir):
     return gates.check_known_records(own, pinned).select("code", "subject")
 
 
-@query()
+@query(LINKS + """ select 'page-not-in-sitemap' as code, 'error' as severity, canonicalUrl as subject from survivors where p_partkey % 8 = 0
+union all select 'related-without-page', 'error', canonicalUrl from survivors s, (select unnest([2, 22]) as k) w where not exists (select 1 from links l where l.qid = s.qid and l.k = w.k)
+union all select 'page-mentions-differ', 'error', canonicalUrl from survivors s where p_partkey % 6 = 0 and (select count(*) from links l where l.qid = s.qid) < 2
+union all select 'page-lost', 'warning', qid from items where p_partkey % 3 <> 0 and homepage is not null and qid not in (select qid from survivors)""")
 def check_page_contracts(spark, sf_dir):
+    """Some pages keep mentions of targets that have no page."""
     items, survivors = _survivors(spark, sf_dir)
-    data, _ = pages.project_json_ld(pages.prune_related(survivors, survivors).drop("unchanged"), BASE, "Catalog")
+    shown = pages.prune_related(survivors, survivors).filter("p_partkey % 6 <> 0").unionByName(survivors.filter("p_partkey % 6 = 0"))
+    data, _ = pages.project_json_ld(shown.drop("unchanged"), BASE, "Catalog")
     named = data.join(survivors.select("dataset", "qid", "slug"), ["dataset", "qid"])
     made = named.select("dataset", "slug", F.concat(F.lit('<html><script type="application/ld+json">'), "json_ld", F.lit("</script></html>")).alias("html"))
     listed = pages.sitemap_entries(survivors.filter("p_partkey % 8 <> 0").select("dataset", "slug"), BASE, FIXED_PLACES)
@@ -581,7 +592,11 @@ def query_results(spark, sf_dir):
     return postings.query_results(postings.validate_feed_pages(_requests(spark, sf_dir), "short", page_size=29), 3)
 
 
-@query()
+# Records of one url are one group here, those without stable keys one of each visible form, and the rest stand alone.
+@query(sql("postings", r""", clean as (select *, case when canonicalUrl like 'https:%' then replace(regexp_replace(regexp_replace(canonicalUrl, '#.*$', ''), '\?utm_source=feed$', ''), '?page=2&ref=x', '?page=2') end as url from postings),
+groups as (select *, case when sourceRecordId is null then 'v' || concat_ws('|', sourceDataset, hiringOrganization, title, location) when url is not null then 'u' || url else 's' || id end as g from clean),
+ranked as (select *, row_number() over (partition by g order by sourceDataset, coalesce(sourceRecordId, ''), coalesce(url, ''), id) as n from groups)
+select id, sourceDataset, url as canonicalUrl, (select string_agg(distinct 'q' || cast(length(o.id) as string), ',' order by 'q' || cast(length(o.id) as string)) from groups o where o.g = ranked.g) as discoveredBy from ranked where n = 1""").replace(") , clean", "), clean"))
 def dedup_postings(spark, sf_dir):
     own = _postings(spark, sf_dir)
     kept = postings.dedup_postings(own.withColumn("canonicalUrl", c.canonical_url("canonicalUrl")).withColumn("sourceUrl", F.lit(None).cast("string")))
