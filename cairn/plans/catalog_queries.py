@@ -36,15 +36,29 @@ truthy as (select distinct subject as subject_qid, property as property_id, valu
 
 @query(sql("claims", "select subject, property, rank, datatype, value, guid from claims"))
 def read_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Claims as entity documents, and flat again."""
-    from ..sources.catalog import claims_of
+    """Claims as files of entity documents, and flat again."""
+    from ..session import new_folder
+    from ..sources.catalog import read_claims as flat_claims
 
-    flat = bound(spark, sf_dir, "claims")
+    flat, folder = bound(spark, sf_dir, "claims"), new_folder(spark, "entities")
     snak = F.struct("datatype", F.struct(F.to_json(F.struct(F.col("value").alias("id"))).alias("value")).alias("datavalue"))
     one = F.struct(F.col("guid").alias("id"), "rank", snak.alias("mainsnak"))
     by_property = flat.groupBy("subject", "property").agg(F.collect_list(one).alias("s"))
     entities = by_property.groupBy("subject").agg(F.map_from_entries(F.collect_list(F.struct("property", "s"))).alias("claims"))
-    return claims_of(entities.select(F.to_json(F.struct(F.col("subject").alias("id"), "claims")).alias("json")))
+    entities.select(F.to_json(F.struct(F.col("subject").alias("id"), "claims")).alias("value")).write.text(folder)
+    return flat_claims(spark, folder)
+
+
+@query("""select case when o_orderkey % 10 = 0 then 'order ' || cast(o_orderkey as string) end as json, case when o_orderkey % 10 <> 0 then 'Q' || cast(o_orderkey as string) end as subject, case when o_orderkey % 10 <> 0 then 'P1' end as property,
+case when o_orderkey % 10 <> 0 then 'g' || cast(o_orderkey as string) end as guid, case when o_orderkey % 10 = 0 then 'document' else 'statement' end as reason from orders where o_orderkey % 10 in (0, 2, 3)""")
+def rejected_claims(spark, sf_dir):
+    """Text that is no document, and statements without rank or datatype."""
+    from ..sources.catalog import rejected_claims as rejects
+
+    k, key = F.col("o_orderkey"), F.col("o_orderkey").cast("string")
+    statement = F.concat(F.lit('{"id":"g'), key, F.lit('"'), F.when(k % 10 != 2, F.lit(',"rank":"normal"')).otherwise(""), F.lit(',"mainsnak":{'), F.when(k % 10 != 3, F.lit('"datatype":"string"')).otherwise(""), F.lit("}}"))
+    document = F.concat(F.lit('{"id":"Q'), key, F.lit('","claims":{"P1":['), statement, F.lit("]}}"))
+    return rejects(spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.when(k % 10 == 0, F.concat(F.lit("order "), key)).otherwise(document).alias("json")))
 
 
 @query(sql("claims", "").rstrip() + TRUTHY + " select * from truthy")

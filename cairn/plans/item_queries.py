@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import columns as c
 from ..operators import gates, pages, postings, search, snapshot, triples
 from ..sources import catalog
+from ..session import new_folder
 from .bindings import BASE, bound, catalog_items, sql
 
 QUERIES: dict = {}
@@ -488,19 +489,28 @@ def check_partitions(spark, sf_dir):
     return snapshot.check_partitions(_files(spark, sf_dir), parts).select("code", "subject")
 
 
-@query("select count(*) as rows from part")
+@query("""with lines as (select sha256('{"p_brand":"' || p_brand || '","p_name":"' || p_name || '","p_partkey":' || cast(p_partkey as string) || ',"p_size":' || cast(p_size as string) || ',"p_type":"' || p_type || '"}') as h from part),
+sums as (select count(*) as n, sum(cast('0x' || substr(h, 1, 15) as bigint)) as a, sum(cast('0x' || substr(h, 16, 15) as bigint)) as b, sum(cast('0x' || substr(h, 31, 15) as bigint)) as c from lines)
+select n as rows, sha256(concat_ws(':', cast(n as string), cast(a as string), cast(b as string), cast(c as string))) as digest from sums""")
 def table_digest(spark, sf_dir):
-    return snapshot.table_digest(table(spark, sf_dir, "part")).select("rows")
+    return snapshot.table_digest(table(spark, sf_dir, "part"), ["p_retailprice"])
 
 
 # ---- triples
 
 
-@query(sql("items", f"""select 'title' as p, count(*) as n from items where title is not null union all select 'description', count(*) from items union all select 'homepage', count(*) from items where homepage is not null
-union all select 'wikidataId', count(*) from items union all select 'programmingLanguage', count(*) from items union all select 'license', count(*) from items where {LIST_TEXT} <> ''"""))
+NO_TAG = "cast(null as string) as datatype, cast(null as string) as lang"
+
+
+@query(sql("items", f"""select canonicalUrl as s, p, o, o_kind, datatype, lang from (
+select canonicalUrl, 'title' as p, title as o, 'literal' as o_kind, cast(null as string) as datatype, 'en' as lang from items union all select canonicalUrl, 'description', description, 'literal', null, 'en' from items
+union all select canonicalUrl, 'latestVersion', latestVersion, 'literal', null, null from items union all select canonicalUrl, 'releaseDate', releaseDate, 'literal', '{triples.XSD}date', null from items
+union all select canonicalUrl, 'wikidataId', wikidataId, 'iri', null, null from items union all select canonicalUrl, 'homepage', homepage, 'iri', null, null from items union all select canonicalUrl, 'sourceRepo', nullif(sourceRepo, ''), 'iri', null, null from items
+union all select canonicalUrl, 'namespaceURI', namespaceURI, 'iri', null, null from items union all select canonicalUrl, 'category', category, 'iri', null, null from items union all select canonicalUrl, 'softwareType', softwareType, 'iri', null, null from items
+union all select canonicalUrl, 'type', p_type, 'iri', null, null from items union all select canonicalUrl, 'license', nullif({LIST_TEXT}, ''), 'iri', null, null from items
+union all select canonicalUrl, 'programmingLanguage', {LANG_TEXT}, 'literal', null, null from items union all select canonicalUrl, 'alias', case when p_partkey % 3 = 0 then upper(substr(p_name, 1, 4)) end, 'literal', null, null from items) where o is not null"""))
 def records_to_triples(spark, sf_dir):
-    made = triples.records_to_triples(catalog_items(spark, sf_dir).drop("creators"))
-    return made.groupBy("p").agg(F.count("*").alias("n")).filter(F.col("p").isin("title", "description", "homepage", "wikidataId", "programmingLanguage", "license"))
+    return triples.records_to_triples(catalog_items(spark, sf_dir).drop("creators"))
 
 
 def _postings(spark, sf_dir):
@@ -510,10 +520,16 @@ def _postings(spark, sf_dir):
     return own.select(*((known | {k: v for k, v in empty.items() if k not in known})[f.name].cast(f.dataType).alias(f.name) for f in postings.posting_schema().fields))
 
 
-@query(sql("postings", "select 'hiringOrganization' as p, count(*) as n from postings union all select 'jobLocation', count(*) from postings union all select 'url', count(*) from postings where canonicalUrl is not null"))
+PLACE = "'_:n' || substr(sha256('place' || chr(31) || location), 1, 32)"
+EMPLOYER = "'k:employer-' || lower(replace(hiringOrganization, ' ', '-'))"
+
+
+@query(sql("postings", f"""select distinct s, p, o, o_kind, {NO_TAG} from (select 'k:posting-' || id as s, 'rdf:type' as p, 'JobPosting' as o, 'iri' as o_kind from postings union all select 'k:posting-' || id, 'title', title, 'literal' from postings
+union all select 'k:posting-' || id, 'url', canonicalUrl, 'iri' from postings union all select 'k:posting-' || id, 'hiringOrganization', {EMPLOYER}, 'iri' from postings union all select 'k:posting-' || id, 'classification', 'review', 'literal' from postings
+union all select 'k:posting-' || id, 'wasGeneratedBy', 'k:run-r1', 'iri' from postings union all select 'k:posting-' || id, 'jobLocation', {PLACE}, 'bnode' from postings union all select {EMPLOYER}, 'rdf:type', 'Employer', 'iri' from postings
+union all select {EMPLOYER}, 'name', hiringOrganization, 'literal' from postings union all select {PLACE}, 'rdf:type', 'Place', 'iri' from postings union all select {PLACE}, 'name', location, 'literal' from postings) where o is not null"""))
 def postings_to_triples(spark, sf_dir):
-    made = triples.postings_to_triples(_postings(spark, sf_dir).withColumn("classification", F.lit("review")), "r1", "k:")
-    return made.groupBy("p").agg(F.count("*").alias("n")).filter(F.col("p").isin("hiringOrganization", "jobLocation", "url"))
+    return triples.postings_to_triples(_postings(spark, sf_dir).withColumn("classification", F.lit("review")), "r1", "k:")
 
 
 @query(sql("items", f"select canonicalUrl, title, homepage, {LANG_TEXT} as programmingLanguages, dataset from items where title is not null"))
@@ -532,8 +548,18 @@ def merge_triples(spark, sf_dir):
 
 @query(sql("triples", "select distinct s, p, o, o_kind, datatype, case when o_kind = 'literal' and datatype is null then lang end as lang from triples"))
 def read_ntriples(spark, sf_dir):
-    """Triples as lines, and back."""
-    return catalog.from_ntriples(catalog.to_ntriples(bound(spark, sf_dir, "triples").distinct())).distinct()
+    """Triples as files of lines, and back."""
+    folder = new_folder(spark, "triples")
+    catalog.write_ntriples(bound(spark, sf_dir, "triples"), folder)
+    return catalog.read_ntriples(spark, folder)
+
+
+@query(sql("triples", """select '<' || s || '> <' || p || '> "' || o || '"' || coalesce('^^<' || datatype || '>', '') as value from triples where p = 'k:balance'"""))
+def rejected_ntriples(spark, sf_dir):
+    """Lines without their end."""
+    own = bound(spark, sf_dir, "triples")
+    broken = catalog.to_ntriples(own.filter("p = 'k:balance'")).select(F.regexp_replace("value", r" \.$", "").alias("value"))
+    return catalog.rejected_ntriples(catalog.to_ntriples(own.filter("p <> 'k:balance'")).unionByName(broken))
 
 
 # ---- postings
@@ -553,9 +579,13 @@ def _feed_pages(spark, sf_dir):
     return groups.select(F.lit("b").alias("source"), "request_no", F.lit("q").alias("query"), F.to_json(F.struct("jobs")).alias("json"))
 
 
-@query("select page_id as id, cast(floor(page_id / 10) as bigint) as request_no, cast(page_id % 10 as int) as pos from pages")
+@query("select page_id as id, cast(floor(page_id / 10) as bigint) as request_no, cast(page_id % 10 as int) as pos, 'q' as query, cast(floor(page_id / 10) as bigint) + 1 as current_page, page_id % 20 < 10 as has_next, 'Firm ' || cast(case when page_id % 9 <> 0 then page_id % 25 end as string) as company_name from pages")
 def read_feed(spark, sf_dir):
-    return catalog.postings_of(_feed_pages(spark, sf_dir), FEED, "jobs").select("id", "request_no", "pos")
+    """Captured requests as files, and their postings."""
+    folder, n = new_folder(spark, "feed"), F.col("request_no")
+    page = F.struct((n + 1).alias("current"), (n % 2 == 0).alias("has_next"))
+    _feed_pages(spark, sf_dir).select("request_no", "query", page.alias("page"), F.col("json").alias("body")).write.json(folder)
+    return catalog.read_feed(spark, folder, "b", FEED, "jobs").select("id", "request_no", "pos", "query", "current_page", "has_next", "company_name")
 
 
 @query("""select 'b-' || cast(page_id as string) as id, 'Job & ' || cast(page_id as string) as title, 'Text ' || cast(page_id as string) as description, case when page_id % 9 <> 0 then 'Firm ' || cast(page_id % 25 as string) end as hiringOrganization, 'a,b' as tags, cast(null as date) as datePosted,

@@ -9,15 +9,26 @@ from pyspark.sql import types as T
 CLAIM = "array<struct<id:string,rank:string,mainsnak:struct<datatype:string,datavalue:struct<value:string>>>>"
 
 
-def claims_of(entities: DataFrame) -> DataFrame:
-    """Flat claims of entity documents, a column ``json`` of text; malformed parts are left out."""
+def _statements(entities: DataFrame) -> DataFrame:
     entity = F.from_json("json", f"id string, claims map<string,{CLAIM}>")
     each = entities.select(entity.alias("e")).filter("e.id is not null").select(F.col("e.id").alias("subject"), F.explode("e.claims").alias("property", "statements"))
     flat = each.select("subject", "property", F.explode("statements").alias("s"))
     raw = F.col("s.mainsnak.datavalue.value")
     value = F.coalesce(F.get_json_object(raw, "$.id"), F.when(~F.startswith(raw, F.lit("{")), raw))
-    out = flat.select("subject", "property", F.col("s.rank").alias("rank"), F.col("s.mainsnak.datatype").alias("datatype"), value.alias("value"), F.col("s.id").alias("guid"))
-    return out.filter("rank is not null and datatype is not null")
+    return flat.select("subject", "property", F.col("s.rank").alias("rank"), F.col("s.mainsnak.datatype").alias("datatype"), value.alias("value"), F.col("s.id").alias("guid"))
+
+
+def claims_of(entities: DataFrame) -> DataFrame:
+    """Flat claims of entity documents, a column ``json`` of text; malformed parts are left to ``rejected_claims``."""
+    return _statements(entities).filter("rank is not null and datatype is not null")
+
+
+def rejected_claims(entities: DataFrame) -> DataFrame:
+    """``json, subject, property, guid, reason`` of documents without an id, and of statements without rank or datatype."""
+    none = lambda c: F.lit(None).cast("string").alias(c)
+    documents = entities.filter(F.from_json("json", "id string")["id"].isNull()).select("json", none("subject"), none("property"), none("guid"), F.lit("document").alias("reason"))
+    statements = _statements(entities).filter("rank is null or datatype is null").select(none("json"), "subject", "property", "guid", F.lit("statement").alias("reason"))
+    return documents.unionByName(statements)
 
 
 def read_claims(spark: SparkSession, path: str) -> DataFrame:
@@ -26,21 +37,27 @@ def read_claims(spark: SparkSession, path: str) -> DataFrame:
 
 
 def postings_of(pages: DataFrame, item: str, array: str, most: int | None = None) -> DataFrame:
-    """A row for each posting of response pages (``source, request_no, query, json``): its place and ``item`` (DDL) fields.
+    """A row for each posting of response pages (``source, request_no, query, json``, and what else is known of the page): its place and ``item`` (DDL) fields.
 
     ``most`` is a feed's own limit of records for a run, counted in the order of requests and places.
     """
     body = F.from_json("json", f"`{array}` array<struct<{item}>>")[array]
-    rows = pages.select("source", "request_no", "query", F.posexplode(body).alias("pos", "item"))
+    known = [c for c in pages.columns if c != "json"]
+    rows = pages.select(*known, F.posexplode(body).alias("pos", "item"))
     if most is not None:
         order = Window.partitionBy("source").orderBy("request_no", "pos")
         rows = rows.withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= most).drop("_n")
-    return rows.select("source", "request_no", "query", "pos", "item.*")
+    return rows.select(*known, "pos", "item.*")
+
+
+REQUEST = "request_no bigint, query string, page struct<current:bigint,last:bigint,total:bigint,has_next:boolean>, body string"
 
 
 def read_feed(spark: SparkSession, path: str, source: str, item: str, array: str, most: int | None = None) -> DataFrame:
-    """S2 from files of one response a line, in the order of file names."""
-    pages = spark.read.text(path).select(F.lit(source).alias("source"), F.input_file_name().alias("query"), F.monotonically_increasing_id().alias("request_no"), F.col("value").alias("json"))
+    """S2 from files of one captured request a line, ``{request_no, query, page: {current, last, total, has_next}, body}``, where the body is the response's text."""
+    captured = spark.read.schema(REQUEST).json(path)
+    page = {"current_page": "current", "last_page": "last", "total": "total", "has_next": "has_next"}
+    pages = captured.select(F.lit(source).alias("source"), "request_no", "query", *(F.col(f"page.{f}").alias(c) for c, f in page.items()), F.col("body").alias("json"))
     return postings_of(pages, item, array, most)
 
 
@@ -93,7 +110,7 @@ def to_ntriples(triples: DataFrame) -> DataFrame:
 
 
 def from_ntriples(lines: DataFrame) -> DataFrame:
-    """Triples of lines; lines that do not parse are left out."""
+    """Triples of lines; lines that do not parse are left to ``rejected_ntriples``."""
     at = lambda i: F.nullif(F.regexp_extract("value", _LITERAL, i), F.lit(""))
     parsed = lines.filter(F.col("value").rlike(_LITERAL)).select(at(1).alias("s"), at(2).alias("p"), at(3).alias("iri"), at(4).alias("node"), F.regexp_extract("value", _LITERAL, 5).alias("text"), at(6).alias("datatype"), at(7).alias("lang"))
     text = F.replace(F.col("text"), F.lit("\\\\"), F.lit("\x00"))
@@ -103,6 +120,11 @@ def from_ntriples(lines: DataFrame) -> DataFrame:
     return parsed.select(F.regexp_replace("s", "^<|>$", "").alias("s"), "p", F.coalesce("iri", "node", text).alias("o"), kind.alias("o_kind"), "datatype", "lang")
 
 
+def rejected_ntriples(lines: DataFrame) -> DataFrame:
+    """Lines that do not parse, but for empty ones and comments."""
+    return lines.filter(~F.col("value").rlike(_LITERAL) & ~F.col("value").rlike(r"^\s*(#|$)"))
+
+
 def write_ntriples(triples: DataFrame, path: str) -> None:
     to_ntriples(triples.distinct()).write.mode("overwrite").text(path)
 
