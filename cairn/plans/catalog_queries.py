@@ -254,7 +254,12 @@ def _scored(spark, sf_dir):
     return features, context, related.score_pairs(features, context)
 
 
-def _flat(scored):
+def _best(spark, sf_dir):
+    features = written(bound(spark, sf_dir, "features"), "features")
+    return related.best_related(features, related.similarity_context(features))
+
+
+def _flat():
     return F.array_join(F.array_sort("reasons"), ",").alias("reasons")
 
 
@@ -267,7 +272,7 @@ def related_candidates(spark, sf_dir):
 @query(SCORED + " select dataset, subject, candidate, reasons, score, score >= 60 as qualifies from scored")
 def score_pairs(spark, sf_dir):
     _, _, scored = _scored(spark, sf_dir)
-    return scored.select("dataset", "subject", "candidate", _flat(scored), F.col("score").cast("bigint").alias("score"), "qualifies")
+    return scored.select("dataset", "subject", "candidate", _flat(), F.col("score").cast("bigint").alias("score"), "qualifies")
 
 
 TOP = SCORED + ", ranked as (select *, row_number() over (partition by dataset, subject order by score desc, candidate) as rank from scored where score >= 60), top as (select * from ranked where rank <= 5)"
@@ -275,8 +280,7 @@ TOP = SCORED + ", ranked as (select *, row_number() over (partition by dataset,
 
 @query(TOP + " select dataset, subject, candidate, reasons, score, rank from top")
 def related_top_k(spark, sf_dir):
-    _, _, scored = _scored(spark, sf_dir)
-    return related.related_top_k(scored).select("dataset", "subject", "candidate", _flat(scored), F.col("score").cast("bigint").alias("score"), "rank")
+    return _best(spark, sf_dir).select("dataset", "subject", "candidate", _flat(), F.col("score").cast("bigint").alias("score"), "rank")
 
 
 @query(
@@ -316,23 +320,21 @@ def extract_features(spark, sf_dir):
 @query(TOP + """, named as (select t.dataset, t.subject, lower(p_name || ' ' || cast(p_partkey as string)) as fold, p_name || ' ' || cast(p_partkey as string) as title, 'u' || cast(p_partkey as string) as url from top t join part on t.candidate = 'p' || cast(p_partkey as string) where p_partkey % 13 <> 0)
 select dataset, subject, string_agg(title || '=' || url, ',' order by fold, url) as tools from named group by 1, 2""")
 def related_projection(spark, sf_dir):
-    _, _, scored = _scored(spark, sf_dir)
     items = bound(spark, sf_dir, "items").select("dataset", F.concat(F.lit("p"), F.col("p_partkey").cast("string")).alias("subject"), "title", F.concat(F.lit("u"), F.col("p_partkey").cast("string")).alias("canonicalUrl"))
-    out = related.related_projection(related.related_top_k(scored), items)
+    out = related.related_projection(_best(spark, sf_dir), items)
     return out.select("dataset", "subject", F.array_join(F.transform("relatedTools", lambda t: F.concat(t["title"], F.lit("="), t["canonicalUrl"])), ",").alias("tools"))
 
 
 @query(TOP + """, needed as (select 'Q' || cast(p_partkey as string) as subject_qid, 'uses' as property_id, 'Q' || cast(p_partkey + 2 as string) as object_qid, p_partkey from part where p_partkey % 50 < 25 and p_partkey + 2 <= (select max(p_partkey) from part))
 select subject_qid, property_id, object_qid from needed where p_partkey % 3 = 0 and not exists (select 1 from top where subject = 'p' || cast(p_partkey as string) and candidate = 'p' || cast(p_partkey + 2 as string))""")
 def verify_exemplars(spark, sf_dir):
-    _, _, scored = _scored(spark, sf_dir)
     part = spark.read.parquet(f"{sf_dir}/part.parquet")
     k = F.col("p_partkey")
     name = lambda c: F.concat(F.lit("Q"), c.cast("string"))
     exemplars = part.filter(k % 50 < 25).select(name(k).alias("subject_qid"), F.lit("uses").alias("property_id"), name(k + 2).alias("object_qid"))
     edges = part.filter(k % 3 == 0).select(name(k).alias("subject_qid"), F.lit("uses").alias("property_id"), name(k + 2).alias("object_qid"))
     own = part.select(name(k).alias("qid"), F.concat(F.lit("p"), k.cast("string")).alias("subject"), F.lit("h").alias("homepage"))
-    return related.verify_exemplars(related.related_top_k(scored), exemplars, own, edges)
+    return related.verify_exemplars(_best(spark, sf_dir), exemplars, own, edges)
 
 
 # ---- profiles

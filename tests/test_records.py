@@ -241,3 +241,76 @@ def test_unknown_labels_and_failing_batches(spark):
         return {q: t.upper() for q, t in batch} | {"Q9": "A"}
 
     assert sorted((r.qid, r.accepted) for r in audit.classify_missing(items, vocab, label, 1).collect()) == [("Q1", True), ("Q2", False), ("Q3", False)]
+
+
+def test_best_related_needs_no_pair_that_cannot_qualify(spark):
+    import random
+
+    chance, rows = random.Random(5), []
+    kinds = {"category": 3, "software_type": 3, "rdf_type": 2, "language": 3, "license": 2, "token": 12}
+    for i in range(60):
+        rows += [("d", f"s{i}", "entity", f"e{i}"), ("d", f"s{i}", "creator", f"c{chance.randrange(3)}"), ("d", f"s{i}", "creator", f"c{chance.randrange(3)}")]
+        rows += [("d", f"s{i}", kind, f"{kind}{chance.randrange(n)}") for kind, n in kinds.items() for _ in range(3 if kind == "token" else 1) if chance.random() < 0.7]
+        rows += [("d", f"s{i}", "repository", f"r{chance.randrange(20)}")] * (i % 3 == 0)
+    features = spark.createDataFrame(rows, "dataset string, subject string, kind string, key string").distinct()
+    context = related.similarity_context(features)
+    for config in (related.Config(), related.Config(threshold=55), related.Config(threshold=58)):
+        best = related.best_related(features, context, config)
+        whole = related.related_top_k(related.score_pairs(features, context, config))
+        columns = ("subject", "candidate", "score", "rank", "reasons", "components")
+        assert values(best, *columns) == values(whole, *columns)
+        assert best.count()
+
+
+AUDITED = "qid string, label string, signals array<string>, matched_classes array<string>, websites array<string>"
+
+
+def test_states_of_an_audit(spark):
+    ids = ("Q1", "Q2", "Q3", "Q4")
+    rows = [(q, "l", ["confirmed-exclusion"] if q == "Q3" else ["direct-part-of", "term-like-label"], ["C1", "C2"], ["https://x/"]) for q in ids]
+    signalled = spark.createDataFrame(rows, AUDITED)
+    intent = spark.createDataFrame([("Q1", "edit", "why", ["https://e/"]), ("Q2", "edit", "why", ["https://e/"])], "qid string, decision string, rationale string, evidence_urls array<string>")
+    before = spark.createDataFrame([(q, "g" + q, "P1", "a", "normal") for q in ids], CLAIMS)
+    operations = spark.createDataFrame([("Q1", "remove", "P1", "a"), ("Q2", "add", "P2", "b")], "qid string, action string, property string, value string")
+    revisions = spark.createDataFrame([(q, 7) for q in ids], "qid string, revision long")
+    planned = audit.build_audit(signalled, before, intent, operations, revisions)
+    said = {r.qid: r for r in planned.collect()}
+    assert [said[q].decision for q in ids] == ["edit", "edit", "exclude-locally", "retain"] and [said[q].status for q in ids] == ["planned", "planned", "no-edit", "no-edit"]
+    assert said["Q4"].rationale.startswith("Retain after review against source class match(es) C1, C2: the direct part-of") and "; term-like text" in said["Q4"].rationale
+    assert said["Q1"].evidence_urls == ["https://e/", "https://www.wikidata.org/wiki/Q1", "https://x/"] and said["Q1"].old_revision == 7
+    found = lambda rows: values(audit.audit_checks(rows, signalled, intent), "code", "subject")
+    assert found(planned) == []
+    edit = lambda claims, revision: audit.record_edits(planned, spark.createDataFrame([("Q2", claims, revision)], f"qid string, claims {audit.CLAIM_LIST}, revision long"))
+    good = [("P1", "a", "gQ2", "normal"), ("P2", "b", "new", "normal")]
+    assert found(edit(good, 8)) == []
+    assert found(edit(good, 7)) == [("revision-not-advanced", "Q2")]
+    assert found(edit(good[:1], 8)) == [("after-claims-differ", "Q2")]
+    assert found(edit(None, 8)) == [("revision-evidence-missing", "Q2")]
+    change = lambda name, value, who="Q2": planned.withColumn(name, F.when(F.col("qid") == who, value).otherwise(F.col(name)))
+    assert found(change("new_revision", F.lit(9).cast("bigint"))) == [("planned-state", "Q2")]
+    assert found(change("decision", F.lit("retain"), "Q3")) == [("decision-differs", "Q3")]
+    assert found(change("evidence_urls", F.array(F.lit("https://x/")))) == [("evidence-missing", "Q2")]
+    assert found(change("status", F.lit("planned"), "Q4")) == [("edit-unauthorized", "Q4"), ("planned-state", "Q4")]
+    assert found(change("proposed_claims", F.col("before_claims"), "Q1")) == [("proposal-differs", "Q1")]
+
+
+def test_mentions_of_a_page(spark):
+    base, url = "https://c.example", "https://c.example/software/"
+    tool = lambda n, title="T": (title + n, url + n + "/")
+    items = spark.createDataFrame(
+        [("software", "Q1", url + "a/", [tool("b"), tool("gone"), (" ", url + "c/")]), ("software", "Q2", url + "b/", [tool("gone")]), ("software", "Q3", url + "c/", [])],
+        "dataset string, qid string, canonicalUrl string, relatedTools array<struct<title:string,canonicalUrl:string>>",
+    )
+    right = '[{"@type":"SoftwareApplication","name":"Tb","@id":"https://c.example/software/b/"}]'
+    sitemap = items.select(F.col("canonicalUrl").alias("url"))
+
+    def found(a, b=None):
+        body = lambda n, m: f'<script type="application/ld+json">{{"@id":"{url}{n}/"{"" if m is None else ", " + chr(34) + "mentions" + chr(34) + ":" + m}}}</script>'
+        pages = spark.createDataFrame([("software", n, body(n, m)) for n, m in (("a", a), ("b", b), ("c", None))], "dataset string, slug string, html string")
+        out = gates.check_page_contracts(pages, items, sitemap, items.limit(0).select("dataset", "qid"), base)
+        return values(out.filter("code <> 'related-without-page'"), "code", "subject")
+
+    assert found(right) == []
+    differs = [("page-mentions-differ", url + "a/")]
+    assert found(None) == differs and found("[]") == differs and found(right.replace("Tb", "Tc")) == differs and found(right.replace('"name"', '"more":"x","name"')) == differs
+    assert found(right, "[]") == [("page-mentions-differ", url + "b/")]
