@@ -43,3 +43,34 @@ h as (select hosts.*, (d.mu * {m('d')} + d.k) / (d.n + {m('d')}) as mu from host
 beta as (select host, mu * {m('h')} + k as a, (1 - mu) * {m('h')} + n - k as b from h),
 judged as (select host, case when a / (a + b) - {z} * sqrt(a * b / ((a + b) ** 2 * (a + b + 1))) > {limit} then 'block' else 'allow' end as judged from beta)
 select page_id, named.host, path, {name.replace('host', 'named.host')} as rule, coalesce({said.replace('host', 'named.host')}, judged) as verdict from named join judged on named.host = judged.host"""
+
+_FINITE = "embedding is not null and list_bool_and(list_transform(embedding, lambda x: x is not null and isfinite(x)) || [true])"
+
+OP11 = f"""
+with one as (select vec_id, unnest(min({{'label': (case when vec_id % 7 = 0 then (label + 1) % 10 else label end)::bigint,
+    'q': list_transform(embedding, lambda x: greatest(-4194304, least(4194304, floor(x::double * 256)))::bigint)}})) from embeddings where vec_id is not null and label is not null and {_FINITE} group by vec_id),
+scored as (select a.vec_id as anchor_id, a.label as own, b.vec_id, b.label, list_dot_product(a.q::double[], b.q::double[])::bigint as score from one a join one b on a.vec_id % 50 = 0 and a.vec_id <> b.vec_id),
+positives as (select anchor_id, vec_id as positive_id, score as positive_score from scored where label = own qualify row_number() over (partition by anchor_id order by score desc, vec_id) <= 5)
+select anchor_id, positive_id, row_number() over (partition by anchor_id, positive_id order by score desc, vec_id)::int as rank, vec_id as negative_id, positive_score, score as negative_score
+from positives join scored using (anchor_id) where label <> own and 50 * positive_score <= 100 * score and 100 * score <= 95 * positive_score qualify rank <= 3"""
+
+
+def op12(rounds: int = 4, entries: int = 256, parts: int = 4) -> str:
+    place = f"(pos // (select (max(len(q)) + {parts - 1}) // {parts} from kept))"
+    steps = []
+    for r in range(rounds + 1):
+        steps.append(f"""near{r} as materialized (select id, part, min({{'d': d, 'entry': entry}}) as best from (
+    select p.id, p.part, c.entry, sum((p.v - c.v) * (p.v - c.v))::bigint as d from flat p join book{r} c on p.part = c.part and p.pos = c.pos group by 1, 2, 3) group by 1, 2)""")
+        if r < rounds:
+            steps.append(f"""book{r + 1} as materialized (select c.part, c.entry, c.pos, coalesce(m.v, c.v) as v from book{r} c left join (
+    select p.part, n.best.entry as entry, p.pos, floor(sum(p.v)::double / count(*))::bigint as v from flat p join near{r} n on p.id = n.id and p.part = n.part group by 1, 2, 3) m on c.part = m.part and c.entry = m.entry and c.pos = m.pos)""")
+    return f"""
+with kept as materialized (select row_number() over (order by vec_id, list_transform(embedding, lambda x: floor(x::double * 1024)::bigint), label) as id, vec_id, label, list_transform(embedding, lambda x: floor(x::double * 1024)::bigint) as q
+    from embeddings where {_FINITE}),
+flat as materialized (select id, {place} as part, pos, v from (select id, unnest(q) as v, generate_subscripts(q, 1) - 1 as pos from kept)),
+book0 as materialized (select part, id - 1 as entry, pos, v from flat where id <= {entries}),
+{', '.join(steps)},
+digest as (select sha256(string_agg(v::varchar, ',' order by part, entry, pos)) as codebooks_sha256 from book{rounds}),
+coded as (select id, string_agg(printf('%02x', best.entry::int), '' order by part) as code, sum(best.d)::bigint as error from near{rounds} group by 1),
+labels as (select label, sum(error)::bigint as label_error from coded join kept using (id) group by 1)
+select vec_id, code, error, label_error, codebooks_sha256 from coded join kept using (id) join labels on kept.label is not distinct from labels.label cross join digest"""

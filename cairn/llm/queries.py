@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, fair_mix, guess_cost, host_reputation, importance, isolation, oracle, simhash_pivot, transport_stream, tree_extract, warc_zip
+from . import bpe, fair_mix, guess_cost, hidden_markov, host_reputation, importance, isolation, oracle, shared_lists, simhash_pivot, transport_stream, tree_extract, walsh_codes, warc_zip
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -68,6 +68,18 @@ def op10_simhash_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_pivot.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op11_shared_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shared_lists.mine(table(spark, sf_dir, "embeddings"))
+
+
+def op12_walsh_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return walsh_codes.compressed(table(spark, sf_dir, "embeddings"))
+
+
+def op13_hidden_markov(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hidden_markov.score(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_guess_cost": op1_guess_cost,
     "op2_warc_zip": op2_warc_zip,
@@ -79,6 +91,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_importance": op8_importance,
     "op9_isolation": op9_isolation,
     "op10_simhash_pivot": op10_simhash_pivot,
+    "op11_shared_lists": op11_shared_lists,
+    "op12_walsh_codes": op12_walsh_codes,
+    "op13_hidden_markov": op13_hidden_markov,
 }
 
-SQL: dict[str, str] = {"op2_warc_zip": oracle.OP2, "op3_host_reputation": oracle.op3(URL_RULES)}
+SQL: dict[str, str] = {"op2_warc_zip": oracle.OP2, "op3_host_reputation": oracle.op3(URL_RULES), "op11_shared_lists": oracle.OP11, "op12_walsh_codes": oracle.op12()}
