@@ -36,7 +36,7 @@ from .textblock import flat, mixed, slices, span_hashes, word_spans
 
 STATES, CLASSES = 8, 1 << 14
 END, UNKNOWN = 0, 1
-PRIOR = 500.0
+PRIOR = 3000.0
 SLICE = 16 << 20
 SEGMENT, CHUNK, FIRST_CHUNK = 256, 256, 1024
 #: Tokens whose recursions run side by side; segments and rounds of the start; passes over all training documents.
