@@ -122,17 +122,18 @@ def test_one_state_without_passes_is_the_base(spark, sf_dir, monkeypatch):
         assert r.score == pytest.approx(r.base_score, rel=1e-9)
 
 
-def test_passes_raise_the_likelihood(spark, sf_dir):
+def test_passes_raise_the_posterior(spark, sf_dir):
+    """Of the model, its prior being the base's shares, given the training texts."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     rows = hm.written(hm.sliced(docs), "slices")
     words = hm.written(hm.counted(rows), "words")
     scores = []
-    for passes in (0, 1, 3):
+    for passes in (1, 2, 4):
         model, shares, *_ = hm.trained(rows, words, passes)
         own = np.concatenate([hm._class_tokens(r.asDict()) for r in rows.collect()])
         lengths = np.concatenate([np.frombuffer(r.lengths, np.int32) for r in rows.collect()]).astype(np.int64)
         train = np.concatenate([np.frombuffer(r.train, bool) for r in rows.collect()])
-        scores.append(hm.likelihoods(model, own[np.repeat(train, lengths)], lengths[train]).sum())
+        scores.append(hm.likelihoods(model, own[np.repeat(train, lengths)], lengths[train]).sum() + hm.PRIOR * (shares[shares > 0] * np.log(model["emission"][:, shares > 0])).sum())
         assert model["emission"].sum(1) == pytest.approx(1) and model["follow"].sum(1) == pytest.approx(1)
     assert scores == sorted(scores)
 
