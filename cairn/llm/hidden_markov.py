@@ -49,11 +49,22 @@ _LOWER[65:91] += 32
 # ---- slices of tokens
 
 
+def _hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, window: int = 1 << 20) -> np.ndarray:
+    """Hashes of the words, a window of bytes at a time: hashing takes some dozen bytes of memory a byte of text."""
+    out, first = np.empty(len(starts), np.uint64), 0
+    while first < len(starts):
+        last = max(first + 1, int(np.searchsorted(ends, starts[first] + window, "right")))
+        a, b = starts[first], ends[last - 1]
+        out[first:last] = span_hashes(_LOWER[data[a:b]], starts[first:last] - a, ends[first:last] - a)
+        first = last
+    return out
+
+
 def tokenized(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Tokens of all rows, row by row (0 the end, else 1 + place in the dictionary); tokens of each row; hashes of the dictionary's words."""
     data, offsets = flat(column)
     starts, ends, rows = word_spans(data, offsets)
-    keys, place = np.unique(span_hashes(_LOWER[data], starts, ends), return_inverse=True)
+    keys, place = np.unique(_hashes(data, starts, ends), return_inverse=True)
     lengths = np.bincount(rows, minlength=len(column)) + 1
     tokens = np.zeros(int(lengths.sum()), np.int32)
     tokens[np.arange(len(rows)) + rows] = place + 1
