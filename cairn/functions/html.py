@@ -12,9 +12,10 @@ from pyspark.sql import types as T
 # Tags that part words.
 BREAKS = frozenset("br div h1 h2 h3 h4 li p tr".split())
 
-# Comments and declarations, the text of scripts and styles (which is no markup, and counts as text), and tags.
+# Comments and declarations, the text of scripts and styles (which is no markup, and counts as text), and tags.  What is not closed goes on to the end of the
+# text, and no quantifier gives back what it took, so each character is read once or twice.
 _MARKUP = re.compile(
-    r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(script|style)\b[^>]*>(.*?)(?=</\1\b|\Z)|</?([a-zA-Z][^\s/>]*)(?:[^>\"']|\"[^\"]*\"|'[^']*')*>",
+    r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(script|style)\b[^>]*>(.*?)(?=</\1\b|\Z)|</?([a-zA-Z][^\s/>]*)(?:[^>\"']|\"[^\"]*+(?:\"|\Z)|'[^']*+(?:'|\Z))*+(?:>|\Z)",
     re.S | re.I,
 )
 

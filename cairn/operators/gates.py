@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import is_absolute_iri, is_bare_id, page_iri, page_type, present, qid
+from ..session import bounded, written
 
 # Limits of regressions.
 LOSS_ERROR, LOSS_WARNING, HOMEPAGE_WARNING, FIELD_DROP_WARNING = 0.10, 0.02, 0.30, 0.02
@@ -24,31 +25,89 @@ def _all(*parts: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
+SHAPES = "shape string, target_kind string, target string, path string, min_count int, max_count int, datatype string, node_kind string, class string, in_values array<string>, pattern string, min_length int, node string, min_inclusive double"
+
+
 def check_shapes(triples: DataFrame, shapes: DataFrame, class_property: str = "rdf:type") -> DataFrame:
-    """G1: ``shapes(shape, target_kind class|subjects_of, target, path, min_count, max_count, datatype, node_kind, class, in_values, pattern, min_length)``.
+    """G1: ``shapes`` has a row for each property of a shape, with the columns of ``SHAPES`` (``node`` and ``min_inclusive`` may be missing).
+
+    Targets are the instances of a class, the subjects of a property, or none: such a shape is only referred to.  Without a ``path`` a row is about the focus node itself.
+    Values are counted after one join by (subject, path), so a target without values is still seen.
 
-    A target's values are counted after one join by (subject, path), so a target without values is still seen.
+    A row with ``node`` asks that each value conforms to that shape.  Those pairs of value and shape are gathered outward from the targets, a round for each step between shapes,
+    and judged like targets; what does not conform then goes back along the same references, a join a round, until nothing new fails.  So a reference to a shape that refers back
+    (a cycle) fails only where some node on the way fails by itself.  Each value that does not conform is one ``node`` violation of the node that holds it; its own faults are listed where it is a target.
     """
-    small = F.broadcast(shapes)
+    shapes = shapes.withColumns({c: F.lit(None).cast(kind) for c, kind in (("node", "string"), ("min_inclusive", "double")) if c not in shapes.columns})
+    small = bounded(shapes, SHAPE_ROWS)
     classes = triples.filter(F.col("p") == class_property).select("s", F.col("o").alias("_class"))
-    by_class = classes.join(small.filter("target_kind = 'class'"), F.col("_class") == F.col("target")).drop("_class")
-    by_path = triples.select("s", F.col("p").alias("_p")).distinct().join(small.filter("target_kind = 'subjects_of'"), F.col("_p") == F.col("target")).drop("_p")
-    wanted = by_class.unionByName(by_path).distinct()
+    targets = bounded(shapes.select("shape", "target_kind", "target").distinct(), SHAPE_ROWS)
+    by_class = classes.join(targets.filter("target_kind = 'class'"), F.col("_class") == F.col("target")).select("s", "shape")
+    by_path = triples.select("s", F.col("p").alias("_p")).distinct().join(targets.filter("target_kind = 'subjects_of'"), F.col("_p") == F.col("target")).select("s", "shape")
+    focus = by_class.unionByName(by_path).distinct()
+    if shapes.filter("node is not null").isEmpty():
+        return _reported(_own_faults(focus, triples, classes, small))
+    focus = written(focus, "targets")
+    pairs, references = _referred(focus, triples, small)
+    faults = written(_own_faults(pairs, triples, classes, small), "faults")
+    failed = _failing(faults.select("s", "shape").distinct(), references)
+    nested = references.join(failed.select(F.col("s").alias("o"), F.col("shape").alias("node")), ["o", "node"], "left_semi").select(F.lit("node").alias("code"), "s", "shape", "path")
+    return _reported(faults.unionByName(nested).join(focus, ["s", "shape"], "left_semi"))
+
+
+#: Rows of a table of shapes, which is broadcast.
+SHAPE_ROWS = 100_000
+
+
+def _reported(faults: DataFrame) -> DataFrame:
+    return violations(faults, F.col("code"), "s", F.col("path"))
+
+
+def _referred(focus: DataFrame, triples: DataFrame, shapes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """All pairs ``s, shape`` to judge, and the references ``s, shape, path, o, node`` between them."""
+    wanted = shapes.filter("node is not null").select("shape", F.col("path").alias("_path"), "node")
+    pairs, references, new = focus, [], focus
+    while not references or not new.isEmpty():
+        asked = new.join(wanted, "shape")
+        values = asked.filter("_path is not null").join(triples.select("s", F.col("p").alias("_path"), "o"), ["s", "_path"]).select("s", "shape", F.col("_path").alias("path"), "o", "node")
+        itself = asked.filter("_path is null").select("s", "shape", F.col("_path").alias("path"), F.col("s").alias("o"), "node")
+        found = written(values.unionByName(itself).distinct(), "references")
+        references.append(found)
+        new = written(found.select(F.col("o").alias("s"), F.col("node").alias("shape")).distinct().join(pairs, ["s", "shape"], "left_anti"), "referred")
+        pairs = pairs.unionByName(new)
+    return pairs, _all(*references)
+
+
+def _failing(failed: DataFrame, references: DataFrame) -> DataFrame:
+    """The pairs that fail by themselves or through a reference to one that fails."""
+    new = failed = written(failed, "failed")
+    while not new.isEmpty():
+        back = references.join(new.select(F.col("s").alias("o"), F.col("shape").alias("node")), ["o", "node"], "left_semi").select("s", "shape").distinct()
+        new = written(back.join(failed, ["s", "shape"], "left_anti"), "failed")
+        failed = failed.unionByName(new)
+    return failed
+
+
+def _own_faults(focus: DataFrame, triples: DataFrame, classes: DataFrame, shapes: DataFrame) -> DataFrame:
+    """``code, s, shape, path`` of constraints that do not look into another shape."""
+    wanted = focus.join(shapes.drop("target_kind", "target", "node").distinct(), "shape")
     values = triples.select("s", F.col("p").alias("path"), "o", "o_kind", F.col("datatype").alias("_datatype"))
-    met = wanted.join(values, ["s", "path"], "left")
+    met = wanted.filter("path is not null").join(values, ["s", "path"], "left")
     counts = met.groupBy("s", "shape", "path", "min_count", "max_count").agg(F.count("o").alias("n"))
-    low = violations(counts.filter("n < min_count"), "min-count", "s", F.col("path"))
-    high = violations(counts.filter("n > max_count"), "max-count", "s", F.col("path"))
+    fault = lambda rows, code: rows.select(F.lit(code).alias("code"), "s", "shape", "path")
     have = met.filter("o is not null")
     kind = F.when(F.col("node_kind") == "iri", F.col("o_kind") != "iri").when(F.col("node_kind") == "literal", F.col("o_kind") != "literal").when(F.col("node_kind") == "bnode_or_iri", ~F.col("o_kind").isin("iri", "bnode"))
-    faults = {
+    least = F.col("o").try_cast("double") >= F.col("min_inclusive")
+    checks = {
         "datatype": F.col("datatype").isNotNull() & ~F.col("_datatype").eqNullSafe(F.col("datatype")), "node-kind": F.coalesce(kind, F.lit(False)),
         "in": F.col("in_values").isNotNull() & ~F.array_contains("in_values", F.col("o")), "pattern": F.col("pattern").isNotNull() & ~F.expr("o rlike pattern"),
-        "min-length": F.col("min_length").isNotNull() & (F.length("o") < F.col("min_length")),
+        "min-length": F.col("min_length").isNotNull() & (F.length("o") < F.col("min_length")), "min-inclusive": F.col("min_inclusive").isNotNull() & ~F.coalesce(least, F.lit(False)),
     }
-    each = [violations(have.filter(F.coalesce(cond, F.lit(False))), code, "s", F.col("path")) for code, cond in faults.items()]
-    typed = have.filter(F.col("class").isNotNull()).join(classes.select(F.col("s").alias("o"), F.col("_class").alias("class")).distinct(), ["o", "class"], "left_anti")
-    return _all(low, high, *each, violations(typed, "class", "s", F.col("path")))
+    each = [fault(have.filter(F.coalesce(cond, F.lit(False))), code) for code, cond in checks.items()]
+    itself = wanted.filter("path is null").withColumn("o", F.col("s")).select("s", "shape", "path", "o", "class")
+    typed = have.select("s", "shape", "path", "o", "class").unionByName(itself).filter(F.col("class").isNotNull())
+    untyped = typed.join(classes.select(F.col("s").alias("o"), F.col("_class").alias("class")).distinct(), ["o", "class"], "left_anti")
+    return _all(fault(counts.filter("n < min_count"), "min-count"), fault(counts.filter("n > max_count"), "max-count"), *each, fault(untyped, "class"))
 
 
 def check_declared_terms(triples: DataFrame, schema: DataFrame, namespace: str, class_property: str = "rdf:type") -> DataFrame:

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import functools
 import re
 import unicodedata
 from collections.abc import Iterator
 
+import ahocorasick
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -17,7 +19,7 @@ from ..functions.columns import (
 )
 from ..functions.html import html_text
 from ..functions.unicode import identity_form
-from ..session import written
+from ..session import bounded, written
 
 FIELDS = ("title", "description", "qualifications", "responsibilities")
 
@@ -256,34 +258,89 @@ def dedup_postings(records: DataFrame) -> DataFrame:
 # ---- evidence
 
 
-def _spans(text: str, patterns: list) -> Iterator[tuple[int, str, bool]]:
-    for i, pattern in patterns:
-        for m in pattern.finditer(text):
-            before = text[max(0, m.start() - NEGATION_WINDOW) : m.start()]
-            clause = re.split(r"[.!?;\n]", before)[-1].lower()
-            yield i, m[0], _NEGATED.search(clause) is not None
+_NEGATED = re.compile("|".join(rf"\b{re.escape(cue)}\b" for cue in NEGATIONS))
+#: Terms of a vocabulary, which is sent to all executors.
+TERMS = 200_000
 
 
-_NEGATED = re.compile("|".join(rf"\b{re.escape(cue)}\b" for cue in NEGATIONS))
+@functools.cache
+def _folds() -> dict[int, str]:
+    """Characters whose form without case is not their lower-case letter, and that form: one character each, so places stay."""
+    out = {}
+    for code in range(0x1E944):
+        char = chr(code)
+        form = char
+        for change in (str.upper, str.lower, str.casefold):
+            form = changed if len(changed := change(form)) == 1 else form
+        if form != char.lower() or char == "\u03a3":  # that letter's lower case depends on its place in a word
+            out[code] = form if code != 0x130 else "i"
+    return out
+
+
+def _folded(text: str) -> str:
+    return text.translate(_folds()).lower()
+
+
+class TermScanner:
+    """All matches of many terms as whole words in one scan: an automaton over the folded text, and a test of each place that it gives.
+
+    A match is one of the pattern ``\\bterm\\b``, with or without case; matches of one term do not overlap.
+    """
+
+    def __init__(self, terms: list[tuple[str, bool]]):
+        self.terms, by_form = terms, {}
+        for i, (text, _) in enumerate(terms):
+            if text:
+                by_form.setdefault(_folded(text), []).append(i)
+        self.automaton = ahocorasick.Automaton()
+        for form, own in by_form.items():
+            self.automaton.add_word(form, (len(form), own))
+        self.any = bool(by_form)
+        if self.any:
+            self.automaton.make_automaton()
+        self.patterns: dict[int, re.Pattern] = {}
+
+    def _pattern(self, i: int) -> re.Pattern:
+        if i not in self.patterns:  # only terms that occur are compiled
+            self.patterns[i] = re.compile(rf"\b{re.escape(self.terms[i][0])}\b", 0 if self.terms[i][1] else re.I)
+        return self.patterns[i]
+
+    def find(self, text: str) -> list[tuple[int, int, int]]:
+        """(term, start, end), by term and place."""
+        found, ends = [], {}
+        for last, (size, own) in self.automaton.iter(_folded(text)) if self.any else ():
+            start = last + 1 - size
+            for i in own:
+                if start >= ends.get(i, 0) and (m := self._pattern(i).match(text, start)):
+                    ends[i] = m.end()
+                    found.append((i, start, m.end()))
+        return sorted(found)
+
+
+def _negated(text: str, start: int) -> bool:
+    """Whether a cue of negation stands before the place, in its clause and window."""
+    before = text[max(0, start - NEGATION_WINDOW) : start]
+    return _NEGATED.search(re.split(r"[.!?;\n]", before)[-1].lower()) is not None
 
 
 def find_evidence(records: DataFrame, terms: DataFrame, key: str = "id") -> DataFrame:
     """A row for every match of every term in the four text fields: term columns, ``matched_phrase``, ``source_field``, ``field_no``, ``negated``.
 
-    ``terms`` (``text, case_sensitive, concept_uri, concept_label, concept_scheme, strength``) is a vocabulary, and is broadcast.
+    ``terms`` (``text, case_sensitive, concept_uri, concept_label, concept_scheme, strength``) is a vocabulary of ``TERMS`` rows at most, which goes to all executors; a text is scanned once for
+    all of them (``TermScanner``), so its cost is that of its length and its matches.  Empty terms match nothing.
     """
-    vocabulary = sorted(terms.collect(), key=lambda t: (t.concept_uri, t.text))
+    vocabulary = sorted(bounded(terms, TERMS).collect(), key=lambda t: (t.concept_uri, t.text))
     columns = ("concept_uri", "concept_label", "concept_scheme", "strength")
-    shared = records.sparkSession.sparkContext.broadcast([(t.text, t.case_sensitive, *(t[c] for c in columns)) for t in vocabulary])
+    shared = records.sparkSession.sparkContext.broadcast([(t.text or "", bool(t.case_sensitive), *(t[c] for c in columns)) for t in vocabulary])
     kind = records.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        patterns = [(i, re.compile(rf"\b{re.escape(t[0])}\b", 0 if t[1] else re.I)) for i, t in enumerate(shared.value)]
+        scanner = TermScanner([t[:2] for t in shared.value])
         for batch in batches:
             rows = []
             for k, no, text in zip(batch[key], batch["field_no"], batch["text"]):
                 clean = " ".join(unicodedata.normalize("NFC", text).split())
-                rows += [(k, *shared.value[i][2:], phrase, FIELDS[no], no, negated) for i, phrase, negated in _spans(clean, patterns)]
+                rows += [(k, *shared.value[i][2:], clean[a:b], FIELDS[no], no, _negated(clean, a)) for i, a, b in scanner.find(clean)]
             yield pd.DataFrame(rows, columns=[key, *columns, "matched_phrase", "source_field", "field_no", "negated"])
 
     texts = F.array(*(F.struct(F.lit(i).alias("field_no"), F.col(f).alias("text")) for i, f in enumerate(FIELDS) if f in records.columns))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -331,6 +333,51 @@ def check_shapes(spark, sf_dir):
     return gates.check_shapes(bound(spark, sf_dir, "triples"), shapes).select("code", "subject", "message")
 
 
+#: A supplier's nation must conform to the nation's shape, and that one's region to its own: two levels; a region refers back to its nations, and so closes a cycle.
+NESTED = [
+    {"shape": "supplier", "target_kind": "class", "target": "k:Supplier", "path": "k:nation", "min_count": 1, "node": "nation"}, {"shape": "supplier", "target_kind": "class", "target": "k:Supplier", "path": "k:rank", "min_inclusive": 3.0},
+    {"shape": "nation", "path": "k:region", "min_count": 1, "node": "region"}, {"shape": "nation", "path": "k:name", "min_length": 5}, {"shape": "region", "path": "k:name", "in_values": ["EUROPE", "ASIA", "AMERICA"]}, {"shape": "region", "path": "k:largest", "node": "nation"},
+]
+GRAPH = """graph as (select 'S' || s_suppkey as s, 'rdf:type' as p, 'k:Supplier' as o from supplier union all select 'S' || s_suppkey, 'k:nation', 'k:nation' || s_nationkey from supplier union all select 'S' || s_suppkey, 'k:rank', case when s_suppkey % 17 = 0 then 'n/a' else cast(s_suppkey % 8 as string) end from supplier
+union all select 'k:nation' || n_nationkey, 'k:name', n_name from nation union all select 'k:nation' || n_nationkey, 'k:region', 'k:region' || n_regionkey from nation union all select 'k:region' || r_regionkey, 'k:name', r_name from region
+union all select 'k:region' || n_regionkey, 'k:largest', 'k:nation' || max(n_nationkey) from nation group by n_regionkey)"""
+
+
+def _shapes(spark, rows):
+    return spark.createDataFrame([tuple(r.get(part.split()[0]) for part in gates.SHAPES.split(", ")) for r in rows], gates.SHAPES)
+
+
+@query("with " + GRAPH + """, region_bad as (select 'k:region' || r_regionkey as s from region where r_name not in ('EUROPE', 'ASIA', 'AMERICA') or exists (select 1 from graph g join nation n on g.o = 'k:nation' || n.n_nationkey where g.s = 'k:region' || r_regionkey and g.p = 'k:largest' and length(n_name) < 5)),
+nation_bad as (select 'k:nation' || n_nationkey as s from nation where length(n_name) < 5 or 'k:region' || n_regionkey in (select s from region_bad))
+select 'node' as code, s as subject, p as message from graph where p = 'k:nation' and o in (select s from nation_bad) union all select 'min-inclusive', s, p from graph where p = 'k:rank' and (try_cast(o as double) is null or try_cast(o as double) < 3)""")
+def check_nested_shapes(spark, sf_dir):
+    frames = {t: table(spark, sf_dir, t) for t in ("supplier", "nation", "region")}
+    graph = spark.sql("with " + re.sub(r"\bfrom (supplier|nation|region)\b", r"from {\1}", GRAPH) + " select s, p, o, 'literal' as o_kind, cast(null as string) as datatype from graph", **frames)
+    return gates.check_shapes(graph, _shapes(spark, NESTED)).select("code", "subject", "message")
+
+
+#: The constraints of postings, employers and evidence.
+POSTING_SHAPES = [
+    *({"shape": "posting", "target_kind": "class", "target": "JobPosting", "path": p, "min_count": 1, "max_count": 1} for p in ("title", "description", "url")), {"shape": "posting", "target_kind": "class", "target": "JobPosting", "path": "hiringOrganization", "min_count": 1, "max_count": 1, "class": "Employer"},
+    {"shape": "posting", "target_kind": "class", "target": "JobPosting", "path": "classification", "min_count": 1, "max_count": 1, "in_values": ["qualified", "review", "not_match"]}, {"shape": "posting", "target_kind": "class", "target": "JobPosting", "path": "evidence", "node": "evidence"},
+    {"shape": "evidence", "path": "concept", "min_count": 1, "max_count": 1, "node_kind": "iri"}, {"shape": "evidence", "path": "matchedPhrase", "min_count": 1, "max_count": 1, "min_length": 1},
+    {"shape": "evidence", "path": "sourceField", "min_count": 1, "max_count": 1, "in_values": ["title", "description", "qualifications", "responsibilities"]}, {"shape": "evidence", "path": "negated", "min_count": 1, "max_count": 1, "datatype": triples.XSD + "boolean"},
+    {"shape": "employer", "target_kind": "class", "target": "Employer", "path": "name", "min_count": 1, "max_count": 1},
+]
+
+
+@query(sql("postings", """select 'min-count' as code, 'k:posting-' || id as subject, 'url' as message from postings where canonicalUrl is null union all select 'min-count', 'k:posting-' || id, 'description' from postings where length(title) % 2 = 0
+union all select 'in', 'k:posting-' || id, 'classification' from postings where title = 'Job 9' union all select 'node', 'k:posting-' || id, 'evidence' from postings where title in ('Job 3', 'Job 5')"""))
+def check_posting_shapes(spark, sf_dir):
+    """The graph that is built of postings, against the shapes of postings, employers and evidence."""
+    title = F.col("title")
+    evidence = F.array(F.struct(
+        F.lit("k:concept").alias("concept_uri"), F.when(title != "Job 5", title).alias("matched_phrase"), F.when(title == "Job 3", "footer").otherwise("title").alias("source_field"), F.lit(False).alias("negated"),
+    ))
+    named = _postings(spark, sf_dir).withColumns({"description": F.when(F.length("title") % 2 == 1, F.col("title")), "classification": F.when(title == "Job 9", "perhaps").otherwise("review"), "evidence": evidence})
+    return gates.check_shapes(triples.postings_to_triples(named, "r1", "k:"), _shapes(spark, POSTING_SHAPES)).select("code", "subject", "message")
+
+
 @query(sql("triples", "select distinct 'undeclared-predicate' as code, p as subject from triples where p = 'k:segment' union all select distinct 'undeclared-class', o from triples where p = 'rdf:type' and o = 'k:Nation'"))
 def check_declared_terms(spark, sf_dir):
     schema = spark.createDataFrame([("k:name",), ("k:nation",), ("k:balance",), ("k:Supplier",)], "term string")

@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _own: dict[str, str] = {}
 
@@ -49,6 +50,17 @@ def delete(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
+#: Rows of a vocabulary, term list, shape table or the like, which are sent to all executors.
+VOCABULARY_ROWS = 1_000_000
+
+
+def bounded(df: DataFrame, most: int = VOCABULARY_ROWS) -> DataFrame:
+    """``df`` for a broadcast, after a check that it has ``most`` rows or fewer."""
+    if (rows := df.limit(most + 1).count()) > most:
+        raise ValueError(f"a table of over {most} rows ({rows} seen) is too large to broadcast")
+    return F.broadcast(df)
+
+
 def fresh_name(df: DataFrame, name: str) -> str:
     """``name``, with underscores until no column of ``df`` has it (Spark compares names without case)."""
     taken = {c.lower() for c in df.columns}
