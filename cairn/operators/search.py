@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import YEARLY, generation_of, spaced, vector_id
 from ..functions.unicode import natural_key
+from ..session import written
 
 SEPARATOR = "\x1f"
 # Labels and columns of the projection, in order, and how to reach names inside structs.
@@ -148,33 +149,73 @@ def limit_results(results: DataFrame, limit: int | None, default: int = 20, most
 
 
 def _terms(query: Column) -> Column:
-    return F.filter(F.split(F.lower(spaced(query)), " "), lambda t: t != "")
+    return F.array_distinct(F.filter(F.split(F.lower(spaced(query)), " "), lambda t: t != ""))
+
+
+def grams(text: Column, size: int) -> Column:
+    """The distinct runs of ``size`` characters, in time linear in the text."""
+    chars = F.filter(F.split(text, ""), lambda c: c != "")
+    runs = F.transform(F.sequence(F.lit(0), F.size(chars) - size), lambda i: F.array_join(F.slice(chars, i + 1, size), ""))
+    return F.when(F.size(chars) >= size, F.array_distinct(runs)).otherwise(F.array().cast("array<string>"))
+
+
+GRAM = 3
+
+
+def gram_index(items: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``gram, position``: the inverted index of ``_low`` texts, of the grams in ``wanted`` (``gram``)."""
+    sizes = sorted(r[0] for r in wanted.select(F.length("gram")).distinct().collect())
+    every = F.concat(*(grams(F.col("_low"), n) for n in sizes)) if sizes else F.array().cast("array<string>")
+    return items.select("position", F.explode(every).alias("gram")).join(wanted, "gram", "left_semi")
+
+
+def text_candidates(items: DataFrame, asked: DataFrame) -> DataFrame:
+    """``query_id, position`` of items (``position, _low``) that may hold all ``_terms`` of a query: a superset, by the index.
+
+    A query's grams are those of three letters of its terms, and terms of one or two letters as they are.  The posting list of the rarest one gives
+    candidates, and the list of the next rarest is looked up for those alone, by gram and item; so no step is larger than the rarest list.  A query with a gram that no item has has no candidate.
+    """
+    of_term = lambda t: F.when(F.length(t) < GRAM, F.array(t)).otherwise(grams(t, GRAM))
+    own = written(asked.select("query_id", F.explode(F.array_distinct(F.flatten(F.transform("_terms", of_term)))).alias("gram")).distinct(), "query-grams")
+    index = written(gram_index(items, own.select("gram").distinct()), "postings")
+    counted = own.join(index.groupBy("gram").count(), "gram", "left").withColumn("count", F.coalesce("count", F.lit(0)))
+    ranked = counted.withColumn("place", F.row_number().over(Window.partitionBy("query_id").orderBy("count", "gram"))).filter("place <= 2")
+    first, second = (ranked.filter(F.col("place") == n).select("query_id", "gram") for n in (1, 2))
+    met = first.join(index, "gram").select("query_id", "position").join(second.withColumnRenamed("gram", "next"), "query_id", "left")
+    # A query of one gram alone needs no second list.
+    looked = met.join(index.select(F.col("gram").alias("next"), F.col("position")), ["next", "position"], "left_semi")
+    return looked.select("query_id", "position").unionByName(met.filter("next is null").select("query_id", "position")).distinct()
 
 
 def _limited(matches: DataFrame, limit: int) -> DataFrame:
-    own = Window.partitionBy("query_id")
-    return matches.withColumns({"total": F.count("*").over(own), "rank": F.row_number().over(own.orderBy("position"))}).filter(F.col("rank") <= limit)
+    """Each query's first ``limit`` positions, ``rank``, and ``total``, which is counted before they are ranked: no window holds all matches of a query."""
+    matches = written(matches, "matches")
+    first = matches.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("position"))).filter(F.col("rank") <= limit)
+    return first.join(matches.groupBy("query_id").agg(F.count("*").alias("total")), "query_id").select("query_id", "position", "total", "rank")
 
 
 def text_search(items: DataFrame, queries: DataFrame, limit: int = 20) -> DataFrame:
     """Q1: ``query_id, position, total, rank`` of items that hold an identifier equal to the query or all its words.
 
-    ``items`` has ``position, projection, identifiers, category, dataset``; ``queries(query_id, q, category, dataset)`` is a batch of questions, each held
-    against every item: a small batch goes to all items, a large one meets them block by block, as Spark measures it.  Categories compare without case; the total counts before the limit.
+    ``items`` has ``position, projection, identifiers, category, dataset``; ``queries(query_id, q, category, dataset)`` is a batch of questions.  Candidates come
+    from an index of the projections' letters (``text_candidates``) and, by an equi-join, from identifiers; each is then verified on the whole text.  Categories compare without case; the total counts before the limit.
     """
-    asked = queries.select("query_id", F.lower(spaced("q")).alias("_q"), _terms(F.col("q")).alias("_terms"), F.col("category").alias("_category"), F.col("dataset").alias("_dataset")).filter("_q <> ''")
+    asked = queries.select("query_id", F.lower(spaced("q")).alias("_q"), _terms(F.col("q")).alias("_terms"), F.lower("category").alias("_category"), F.col("dataset").alias("_dataset")).filter("_q <> ''")
     low = items.withColumn("_low", F.lower("projection"))
+    named = low.select("position", F.explode("identifiers").alias("_q")).join(asked.select("query_id", "_q"), "_q").select("query_id", "position")
+    candidates = named.unionByName(text_candidates(low, asked)).distinct()
     hit = F.array_contains("identifiers", F.col("_q")) | F.forall("_terms", lambda t: F.contains("_low", t))
-    fits = (F.col("_category").isNull() | (F.lower("category") == F.lower("_category"))) & (F.col("_dataset").isNull() | (F.col("dataset") == F.col("_dataset")))
-    return _limited(low.join(asked, hit & fits).select("query_id", "position"), limit)
+    fits = (F.col("_category").isNull() | (F.lower("category") == F.col("_category"))) & (F.col("_dataset").isNull() | (F.col("dataset") == F.col("_dataset")))
+    return _limited(candidates.join(asked, "query_id").join(low, "position").filter(hit & fits).select("query_id", "position"), limit)
 
 
 def text_search_plain(items: DataFrame, queries: DataFrame, limit: int = 20) -> DataFrame:
     """Q2: words only, no identifiers; the total counts what the limit leaves."""
-    asked = queries.select("query_id", _terms(F.col("q")).alias("_terms"), F.col("category").alias("_category")).filter(F.size("_terms") > 0)
+    asked = queries.select("query_id", _terms(F.col("q")).alias("_terms"), F.lower("category").alias("_category")).filter(F.size("_terms") > 0)
     low = items.withColumn("_low", F.lower("projection"))
-    fits = F.col("_category").isNull() | (F.lower("category") == F.lower("_category"))
-    found = _limited(low.join(asked, F.forall("_terms", lambda t: F.contains("_low", t)) & fits).select("query_id", "position"), limit)
+    fits = F.col("_category").isNull() | (F.lower("category") == F.col("_category"))
+    hit = F.forall("_terms", lambda t: F.contains("_low", t))
+    found = _limited(text_candidates(low, asked).join(asked, "query_id").join(low, "position").filter(hit & fits).select("query_id", "position"), limit)
     return found.withColumn("total", F.count("*").over(Window.partitionBy("query_id")))
 
 
