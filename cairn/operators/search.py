@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -234,26 +236,146 @@ def browse(items: DataFrame, q: str = "", category: str | None = None, sort: str
 # ---- vectors
 
 
-def _norm(v: Column) -> Column:
-    return F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
+#: Vectors that centroids are fitted on, most lists, vectors and queries of a task.
+SAMPLE, LISTS, BLOCK, ASKED = 4_000, 256, 32_768, 4_096
 
 
-def vector_top_k(queries: DataFrame, vectors: DataFrame, k: int, generation: str | None = None, by: list[str] | None = None) -> DataFrame:
-    """``query_id, id, score, rank``: the ``k`` nearest by cosine, ties by id; ``by``: columns that a query may fix (null: any).
+def _unit(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """Vectors as rows of doubles, and their norms."""
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    rows = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1) if len(column) else np.zeros((0, 0))
+    return rows, np.sqrt((rows * rows).sum(1))
 
-    A small batch of queries goes to the vectors, which stay where they are; a large one meets them block by block, as Spark measures it.  Each partition keeps
-    its best before the ranks are made.
+
+def _fitted(sample: np.ndarray, norms: np.ndarray, count: int, rounds: int = 5) -> np.ndarray:
+    """Directions of unit length by spherical k-means from evenly spaced rows."""
+    unit = sample[norms > 0] / norms[norms > 0, None]
+    if not len(unit):
+        return np.eye(1, sample.shape[1])
+    now = unit[np.linspace(0, len(unit) - 1, min(count, len(unit))).astype(int)]
+    for _ in range(rounds):
+        nearest = (unit @ now.T).argmax(1)
+        sums = np.zeros_like(now)
+        np.add.at(sums, nearest, unit)
+        size = np.sqrt((sums**2).sum(1, keepdims=True))
+        now = np.where(size > 1e-12, sums / np.maximum(size, 1e-300), now)
+    return now
+
+
+def _angles(rows: np.ndarray, norms: np.ndarray, centroids: np.ndarray) -> np.ndarray:
+    """Angles of rows to centroids; zero vectors are at a right angle to everything, as their score is zero."""
+    return np.where(norms[:, None] > 0, np.arccos(np.clip(rows @ centroids.T / np.maximum(norms, 1e-300)[:, None], -1, 1)), np.pi / 2)
+
+
+def vector_lists(vectors: DataFrame, centroids: np.ndarray, keep: list[str]) -> DataFrame:
+    """Every row with its ``list``, the nearest centroid, and ``angle`` to it: the inverted lists."""
+
+    def run(batches):
+        for batch in batches:
+            rows, norms = _unit(batch.column("values"))
+            angle = _angles(rows, norms, centroids) if len(rows) else np.zeros((0, 1))
+            near = angle.argmin(1)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(near.astype(np.int32)), pa.array(angle[np.arange(len(near)), near])], [*batch.schema.names, "list", "angle"])
+
+    fields = ", ".join(f"`{c}` {vectors.schema[c].dataType.simpleString()}" for c in keep)
+    return vectors.select(*keep).mapInArrow(run, f"{fields}, list int, angle double")
+
+
+def _best_of_list(asked: pa.Table, rows: pa.Table, k: int, by: list[str]) -> pa.Table:
+    """The ``k`` best rows of one block of a list for each query, among those that the triangle inequality leaves: an angle between two vectors is at least the difference of theirs to the centroid."""
+    queries, own = _unit(asked.column("values"))
+    vectors, norms = _unit(rows.column("values"))
+    angle, to, floor = rows.column("angle").to_numpy(), asked.column("angle").to_numpy(), asked.column("floor").to_numpy()
+    fits = [(asked.column(c).to_pylist(), np.array(rows.column(c).to_pylist(), object)) for c in by]
+    names = np.array(rows.column("id").to_pylist(), object)
+    out, compared = ([], [], []), []
+    for i in range(len(queries)):
+        bound = np.cos(np.abs(angle - to[i])) + 1e-9
+        take = (bound >= floor[i]) | (norms == 0) | (own[i] == 0)
+        for asks, has in fits:
+            if asks[i] is not None:
+                take &= has == asks[i]
+        place = np.flatnonzero(take)
+        scale = norms[place] * own[i]
+        # Summed row by row, not by a matrix product, so equal vectors have equal scores wherever they stand.
+        score = np.where(scale > 0, (vectors[place] * queries[i]).sum(1) / np.where(scale > 0, scale, 1.0), 0.0) if len(place) else np.zeros(0)
+        if len(score) > k:
+            least = np.partition(score, -k)[-k]
+            held = score >= least
+            place, score = place[held], score[held]
+        order = sorted(range(len(place)), key=lambda j: (-score[j], names[place[j]]))[:k]
+        out[0].extend([asked.column("query_id")[i].as_py()] * len(order))
+        out[1].extend(names[place[order]].tolist())
+        out[2].extend(score[order].tolist())
+        compared.append(int(take.sum()))
+    return pa.table([pa.array(out[0], asked.schema.field("query_id").type), pa.array(out[1], rows.schema.field("id").type), pa.array(out[2], pa.float64()), pa.array(_counted(compared, out[0], asked), pa.int64())], ["query_id", "id", "score", "compared"])
+
+
+def _counted(compared: list[int], found: list, asked: pa.Table) -> list[int]:
+    """The pairs compared of each query, on its first row; zero on others."""
+    left = dict(zip(asked.column("query_id").to_pylist(), compared))
+    return [left.pop(q, 0) for q in found]
+
+
+def vector_top_k(queries: DataFrame, vectors: DataFrame, k: int, generation: str | None = None, by: list[str] | None = None, compared: bool = False) -> DataFrame:
+    """``query_id, id, score, rank``: the ``k`` nearest by cosine, ties by id, exactly; ``by``: columns that a query may fix (null: any).
+
+    Inverted lists around centroids hold every vector; the centroids are fitted on ``SAMPLE`` vectors, about the root of their number, ``LISTS`` at most.  A query first reads
+    its own list, which gives a score that its k-th result reaches at least; then only those lists, and in them only those vectors, whose angle to the centroid allows that score, by the triangle
+    inequality.  Vectors without structure, such as random ones of many dimensions, allow it nearly everywhere: then all pairs are compared, in blocks.  A list of more than ``BLOCK`` vectors is several
+    blocks, so a hot list is no task.  Zero vectors have the score 0; rows without a vector, or with a null or NaN component, take no part.  ``compared`` adds the pairs that were compared, for each query.
     """
+    by = list(by or ())
     pool = vectors if generation is None else vectors.filter(F.col("namespace") == generation)
-    asked = queries.withColumnsRenamed({"values": "_q", **{c: f"_{c}" for c in by or ()}}).withColumn("_qn", _norm(F.col("_q")))
-    fits = F.lit(True)
-    for c in by or ():
-        fits = fits & (F.col(f"_{c}").isNull() | F.col(f"_{c}").eqNullSafe(F.col(c)))
-    pairs = pool.withColumn("_vn", _norm(F.col("values"))).join(asked, fits)
-    dot = F.aggregate(F.zip_with("values", "_q", lambda a, b: a.cast("double") * b.cast("double")), F.lit(0.0), lambda a, x: a + x)
-    score = F.coalesce(dot / F.nullif(F.col("_vn") * F.col("_qn"), F.lit(0.0)), F.lit(0.0))
-    best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "id")
-    return pairs.select("query_id", "id", score.alias("score")).withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
+    whole = F.coalesce(F.forall("values", lambda x: x.isNotNull() & ~F.isnan(x)), F.lit(False))
+    pool = pool.select("id", "values", *by).filter(whole)
+    total = pool.count()
+    sample, norms = _unit(pool.select("values").orderBy(F.xxhash64("id"), "id").limit(SAMPLE).toArrow().column("values"))
+    if not total or not sample.shape[1]:
+        empty = queries.select("query_id", F.lit(None).cast(vectors.schema["id"].dataType).alias("id"), F.lit(0.0).alias("score"), F.lit(1).alias("rank")).filter("false")
+        return empty.withColumn("compared", F.lit(0).cast("bigint")) if compared else empty
+    centroids = _fitted(sample, norms, min(LISTS, int(np.ceil(np.sqrt(total) / 2))))
+    lists = written(vector_lists(pool, centroids, ["id", "values", *by]), "lists")
+    counts, least, most = np.ones(len(centroids), int), np.full(len(centroids), 9.0), np.full(len(centroids), 9.0)
+    for at, n, low, high in lists.groupBy("list").agg(F.count("*"), F.min("angle"), F.max("angle")).collect():  # a row a list
+        counts[at], least[at], most[at] = -(-n // BLOCK), low, high
+    of_list = lambda values: F.element_at(F.array(*(F.lit(v) for v in values.tolist())), F.col("list") + 1)
+
+    def run(batches):
+        for batch in batches:
+            rows, own = _unit(batch.column("values"))
+            angle = _angles(rows, own, centroids) if len(rows) else np.zeros((0, len(centroids)))
+            flat = pa.ListArray.from_arrays(pa.array(np.arange(len(angle) + 1, dtype=np.int32) * len(centroids)), pa.array(angle.ravel()))
+            yield batch.append_column("angles", flat).append_column("home", pa.array(angle.argmin(1).astype(np.int32)))
+
+    names = ["query_id", "values", *by]
+    fields = ", ".join(f"`{c}` {queries.schema[c].dataType.simpleString()}" for c in names)
+    asked = queries.select(*names).filter(whole).mapInArrow(run, f"{fields}, angles array<double>, home int")
+    parts = max(1, -(-queries.count() // ASKED))
+    rows = lists.withColumn("block", F.pmod(F.xxhash64("id"), of_list(counts)).cast("int"))
+    kinds = f"query_id {queries.schema['query_id'].dataType.simpleString()}, id {vectors.schema['id'].dataType.simpleString()}, score double, compared bigint"
+
+    def searched(wanted: DataFrame) -> DataFrame:
+        """Of ``wanted``, queries with a ``list``, the ``angle`` to it, and a ``floor``."""
+        dealt = wanted.withColumn("block", F.explode(F.sequence(F.lit(0), of_list(counts) - 1)))
+        dealt = dealt.select(*names, "list", "block", "floor", "angle", F.pmod(F.xxhash64("query_id"), F.lit(parts)).cast("int").alias("part"))
+        spread = rows.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+        found = dealt.groupBy("list", "block", "part").cogroup(spread.groupBy("list", "block", "part"))
+        return found.applyInArrow(lambda left, right: _best_of_list(left, right, k, by), kinds)
+
+    at_home = asked.withColumn("list", F.col("home")).withColumns({"floor": F.lit(-2.0), "angle": F.element_at("angles", F.col("list") + 1)})
+    near = written(searched(at_home), "near")
+    top = lambda rows_: rows_.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "id"))).filter(F.col("rank") <= k)
+    kth = top(near).groupBy("query_id").agg(F.when(F.count("*") >= k, F.min("score")).otherwise(-2.0).alias("its_floor"))
+    known = asked.join(kth.withColumnRenamed("query_id", "its_id"), F.col("query_id") == F.col("its_id"), "left").withColumn("floor", F.coalesce("its_floor", F.lit(-2.0)))
+    others = known.select(*names, "home", "floor", F.posexplode("angles").alias("list", "angle")).filter("list <> home")
+    # An angle to any vector of a list is at least what the list's range of angles leaves.
+    others = others.filter(F.cos(F.greatest(F.lit(0.0), F.col("angle") - of_list(most), of_list(least) - F.col("angle"))) + 1e-9 >= F.col("floor"))
+    found = near.unionByName(searched(others))
+    if not compared:
+        return top(found).select("query_id", "id", "score", "rank")
+    found = written(found, "found")
+    return top(found).select("query_id", "id", "score", "rank").join(found.groupBy("query_id").agg(F.sum("compared").alias("compared")), "query_id")
 
 
 def representatives(vectors: DataFrame, k: int = 5) -> DataFrame:
