@@ -18,8 +18,9 @@ from ..functions.columns import (
     NEGATION_WINDOW, NEGATIONS, canonical_url, date_only, finite_bound, lines_digest, present, salary_range, salary_text, slugify, sorted_strings, spaced, unix_date,
 )
 from ..functions.html import html_text
-from ..functions.unicode import identity_form
+from ..functions.unicode import casefolded, identity_form
 from ..session import bounded, written
+from .ordered import chain_ends, previous_of_key
 
 FIELDS = ("title", "description", "qualifications", "responsibilities")
 
@@ -183,76 +184,32 @@ def query_results(pages: DataFrame, declared: int, multi: bool = True) -> DataFr
 # ---- de-duplication
 
 
-def _keys(r: dict) -> tuple[str | None, list[str]]:
-    return (f"s\x1f{r['sourceDataset'] or ''}\x1f{r['_rid']}" if r["_rid"] else None), [u for u in dict.fromkeys((r["_url"], r["_surl"])) if u]
-
-
-def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows in order of component and of the rule: each joins the first representative that owns one of its keys, and hands it all of them.
-
-    Only the owners of one component's keys and its representatives' lists are held.
-    """
-    component, owner, found = None, {}, {}
-    rows, lists = [], []
-
-    def close() -> None:
-        rows.extend(found)
-        lists.extend(sorted(v, key=lambda t: (t.casefold(), t)) for v in found.values())
-
-    def out() -> pa.RecordBatch:
-        made = pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), pa.array(lists, pa.list_(pa.string()))], ["_row", "discoveredBy"])
-        rows.clear()
-        lists.clear()
-        return made
-
-    for batch in batches:
-        for r in batch.to_pylist():
-            if r["component"] != component:
-                close()
-                if len(rows) >= 5000:
-                    yield out()
-                component, owner, found = r["component"], {}, {}
-            source, urls = _keys(r)
-            print_ = f"f\x1f{r['_fp']}" if r["_fp"] else None
-            own = [k for k in (source, print_) if k] + [f"u\x1f{u}" for u in urls]
-            if not own:
-                own = [f"v\x1f{r['sourceDataset'] or ''}\x1f{r['_org']}\x1f{r['_title']}\x1f{r['_loc']}"]
-            kept = next((owner[k] for k in own if k in owner), r["_row"])
-            owner.update(dict.fromkeys(own, kept))
-            found.setdefault(kept, set()).update(x for x in r["discoveredBy"] or () if x is not None)
-    close()
-    yield out()
-
-
 def dedup_postings(records: DataFrame) -> DataFrame:
     """One row of each group of copies, ``discoveredBy`` united; independent of the order of rows.
 
-    A record joins the first earlier one that owns its (source, id), fingerprint or url; visible fields count only without those.  Records that share
-    no chain of keys never meet, so that rule runs inside key-connected components, over a stream of their sorted key rows.
+    In the order of (dataset, source id, fingerprint, url, id) a record joins what the first of its keys says that an earlier record had: (source, id), fingerprint, urls; visible
+    fields count only without those.  A key stands for whatever the last record that had it belongs to.  So each record has at most one parent, the record before it by that key,
+    and the first of its group is the end of its chain of parents.  Parents come from one sort of all keys over all tasks (``previous_of_key``), ends from rounds by the logarithm of the longest
+    chain (``chain_ends``): neither a component nor a hot key is a task.  Records that tie in the whole order are taken as they come.
     """
     folded = {"_rid": "sourceRecordId", "_fp": "canonicalFingerprint", "_url": "canonicalUrl", "_surl": "sourceUrl", "_org": "hiringOrganization", "_title": "title", "_loc": "location"}
-    named = written(records.withColumn("_row", F.monotonically_increasing_id()).withColumns({k: identity_form(v) for k, v in folded.items()}), "postings")
+    order = ("sourceDataset", "sourceRecordId", "canonicalFingerprint", "canonicalUrl", "id")
+    ranks = {f"_o{i}": F.coalesce(F.col(c), F.lit("")) for i, c in enumerate(order)}
+    in_order = records.withColumns({k: identity_form(v) for k, v in folded.items()} | ranks).repartitionByRange(*ranks).sortWithinPartitions(*ranks)
+    named = written(in_order.withColumn("_row", F.monotonically_increasing_id()).drop(*ranks), "postings")
     source = F.coalesce("sourceDataset", F.lit(""))
     key = lambda kind, *cols: F.when(F.col(cols[-1] if kind != "v" else "_row").isNotNull(), F.concat_ws("\x1f", F.lit(kind), *[source if c == "s" else F.coalesce(c, F.lit("")) for c in cols]))
     stable = F.coalesce("_rid", "_fp", "_url", "_surl").isNotNull()
-    keys = F.array_compact(F.array(key("s", "s", "_rid"), key("f", "_fp"), key("u", "_url"), key("u", "_surl")))
+    keys = F.array_distinct(F.array_compact(F.array(key("s", "s", "_rid"), key("f", "_fp"), key("u", "_url"), key("u", "_surl"))))
     keys = F.when(stable, keys).otherwise(F.array(key("v", "s", "_org", "_title", "_loc")))
-    links = written(named.select("_row", F.explode(keys).alias("key")).distinct(), "keys")
-    label = written(named.select("_row", F.col("_row").alias("component")), "components")
-    while True:  # the smallest row over shared keys, and then the label of that label
-        by_key = links.join(label, "_row").groupBy("key").agg(F.min("component").alias("component"))
-        lower = links.join(by_key, "key").groupBy("_row").agg(F.min("component").alias("component"))
-        jump = lower.join(label.select(F.col("_row").alias("component"), F.col("component").alias("_next")), "component")
-        after = written(jump.select("_row", F.least("component", "_next").alias("component")), "components")
-        if after.join(label.withColumnRenamed("component", "_old"), "_row").filter("component < _old").isEmpty():
-            break
-        label = after
-    order = ("sourceDataset", "sourceRecordId", "canonicalFingerprint", "canonicalUrl", "id")
-    raw = [F.coalesce(F.col(c), F.lit("")) for c in order]
-    small = named.join(label, "_row").select("component", "_row", "discoveredBy", "sourceDataset", *folded, *(c.alias(f"_o{i}") for i, c in enumerate(raw)))
-    in_order = small.repartition("component").sortWithinPartitions("component", *(f"_o{i}" for i in range(len(raw))))
-    merged = in_order.mapInArrow(_merged, "_row bigint, discoveredBy array<string>")
-    return named.drop("discoveredBy", *folded).join(merged, "_row").select(*records.columns)
+    before = previous_of_key(named.select("_row", F.posexplode(keys).alias("_place", "_key")), "_key", "_row").filter("before is not null")
+    parents = before.groupBy(F.col("_row").alias("node")).agg(F.min_by("before", "_place").alias("parent"))
+    roots = written(chain_ends(parents), "roots").withColumnRenamed("node", "_row")
+    member = named.select("_row", F.explode("discoveredBy").alias("_by")).filter("_by is not null").join(roots, "_row", "left").select(F.coalesce("root", "_row").alias("_row"), "_by").distinct()
+    pairs = member.withColumn("_fold", casefolded("_by")).groupBy("_row").agg(F.array_sort(F.collect_list(F.struct("_fold", "_by"))).alias("_pairs"))
+    kept = named.join(roots, "_row", "left_anti").join(pairs, "_row", "left")
+    united = F.coalesce(F.transform("_pairs", lambda p: p["_by"]), F.array().cast("array<string>"))
+    return kept.withColumn("discoveredBy", united).select(*records.columns)
 
 
 # ---- evidence

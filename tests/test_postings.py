@@ -6,7 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from cairn.operators import postings
+from cairn.operators import ordered, postings
 from cairn.sources import catalog
 from cairn.streaming import refresh
 
@@ -100,6 +100,32 @@ def test_copies_equal_the_sequential_rule_in_any_order(spark, seed):
         assert sorted((r.id, tuple(r.discoveredBy)) for r in got) == want
 
 
+def test_a_large_component_goes_over_many_tasks(spark):
+    """3,000 records in one chain of keys, and a key of a third of them: equal to the sequential rule; no task reads the component."""
+    n = 3000
+    rows = [(f"i{k:05}", "d0", f"r{k // 2}", f"f{(k + 1) // 2}", "https://hot.example/" if k % 3 == 0 else None, None, None, None, None, [f"q{k % 5}"]) for k in range(n)]
+    got = postings.dedup_postings(spark.createDataFrame(rows, ROW).repartition(6))
+    assert sorted((r.id, tuple(r.discoveredBy)) for r in got.collect()) == plain_dedup(rows)
+
+
+@pytest.mark.parametrize("parts", [1, 4, 50])
+def test_predecessors_and_ends(spark, parts):
+    spark.conf.set("spark.sql.shuffle.partitions", str(parts))
+    try:
+        rows = [(chance_key, k) for k in range(400) for chance_key in ({"hot"} if k % 3 == 0 else set()) | {f"k{k % 7}", f"z{k // 40}"}]
+        got = {(r.key, r.n): r.before for r in ordered.previous_of_key(spark.createDataFrame(rows, "key string, n bigint"), "key", "n").collect()}
+        last, want = {}, {}
+        for key, k in sorted(rows, key=lambda r: r[1]):
+            want[key, k] = last.get(key)
+            last[key] = k
+        assert got == want
+        pointers = [(k, k - 1) for k in range(1, 700)] + [(k, 5000) for k in range(5001, 5050)] + [(9000, 350)]
+        ends = {r.node: r.root for r in ordered.chain_ends(spark.createDataFrame(pointers, "node bigint, parent bigint")).collect()}
+        assert ends == {k: 0 for k in range(1, 700)} | {k: 5000 for k in range(5001, 5050)} | {9000: 0}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+
+
 TERMS = [("owl", False, "k:owl", "Owl", "S", "strong"), ("OWL", True, "k:owl2", "Owl2", "S", "contextual"), ("graph", False, "k:graph", "Graph", "S", "contextual"), ("sparql", False, "k:sparql", "Sparql", "S", "contextual")]
 
 
