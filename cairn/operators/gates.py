@@ -94,20 +94,21 @@ def _own_faults(focus: DataFrame, triples: DataFrame, classes: DataFrame, shapes
     values = triples.select("s", F.col("p").alias("path"), "o", "o_kind", F.col("datatype").alias("_datatype"))
     met = wanted.filter("path is not null").join(values, ["s", "path"], "left")
     counts = met.groupBy("s", "shape", "path", "min_count", "max_count").agg(F.count("o").alias("n"))
-    fault = lambda rows, code: rows.select(F.lit(code).alias("code"), "s", "shape", "path")
+    fault = lambda rows, code: rows.select(code.alias("code"), "s", "shape", "path")
+    number = F.array_compact(F.array(F.when(F.col("n") < F.col("min_count"), F.lit("min-count")), F.when(F.col("n") > F.col("max_count"), F.lit("max-count"))))
     have = met.filter("o is not null")
     kind = F.when(F.col("node_kind") == "iri", F.col("o_kind") != "iri").when(F.col("node_kind") == "literal", F.col("o_kind") != "literal").when(F.col("node_kind") == "bnode_or_iri", ~F.col("o_kind").isin("iri", "bnode"))
     least = F.col("o").try_cast("double") >= F.col("min_inclusive")
     checks = {
-        "datatype": F.col("datatype").isNotNull() & ~F.col("_datatype").eqNullSafe(F.col("datatype")), "node-kind": F.coalesce(kind, F.lit(False)),
+        "datatype": F.col("datatype").isNotNull() & ~F.col("_datatype").eqNullSafe(F.col("datatype")), "node-kind": kind,
         "in": F.col("in_values").isNotNull() & ~F.array_contains("in_values", F.col("o")), "pattern": F.col("pattern").isNotNull() & ~F.expr("o rlike pattern"),
         "min-length": F.col("min_length").isNotNull() & (F.length("o") < F.col("min_length")), "min-inclusive": F.col("min_inclusive").isNotNull() & ~F.coalesce(least, F.lit(False)),
     }
-    each = [fault(have.filter(F.coalesce(cond, F.lit(False))), code) for code, cond in checks.items()]
+    codes = F.array_compact(F.array(*(F.when(cond, F.lit(code)) for code, cond in checks.items())))  # one pass over the values
     itself = wanted.filter("path is null").withColumn("o", F.col("s")).select("s", "shape", "path", "o", "class")
     typed = have.select("s", "shape", "path", "o", "class").unionByName(itself).filter(F.col("class").isNotNull())
     untyped = typed.join(classes.select(F.col("s").alias("o"), F.col("_class").alias("class")).distinct(), ["o", "class"], "left_anti")
-    return _all(fault(counts.filter("n < min_count"), "min-count"), fault(counts.filter("n > max_count"), "max-count"), *each, fault(untyped, "class"))
+    return _all(fault(counts, F.explode(number)), fault(have, F.explode(codes)), fault(untyped, F.lit("class")))
 
 
 def check_declared_terms(triples: DataFrame, schema: DataFrame, namespace: str, class_property: str = "rdf:type") -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import columns as c
 from ..operators import gates, pages, postings, search, snapshot, triples
 from ..sources import catalog
-from ..session import new_folder
+from ..session import new_folder, written
 from .bindings import BASE, bound, catalog_items, sql
 
 QUERIES: dict = {}
@@ -375,7 +375,8 @@ def check_posting_shapes(spark, sf_dir):
         F.lit("k:concept").alias("concept_uri"), F.when(title != "Job 5", title).alias("matched_phrase"), F.when(title == "Job 3", "footer").otherwise("title").alias("source_field"), F.lit(False).alias("negated"),
     ))
     named = _postings(spark, sf_dir).withColumns({"description": F.when(F.length("title") % 2 == 1, F.col("title")), "classification": F.when(title == "Job 9", "perhaps").otherwise("review"), "evidence": evidence})
-    return gates.check_shapes(triples.postings_to_triples(named, "r1", "k:"), _shapes(spark, POSTING_SHAPES)).select("code", "subject", "message")
+    graph = written(triples.postings_to_triples(named, "r1", "k:"), "graph")  # built once, read by each check
+    return gates.check_shapes(graph, _shapes(spark, POSTING_SHAPES)).select("code", "subject", "message")
 
 
 @query(sql("triples", "select distinct 'undeclared-predicate' as code, p as subject from triples where p = 'k:segment' union all select distinct 'undeclared-class', o from triples where p = 'rdf:type' and o = 'k:Nation'"))
