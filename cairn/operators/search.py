@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.columns import YEARLY, generation_of, spaced, vector_id
 from ..functions.unicode import natural_key
 from ..session import written
+from .ordered import numbered, rows_between
 
 SEPARATOR = "\x1f"
 # Labels and columns of the projection, in order, and how to reach names inside structs.
@@ -123,14 +124,18 @@ def best_search_term(title: Column, aliases: Column) -> Column:
 # ---- sorting and pages
 
 
-def sort_items(items: DataFrame, key: Column, order: str = "asc", numeric: bool = False, tie: str = "qid") -> DataFrame:
-    """Missing values last either way; numbers and dates by value, texts naturally without case and accents; ties by title, then by the id ``tie``."""
+def sort_keys(items: DataFrame, key: Column, order: str = "asc", numeric: bool = False, tie: str = "qid") -> tuple[DataFrame, list[tuple[str, bool]]]:
+    """Items with the columns of W4's order, and that order: (column, descending)."""
     missing = key.isNull() if numeric else F.coalesce(F.trim(key.cast("string")) == "", F.lit(True))
     value = key if numeric else natural_key(key.cast("string"))
     named = items.withColumns({"_missing": missing, "_value": value, "_title": natural_key(F.coalesce("title", F.lit("")))})
-    by = F.col("_value").desc() if order == "desc" else F.col("_value").asc()
-    ends = [tie] if tie in items.columns else []
-    return named.orderBy("_missing", by, "_title", *ends).drop("_missing", "_value", "_title")
+    return named, [("_missing", False), ("_value", order == "desc"), ("_title", False), *([(tie, False)] if tie in items.columns else [])]
+
+
+def sort_items(items: DataFrame, key: Column, order: str = "asc", numeric: bool = False, tie: str = "qid") -> DataFrame:
+    """Missing values last either way; numbers and dates by value, texts naturally without case and accents; ties by title, then by the id ``tie``."""
+    named, by = sort_keys(items, key, order, numeric, tie)
+    return named.orderBy(*(F.col(c).desc() if down else F.col(c).asc() for c, down in by)).drop("_missing", "_value", "_title")
 
 
 def page_of(total: int, page: int, size: int = 50) -> tuple[int, int]:
@@ -139,10 +144,10 @@ def page_of(total: int, page: int, size: int = 50) -> tuple[int, int]:
     return min(max(1, page), pages), pages
 
 
-def paginate(ordered: DataFrame, page: int, size: int = 50) -> DataFrame:
-    """One page of an ordered table, the last one for numbers beyond it."""
-    at, _ = page_of(ordered.count(), page, size)
-    return ordered.offset((at - 1) * size).limit(size)
+def paginate(items: DataFrame, by: list[tuple[str, bool]], page: int, size: int = 50) -> DataFrame:
+    """One page of a table in the order ``by`` (column, descending), the last one for numbers beyond it; earlier pages are counted, not sorted (``rows_between``)."""
+    at, _ = page_of(items.count(), page, size)
+    return rows_between(items, by, (at - 1) * size, at * size)
 
 
 def limit_results(results: DataFrame, limit: int | None, default: int = 20, most: int = 50) -> DataFrame:
@@ -230,7 +235,7 @@ def browse(items: DataFrame, q: str = "", category: str | None = None, sort: str
     found = items if category is None else items.filter(F.col("category") == category)
     for word in q.lower().split():
         found = found.filter(F.contains("search_text", F.lit(word)))
-    return paginate(sort_items(found, F.col(sort), order, SORTS[sort]), page, size)
+    return paginate(*sort_keys(found, F.col(sort), order, SORTS[sort]), page, size).drop("_missing", "_value", "_title")
 
 
 # ---- vectors
@@ -447,7 +452,7 @@ def inventory_diff(expected: DataFrame, actual: DataFrame) -> DataFrame:
 def obsolete_generations(vectors: DataFrame, retained: DataFrame, batch: int = 100) -> DataFrame:
     """``generation_id, id, batch`` of qualified ids of generations that are not retained (``generation_id, ready``).
 
-    A retained generation that is not ready refuses the whole operation.
+    A retained generation that is not ready refuses the whole operation.  Ids are numbered by one sort over all tasks, so a generation of all vectors is no task of its own.
     """
     if not 1 <= batch <= 100:
         raise ValueError("a batch has 1 to 100 ids")
@@ -455,8 +460,8 @@ def obsolete_generations(vectors: DataFrame, retained: DataFrame, batch: int = 1
         raise ValueError("a retained generation is not ready")
     named = vectors.select("id", generation_of("id").alias("generation_id")).filter("generation_id is not null")
     gone = named.join(retained.select("generation_id"), "generation_id", "left_anti")
-    number = F.row_number().over(Window.partitionBy("generation_id").orderBy("id"))
-    return gone.select("generation_id", "id", F.floor((number - 1) / batch).cast("bigint").alias("batch"))
+    counted = numbered(gone, "generation_id", "id")
+    return counted.select("generation_id", "id", F.floor((F.col("number") - 1) / batch).cast("bigint").alias("batch"))
 
 
 def check_vectors(vectors: DataFrame, expected: DataFrame, generation: str) -> DataFrame:

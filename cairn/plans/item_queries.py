@@ -118,7 +118,7 @@ def sort_items(spark, sf_dir):
 
 @query("select event_id, ts from (select event_id, ts from events order by ts, event_id limit 50 offset 150)")
 def paginate(spark, sf_dir):
-    return search.paginate(table(spark, sf_dir, "events").orderBy("ts", "event_id"), 4).select("event_id", "ts")
+    return search.paginate(table(spark, sf_dir, "events"), [("ts", False), ("event_id", False)], 4).select("event_id", "ts")
 
 
 @query("select event_id from events order by ts desc, event_id limit 50")

@@ -85,10 +85,16 @@ def append_query_log(spark, sf_dir):
 
 @query(sql("log", r"""select session, ts, tab, query from (select *, coalesce(lag(mark) over (partition by session order by ts, event_id), '') as before from (select session, ts, event_id, tab, q, case when trim(q) = '' then null when contains(q, '@') then '[redacted]' else replace(regexp_replace(lower(q), ' +', ' ', 'g'), '!', '') end as query, case when trim(q) = '' then '' else tab || '|' || case when contains(q, '@') then '[redacted]' else replace(regexp_replace(lower(q), ' +', ' ', 'g'), '!', '') end end as mark from log)) where query is not null and mark <> before"""))
 def query_log_stream(spark, sf_dir):
-    """One batch, so that the order inside a session is that of time."""
-    stream = _streamed(bound(spark, sf_dir, "log").select("session", "ts", "tab", "q"), "searches", 1)
+    """Several batches out of order; a search far in the future, of no session and without text, moves the watermark past all others."""
+    searches = bound(spark, sf_dir, "log").select("session", "ts", "event_id", "tab", "q")
+    last = searches.agg(F.lit("").alias("session"), (F.max("ts") + F.expr("interval 400 days")).alias("ts"), F.lit(-1).cast("bigint").alias("event_id"), F.lit("").alias("tab"), F.lit(None).cast("string").alias("q"))
+    folder = new_folder(spark, "searches")
+    searches.withColumn("event_id", F.col("event_id").cast("bigint")).repartition(4, "event_id").write.parquet(folder)
+    last.write.mode("append").parquet(folder)
+    stream = spark.readStream.schema(last.schema).parquet(folder)
     out = new_folder(spark, "searched")
-    refresh.query_log_stream(stream).writeStream.format("parquet").option("path", out).option("checkpointLocation", new_folder(spark, "checkpoint")).trigger(availableNow=True).start().awaitTermination()
+    logged = refresh.query_log_stream(stream, "event_id")
+    logged.writeStream.format("parquet").option("path", out).option("checkpointLocation", new_folder(spark, "checkpoint")).trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema("session string, ts timestamp, tab string, query string").parquet(out)
 
 

@@ -39,15 +39,20 @@ def read_claims(spark: SparkSession, path: str) -> DataFrame:
 def postings_of(pages: DataFrame, item: str, array: str, most: int | None = None) -> DataFrame:
     """A row for each posting of response pages (``source, request_no, query, json``, and what else is known of the page): its place and ``item`` (DDL) fields.
 
-    ``most`` is a feed's own limit of records for a run, counted in the order of requests and places.
+    ``most`` is a feed's own limit of records for a run, counted in the order of requests and places.  It is counted by pages: of a feed's pages with postings only the first ``most``
+    can matter, and tasks keep no more before they meet.
     """
     body = F.from_json("json", f"`{array}` array<struct<{item}>>")[array]
     known = [c for c in pages.columns if c != "json"]
-    rows = pages.select(*known, F.posexplode(body).alias("pos", "item"))
-    if most is not None:
-        order = Window.partitionBy("source").orderBy("request_no", "pos")
-        rows = rows.withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= most).drop("_n")
-    return rows.select(*known, "pos", "item.*")
+    if most is None:
+        return pages.select(*known, F.posexplode(body).alias("pos", "item")).select(*known, "pos", "item.*")
+    filled = pages.withColumn("_items", body).filter(F.size("_items") > 0)
+    order = Window.partitionBy("source").orderBy("request_no", F.xxhash64("json"))
+    first = filled.withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= most)
+    before = F.sum(F.size("_items")).over(order.rowsBetween(Window.unboundedPreceding, -1))
+    left = first.withColumn("_left", F.lit(most) - F.coalesce(before, F.lit(0))).filter("_left > 0")
+    taken = left.select(*known, F.posexplode(F.slice("_items", 1, F.col("_left").cast("int"))).alias("pos", "item"))
+    return taken.select(*known, "pos", "item.*")
 
 
 REQUEST = "request_no bigint, query string, page struct<current:bigint,last:bigint,total:bigint,has_next:boolean>, body string"

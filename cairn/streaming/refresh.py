@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -106,31 +107,61 @@ def refresh_postings(stream: DataFrame, path: str, checkpoint: str, normalize: C
 # ---- search log
 
 
-def query_log(events: DataFrame) -> DataFrame:
-    """R4 over a table ``session, ts, tab, q``: sanitized searches; one equal to the one before it in the session is left out, and an empty one forgets that."""
+def query_log(events: DataFrame, tie: str | None = None) -> DataFrame:
+    """R4 over a table ``session, ts, tab, q``: sanitized searches; one equal to the one before it in the session is left out, and an empty one forgets that.
+
+    ``tie`` is a column that orders searches of one time, such as the event's id; without it they stand by tab and text.
+    """
     clean = events.withColumn("query", logged_query("q"))
     mark = F.when(F.col("query").isNull(), F.lit("")).otherwise(F.concat_ws("|", "tab", "query"))
-    before = F.lag("_mark").over(Window.partitionBy("session").orderBy("ts"))
+    before = F.lag("_mark").over(Window.partitionBy("session").orderBy("ts", *([tie] if tie else []), "tab", "query"))
     marked = clean.withColumn("_mark", mark).withColumn("_before", F.coalesce(before, F.lit("")))
     return marked.filter("query is not null and _mark <> _before").select("session", "ts", "tab", "query")
 
 
-def query_log_stream(events: DataFrame) -> DataFrame:
-    """R4 over a stream: the last mark of each session is the only state."""
+def query_log_stream(events: DataFrame, tie: str | None = None, late: str = "1 hour") -> DataFrame:
+    """R4 over a stream: the rows of the table form, for searches that come at most ``late`` after those that stand behind them.
+
+    A session's searches wait, in order of time and ``tie``, until the watermark has passed them; then they are judged, each by the one before it.  Besides those that wait, a session keeps the mark of its last
+    search; a session without any for longer than ``late`` after its last one is forgotten, so the state is that of live sessions.  A search that comes after its time is left out,
+    as any row behind a watermark.
+    """
+    from pyspark.sql.streaming.state import GroupStateTimeout
+
+    kind = "bigint" if tie is None else events.schema[tie].dataType.simpleString()
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(list(frames)).sort_values("ts")
-        last = state.get[0] if state.exists else ""
+        last, done, waiting = state.get if state.exists else ("", -1, "[]")
+        rows = json.loads(waiting)
+        mark_of = state.getCurrentWatermarkMs() * 1000
+        for frame in frames if not state.hasTimedOut else ():
+            for ts, order, tab, query in zip(frame["ts"], frame["tie"], frame["tab"], frame["query"]):
+                at = int(ts.value) // 1000 if ts.unit == "ns" else int(ts.as_unit("us").value)
+                if at > mark_of:
+                    rows.append([at, None if pd.isna(order) else order if isinstance(order, str) else int(order), tab, query if isinstance(query, str) else None])
+        text = lambda v: (v is None, v if isinstance(v, str) else "", 0 if v is None or isinstance(v, str) else v)
+        rows.sort(key=lambda r: (r[0], text(r[1]), text(r[2]), (r[3] is not None, r[3] or "")))
         out = []
-        for ts, tab, query in zip(rows["ts"], rows["tab"], rows["query"]):
-            mark = f"{tab}|{query}" if isinstance(query, str) else ""
+        ready = [r for r in rows if r[0] <= mark_of]
+        for at, _, tab, query in ready:
+            mark = "" if query is None else query if tab is None else f"{tab}|{query}"
             if mark and mark != last:
-                out.append((key[0], ts, tab, query))
-            last = mark
-        state.update((last,))
+                out.append((key[0], pd.Timestamp(at, unit="us"), tab, query))
+            last, done = mark, at
+        rows = rows[len(ready) :]
+        if not rows and not ready and state.hasTimedOut:
+            state.remove()
+        else:
+            state.update((last, done, json.dumps(rows)))
+            # The watermark must pass the first that waits; without any, the session is forgotten some time after its last search.
+            wake = (rows[0][0] if rows else max(done, mark_of) + FORGOTTEN_US) // 1000 + 1
+            state.setTimeoutTimestamp(max(wake, state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame(out, columns=["session", "ts", "tab", "query"])
 
-    from pyspark.sql.streaming.state import GroupStateTimeout
+    clean = events.select(F.col("session").cast("string").alias("session"), F.col("ts").cast("timestamp").alias("ts"), (F.lit(None).cast("bigint") if tie is None else F.col(tie)).cast(kind).alias("tie"), "tab", logged_query("q").alias("query"))
+    kept = clean.withWatermark("ts", late).groupBy("session")
+    return kept.applyInPandasWithState(step, "session string, ts timestamp, tab string, query string", "last string, done bigint, waiting string", "append", GroupStateTimeout.EventTimeTimeout)
+
 
-    clean = events.select(F.col("session").cast("string").alias("session"), "ts", "tab", logged_query("q").alias("query"))
-    return clean.groupBy("session").applyInPandasWithState(step, "session string, ts timestamp, tab string, query string", "last string", "append", GroupStateTimeout.NoTimeout)
+#: How long a session without searches is remembered, in microseconds of event time.
+FORGOTTEN_US = 24 * 3600 * 1_000_000

@@ -193,12 +193,55 @@ def test_refresh_keeps_first_sightings_and_other_sources(spark, tmp_path):
 
 
 def test_search_log_stream_equals_the_table(spark, tmp_path):
-    rows = [("s1", i, "t", q) for i, q in enumerate(["Owl", "owl ", "graph", "", "graph", "a@b.co"])] + [("s2", 0, "t", "owl"), ("s2", 1, "u", "owl"), ("s2", 2, "u", None)]
-    df = spark.createDataFrame(rows, "session string, n int, tab string, q string").withColumn("ts", F.timestamp_seconds("n")).drop("n")
-    table = sorted((r.session, r.ts, r.tab, r["query"]) for r in refresh.query_log(df).collect())
-    assert [r[3] for r in table] == ["owl", "graph", "graph", "[redacted]", "owl", "owl"]
-    df.coalesce(1).write.parquet(str(tmp_path / "in"))
-    stream = spark.readStream.schema(df.schema).parquet(str(tmp_path / "in"))
-    refresh.query_log_stream(stream).writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start().awaitTermination()
-    out = spark.read.schema("session string, ts timestamp, tab string, query string").parquet(str(tmp_path / "out"))
+    """Batches whose searches come late and at equal times: the rows of the table, in which order they come; and state that goes."""
+    rows = [("s1", i, i, "t", q) for i, q in enumerate(["Owl", "owl ", "graph", "", "graph", "a@b.co"])] + [("s2", 0, 0, "t", "owl"), ("s2", 1, 1, "u", "owl"), ("s2", 2, 2, "u", None)]
+    rows += [("s3", 5, n, "t", q) for n, q in enumerate(["graph", "owl", "owl", "graph", "graph"])]  # one time
+    schema = "session string, n int, event_id bigint, tab string, q string"
+    df = lambda own: spark.createDataFrame(own, schema).withColumn("ts", F.timestamp_seconds(F.col("n") + 1000)).drop("n")
+    table = sorted((r.session, r.ts, r.tab, r["query"]) for r in refresh.query_log(df(rows), "event_id").collect())
+    assert [r[3] for r in table] == ["owl", "graph", "graph", "[redacted]", "owl", "owl", "graph", "graph", "owl"]
+    places = {n: str(tmp_path / n) for n in ("in", "out", "check")}
+
+    def run(own):
+        df(own).coalesce(1).write.mode("append").parquet(places["in"])
+        stream = spark.readStream.schema(df(rows).schema).parquet(places["in"])
+        logged = refresh.query_log_stream(stream, "event_id", "10 seconds")
+        query = logged.writeStream.format("parquet").option("path", places["out"]).option("checkpointLocation", places["check"]).trigger(availableNow=True).start()
+        query.awaitTermination()
+        return query.lastProgress["stateOperators"][0]["numRowsTotal"]
+
+    run(rows[1::2])
+    run(rows[::2])
+    assert run([("s9", 500, 0, "t", None)]) >= 1
+    out = spark.read.schema("session string, ts timestamp, tab string, query string").parquet(places["out"])
     assert sorted((r.session, r.ts, r.tab, r["query"]) for r in out.collect()) == table
+    assert run([("s9", 200_000, 1, "t", None), ("s1", 3, 9, "t", "too late")]) == 1  # other sessions are forgotten
+    assert sorted((r.session, r.ts, r.tab, r["query"]) for r in out.collect()) == table
+
+
+@pytest.mark.parametrize("parts", [1, 5])
+def test_numbers_of_a_key(spark, parts):
+    spark.conf.set("spark.sql.shuffle.partitions", str(parts))
+    try:
+        rows = [("hot" if i % 3 else f"k{i % 11}", (i * 7919) % 1000) for i in range(1000)]
+        want, count = set(), collections.Counter()
+        for key, n in sorted(rows):
+            count[key] += 1
+            want.add((key, n, count[key]))
+        assert {tuple(r) for r in ordered.numbered(spark.createDataFrame(rows, "key string, n bigint"), "key", "n").collect()} == want
+        assert ordered.numbered(spark.createDataFrame([], "key string, n bigint"), "key", "n").collect() == []
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+
+
+@pytest.mark.parametrize("enough", [10_000, 30])
+def test_pages_equal_a_whole_sort(spark, monkeypatch, enough):
+    monkeypatch.setattr(ordered, "ENOUGH", enough)
+    monkeypatch.setattr(ordered, "RANGES", 6)
+    chance = random.Random(2)
+    rows = [(chance.choice([None, "b", "a", "ä", "c"]) if i % 2 else "b", None if i % 5 == 0 else chance.randrange(40), i) for i in range(700)]
+    df = spark.createDataFrame(rows, "a string, b bigint, id bigint").repartition(3)
+    for by in ([("a", False), ("b", True), ("id", False)], [("b", False), ("a", True), ("id", True)]):
+        want = [r.id for r in df.orderBy(*(F.col(c).desc() if down else F.col(c).asc() for c, down in by)).collect()]
+        for first, last in ((0, 20), (340, 360), (690, 720), (699, 700), (700, 720), (5, 5)):
+            assert [r.id for r in ordered.rows_between(df, by, first, last).collect()] == want[first:last]

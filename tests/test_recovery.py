@@ -84,8 +84,8 @@ def test_long_numbers_sort_by_value(spark):
 
 def test_equal_titles_give_stable_pages(spark):
     items = spark.createDataFrame([(f"Q{i:03}", "same", None) for i in range(120)], "qid string, title string, releaseDate date").repartition(7)
-    ordered = search.sort_items(items, F.col("releaseDate"), numeric=True)
-    pages = [[r.qid for r in search.paginate(ordered, p).collect()] for p in (1, 2, 3)]
+    keys = search.sort_keys(items, F.col("releaseDate"), numeric=True)
+    pages = [[r.qid for r in search.paginate(*keys, p).collect()] for p in (1, 2, 3)]
     assert sum(pages, []) == [f"Q{i:03}" for i in range(120)]
 
 
