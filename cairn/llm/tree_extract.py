@@ -36,16 +36,19 @@ RAW = frozenset("script style textarea title noscript iframe xmp noembed noframe
 BLOCK = frozenset(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table tbody tfoot thead tr ul".split()
 )
-DROPPED = frozenset("head nav footer aside form script style noscript template iframe svg canvas object embed select button textarea title dialog menu input audio video xmp noembed noframes".split())
+DROPPED = frozenset("head nav footer aside script style noscript template iframe svg canvas object embed select button textarea title dialog menu input audio video xmp noembed noframes".split())
 PARAGRAPH = frozenset("p pre blockquote td dd".split())
 HEADING = frozenset("h1 h2 h3 h4 h5 h6 hgroup header".split())
 DROPPED_ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert form menu menubar note".split())
 # Class and id names of what is not the article, and words that may stand beside them in one name.
-COMMENTS = frozenset("comment comments commentlist discussion disqus replies respond".split())
+COMMENTS = frozenset("comment comments commentlist discussion disqus replies respond response responses".split())
 DROPPED_NAMES = COMMENTS | frozenset(
     "ad ads adv advert adverts advertisement advertising adbox adslot banner breadcrumb breadcrumbs consent cookie cookies footer gdpr hidden masthead menu modal nav navbar navigation newsletter notice notices notification pager pagination popup promo promoted promotion recommended related share sharing sidebar signup social sponsor sponsored subscribe toolbar topbar widget".split()
 )
-BESIDE = frozenset("area articles bar block bottom box button buttons container form inner item items left link links list main page posts right section site slot stories top unit user wrapper".split())
+BESIDE = frozenset("area articles bar block bottom box button buttons container content form inline inner item items left link links list main page posts reader readers right section site slot stories top unit user users wrapper".split())
+# Names of what leads elsewhere, which say nothing of a heading, list or paragraph without links.
+LEADING = frozenset("banner breadcrumb breadcrumbs menu nav navbar navigation pager pagination recommended related sidebar toolbar topbar".split())
+STANDING = frozenset("h1 h2 h3 h4 h5 h6 p pre blockquote ul ol dl table".split())
 
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)(?:>|\Z)|<[!?][^>]*(?:>|\Z)|<([a-zA-Z/][^>]*)(?:>|\Z)", re.S)
 _ATTRIBUTE = re.compile(r"""(?<![\w-])(class|id|role|hidden|aria-hidden|style)(?![\w-])(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
@@ -59,22 +62,23 @@ _CELLS = frozenset("br td th".split())
 
 
 class Node:
-    __slots__ = ("tag", "parent", "children", "unwanted", "points", "readable", "chars", "linked", "commas")
+    __slots__ = ("tag", "parent", "children", "unwanted", "leads", "points", "readable", "chars", "linked", "commas")
 
     def __init__(self, tag: str, parent: Node | None, unwanted: str):
-        #: ``unwanted`` is empty, ``hard`` (by tag, role or style), ``name`` or ``comment`` (by class or id).
-        self.tag, self.parent, self.children, self.unwanted = tag, parent, [], unwanted
+        #: ``unwanted`` is empty, ``hard`` (by tag, role or style), ``name`` or ``comment`` (by class or id, or a form); ``leads``: by a name of ``LEADING`` alone.
+        self.tag, self.parent, self.children, self.leads = tag, parent, [], unwanted == "leads"
+        self.unwanted = "name" if self.leads else unwanted
         self.points = self.readable = 0.0
         self.chars = self.linked = self.commas = 0
 
 
 def named(value: str) -> str:
-    """``comment`` or ``name`` where one of the names in a class or id marks what is not the article, else empty."""
+    """``comment``, ``leads`` or ``name`` where one of the names in a class or id marks what is not the article, else empty."""
     for name in value.split():
         pieces = [x.lower() for x in _PIECES.findall(name) if not x.isdigit()]
         marks = [x for x in pieces if x in DROPPED_NAMES]
         if marks and all(x in DROPPED_NAMES or x in BESIDE for x in pieces):
-            return "comment" if COMMENTS.intersection(marks) else "name"
+            return "comment" if COMMENTS.intersection(marks) else "leads" if LEADING.issuperset(marks) else "name"
     return ""
 
 
@@ -90,7 +94,7 @@ def _unwanted(tag: str, attributes: str, inside_article: bool) -> str:
             return "hard"
         if name in ("class", "id") and tag not in ("html", "body", "article", "main"):
             mark = mark or named(value)
-    return mark
+    return mark or "name" * (tag == "form")
 
 
 class _Open:
@@ -221,7 +225,10 @@ def _density(node: Node) -> float:
 
 
 def _settle_names(root: Node) -> None:
-    """Elements that only a name marks are wanted after all where they hold most of what can be read; comments, where nothing else can."""
+    """Elements that only a name marks, and forms, are wanted after all where they hold most of what can be read; comments, where nothing else can.
+
+    A heading, list or paragraph without links is wanted although its name is one of what leads elsewhere.
+    """
     marked = [n for n in _nodes(root, ("hard",)) if n.unwanted]
     if not marked:
         return
@@ -236,7 +243,9 @@ def _settle_names(root: Node) -> None:
         else:
             todo += [c for c in node.children if isinstance(c, Node) and c.unwanted != "hard"]
     for node in marked:
-        if node.unwanted == "name" and whole > comments and node.readable > (whole - comments) / 2 or node.unwanted == "comment" and whole > 0 and whole - comments <= 1e-9 and node.readable > whole / 2:
+        if node.leads and node.tag in STANDING and node.chars and not node.linked:
+            node.unwanted = ""
+        elif node.unwanted == "name" and whole > comments and node.readable > (whole - comments) / 2 or node.unwanted == "comment" and whole > 0 and whole - comments <= 1e-9 and node.readable > whole / 2:
             node.unwanted = ""
 
 
@@ -256,12 +265,15 @@ def kept(root: Node) -> list[Node]:
             top = node.parent
         node = node.parent
     best = top
-    if best.parent is None or best.tag in ("article", "main"):
+    if best.parent is None or best.tag == "main":
         return [best]
     beside = [c for c in best.parent.children if isinstance(c, Node) and not c.unwanted]
+    if best.tag == "article":  # the text may be in several, with nothing but their like between them
+        return [c for c in beside if c is best or c.tag == "article" and worth(c) >= 0.2 * worth(best)]
     floor = max(10.0, 0.2 * worth(best))
     reads = lambda c: c.tag in PARAGRAPH and c.chars and _density(c) < 0.25 and (c.chars > 80 or c.linked == 0)
-    chosen = [i for i, c in enumerate(beside) if c is best or worth(c) >= floor or reads(c)]
+    like = lambda c: best.tag == "section" == c.tag and c.readable > 0 and not c.linked  # noqa: E731  a short section beside a long one
+    chosen = [i for i, c in enumerate(beside) if c is best or worth(c) >= floor or reads(c) or like(c)]
     first, last = chosen[0], chosen[-1]
     while first and beside[first - 1].tag in HEADING:
         first -= 1
