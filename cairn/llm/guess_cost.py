@@ -6,7 +6,10 @@ Method.  A value that stands after a credential word (or before the ``@`` of a u
 brute-force spans, each with the logarithm of the guesses it takes; the cheapest segmentation is found from left to right over
 the value's positions.  A value whose cheapest segmentation still takes ``LIMIT`` decades of guesses is a secret, and
 where it overlaps no base span it is added as kind ``guess``.  After a credential word stand a colon, an equals sign or an arrow, or the word "is"; what follows
-"is" and looks like a word of prose (letters only, no inner capitals) is no secret.
+"is" and looks like a word of prose (letters only, no inner capitals), or like a name made of such words, is no secret.
+
+Whole values of other kinds.  A media type and a time stamp are no secrets, and neither is one word of prose with letters beyond ASCII.  A url without user and password, and a path, are judged by
+their parts between marks: each that is no word of prose must stay below the limit by itself, so a key in a url is found.
 
 Vocabulary.  Words of all documents, and of all languages, are ranked by the number of documents that hold them; a word takes the guesses of its rank.
 Values that stand after a credential word are left out of the count, and a word counts from two documents on, so a secret does not
@@ -83,6 +86,11 @@ _PLACES: dict[str, set[tuple[int, int]]] = {}
 for _r, _row in enumerate(ROWS):
     for _i, _c in enumerate(_row):
         _PLACES.setdefault(_c, set()).add((_r, _i))
+# Whole values that are no secrets: a media type, and a time stamp.
+_MEDIA = re.compile(r"(?:application|audio|font|image|message|model|multipart|text|video)/[a-z0-9][a-z0-9.+-]*(?:;[^\s]*)?", re.I | _A)
+_STAMP = re.compile(r"(?:19|20)\d\d-?(?:0[1-9]|1[0-2])-?(?:0[1-9]|[12]\d|3[01])[T_]?(?:[01]\d|2[0-3]):?[0-5]\d(?::?[0-5]\d(?:[.]\d{1,9})?)?(?:Z|[+-]\d\d:?\d\d)?", re.I | _A)
+_URL = re.compile(r"(?:[a-z][a-z0-9+.-]{1,9}:)?//?[^\s@]+|(?:[a-z0-9-]+[.])+[a-z]{2,}/[^\s@]*", re.I | _A)
+_MARKS = re.compile(r"[^A-Za-z0-9\u0080-\U0010ffff]+")
 _DATE = re.compile(r"(?=((?:19|20)\d\d[-/._]?(?:0[1-9]|1[0-2])[-/._]?(?:0[1-9]|[12]\d|3[01])|(?:0[1-9]|[12]\d|3[01])[-/._]?(?:0[1-9]|1[0-2])[-/._]?(?:19|20)\d\d|(?:19|20)\d\d))", _A)
 
 
@@ -194,6 +202,21 @@ def _plain(value: str) -> bool:
     return letters.isalpha() and (letters[1:].islower() or letters.isupper() or not letters.isascii())
 
 
+def _named(value: str) -> bool:
+    """A name made of words of prose: ``user_name_field``, ``self-explanatory``, ``docs.index``."""
+    parts = _MARKS.split(value.strip("_-./"))
+    return all(_plain(x) for x in parts)
+
+
+def judged(value: str, words: dict[str, float] = WORD_COST) -> float:
+    """Decades of guesses of a value in a credential context; zero where it is of a kind that is no secret."""
+    if _MEDIA.fullmatch(value) or _STAMP.fullmatch(value) or _plain(value) and not value.isascii():
+        return 0.0
+    if _URL.fullmatch(value):
+        return max((guess_cost(x, words) for x in _MARKS.split(value) if x and not _plain(x)), default=0.0)
+    return guess_cost(value, words)
+
+
 def _covered(found: list[tuple[int, int, int]]) -> tuple[list[int], list[int]]:
     """Starts and ends of the stretches that spans cover, in order and apart from each other."""
     starts: list[int] = []
@@ -222,10 +245,10 @@ def spans(text: str, words: dict[str, float] = WORD_COST) -> list[tuple[str, int
             start, end = next(m.span(g) for g in (1, 2, 3) if m[g] is not None)
             value = text[start:end].rstrip(".)!?")
             end = start + len(value)
-            if len(value) < 8 or m[2] is not None and _plain(value):
+            if len(value) < 8 or m[2] is not None and _named(value):
                 continue
             at = bisect_left(starts, end) - 1  # the last covered stretch that begins before the value ends
-            if (at < 0 or ends[at] <= start) and guess_cost(value, words) >= LIMIT:
+            if (at < 0 or ends[at] <= start) and judged(value, words) >= LIMIT:
                 found.append((start, 3, end))
     return [(KINDS[k], a, b) for a, k, b in sorted(found)]
 

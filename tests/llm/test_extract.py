@@ -1,5 +1,7 @@
 """Main text of pages of many shapes: wrappers, names, lists, and a plain scorer."""
 
+import random
+import collections
 import time
 
 import pytest
@@ -97,3 +99,53 @@ def test_time_grows_with_the_page(html):
     started = time.time()
     assert tree_extract.main_text(html + "<p>end") == "end"
     assert time.time() - started < 5
+
+
+LONG = "<p>" + "A long paragraph, with commas, and words, that goes on for quite some time, as articles do. " * 3 + "</p>"
+BODY = " ".join("A long paragraph, with commas, and words, that goes on for quite some time, as articles do.".split())
+
+
+@pytest.mark.parametrize(
+    "page, want",
+    [
+        (f"<body><form id='aspnetForm'><div>{LONG * 3}</div><input value=x><select><option>a</select></form></body>", ["L", "L", "L"]),
+        (f"<body><form><label>Search</label><p>find it</p></form><article>{LONG}</article></body>", ["L"]),
+        (f"<article><h1 class='banner'>Title</h1>{LONG}<ul class='menu'><li>Soup<li>Fish</ul><p class='related'>Short.</p>{LONG}</article>", ["Title", "L", "Soup", "Fish", "Short.", "L"]),
+        (f"<body><div><section><p>Hi.</p></section><section>{LONG * 2}</section><section><p>End.</p></section></div></body>", ["Hi.", "L", "L", "End."]),
+        (f"<main><article>{LONG * 3}</article><article>{LONG * 2}</article></main>", ["L"] * 5),
+        (f"<article>{LONG}</article><div class='reader-comments'><p>nice, good, very, much</p></div><div id='responses'><p>yes</p></div><div class='sponsored-content'><p>Buy</p></div><div class='ads_inline'>ad</div>", ["L"]),
+        (f"<article>{LONG}<p class='ad'>Buy</p><ul class='menu'><li><a href=x>Home</a></ul></article>", ["L"]),
+    ],
+)
+def test_forms_names_and_short_sections(page, want):
+    assert tree_extract.main_text(page).split("\n\n") == [x if x != "L" else " ".join([BODY] * 3) for x in want]
+
+
+def test_container_equals_a_plain_choice():
+    """The best container by points counted anew for each element from its paragraphs, over random trees without names."""
+    chance = random.Random(6)
+
+    def made(depth):
+        if depth == 0 or chance.random() < 0.3:
+            text = ", ".join("word " * chance.randint(1, 12) for _ in range(chance.randint(1, 6)))
+            return f"<p>{text}</p>" if chance.random() < 0.7 else f"<p><a href=x>{text}</a> more</p>"
+        return "<div>" + "".join(made(depth - 1) for _ in range(chance.randint(1, 4))) + "</div>"
+
+    for _ in range(60):
+        root = tree_extract.tree("<body>" + made(5) + made(4) + "</body>")
+        nodes = tree_extract._nodes(root, ())
+        tree_extract.score(nodes)
+        points = collections.Counter()
+        for p in (n for n in nodes if n.tag == "p" and n.chars):
+            own, at, distance = (1 + p.commas + min(3, p.chars / 100)) * (1 - p.linked / p.chars), p.parent, 0
+            while at is not None:
+                points[at] += own / (1 if distance == 0 else 2 if distance == 1 else 3 * distance)
+                at, distance = at.parent, distance + 1
+        worth = {n: points[n] * (1 - (n.linked / n.chars if n.chars else 0)) for n in nodes}
+        best = max(nodes, key=lambda n: round(worth[n], 9))
+        chosen = tree_extract.kept(root)
+        up = set()
+        while best is not None:
+            up.add(best)
+            best = best.parent
+        assert any(n in up for n in chosen)  # the best one, or what it was widened to

@@ -121,6 +121,32 @@ def test_contexts_have_no_caps_and_no_pieces_of_words():
     assert kinds("the password is xK9$vQ2#mLp8") == kinds("dbPassword -> xK9$vQ2#mLp8") == kinds("db_pass: xK9$vQ2#mLp8") == ["guess"]
 
 
+def test_urls_stamps_types_and_names_are_no_secrets():
+    kinds = lambda text: [k for k, _, _ in guess_cost.spans(text)]
+    plain = (
+        "login: 2024-01-02T10:00:00Z", "login: 20240102T100000+01:00", "token: https://example.com/docs/getting-started", "authorization: application/json", "authorization: text/html;charset=utf-8", "the token is user_name_field",
+        "Bearer: M\u00fcnchengladbach", "login = example.com/account/settings", "the secret is self-explanatory", "login: /usr/share/documents/readme",
+    )
+    assert [t for t in plain if "guess" in kinds(t)] == []
+    secret = (
+        "login: https://hooks.example.com/services/T0A9ZK3/xK9vQ2mLp8zzQw41", "passphrase: xK9$vQ2#mLp8", "pwd: 2024-01-02T10:00:00Zq9#Lx7Vw", "bearer: application/xK9$vQ2#mLp8", "login = kq7ZzP0w_Lm3", "db://user:xK9$vQ2mLp8zz@host/x", "the passcode is kq7ZzP0w_Lm3",
+    )
+    assert [t for t in secret if kinds(t) != ["guess"]] == []
+
+
+def test_planted_secrets_and_planted_prose():
+    """Recall and false positives over values of each kind, with the fixed words alone."""
+    chance = random.Random(11)
+    letters, every = "abcdefghijklmnopqrstuvwxyz", "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
+    words = lambda n: [w for w in chance.choices(guess_cost.COMMON, k=n)]
+    secrets = ["".join(chance.choice(every + "#$%^*") for _ in range(chance.randint(12, 24))) for _ in range(300)]
+    harmless = [f"20{chance.randint(10, 30)}-0{chance.randint(1, 9)}-1{chance.randint(0, 9)}T0{chance.randint(0, 9)}:15:30Z" for _ in range(100)]
+    harmless += [f"https://{chance.choice(words(1))}.com/" + "/".join("".join(chance.choice(letters) for _ in range(chance.randint(3, 14))) for _ in range(3)) for _ in range(100)]
+    harmless += ["image/" + "".join(chance.choice(letters) for _ in range(6)) for _ in range(100)]
+    hits = lambda values: sum("guess" in [k for k, _, _ in guess_cost.spans(f"passphrase: {v} and so on")] for v in values)
+    assert hits(secrets) >= 0.99 * len(secrets) and hits(harmless) == 0
+
+
 def test_many_contexts_in_one_text_take_linear_time():
     import time
 
