@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import logged_query
 from ..operators.postings import classify_evidence, dedup_postings, find_evidence, preserve_first_seen, union_sources
-from ..session import written
+from ..session import delete, dropped, written
 
 
 def merged_snapshot(current: DataFrame, previous: DataFrame | None, source: str, at: F.Column) -> DataFrame:
@@ -31,7 +31,7 @@ def refreshed(raw: DataFrame, normalize: Callable[[DataFrame], DataFrame], terms
     return kept.join(classes, "id")
 
 
-POINTER = "_current"
+POINTER, MANIFESTS = "_current", "_manifests"
 
 
 def _file_system(spark: SparkSession, path: str):
@@ -39,9 +39,8 @@ def _file_system(spark: SparkSession, path: str):
     return target, target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
-def current_version(spark: SparkSession, path: str) -> str | None:
-    """The name that the pointer below ``path`` holds."""
-    target, files = _file_system(spark, f"{path}/{POINTER}")
+def _text(spark: SparkSession, path: str) -> str | None:
+    target, files = _file_system(spark, path)
     if not files.exists(target):
         return None
     stream = files.open(target)
@@ -51,24 +50,42 @@ def current_version(spark: SparkSession, path: str) -> str | None:
         stream.close()
 
 
+def _put(spark: SparkSession, path: str, text: str):
+    target, files = _file_system(spark, path)
+    out = files.create(target)
+    out.write(bytearray(text.encode()))
+    out.close()
+    return target, files
+
+
+def current_version(spark: SparkSession, path: str) -> str | None:
+    """The name that the pointer below ``path`` holds: that of a manifest."""
+    return _text(spark, f"{path}/{POINTER}")
+
+
+def manifest_of(spark: SparkSession, path: str, version: str | None) -> dict:
+    """``sources``, the folder of each source's postings, and ``before``, the version that this one came after."""
+    return {"sources": {}, "before": None} if version is None else json.loads(_text(spark, f"{path}/{MANIFESTS}/{version}"))
+
+
 def current_snapshot(spark: SparkSession, path: str) -> DataFrame | None:
-    """The last complete version below ``path``."""
+    """The last complete version below ``path``: the folders of all its sources."""
     name = current_version(spark, path)
-    return None if name is None else spark.read.parquet(f"{path}/{name}")
+    if name is None:
+        return None
+    folders = manifest_of(spark, path, name)["sources"].values()
+    return spark.read.parquet(*(f"{path}/{f}" for f in folders))
 
 
-def publish(df: DataFrame, path: str, version: str) -> None:
-    """Write a version under a fresh name and then put its name in the place of the pointer, in one step.
+def _published(spark: SparkSession, path: str, version: str, sources: dict[str, str]) -> None:
+    """Write a manifest under a fresh name and then put its name in the place of the pointer, in one step.
 
-    Nothing that a reader, or ``df`` itself, may still read is overwritten: a write that fails, or is repeated, leaves the version before it whole.
+    Nothing that a reader may still read is overwritten: a write that fails, or is repeated, leaves the version before it whole.  The step is the rename of a file, which is
+    whole on HDFS and local file systems; a store without such a rename needs a conditional put in its place.
     """
-    spark = df.sparkSession
     name = f"{version}-{uuid.uuid4().hex}"
-    df.write.parquet(f"{path}/{name}")
-    made, files = _file_system(spark, f"{path}/{POINTER}-{uuid.uuid4().hex}")
-    out = files.create(made)
-    out.write(bytearray(name.encode()))
-    out.close()
+    _put(spark, f"{path}/{MANIFESTS}/{name}", json.dumps({"sources": sources, "before": current_version(spark, path)}, sort_keys=True))
+    made, files = _put(spark, f"{path}/{POINTER}-{uuid.uuid4().hex}", name)
     jvm = spark.sparkContext._jvm
     overwrite = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
     overwrite[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
@@ -76,28 +93,67 @@ def publish(df: DataFrame, path: str, version: str) -> None:
     context.rename(made, jvm.org.apache.hadoop.fs.Path(f"{path}/{POINTER}"), overwrite)
 
 
+def _stored(df: DataFrame, path: str) -> str:
+    """A fresh folder below ``path`` with the rows."""
+    folder = f"data-{uuid.uuid4().hex}"
+    df.write.parquet(f"{path}/{folder}")
+    return folder
+
+
+def publish(df: DataFrame, path: str, version: str) -> None:
+    """The rows as the whole snapshot, in one folder."""
+    _published(df.sparkSession, path, version, {"": _stored(df, path)})
+
+
+def vacuum(spark: SparkSession, path: str, keep: int = 2) -> list[str]:
+    """Delete manifests before the last ``keep`` versions, and folders of postings that none of those names; gives what went.
+
+    Only for a time without a batch under way, whose folders have no name yet.
+    """
+    named, folders, at = set(), set(), current_version(spark, path)
+    while at is not None and len(named) < keep:
+        manifest = manifest_of(spark, path, at)
+        named.add(at)
+        folders.update(manifest["sources"].values())
+        at = manifest["before"] if _text(spark, f"{path}/{MANIFESTS}/{manifest['before']}") else None
+    gone = []
+    for below, kept in (("", folders), (f"/{MANIFESTS}", named)):
+        target, files = _file_system(spark, path + below)
+        for status in files.listStatus(target) if files.exists(target) else ():
+            name = status.getPath().getName()
+            if name not in kept and (below or name.startswith("data-")):
+                delete(spark, f"{path}{below}/{name}")
+                gone.append(name)
+    return sorted(gone)
+
+
 def refresh_batch(raw: DataFrame, number: int, path: str, normalize: Callable[[DataFrame], DataFrame], terms: DataFrame, at: F.Column) -> None:
     """One batch into the snapshot at ``path``; a batch that was published before changes nothing, and neither does one without postings.
 
-    The sources of a batch are few, as feeds are declared; each one's postings are made and written once, and the snapshot once for all of them.
+    The sources of a batch are few, as feeds are declared.  Each one's postings are written to a folder of their own, after a look at the folder that they replace; the folders of all other sources
+    are named again and not read, so what a batch costs does not depend on them.
     """
     spark = raw.sparkSession
-    if (current_version(spark, path) or "").startswith(f"v{number}-"):
+    version = current_version(spark, path)
+    if (version or "").startswith(f"v{number}-"):
         return
-    snapshot, changed = current_snapshot(spark, path), False
+    before, made = manifest_of(spark, path, version)["sources"], {}
     for row in raw.select("source").distinct().orderBy("source").collect():
         current = written(refreshed(raw.filter(F.col("source").eqNullSafe(F.lit(row.source))), normalize, terms), "refreshed")
         dataset = current.select("sourceDataset").first()
         if dataset is not None:
-            snapshot, changed = merged_snapshot(current, snapshot, dataset[0], at), True
-    if changed:
-        publish(snapshot, path, f"v{number}")
+            name = dataset[0] or ""
+            earlier = made.get(name) or before.get(name)
+            made[name] = _stored(current if earlier is None else preserve_first_seen(current, spark.read.parquet(f"{path}/{earlier}"), at), path)
+        dropped(current)
+    if made:
+        _published(spark, path, f"v{number}", before | made)
 
 
 def refresh_postings(stream: DataFrame, path: str, checkpoint: str, normalize: Callable[[DataFrame], DataFrame], terms: DataFrame, at: F.Column | None = None):
     """A query that takes batches of raw rows (``source`` and a feed's fields) into the snapshot at ``path``.
 
-    Each source in a batch is replaced as a whole; a source without rows in the batch keeps its postings.
+    Each source in a batch is replaced as a whole; a source without rows in the batch keeps its postings, and its folder.  ``vacuum`` deletes what no late version names.
     """
     at = F.current_timestamp() if at is None else at
     batch = lambda raw, number: refresh_batch(raw, number, path, normalize, terms, at)

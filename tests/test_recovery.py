@@ -1,5 +1,6 @@
 """Replayed and empty batches of the postings refresh, deep chains, long numbers, stable pages, fragments, digests."""
 
+import collections
 import hashlib
 
 import pytest
@@ -50,6 +51,31 @@ def test_a_snapshot_may_be_published_from_itself(spark, tmp_path):
     assert sorted(r.id for r in refresh.current_snapshot(spark, path).collect()) == [2, 3, 4]
 
 
+def test_a_batch_writes_its_own_sources_only_and_old_versions_go(spark, tmp_path, feed):
+    make, terms = feed
+    path, at = f"file://{tmp_path}/snap", F.lit("2024-04-01").cast("timestamp")
+
+    def by_source(rows):
+        key = rows.select("source").first()[0]
+        return postings.normalize_feed(rows, "b", {"key": key, "name": key, "dataset": f"feed-{key}"}, F.lit("2024-03-01").cast("timestamp"))
+
+    def folders():
+        return {p.name: sum(f.stat().st_size for f in p.iterdir()) for p in (tmp_path / "snap").iterdir() if p.name.startswith("data-")}
+
+    refresh.refresh_batch(make(range(200)).withColumn("source", F.lit("big")), 0, path, by_source, terms, at)
+    first = folders()
+    for n in range(1, 4):
+        refresh.refresh_batch(make([n]).withColumn("source", F.lit("small")), n, path, by_source, terms, at)
+    assert set(first) < set(folders()) and all(size < max(first.values()) for name, size in folders().items() if name not in first)
+    ids = lambda: collections.Counter(r.id.split("-")[0] for r in refresh.current_snapshot(spark, path).select("id").collect())
+    assert ids() == {"big": 200, "small": 1} and len(folders()) == 4
+    before = refresh.current_version(spark, path)
+    assert refresh.vacuum(spark, path) and len(folders()) == 3 and set(first) < set(folders())
+    assert refresh.vacuum(spark, path) == [] and refresh.current_version(spark, path) == before and ids() == {"big": 200, "small": 1}
+    refresh.refresh_batch(make([9]).withColumn("source", F.lit("small")), 4, path, by_source, terms, at)
+    assert ids() == {"big": 200, "small": 1}
+
+
 def test_an_empty_batch_changes_nothing(spark, tmp_path, feed):
     make, terms = feed
     path, at = f"file://{tmp_path}/snap", F.lit("2024-04-01").cast("timestamp")
