@@ -66,24 +66,28 @@ def _edges(placed: DataFrame, key: str, number: str) -> list[tuple]:
 
 
 def chain_ends(parents: DataFrame) -> DataFrame:
-    """``node, root``: where chains ``node, parent`` (longs; no cycles; a root has no row of its own) end, in rounds by the logarithm of the longest chain.
+    """``node, root, turn``: where chains ``node, parent`` end, in rounds by the logarithm of the longest chain; a root has no row of its own.
 
-    Each round doubles every pointer that has not reached its end; those that have leave the rounds.
+    Each round doubles every pointer that has not reached its end; those that have leave the rounds.  ``turn``, where ``parents`` has it, is 0 or 1 a step and is summed to
+    odd or even on the way.  Nodes of a cycle, and those that lead into one, have no end and no row.
     """
-    open_, done = written(parents.select("node", "parent"), "pointers"), None
-    while True:
-        next_ = open_.select(F.col("node").alias("_next"), F.col("parent").alias("_far"))
-        moved = written(open_.join(next_, F.col("parent") == F.col("_next"), "left").select("node", "parent", "_far"), "pointers")
-        ended = moved.filter("_far is null").select("node", F.col("parent").alias("root"))
+    turned = parents if "turn" in parents.columns else parents.withColumn("turn", F.lit(0))
+    open_, done = written(turned.select("node", "parent", F.col("turn").cast("int").alias("turn")), "pointers"), None
+    for _ in range(open_.count().bit_length() + 2):  # a longer chain has more nodes
+        next_ = open_.select(F.col("node").alias("_next"), F.col("parent").alias("_far"), F.col("turn").alias("_turn"))
+        moved = written(open_.join(next_, F.col("parent") == F.col("_next"), "left").select("node", "parent", "turn", "_far", "_turn"), "pointers")
+        ended = moved.filter("_far is null").select("node", F.col("parent").alias("root"), "turn")
         done = ended if done is None else done.unionByName(ended)
         left = moved.filter("_far is not null")
         dropped(open_)
         if left.isEmpty():
-            return done
+            break
         # Each pointer stands at a root or at a row of this round; where that row has just ended, at its end.
-        known = ended.select(F.col("node").alias("_met"), F.col("root").alias("_end"))
+        known = ended.select(F.col("node").alias("_met"), F.col("root").alias("_end"), F.col("turn").alias("_last"))
         jumped = left.join(known, F.col("_far") == F.col("_met"), "left")
-        open_ = written(jumped.select("node", F.coalesce("_end", "_far").alias("parent")), "pointers")
+        turn = (F.col("turn") + F.col("_turn") + F.coalesce("_last", F.lit(0))) % 2
+        open_ = written(jumped.select("node", F.coalesce("_end", "_far").alias("parent"), turn.cast("int").alias("turn")), "pointers")
+    return done
 
 
 def numbered(rows: DataFrame, key: str, *order: str) -> DataFrame:

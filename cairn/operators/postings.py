@@ -204,7 +204,7 @@ def dedup_postings(records: DataFrame) -> DataFrame:
     keys = F.when(stable, keys).otherwise(F.array(key("v", "s", "_org", "_title", "_loc")))
     before = previous_of_key(named.select("_row", F.posexplode(keys).alias("_place", "_key")), "_key", "_row").filter("before is not null")
     parents = before.groupBy(F.col("_row").alias("node")).agg(F.min_by("before", "_place").alias("parent"))
-    roots = written(chain_ends(parents), "roots").withColumnRenamed("node", "_row")
+    roots = written(chain_ends(parents).select(F.col("node").alias("_row"), "root"), "roots")
     member = named.select("_row", F.explode("discoveredBy").alias("_by")).filter("_by is not null").join(roots, "_row", "left").select(F.coalesce("root", "_row").alias("_row"), "_by").distinct()
     pairs = member.withColumn("_fold", casefolded("_by")).groupBy("_row").agg(F.array_sort(F.collect_list(F.struct("_fold", "_by"))).alias("_pairs"))
     kept = named.join(roots, "_row", "left_anti").join(pairs, "_row", "left")

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import parse_datetime, present, qid, slugify
 from ..functions.unicode import casefolded
 from ..session import written
+from .ordered import chain_ends
 
 SETS = ("types", "homepages", "repositories", "namespaces", "licenses", "parents", "creators", "languages")
 
@@ -43,10 +46,11 @@ def eligible_records(facts: DataFrame, markers: list[str], exclusions: DataFrame
     """``qid, eligible, reason`` from ``qid, types, parents``; reason: declared, exception, unmarked, rule, orphan, cycle.
 
     Only marked records depend on parents.  A round decides those with an eligible parent (not eligible) and those whose parents in the snapshot are
-    all decided and not eligible (eligible), for as long as a round decides any, whatever the depth; what is left then is a cycle, with a null verdict.
-    A round reads what the one before decided, and the edges to parents that are still open; it writes what it decides once.
+    all decided and not eligible (eligible), for as long as a round decides any; what is left then is a cycle, with a null verdict.  A round reads what the one before decided, and the edges to parents that are still open.
+
+    Where a round leaves most edges open, chains are contracted: a record that waits for one parent alone is that parent's opposite, so it stands for the end of its chain or for that one's opposite, found
+    by pointer doubling, and edges to it go to the end.  So the rounds do not grow with the length of chains.
     """
-    spark = facts.sparkSession
     marked = F.arrays_overlap("types", F.array(*map(F.lit, markers))) if markers else F.lit(False)
     out, allowed = exclusions.select("qid", F.lit(True).alias("_out")).distinct(), exceptions.select("qid", F.lit(True).alias("_in")).distinct()
     state = facts.select("qid", marked.alias("marked")).join(out, "qid", "left").join(allowed, "qid", "left")
@@ -54,26 +58,56 @@ def eligible_records(facts: DataFrame, markers: list[str], exclusions: DataFrame
     state = written(state.select("qid", reason.alias("reason")), "eligibility")
     open_ = state.filter("reason is null").select("qid")
     parents = facts.select("qid", F.explode("parents").alias("parent")).join(facts.select(F.col("qid").alias("parent")), "parent", "left_semi")
-    waiting = written(parents.join(open_, "qid", "left_semi").select("qid", "parent").distinct(), "waiting")
-    decided = [written(state.filter("reason is not null"), "decided")]
+    # ``turned``: the edge asks for the opposite of its parent's verdict.
+    waiting = written(parents.join(open_, "qid", "left_semi").select("qid", "parent", F.lit(0).alias("turned")).distinct(), "waiting")
+    decided, stands, size = [written(state.filter("reason is not null"), "decided")], [], waiting.count()
     while True:
-        known = decided[-1].select(F.col("qid").alias("parent"), F.col("reason").isin("exception", "unmarked", "orphan").alias("ok"))
+        known = decided[-1].select(F.col("qid").alias("parent"), F.col("reason").isin(*ELIGIBLE).cast("int").alias("ok"))
         met = waiting.join(known, "parent")
-        rule = met.filter("ok").select("qid").distinct()
+        rule = met.filter("ok <> turned").select("qid").distinct()
         waits = written(waiting.join(known, "parent", "left_anti").join(rule, "qid", "left_anti"), "waiting")
         orphan = open_.join(rule, "qid", "left_anti").join(waits.select("qid").distinct(), "qid", "left_anti")
         now = written(rule.withColumn("reason", F.lit("rule")).unionByName(orphan.withColumn("reason", F.lit("orphan"))), "decided")
-        if now.isEmpty():
-            break
+        before, left = size, waits.count()
         open_ = written(open_.join(now, "qid", "left_anti"), "open")
         decided.append(now)
-        waiting = waits
-    found = spark.read.schema(state.schema).parquet(*(d._cairn_path for d in decided))
-    done = found.unionByName(open_.withColumn("reason", F.lit("cycle")))
-    verdict = F.when(F.col("reason").isin("exception", "unmarked", "orphan"), True).when(F.col("reason").isin("declared", "rule"), False)
+        waiting, size, stood = waits, left, False
+        if left > max(CHAINS, before // 2):
+            contracted = _contracted(waiting, open_)
+            if stood := contracted is not None:
+                waiting, open_, ends = contracted
+                stands.append(ends)
+                size = waiting.count()
+        if now.isEmpty() and not stood:
+            break
+    done = reduce(DataFrame.unionByName, decided).unionByName(open_.withColumn("reason", F.lit("cycle")))
+    for ends in reversed(stands):  # a chain's end was decided after the chain was contracted, or stands for another one that was
+        of_end = done.select(F.col("qid").alias("root"), F.when(F.col("reason") != "cycle", F.col("reason").isin(*ELIGIBLE).cast("int")).alias("ok"))
+        own = ends.join(of_end, "root", "left")
+        reason = F.when(F.col("ok").isNull(), "cycle").when(F.col("ok") != F.col("turn"), "orphan").otherwise("rule")
+        done = written(done.unionByName(own.select("qid", reason.alias("reason"))), "decided")
+    verdict = F.when(F.col("reason").isin(*ELIGIBLE), True).when(F.col("reason").isin("declared", "rule"), False)
     return done.select("qid", verdict.alias("eligible"), "reason")
 
 
+ELIGIBLE = ("exception", "unmarked", "orphan")
+#: Edges that may wait without a look for chains.
+CHAINS = 16
+
+
+def _contracted(waiting: DataFrame, open_: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame] | None:
+    """Edges and open records without those that wait for one parent alone, and ``qid, root, turn`` of these (null for those of a cycle); None without any."""
+    one = waiting.groupBy("qid").agg(F.count("*").alias("n"), F.first("parent").alias("parent"), F.first("turned").alias("turned")).filter("n = 1")
+    single = written(one.select(F.col("qid").alias("node"), "parent", (1 - F.col("turned")).alias("turn")), "single")
+    if single.isEmpty():
+        return None
+    ends = written(single.select(F.col("node").alias("qid")).join(chain_ends(single).withColumnRenamed("node", "qid"), "qid", "left"), "ends")
+    rest = waiting.join(ends.select("qid"), "qid", "left_anti").join(ends.select(F.col("qid").alias("parent"), "root", "turn"), "parent", "left")
+    turned = ((F.col("turned") + F.coalesce("turn", F.lit(0))) % 2).cast("int")
+    rest = rest.select("qid", F.coalesce("root", "parent").alias("parent"), turned.alias("turned")).distinct()
+    return written(rest, "waiting"), written(open_.join(ends.select("qid"), "qid", "left_anti"), "open"), ends
+
+
 def filter_eligible(rows: DataFrame, verdicts: DataFrame) -> DataFrame:
     """Rows of eligible records."""
     return rows.join(verdicts.filter("eligible").select("qid"), "qid", "left_semi")

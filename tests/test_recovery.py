@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -10,7 +11,7 @@ from cairn import session
 from cairn.functions import columns as c
 from cairn.functions.html import fragment_text
 from cairn.functions.unicode import natural_key
-from cairn.operators import claims, postings, records, related, search
+from cairn.operators import claims, ordered, postings, records, related, search
 from cairn.streaming import refresh
 
 FEED = "source string, query string, id bigint, url string, title string, company_name string, category string, tags array<string>, job_type string, publication_date string, candidate_required_location string, salary string, description string"
@@ -97,6 +98,45 @@ def test_chains_deeper_than_a_hundred_are_decided(spark):
     assert got["Qa"] == got["Qb"] == (None, "cycle")
 
 
+def plain_verdicts(rows):
+    """Marked records by rounds over a dictionary: (eligible, reason)."""
+    known = {q: None if t else (True, "unmarked") for q, t, _ in rows}
+    while True:
+        now = {}
+        for q, _, parents in rows:
+            if known[q] is None:
+                told = [known[p] for p in parents if p in known]
+                if any(v and v[0] for v in told):
+                    now[q] = (False, "rule")
+                elif all(told):
+                    now[q] = (True, "orphan")
+        if not now:
+            return {q: v or (None, "cycle") for q, v in known.items()}
+        known |= now
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_verdicts_over_chains_branches_and_cycles(spark, monkeypatch, seed):
+    monkeypatch.setattr(records, "CHAINS", 0)
+    chance = random.Random(seed)
+    rows = [(f"Q{i}", ["M"] if chance.random() < 0.95 else [], sorted({f"Q{chance.randrange(max(1, i - 6), i + 2)}" for _ in range(chance.choice([0, 1, 1, 1, 1, 2, 3]))}) if i else []) for i in range(400)]
+    none = spark.createDataFrame([], "qid string")
+    got = {r.qid: (r.eligible, r.reason) for r in records.eligible_records(spark.createDataFrame(rows, "qid string, types array<string>, parents array<string>"), ["M"], none, none).collect()}
+    assert got == plain_verdicts(rows)
+
+
+def test_a_chain_of_ten_thousand_takes_few_rounds(spark, monkeypatch):
+    made = []
+    monkeypatch.setattr(records, "written", lambda df, name: made.append(name) or session.written(df, name))
+    monkeypatch.setattr(ordered, "written", lambda df, name: made.append(name) or session.written(df, name))
+    n = 10_000
+    rows = spark.range(n).select(F.concat(F.lit("Q"), "id").alias("qid"), F.array(F.lit("M")).alias("types"), F.when(F.col("id") > 0, F.array(F.concat(F.lit("Q"), F.col("id") - 1))).otherwise(F.array().cast("array<string>")).alias("parents"))
+    none = spark.createDataFrame([], "qid string")
+    got = records.eligible_records(rows, ["M"], none, none)
+    assert {(r.even, r.eligible, r["count"]) for r in got.groupBy((F.substring("qid", 2, 9).cast("int") % 2 == 0).alias("even"), "eligible").count().collect()} == {(True, True, n // 2), (False, False, n // 2)}
+    assert made.count("pointers") <= 2 * 20 and made.count("decided") <= 6
+
+
 def test_hierarchies_deeper_than_a_hundred_are_followed(spark):
     edges = spark.createDataFrame([(f"c{i + 1}", f"c{i}") for i in range(104)] + [("c0", "c104")], "child string, parent string")
     assert claims.closure(edges, spark.createDataFrame([("c0",)], "node string")).count() == 105
