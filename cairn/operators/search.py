@@ -242,7 +242,7 @@ def browse(items: DataFrame, q: str = "", category: str | None = None, sort: str
 
 
 #: Vectors that centroids are fitted on, most lists, vectors and queries of a task.
-SAMPLE, LISTS, BLOCK, ASKED = 4_000, 256, 32_768, 4_096
+SAMPLE, CENTROIDS, BLOCK, ASKED = 4_000, 256, 32_768, 4_096
 
 
 def _unit(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
@@ -325,7 +325,7 @@ def _counted(compared: list[int], found: list, asked: pa.Table) -> list[int]:
 def vector_top_k(queries: DataFrame, vectors: DataFrame, k: int, generation: str | None = None, by: list[str] | None = None, compared: bool = False) -> DataFrame:
     """``query_id, id, score, rank``: the ``k`` nearest by cosine, ties by id, exactly; ``by``: columns that a query may fix (null: any).
 
-    Inverted lists around centroids hold every vector; the centroids are fitted on ``SAMPLE`` vectors, about the root of their number, ``LISTS`` at most.  A query first reads
+    Inverted lists around centroids hold every vector; the centroids are fitted on ``SAMPLE`` vectors, about the root of their number, ``CENTROIDS`` at most.  A query first reads
     its own list, which gives a score that its k-th result reaches at least; then only those lists, and in them only those vectors, whose angle to the centroid allows that score, by the triangle
     inequality.  Vectors without structure, such as random ones of many dimensions, allow it nearly everywhere: then all pairs are compared, in blocks.  A list of more than ``BLOCK`` vectors is several
     blocks, so a hot list is no task.  Zero vectors have the score 0; rows without a vector, or with a null or NaN component, take no part.  ``compared`` adds the pairs that were compared, for each query.
@@ -339,7 +339,7 @@ def vector_top_k(queries: DataFrame, vectors: DataFrame, k: int, generation: str
     if not total or not sample.shape[1]:
         empty = queries.select("query_id", F.lit(None).cast(vectors.schema["id"].dataType).alias("id"), F.lit(0.0).alias("score"), F.lit(1).alias("rank")).filter("false")
         return empty.withColumn("compared", F.lit(0).cast("bigint")) if compared else empty
-    centroids = _fitted(sample, norms, min(LISTS, int(np.ceil(np.sqrt(total) / 2))))
+    centroids = _fitted(sample, norms, min(CENTROIDS, int(np.ceil(np.sqrt(total) / 2))))
     lists = written(vector_lists(pool, centroids, ["id", "values", *by]), "lists")
     counts, least, most = np.ones(len(centroids), int), np.full(len(centroids), 9.0), np.full(len(centroids), 9.0)
     for at, n, low, high in lists.groupBy("list").agg(F.count("*"), F.min("angle"), F.max("angle")).collect():  # a row a list
