@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import present
+from ..session import bounded
 
 # Phrases that speak of a term or part rather than a whole.
 TERM_LIKE = (
@@ -183,11 +184,11 @@ def audit_checks(audit: DataFrame, signalled: DataFrame, intent: DataFrame) -> D
 
 
 def classify_missing(items: DataFrame, vocab: DataFrame, label, batch: int = 25) -> DataFrame:
-    """``qid, answer, accepted``: labels by a caller's function from a list of (id, text) to a mapping, in batches.
+    """``qid, answer, accepted, error``: labels by a caller's function from a list of (id, text) to a mapping, in batches.
 
-    Only ids of the batch and labels of the vocabulary count; an error fails its batch alone.  Everything else comes back not accepted.
+    Only ids of the batch and labels of the vocabulary count; an error fails its batch alone, and its rows carry its text.  Everything else comes back not accepted.
     """
-    known = {r.label for r in vocab.select("label").distinct().collect()}
+    known = {r.label for r in bounded(vocab.select("label").distinct(), LABELS).collect()}
     shared = items.sparkSession.sparkContext.broadcast(known)
 
     def run(frames):
@@ -196,11 +197,16 @@ def classify_missing(items: DataFrame, vocab: DataFrame, label, batch: int = 25)
         for frame in frames:
             for i in range(0, len(frame), batch):
                 part = frame.iloc[i : i + batch]
+                error = None
                 try:
                     said = label(list(zip(part["qid"], part["text"])))
-                except Exception:
-                    said = {}
+                except Exception as failed:  # whatever a caller's function raises
+                    said, error = {}, f"{type(failed).__name__}: {failed}"
                 answers = [said.get(q) for q in part["qid"]]
-                yield pd.DataFrame({"qid": part["qid"].tolist(), "answer": answers, "accepted": [a in shared.value for a in answers]})
+                yield pd.DataFrame({"qid": part["qid"].tolist(), "answer": answers, "accepted": [a in shared.value for a in answers], "error": [error] * len(part)})
 
-    return items.select("qid", "text").dropDuplicates(["qid"]).mapInPandas(run, "qid string, answer string, accepted boolean")
+    return items.select("qid", "text").dropDuplicates(["qid"]).mapInPandas(run, "qid string, answer string, accepted boolean, error string")
+
+
+#: Labels of a vocabulary, which go to all executors.
+LABELS = 100_000

@@ -87,10 +87,10 @@ def instances_of(spark, sf_dir):
 
 
 @query(sql("claims", """select subject as item, coalesce(string_agg(distinct case when property = 'P31' then value end, ',' order by case when property = 'P31' then value end), '') as types,
-coalesce(string_agg(distinct case when property in ('P500', 'P501') then value end, ',' order by case when property in ('P500', 'P501') then value end), '') as creators from claims where subject like 'Q1______' group by 1"""))
+coalesce(string_agg(distinct case when property in ('P500', 'P501') then value end, ',' order by case when property in ('P500', 'P501') then value end), '') as creators from claims where try_cast(substr(subject, 2) as bigint) >= 1000000 group by 1"""))
 def optional_properties(spark, sf_dir):
     own = bound(spark, sf_dir, "claims")
-    items = own.select(F.col("subject").alias("item")).filter("item like 'Q1______'").distinct()
+    items = own.select(F.col("subject").alias("item")).filter("try_cast(substr(item, 2) as bigint) >= 1000000").distinct()
     return claims.optional_properties(items, own, {"types": ["P31"], "creators": ["P500", "P501"]}).select("item", joined("types"), joined("creators"))
 
 
@@ -112,10 +112,10 @@ def resolve_aliases(spark, sf_dir):
     return claims.resolve_aliases(bound(spark, sf_dir, "entities"), bound(spark, sf_dir, "terms")).select("qid", joined("aliases"))
 
 
-@query(sql("claims", "select subject as qid, bool_or(property = 'P31' and value = 'Q105') as is_human from claims where subject like 'Q1______' group by 1"))
+@query(sql("claims", "select subject as qid, bool_or(property = 'P31' and value = 'Q105') as is_human from claims where try_cast(substr(subject, 2) as bigint) >= 1000000 group by 1"))
 def human_creators(spark, sf_dir):
     own = bound(spark, sf_dir, "claims")
-    return claims.human_creators(own.filter("subject like 'Q1______'").select(F.col("subject").alias("qid")).distinct(), own, human="Q105")
+    return claims.human_creators(own.filter("try_cast(substr(subject, 2) as bigint) >= 1000000").select(F.col("subject").alias("qid")).distinct(), own, human="Q105")
 
 
 @query(sql("claims", "select subject as qid, min(case when property = 'P500' then 'https://a/' || value end) as a, min(case when property = 'P501' then 'https://b/' || value end) as b from claims where property in ('P500', 'P501') group by 1"))
@@ -516,4 +516,4 @@ def _first_letter(batch):
 def classify_missing(spark, sf_dir):
     items = spark.read.parquet(f"{sf_dir}/part.parquet").select(F.concat(F.lit("Q"), F.col("p_partkey").cast("string")).alias("qid"), F.col("p_name").alias("text"))
     vocab = spark.createDataFrame([("A",), ("B",), ("C",), ("S",)], "label string")
-    return audit.classify_missing(items, vocab, _first_letter)
+    return audit.classify_missing(items, vocab, _first_letter).select("qid", "answer", "accepted")

@@ -240,7 +240,9 @@ def test_unknown_labels_and_failing_batches(spark):
             raise RuntimeError
         return {q: t.upper() for q, t in batch} | {"Q9": "A"}
 
-    assert sorted((r.qid, r.accepted) for r in audit.classify_missing(items, vocab, label, 1).collect()) == [("Q1", True), ("Q2", False), ("Q3", False)]
+    got = audit.classify_missing(items, vocab, label, 1).collect()
+    assert sorted((r.qid, r.accepted) for r in got) == [("Q1", True), ("Q2", False), ("Q3", False)]
+    assert {r.qid: r.error for r in got if r.error} == {"Q3": "RuntimeError: "}
 
 
 def test_best_related_needs_no_pair_that_cannot_qualify(spark):
