@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import generation_id
+from ..session import written
 from .gates import violations
 
 
@@ -40,27 +43,64 @@ def page_fingerprints(pages: DataFrame, html: str = "html", volatile: str = r'\s
     return pages.withColumn("fingerprint", F.sha2(F.regexp_replace(html, f"(?s){volatile}", ""), 256))
 
 
-def manifest(files: DataFrame, counts: DataFrame, started: str, retrieved: str, completed: str) -> DataFrame:
-    """One row: the id, ordered times, counts, and the digest of each file and of each tree (the first part of the path)."""
+#: Hexadecimal digits of a leaf of a digest tree: 4,096 leaves for each tree of files.
+DEPTH = 3
+
+
+def _leaf(depth: int) -> Column:
+    return F.substring(F.sha2("path", 256), 1, depth)
+
+
+def digest_tree(files: DataFrame, depth: int = DEPTH) -> DataFrame:
+    """``tree, level, node, files, sha256`` of ``files(path, sha256)``: a tree of digests for each tree of files (the first part of the path).
+
+    A leaf holds the files whose path's SHA-256 begins with its ``depth`` digits, and its digest is that of its lines ``path sha256`` in order; a node of a lower level, of one digit less,
+    has that of its children's digests, in order.  So no row and no task holds all files: a leaf has its share of them, a node 16 children.
+    """
+    leaf = files.groupBy(F.substring_index("path", "/", 1).alias("tree"), _leaf(depth).alias("node")).agg(
+        F.count("*").alias("files"), F.sha2(F.array_join(F.array_sort(F.collect_list(F.concat_ws(" ", "path", "sha256"))), "\n"), 256).alias("sha256")
+    )
+    levels = [written(leaf.withColumn("level", F.lit(depth)), "leaves")]
+    for level in range(depth - 1, -1, -1):
+        children = F.transform(F.array_sort(F.collect_list(F.struct("node", "sha256"))), lambda c: c["sha256"])
+        parent = levels[-1].groupBy("tree", F.substring("node", 1, level).alias("parent")).agg(F.sum("files").alias("files"), F.sha2(F.array_join(children, "\n"), 256).alias("sha256"))
+        levels.append(parent.select("tree", F.col("parent").alias("node"), "files", "sha256", F.lit(level).alias("level")))
+    return written(reduce(DataFrame.unionByName, levels).select("tree", "level", "node", "files", "sha256"), "digest-tree")
+
+
+def manifest(tree: DataFrame, counts: DataFrame, started: str, retrieved: str, completed: str) -> DataFrame:
+    """One row: the id, ordered times, counts, and the root of each tree of digests; the tree itself and the files are tables beside it."""
     if not started <= retrieved <= completed:
         raise ValueError("the times are not in order")
-    tree = F.substring_index("path", "/", 1)
-    lines = F.array_sort(F.collect_list(F.concat_ws(" ", "path", "sha256")))
-    trees = files.groupBy(tree.alias("tree")).agg(F.count("*").alias("files"), F.sha2(F.array_join(lines, "\n"), 256).alias("sha256"))
-    whole = trees.agg(F.array_sort(F.collect_list(F.struct("tree", "files", "sha256"))).alias("trees"))
-    artifacts = files.agg(F.array_sort(F.collect_list(F.struct("path", "sha256"))).alias("artifacts"))
+    whole = tree.filter("level = 0").agg(F.array_sort(F.collect_list(F.struct("tree", "files", "sha256"))).alias("trees"))
     sums = counts.agg(F.array_sort(F.collect_list(F.struct("dataset", "records", "triples"))).alias("counts"))
-    joined = whole.join(artifacts).join(sums)
     digest = F.sha2(F.array_join(F.transform("trees", lambda t: t["sha256"]), "\n"), 256)
     times = {"startedAt": started, "sourceRetrievedAt": retrieved, "completedAt": completed}
-    return joined.select(generation_id(F.to_timestamp(F.lit(completed)), digest).alias("generationId"), *(F.lit(v).alias(k) for k, v in times.items()), "counts", "trees", "artifacts")
-
-
-def verify_manifest(manifest_row: DataFrame, files: DataFrame) -> DataFrame:
-    """Files that are missing, not listed, listed twice, or whose digest differs."""
-    listed = manifest_row.select(F.explode("artifacts").alias("a")).select("a.path", F.col("a.sha256").alias("_want"))
-    twice = violations(listed.groupBy("path").count().filter("count > 1"), "listed-twice", "path")
-    both = listed.distinct().join(files, "path", "full")
+    return whole.join(sums).select(generation_id(F.to_timestamp(F.lit(completed)), digest).alias("generationId"), *(F.lit(v).alias(k) for k, v in times.items()), "counts", "trees")
+
+
+def differing_leaves(ours: DataFrame, theirs: DataFrame, depth: int = DEPTH) -> DataFrame:
+    """``tree, node`` of leaves whose digests differ, or that one side has alone; a level is read only below nodes that differ."""
+    suspects = None
+    for level in range(depth + 1):
+        sides = []
+        for side, tree in (("_a", ours), ("_b", theirs)):
+            rows = tree.filter(F.col("level") == level).select("tree", "node", F.col("sha256").alias(side))
+            if suspects is not None:
+                above = suspects.withColumnRenamed("node", "_above")
+                rows = rows.withColumn("_above", F.substring("node", 1, level - 1)).join(above, ["tree", "_above"], "left_semi").drop("_above")
+            sides.append(rows)
+        suspects = sides[0].join(sides[1], ["tree", "node"], "full").filter(~F.col("_a").eqNullSafe(F.col("_b"))).select("tree", "node")
+    return suspects
+
+
+def verify_manifest(tree: DataFrame, listed: DataFrame, files: DataFrame, depth: int = DEPTH) -> DataFrame:
+    """Files that are missing, not listed, listed twice, or whose digest differs: those of ``listed`` (``path, sha256``, with its ``tree``) and ``files`` in leaves that differ."""
+    leaves = differing_leaves(tree, digest_tree(files, depth), depth)
+    within = lambda rows: rows.withColumns({"tree": F.substring_index("path", "/", 1), "node": _leaf(depth)}).join(leaves, ["tree", "node"], "left_semi").drop("tree", "node")
+    held = written(within(listed.select("path", F.col("sha256").alias("_want"))), "listed")
+    twice = violations(held.groupBy("path").count().filter("count > 1"), "listed-twice", "path")
+    both = held.distinct().join(within(files.select("path", "sha256")), "path", "full")
     code = F.when(F.col("sha256").isNull(), "file-missing").when(F.col("_want").isNull(), "file-not-listed").when(F.col("_want") != F.col("sha256"), "digest-differs")
     return twice.unionByName(violations(both.withColumn("_code", code).filter("_code is not null"), F.col("_code"), "path"))
 

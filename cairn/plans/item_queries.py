@@ -515,10 +515,20 @@ def _files(spark, sf_dir):
     return bound(spark, sf_dir, "files").select("path", F.sha2("content", 256).alias("sha256"))
 
 
-@query(sql("files", "select split_part(path, '/', 1) as tree, count(*) as files, sha256(string_agg(path || ' ' || sha256(content), chr(10) order by path)) as sha256 from files group by 1"))
+LEAVES = """, l3 as (select split_part(path, '/', 1) as tree, 3 as level, substr(sha256(path), 1, 3) as node, count(*) as files, sha256(string_agg(path || ' ' || sha256(content), chr(10) order by path || ' ' || sha256(content))) as sha256 from files group by 1, 3),
+l2 as (select tree, 2 as level, substr(node, 1, 2) as above, sum(files)::bigint as files, sha256(string_agg(sha256, chr(10) order by node)) as sha256 from l3 group by 1, 3), l1 as (select tree, 1 as level, substr(above, 1, 1) as up, sum(files)::bigint as files, sha256(string_agg(sha256, chr(10) order by above)) as sha256 from l2 group by 1, 3),
+l0 as (select tree, 0 as level, '' as node, sum(files)::bigint as files, sha256(string_agg(sha256, chr(10) order by up)) as sha256 from l1 group by 1)"""
+
+
+@query(sql("files", LEAVES + " select * from l3 union all select * from l2 union all select * from l1 union all select * from l0").replace(") , l3", "), l3"))
+def digest_tree(spark, sf_dir):
+    return snapshot.digest_tree(_files(spark, sf_dir))
+
+
+@query(sql("files", LEAVES + " select tree, files, sha256 from l0").replace(") , l3", "), l3"))
 def manifest(spark, sf_dir):
     counts = snapshot.catalog_counts(bound(spark, sf_dir, "items"), bound(spark, sf_dir, "triples").withColumn("dataset", F.lit("resource")))
-    made = snapshot.manifest(_files(spark, sf_dir), counts, "2024-01-01T00:00:00Z", "2024-01-01T00:05:00Z", "2024-01-01T00:06:00Z")
+    made = snapshot.manifest(snapshot.digest_tree(_files(spark, sf_dir)), counts, "2024-01-01T00:00:00Z", "2024-01-01T00:05:00Z", "2024-01-01T00:06:00Z")
     return made.select(F.explode("trees").alias("t")).select("t.*")
 
 
@@ -526,9 +536,9 @@ def manifest(spark, sf_dir):
 def verify_manifest(spark, sf_dir):
     n = F.substring_index("path", "/", -1).cast("int") % 9
     own = _files(spark, sf_dir)
-    listed = own.filter(n != 1).agg(F.collect_list(F.struct("path", "sha256")).alias("artifacts"))
+    listed = own.filter(n != 1)
     now = own.filter(n != 0).withColumn("sha256", F.when(n == 2, "else").otherwise(F.col("sha256")))
-    return snapshot.verify_manifest(listed, now).select("code", "subject")
+    return snapshot.verify_manifest(snapshot.digest_tree(listed), listed, now).select("code", "subject")
 
 
 @query("select 'file-in-no-part' as code, 'part2/' || cast(p_partkey as string) as subject from part where p_partkey % 3 = 2 union all select 'file-in-several-parts', 'part1/' || cast(p_partkey as string) from part where p_partkey % 3 = 1 and cast(p_partkey as string) like '1%'")

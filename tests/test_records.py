@@ -316,3 +316,20 @@ def test_mentions_of_a_page(spark):
     differs = [("page-mentions-differ", url + "a/")]
     assert found(None) == differs and found("[]") == differs and found(right.replace("Tb", "Tc")) == differs and found(right.replace('"name"', '"more":"x","name"')) == differs
     assert found(right, "[]") == [("page-mentions-differ", url + "b/")]
+
+
+def test_a_digest_tree_is_read_along_one_branch(spark):
+    """One changed, one missing, one new file and one listed twice of 3,000: only their leaves differ, and only their files are compared."""
+    made = [(f"t{i % 2}/{i}", f"{i:064x}") for i in range(3000)]
+    files = spark.createDataFrame(made, "path string, sha256 string")
+    tree = snapshot.digest_tree(files)
+    assert {(r.tree, r.files) for r in tree.filter("level = 0").collect()} == {("t0", 1500), ("t1", 1500)}
+    assert snapshot.differing_leaves(tree, snapshot.digest_tree(files.repartition(3))).count() == 0
+    now = spark.createDataFrame([(p, "other" if p == "t0/40" else d) for p, d in made if p != "t1/7"] + [("t1/new", "d")], "path string, sha256 string")
+    listed = files.unionByName(files.filter("path = 't0/100'"))
+    leaf = lambda path: __import__("hashlib").sha256(path.encode()).hexdigest()[:3]
+    differ = snapshot.differing_leaves(snapshot.digest_tree(listed), snapshot.digest_tree(now))
+    assert values(differ, "tree", "node") == sorted((p.split("/")[0], leaf(p)) for p in ("t0/40", "t1/7", "t1/new", "t0/100"))
+    got = values(snapshot.verify_manifest(snapshot.digest_tree(listed), listed, now), "code", "subject")
+    assert got == [("digest-differs", "t0/40"), ("file-missing", "t1/7"), ("file-not-listed", "t1/new"), ("listed-twice", "t0/100")]
+    assert snapshot.digest_tree(files.limit(0)).count() == 0 and snapshot.differing_leaves(tree, snapshot.digest_tree(files.filter("path like 't0/%'"))).filter("tree = 't0'").count() == 0
