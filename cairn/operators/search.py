@@ -169,11 +169,30 @@ def grams(text: Column, size: int) -> Column:
 GRAM = 3
 
 
+#: Grams of all queries that tasks look for at once; for more, they emit all grams of a text, and a join leaves the wanted ones.
+GRAMS = 1_000_000
+
+
 def gram_index(items: DataFrame, wanted: DataFrame) -> DataFrame:
     """``gram, position``: the inverted index of ``_low`` texts, of the grams in ``wanted`` (``gram``)."""
-    sizes = sorted(r[0] for r in wanted.select(F.length("gram")).distinct().collect())
-    every = F.concat(*(grams(F.col("_low"), n) for n in sizes)) if sizes else F.array().cast("array<string>")
-    return items.select("position", F.explode(every).alias("gram")).join(wanted, "gram", "left_semi")
+    rows = [r[0] for r in wanted.limit(GRAMS + 1).collect()]
+    few = len(rows) <= GRAMS
+    sizes = sorted({len(g) for g in rows}) if few else [1, 2, GRAM]
+    shared = items.sparkSession.sparkContext.broadcast(frozenset(rows) if few else None)
+
+    def run(batches):
+        for batch in batches:
+            places, found = [], []
+            for i, text in enumerate(batch.column("_low").to_pylist()):
+                own = {text[j : j + n] for n in sizes for j in range(len(text) - n + 1)} if text else ()
+                if few and own:
+                    own &= shared.value
+                places += [i] * len(own)
+                found += own
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.string()), batch.column("position").take(pa.array(places, pa.int64()))], ["gram", "position"])
+
+    index = items.select("position", "_low").mapInArrow(run, f"gram string, position {items.schema['position'].dataType.simpleString()}")
+    return index if few else index.join(wanted, "gram", "left_semi")
 
 
 def text_candidates(items: DataFrame, asked: DataFrame) -> DataFrame:
@@ -208,7 +227,7 @@ def text_search(items: DataFrame, queries: DataFrame, limit: int = 20) -> DataFr
     from an index of the projections' letters (``text_candidates``) and, by an equi-join, from identifiers; each is then verified on the whole text.  Categories compare without case; the total counts before the limit.
     """
     asked = queries.select("query_id", F.lower(spaced("q")).alias("_q"), _terms(F.col("q")).alias("_terms"), F.lower("category").alias("_category"), F.col("dataset").alias("_dataset")).filter("_q <> ''")
-    low = items.withColumn("_low", F.lower("projection"))
+    low = written(items.select("position", F.lower("projection").alias("_low"), "identifiers", "category", "dataset"), "texts")  # made once, read by each step
     named = low.select("position", F.explode("identifiers").alias("_q")).join(asked.select("query_id", "_q"), "_q").select("query_id", "position")
     candidates = named.unionByName(text_candidates(low, asked)).distinct()
     hit = F.array_contains("identifiers", F.col("_q")) | F.forall("_terms", lambda t: F.contains("_low", t))
@@ -219,7 +238,7 @@ def text_search(items: DataFrame, queries: DataFrame, limit: int = 20) -> DataFr
 def text_search_plain(items: DataFrame, queries: DataFrame, limit: int = 20) -> DataFrame:
     """Q2: words only, no identifiers; the total counts what the limit leaves."""
     asked = queries.select("query_id", _terms(F.col("q")).alias("_terms"), F.lower("category").alias("_category")).filter(F.size("_terms") > 0)
-    low = items.withColumn("_low", F.lower("projection"))
+    low = written(items.select("position", F.lower("projection").alias("_low"), "category"), "texts")
     fits = F.col("_category").isNull() | (F.lower("category") == F.col("_category"))
     hit = F.forall("_terms", lambda t: F.contains("_low", t))
     found = _limited(text_candidates(low, asked).join(asked, "query_id").join(low, "position").filter(hit & fits).select("query_id", "position"), limit)
