@@ -110,11 +110,9 @@ def numbered(rows: DataFrame, key: str, *order: str) -> DataFrame:
             new[1:] = ~pc.equal(keys[1:], keys[:-1]).to_numpy(zero_copy_only=False)
             new[0] = last is None or last[0] != keys[0].as_py()
             starts = np.flatnonzero(new)
-            own = np.arange(n) - np.repeat(starts, np.diff(np.append(starts, n))) + 1 if new[0] else None
-            if own is None:  # the batch goes on with the key before
-                first = int(starts[0]) if len(starts) else n
-                rest = np.arange(first, n)
-                own = np.concatenate((np.arange(first) + 1 + last[1], rest - np.repeat(starts, np.diff(np.append(starts, n))) + 1))
+            first = int(starts[0]) if len(starts) else n  # rows before it go on with the key of the batch before
+            runs = np.repeat(starts, np.diff(np.append(starts, n)))
+            own = np.concatenate((np.arange(first) + 1 + (last[1] if first else 0), np.arange(first, n) - runs + 1))
             edge = np.zeros(n, np.int8)
             edge[0] = last is None
             last = keys[n - 1].as_py(), int(own[-1])
