@@ -35,7 +35,7 @@ NEAR = 4
 WORDS = 4
 SEED = 42
 LIMIT = 1000
-#: Levels of splitting: 64 bits less a fifth at each level are 16 after six.
+#: Levels of splitting: 64 bits less a fifth at each level are 16 after six, so a key that deep holds fingerprints that are equal in 48 bits, 65,536 at most.
 DEEPEST = 6
 
 
@@ -186,7 +186,7 @@ def links(classes: DataFrame) -> DataFrame:
     rows, edges = tables(classes.select(zero.alias("path"), zero.alias("key"), "fp")), None
     while True:
         rows = written(rows, "tables")
-        # Paths whose free bits are fewer than blocks end here: their keys leave at most 16 values.
+        # Keys of the deepest level stay whole.
         large = written(rows.groupBy("path", "key").count().filter(F.col("count") > LIMIT).filter(F.col("path") < 8**DEEPEST).select(F.col("key").alias("large_key")), "large-keys")
         some = written(_forests(rows.join(large, F.col("key") == F.col("large_key"), "left_anti")), "forests")
         edges = some if edges is None else edges.unionByName(some)
