@@ -60,8 +60,11 @@ def apply_edit_operations(before: DataFrame, operations: DataFrame) -> DataFrame
     return before.select("qid", "guid", "property", "value", "rank").join(removed, ["qid", "guid"], "left_anti").select("qid", "guid", "property", "value", "rank").unionByName(added)
 
 
-def claims_match_proposal(after: DataFrame, proposed: DataFrame) -> DataFrame:
-    """``qid, matches``: every proposed claim has exactly one counterpart and nothing is left over; a proposal without guid takes any claim that has one."""
+def claims_match_proposal(after: DataFrame, proposed: DataFrame, records: DataFrame | None = None) -> DataFrame:
+    """``qid, matches``: every proposed claim has exactly one counterpart and nothing is left over; a proposal without guid takes any claim that has one.
+
+    ``records`` (``qid``) are judged too where they have no claim on either side, as those whose only claim is removed: they match.
+    """
     known, new = proposed.filter("guid is not null"), proposed.filter("guid is null")
     keys = ["qid", "property", "value", "rank"]
     have = after.join(known.select("qid", "guid", F.lit(True).alias("_known")).distinct(), ["qid", "guid"], "left")
@@ -70,7 +73,8 @@ def claims_match_proposal(after: DataFrame, proposed: DataFrame) -> DataFrame:
     wanted = new.groupBy(*keys).agg(F.count("*").alias("_m"))
     # Without a guid a proposal must be the only one of its kind, and meet exactly one claim.
     fresh = rest.join(wanted, keys, "full").groupBy("qid").agg(F.bool_and((F.coalesce("_m", F.lit(0)) == 1) & (F.coalesce("_n", F.lit(0)) == 1) & (F.coalesce("_with", F.lit(0)) == 1)).alias("fresh"))
-    ids = after.select("qid").union(proposed.select("qid")).distinct()
+    ids = after.select("qid").union(proposed.select("qid"))
+    ids = (ids if records is None else ids.union(records.select("qid"))).distinct()
     joined = ids.join(exact, "qid", "left").join(fresh, "qid", "left")
     return joined.select("qid", (F.coalesce("exact", F.lit(True)) & F.coalesce("fresh", F.lit(True))).alias("matches"))
 

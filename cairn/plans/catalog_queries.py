@@ -447,7 +447,7 @@ def claims_match_proposal(spark, sf_dir):
     before = bound(spark, sf_dir, "claim_edits")
     proposed = audit.apply_edit_operations(before, audit.resolve_edit_operations(before, bound(spark, sf_dir, "intent_edits")).filter("error is null"))
     after = proposed.withColumn("guid", F.coalesce("guid", F.lit("new")))
-    return audit.claims_match_proposal(after, proposed)
+    return audit.claims_match_proposal(after, proposed, before)
 
 
 def _audit(spark, sf_dir):

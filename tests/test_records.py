@@ -333,3 +333,11 @@ def test_a_digest_tree_is_read_along_one_branch(spark):
     got = values(snapshot.verify_manifest(snapshot.digest_tree(listed), listed, now), "code", "subject")
     assert got == [("digest-differs", "t0/40"), ("file-missing", "t1/7"), ("file-not-listed", "t1/new"), ("listed-twice", "t0/100")]
     assert snapshot.digest_tree(files.limit(0)).count() == 0 and snapshot.differing_leaves(tree, snapshot.digest_tree(files.filter("path like 't0/%'"))).filter("tree = 't0'").count() == 0
+
+
+def test_a_record_without_claims_matches_its_proposal(spark):
+    claims = "qid string, guid string, property string, value string, rank string"
+    before = spark.createDataFrame([("Q1", "g1", "P1", "V", "normal"), ("Q2", "g2", "P1", "V", "normal")], claims)
+    removed = spark.createDataFrame([("Q1", "remove", "P1", "V", "g1", None)], "qid string, action string, property string, value string, claim_guid string, error string")
+    left = audit.apply_edit_operations(before, removed)
+    assert {r.qid: r.matches for r in audit.claims_match_proposal(left, left, before).collect()} == {"Q1": True, "Q2": True}
