@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import html
 import re
+from collections.abc import Callable
+from html.entities import html5
 
 import pandas as pd
 from pyspark.sql import functions as F
@@ -20,20 +22,33 @@ _MARKUP = re.compile(
 )
 
 
-def fragment_text(value: str | None) -> str | None:
+_CLOSED = re.compile(r"&(?:#\d+|#[xX][\da-fA-F]+|[A-Za-z][\dA-Za-z]*);")
+
+
+def _closed(text: str) -> str:
+    """Text whose references are decoded where they end in a semicolon."""
+    return _CLOSED.sub(lambda m: html.unescape(m[0]) if m[0][1] == "#" else html5.get(m[0][1:], m[0]), text)
+
+
+def fragment_text(value: str | None, unescape: Callable[[str], str] = html.unescape) -> str | None:
     """Text with space at breaking tags, other tags gone, references decoded, white space folded; scripts and styles count as text."""
     if value is None:
         return None
     pieces, at = [], 0
     for found in _MARKUP.finditer(value):
-        pieces.append(html.unescape(value[at : found.start()]))
+        pieces.append(unescape(value[at : found.start()]))
         raw, inside, tag = found.groups()
         pieces.append(inside if raw else " " if tag and tag.lower() in BREAKS else "")
         at = found.end()
-    pieces.append(html.unescape(value[at:]))
+    pieces.append(unescape(value[at:]))
     return " ".join("".join(pieces).split())
 
 
 @F.pandas_udf(T.StringType())
 def html_text(values: pd.Series) -> pd.Series:
     return values.map(fragment_text)
+
+
+@F.pandas_udf(T.StringType())
+def closed_html_text(values: pd.Series) -> pd.Series:
+    return values.map(lambda value: fragment_text(value, _closed))

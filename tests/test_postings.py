@@ -245,3 +245,23 @@ def test_pages_equal_a_whole_sort(spark, monkeypatch, enough):
         want = [r.id for r in df.orderBy(*(F.col(c).desc() if down else F.col(c).asc() for c, down in by)).collect()]
         for first, last in ((0, 20), (340, 360), (690, 720), (699, 700), (700, 720), (5, 5)):
             assert [r.id for r in ordered.rows_between(df, by, first, last).collect()] == want[first:last]
+
+
+def test_late_days_of_layout_c(spark):
+    c = "slug string, company_name string, title string, description string, remote boolean, url string, tags array<string>, job_types array<string>, location string, created_at string, salary string"
+    day = lambda created: str(one(spark, "c", c, ("s1", "Firm", "T", "D", False, "https://any.example/1", None, None, "", created, "")).datePosted)
+    assert [day(x) for x in ("999999999", "10000000000", "100000000000")] == ["2001-09-09", "2286-11-20", "5138-11-16"]
+
+
+def test_references_without_semicolon(spark):
+    pages = spark.createDataFrame([("a &amp<b>b</b> &lt;c&gt; &#233; &copy &nosuch;",)], "body string")
+    assert postings.extract_text(pages).first().text == "a &b <c> é © &nosuch;"
+    assert postings.extract_text(pages, bare=False).first().text == "a &ampb <c> é &copy &nosuch;"
+
+
+def test_evidence_without_cues(spark):
+    texts = spark.createDataFrame([(1, "no Licensed thing")], "id long, description string")
+    terms = spark.createDataFrame([("Licensed", True, "k:licence", "Licence", "S", "strong")], "text string, case_sensitive boolean, concept_uri string, concept_label string, concept_scheme string, strength string")
+    found = {cues: postings.find_evidence(texts, terms, cues=cues) for cues in (True, False)}
+    assert {cues: postings.classify_evidence(texts, e).first().classification for cues, e in found.items()} == {True: "not_match", False: "qualified"}
+    assert {cues: postings.matched_concepts(e, "k:").count() for cues, e in found.items()} == {True: 0, False: 1}
