@@ -341,3 +341,22 @@ def test_a_record_without_claims_matches_its_proposal(spark):
     removed = spark.createDataFrame([("Q1", "remove", "P1", "V", "g1", None)], "qid string, action string, property string, value string, claim_guid string, error string")
     left = audit.apply_edit_operations(before, removed)
     assert {r.qid: r.matches for r in audit.claims_match_proposal(left, left, before).collect()} == {"Q1": True, "Q2": True}
+
+
+@pytest.mark.parametrize("threshold", [55, 58, 60])
+def test_copies_of_records_are_scored_once(spark, threshold):
+    import random
+
+    chance, rows = random.Random(threshold), []
+    kinds = {"category": 2, "license": 2, "language": 2, "token": 6}
+    kept = [[("creator", f"c{chance.randrange(3)}") for _ in range(2)] + [(kind, f"{kind}{chance.randrange(n)}") for kind, n in kinds.items() for _ in range(3 if kind == "token" else 1)] for _ in range(5)]
+    for i in range(70):
+        rows += [("d", f"s{i}", *f) for f in kept[chance.randrange(5)]] + [("d", f"s{i}", "entity", f"e{i}")] + [("d", f"s{i}", "repository", f"r{chance.randrange(25)}")] * (i % 2)
+    features = spark.createDataFrame(rows, "dataset string, subject string, kind string, key string").distinct()
+    context, config = related.similarity_context(features), related.Config(threshold=threshold)
+    whole = related.score_pairs(features, context, config)
+    columns = ("subject", "candidate", "score", "rank", "reasons", "components")
+    assert values(related.best_related(features, context, config), *columns) == values(related.related_top_k(whole, config.max_related), *columns)
+    counts = related.pair_counts(features, context, config).first()
+    assert (counts.n, counts.below) == (whole.count(), whole.filter("not qualifies").count())
+    assert related._creator_pairs(features, config).count() <= 70 * (config.max_related + 1)  # 70 * 69 pairs before
