@@ -197,3 +197,15 @@ def test_shared_folder_must_be_shared(spark, monkeypatch):
 
     with pytest.raises(ValueError):
         session.shared_folder(Session())
+
+
+def test_items_are_dealt_out_by_number(spark, sf_dir, monkeypatch):
+    from cairn.operators import triples
+    from cairn.plans import bindings
+
+    monkeypatch.setattr(bindings, "ROWS", 20)
+    items = bindings.catalog_items(spark, sf_dir).drop("creators")
+    parts = items.select(F.spark_partition_id().alias("k")).groupBy("k").count().collect()
+    assert len(parts) > 5 and max(r["count"] for r in parts) < 60  # one task had all rows before
+    plan = triples.records_to_triples(items)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1  # rows of a record stay where they are made
