@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections import Counter
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -169,12 +171,12 @@ def grams(text: Column, size: int) -> Column:
 GRAM = 3
 
 
-#: Grams of all queries that tasks look for at once; for more, they emit all grams of a text, and a join leaves the wanted ones.
+#: Grams, and pairs of them, of all queries that tasks look for at once; for more, they emit all grams of a text, and a join leaves the wanted ones.
 GRAMS = 1_000_000
 
 
-def gram_index(items: DataFrame, wanted: DataFrame) -> DataFrame:
-    """``gram, position``: the inverted index of ``_low`` texts, of the grams in ``wanted`` (``gram``)."""
+def gram_index(items: DataFrame, wanted: DataFrame, counts: bool = False) -> DataFrame:
+    """``gram, position``: the inverted index of ``_low`` texts, of the grams in ``wanted`` (``gram``); or ``gram, count`` of each task."""
     rows = [r[0] for r in wanted.limit(GRAMS + 1).collect()]
     few = len(rows) <= GRAMS
     sizes = sorted({len(g) for g in rows}) if few else [1, 2, GRAM]
@@ -189,28 +191,73 @@ def gram_index(items: DataFrame, wanted: DataFrame) -> DataFrame:
                     own &= shared.value
                 places += [i] * len(own)
                 found += own
-            yield pa.RecordBatch.from_arrays([pa.array(found, pa.string()), batch.column("position").take(pa.array(places, pa.int64()))], ["gram", "position"])
+            if counts:
+                many = Counter(found)
+                yield pa.RecordBatch.from_arrays([pa.array(list(many), pa.string()), pa.array(list(many.values()), pa.int64())], ["gram", "count"])
+            else:
+                yield pa.RecordBatch.from_arrays([pa.array(found, pa.string()), batch.column("position").take(pa.array(places, pa.int64()))], ["gram", "position"])
 
-    index = items.select("position", "_low").mapInArrow(run, f"gram string, position {items.schema['position'].dataType.simpleString()}")
+    index = items.select("position", "_low").mapInArrow(run, "gram string, count bigint" if counts else f"gram string, position {items.schema['position'].dataType.simpleString()}")
     return index if few else index.join(wanted, "gram", "left_semi")
 
 
+def pair_index(items: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``first, next, position`` of items whose ``_low`` text holds both grams of a pair in ``wanted`` (``first, next``; next may be null: the first alone)."""
+    rows = wanted.limit(GRAMS + 1).collect()
+    if len(rows) > GRAMS:
+        one = gram_index(items, wanted.select(F.col("first").alias("gram")).distinct())
+        two = written(gram_index(items, wanted.select(F.col("next").alias("gram")).filter("next is not null").distinct()), "postings").withColumnRenamed("gram", "next")
+        met = wanted.join(one.withColumnRenamed("gram", "first"), "first").select("first", "next", "position")
+        return met.join(two, ["next", "position"], "left_semi").select("first", "next", "position").unionByName(met.filter("next is null"))
+    after: dict[str, set] = {}
+    for first, second in rows:
+        after.setdefault(first, set()).add(second)
+    sizes = sorted({len(g) for row in rows for g in row if g is not None})
+    shared = items.sparkSession.sparkContext.broadcast(after)
+
+    def run(batches):
+        after = shared.value
+        for batch in batches:
+            places, firsts, seconds = [], [], []
+            for i, text in enumerate(batch.column("_low").to_pylist()):
+                own = {text[j : j + n] for n in sizes for j in range(len(text) - n + 1)} if text else set()
+                own.add(None)
+                for first in own & after.keys():
+                    for second in own & after[first]:
+                        places.append(i)
+                        firsts.append(first)
+                        seconds.append(second)
+            yield pa.RecordBatch.from_arrays([pa.array(firsts, pa.string()), pa.array(seconds, pa.string()), batch.column("position").take(pa.array(places, pa.int64()))], ["first", "next", "position"])
+
+    return items.select("position", "_low").mapInArrow(run, f"first string, next string, position {items.schema['position'].dataType.simpleString()}")
+
+
 def text_candidates(items: DataFrame, asked: DataFrame) -> DataFrame:
     """``query_id, position`` of items (``position, _low``) that may hold all ``_terms`` of a query: a superset, by the index.
 
-    A query's grams are those of three letters of its terms, and terms of one or two letters as they are.  The posting list of the rarest one gives
-    candidates, and the list of the next rarest is looked up for those alone, by gram and item; so no step is larger than the rarest list.  A query with a gram that no item has has no candidate.
+    A query's grams are those of three letters of its terms, and terms of one or two letters as they are.  The rarest gram, and the rarest one of another term (or else of the same), are
+    looked for together in each text, so no step is larger than the items that hold both.  A query with a gram that no item has has no candidate.
     """
-    of_term = lambda t: F.when(F.length(t) < GRAM, F.array(t)).otherwise(grams(t, GRAM))
-    own = written(asked.select("query_id", F.explode(F.array_distinct(F.flatten(F.transform("_terms", of_term)))).alias("gram")).distinct(), "query-grams")
-    index = written(gram_index(items, own.select("gram").distinct()), "postings")
-    counted = own.join(index.groupBy("gram").count(), "gram", "left").withColumn("count", F.coalesce("count", F.lit(0)))
-    ranked = counted.withColumn("place", F.row_number().over(Window.partitionBy("query_id").orderBy("count", "gram"))).filter("place <= 2")
-    first, second = (ranked.filter(F.col("place") == n).select("query_id", "gram") for n in (1, 2))
-    met = first.join(index, "gram").select("query_id", "position").join(second.withColumnRenamed("gram", "next"), "query_id", "left")
-    # A query of one gram alone needs no second list.
-    looked = met.join(index.select(F.col("gram").alias("next"), F.col("position")), ["next", "position"], "left_semi")
-    return looked.select("query_id", "position").unionByName(met.filter("next is null").select("query_id", "position")).distinct()
+    of_term = lambda t, i: F.transform(F.when(F.length(t) < GRAM, F.array(t)).otherwise(grams(t, GRAM)), lambda g: F.struct(g.alias("gram"), i.alias("term")))
+    own = written(asked.select("query_id", F.explode(F.flatten(F.transform("_terms", of_term))).alias("g")).select("query_id", "g.gram", "g.term"), "query-grams")
+    counted = gram_index(items, own.select("gram").distinct(), True).groupBy("gram").agg(F.sum("count").alias("count"))
+    counted = own.join(counted, "gram", "left").withColumn("count", F.coalesce("count", F.lit(0)))
+    first = counted.groupBy("query_id").agg(F.min(F.struct("count", "gram", "term")).alias("f"), F.min("count").alias("least")).filter("least > 0")
+    other = counted.join(first, "query_id").filter("gram <> f.gram").groupBy("query_id").agg(F.min(F.struct((F.col("term") == F.col("f.term")).alias("same"), "count", "gram")).alias("s"))
+    pairs = written(first.join(other, "query_id", "left").select("query_id", F.col("f.gram").alias("first"), F.col("s.gram").alias("next")), "query-pairs")
+    found = pair_index(items, pairs.select("first", "next").distinct())
+    same = (pairs["first"] == found["first"]) & pairs["next"].eqNullSafe(found["next"])
+    return pairs.join(found, same).select("query_id", "position").distinct()
+
+
+def _asked_once(asked: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """One query of each kind under an id of its own, ``first``, and ``query_id, first`` of all: equal queries have equal results."""
+    keyed = written(asked.withColumn("first", F.sha2(F.to_json(F.struct(*(c for c in asked.columns if c != "query_id"))), 256)), "asked")
+    return keyed.dropDuplicates(["first"]).withColumn("query_id", F.col("first")).select(*asked.columns), keyed.select("query_id", "first").distinct()
+
+
+def _for_all(found: DataFrame, asked: DataFrame) -> DataFrame:
+    return asked.join(found.withColumnRenamed("query_id", "first"), "first").select("query_id", "position", "total", "rank")
 
 
 def _limited(matches: DataFrame, limit: int) -> DataFrame:
@@ -227,22 +274,24 @@ def text_search(items: DataFrame, queries: DataFrame, limit: int = 20) -> DataFr
     from an index of the projections' letters (``text_candidates``) and, by an equi-join, from identifiers; each is then verified on the whole text.  Categories compare without case; the total counts before the limit.
     """
     asked = queries.select("query_id", F.lower(spaced("q")).alias("_q"), _terms(F.col("q")).alias("_terms"), F.lower("category").alias("_category"), F.col("dataset").alias("_dataset")).filter("_q <> ''")
+    asked, every = _asked_once(asked)
     low = written(items.select("position", F.lower("projection").alias("_low"), "identifiers", "category", "dataset"), "texts")  # made once, read by each step
     named = low.select("position", F.explode("identifiers").alias("_q")).join(asked.select("query_id", "_q"), "_q").select("query_id", "position")
     candidates = named.unionByName(text_candidates(low, asked)).distinct()
     hit = F.array_contains("identifiers", F.col("_q")) | F.forall("_terms", lambda t: F.contains("_low", t))
     fits = (F.col("_category").isNull() | (F.lower("category") == F.col("_category"))) & (F.col("_dataset").isNull() | (F.col("dataset") == F.col("_dataset")))
-    return _limited(candidates.join(asked, "query_id").join(low, "position").filter(hit & fits).select("query_id", "position"), limit)
+    return _for_all(_limited(candidates.join(asked, "query_id").join(low, "position").filter(hit & fits).select("query_id", "position"), limit), every)
 
 
 def text_search_plain(items: DataFrame, queries: DataFrame, limit: int = 20) -> DataFrame:
     """Q2: words only, no identifiers; the total counts what the limit leaves."""
     asked = queries.select("query_id", _terms(F.col("q")).alias("_terms"), F.lower("category").alias("_category")).filter(F.size("_terms") > 0)
+    asked, every = _asked_once(asked)
     low = written(items.select("position", F.lower("projection").alias("_low"), "category"), "texts")
     fits = F.col("_category").isNull() | (F.lower("category") == F.col("_category"))
     hit = F.forall("_terms", lambda t: F.contains("_low", t))
     found = _limited(text_candidates(low, asked).join(asked, "query_id").join(low, "position").filter(hit & fits).select("query_id", "position"), limit)
-    return found.withColumn("total", F.count("*").over(Window.partitionBy("query_id")))
+    return _for_all(found.withColumn("total", F.count("*").over(Window.partitionBy("query_id"))), every)
 
 
 SORTS = {"title": False, "releaseDate": True, "documentationScore": True}

@@ -101,3 +101,20 @@ def test_lists_leave_most_pairs_out(spark):
 def test_no_vectors(spark):
     queries, rows = spark.createDataFrame([("q", [1.0])], "query_id string, values array<float>"), spark.createDataFrame([], VECTOR)
     assert search.vector_top_k(queries, rows, 3).collect() == [] and search.vector_top_k(queries.limit(0), spark.createDataFrame([("a", [1.0], "g", "d")], VECTOR), 3).collect() == []
+
+
+def test_candidates_hold_both_rarest_grams(spark, monkeypatch):
+    items = spark.createDataFrame([(i, f"{'red' if i % 2 else 'sky'} {'fox' if i % 3 else 'owl'}") for i in range(60)], "position bigint, _low string")
+    asked = spark.createDataFrame([("a", ["red", "owl"]), ("b", ["red"]), ("c", ["red", "cat"])], "query_id string, _terms array<string>")
+    wanted = spark.createDataFrame([("owl", "red"), ("red", None)], "first string, next string")
+    for most in (search.GRAMS, 1):  # the pairs of a task, and joins for more
+        monkeypatch.setattr(search, "GRAMS", most)
+        assert sorted(r.position for r in search.pair_index(items, wanted).filter("first = 'owl'").collect()) == list(range(3, 60, 6))  # all 20 of owl before
+        found = {(r.query_id, r.position) for r in search.text_candidates(items, asked).collect()}
+        assert found == {("a", i) for i in range(3, 60, 6)} | {("b", i) for i in range(1, 60, 2)}
+
+
+def test_equal_queries_are_asked_once(spark):
+    asked = spark.createDataFrame([(f"q{i}", f"w{i % 3}", [f"w{i % 3}"], None) for i in range(30)] + [("q0", "w1", ["w1"], None)], "query_id string, _q string, _terms array<string>, _category string")
+    once, every = search._asked_once(asked)
+    assert once.count() == 3 and every.count() == 31 and every.join(once, every["first"] == once["query_id"]).count() == 31
