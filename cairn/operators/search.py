@@ -303,7 +303,8 @@ def browse(items: DataFrame, q: str = "", category: str | None = None, sort: str
     found = items if category is None else items.filter(F.col("category") == category)
     for word in q.lower().split():
         found = found.filter(F.contains("search_text", F.lit(word)))
-    return paginate(*sort_keys(found, F.col(sort), order, SORTS[sort]), page, size).drop("_missing", "_value", "_title")
+    named, by = sort_keys(found, F.col(sort), order, SORTS[sort])
+    return paginate(written(named, "found"), by, page, size).drop("_missing", "_value", "_title")  # the page is found in several passes; texts and keys are made in one
 
 
 # ---- vectors

@@ -118,3 +118,16 @@ def test_equal_queries_are_asked_once(spark):
     asked = spark.createDataFrame([(f"q{i}", f"w{i % 3}", [f"w{i % 3}"], None) for i in range(30)] + [("q0", "w1", ["w1"], None)], "query_id string, _q string, _terms array<string>, _category string")
     once, every = search._asked_once(asked)
     assert once.count() == 3 and every.count() == 31 and every.join(once, every["first"] == once["query_id"]).count() == 31
+
+
+def test_browse_makes_its_rows_once(spark):
+    made = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            made.add(batch.num_rows)
+            yield batch
+
+    items = spark.range(500).select(F.col("id").cast("string").alias("qid"), F.concat(F.lit("t"), "id").alias("title"), F.lit("word").alias("search_text"))
+    page = search.browse(items.mapInArrow(count, items.schema), "word", size=5).collect()
+    assert [r.qid for r in page] == ["0", "1", "2", "3", "4"] and made.value == 500  # 1,000 or more before
