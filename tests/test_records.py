@@ -360,3 +360,27 @@ def test_copies_of_records_are_scored_once(spark, threshold):
     counts = related.pair_counts(features, context, config).first()
     assert (counts.n, counts.below) == (whole.count(), whole.filter("not qualifies").count())
     assert related._creator_pairs(features, config).count() <= 70 * (config.max_related + 1)  # 70 * 69 pairs before
+
+
+def test_all_pairs_come_from_rows_that_are_alike(spark, monkeypatch):
+    import random
+
+    chance, rows = random.Random(5), []
+    kinds = {"category": 2, "license": 2, "token": 6}
+    kept = [[("creator", f"c{chance.randrange(3)}") for _ in range(2)] + [(kind, f"{kind}{chance.randrange(n)}") for kind, n in kinds.items() for _ in range(3 if kind == "token" else 1)] for _ in range(5)]
+    for i in range(60):
+        rows += [("d", f"s{i}", *f) for f in kept[chance.randrange(5)]] + [("d", f"s{i}", "entity", f"e{i}")] + [("d", f"s{i}", "repository", f"r{i % 20}")] * (i % 7 == 0)
+        rows += [("d", f"s{i}", kind, f"e{chance.randrange(60)}") for kind in ("parent", "uses") if i % 5 == 0]
+    features = spark.createDataFrame(rows, FEATURE).distinct()
+    context, config = related.similarity_context(features), related.Config()
+    evidence = related.candidate_evidence(features, context, config).localCheckpoint()
+    columns = ("subject", "candidate", "score", "qualifies", "reasons", "components")
+    wanted = values(related.score_pairs(features, context, config, evidence), *columns)
+    pairs = values(evidence.distinct(), "subject", "candidate")
+    met = related._met(related._alike(features, related._keyed(features, context, config), related._weak_kinds(config)))
+    assert 2 * met.count() < len(set(pairs))  # pairs of rows that are alike, not of records
+    for chunk, block in ((500, 2000), (3, 4)):  # also where a class is several rows and a key several blocks
+        monkeypatch.setattr(related, "CHUNK", chunk)
+        monkeypatch.setattr(related, "BLOCK", block)
+        assert values(related.score_pairs(features, context, config), *columns) == wanted
+        assert values(related.related_candidates(features, context, config), "subject", "candidate") == sorted(set(pairs))
