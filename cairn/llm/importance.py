@@ -1,6 +1,6 @@
 """Quality classifier by importance resampling.
 
-Hashed n-gram models (bags of buckets) of target text, the good rows of a bounded labelled sample, and of raw text, all documents, are
+Hashed n-gram models (bags of buckets) of target text, the good labelled rows, and of raw text, all documents, are
 counted in one pass.  A document's log importance weight is the mean log ratio of the two models over its n-grams, times its words, of which at most ``EVIDENCE``
 count: n-grams of one text are not independent, and length alone shall not decide.  Gumbel noise is added to the weight and the top k are kept:
 sampling without replacement in proportion to the weights.  The draw decides among documents about as good as the k-th.
@@ -13,7 +13,7 @@ whether it repeats the word before it.  A bucket's ratio is ``(t + s) / (e + s)`
 makes expect there; the smoothing ``s`` draws rare n-grams to one.  Two n-grams of one bucket share its ratio.
 
 Scale.  Counts are summed inside each task before anything leaves it: at most ``4 * BUCKETS`` rows a task.  The k-th largest key is
-found by counting into ranges, never by sorting all rows.  Only the model and the labelled sample reach the driver, both of fixed bounds.  Texts are
+found by counting into ranges, never by sorting all rows.  Only the model, of fixed size, reaches the driver; labelled rows meet their documents by joins, and the cut of held-out ones is found by counting, too.  Texts are
 never written: where other columns than the id are asked for, documents are scored a second time instead.
 
 Defined results: null text counts as empty and has weight 0; a very long text is read whole, alone in its slice; equal texts get equal weights and equal noise; rows that tie with the
@@ -31,14 +31,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import written
-from .labelled import label_sample, lowest_kept
+from .labelled import kth_largest, label_sample
 from .textblock import flat, mixed, slices, span_hashes, word_spans
 
 BUCKETS = 1 << 14
 ORDERS = 4
 SMOOTHING = 2.0
 EVIDENCE = 64
-SAMPLE = 20_000
+SAMPLE = None  # rows of labels to read: all
 RECALL = 0.998
 SEED = 7
 
@@ -71,7 +71,7 @@ def ngrams(column: pa.Array) -> tuple[list[tuple[np.ndarray, np.ndarray]], np.nd
 
 
 def counts(docs: DataFrame, target: DataFrame) -> np.ndarray:
-    """Counts of each bucket in raw text and in the documents whose ids are in ``target`` (a bounded table): shape (2, orders, buckets)."""
+    """Counts of each bucket in raw text and in the documents whose ids are in ``target``: shape (2, orders, buckets)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((2, ORDERS, BUCKETS), np.int64)
@@ -87,7 +87,7 @@ def counts(docs: DataFrame, target: DataFrame) -> np.ndarray:
 
     ids = target.select(F.col("doc_id").cast("string").alias("target_id"), F.lit(True).alias("wanted"))
     texts = docs.select(F.col("doc_id").cast("string").alias("id"), F.col("text").cast("string").alias("text"))
-    marked = texts.join(F.broadcast(ids), F.col("id") == F.col("target_id"), "left").select("text", F.coalesce("wanted", F.lit(False)).alias("wanted"))
+    marked = texts.join(ids, F.col("id") == F.col("target_id"), "left").select("text", F.coalesce("wanted", F.lit(False)).alias("wanted"))
     summed = marked.mapInArrow(run, "bucket bigint, raw bigint, target bigint").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target"))
     out = np.zeros((2, ORDERS * BUCKETS), np.int64)
     for bucket, raw, own in summed.collect():
@@ -130,30 +130,7 @@ def scored(docs: DataFrame, ratios: np.ndarray, keep: Sequence[str] | None = Non
     return docs.select(*named, F.col("text").cast("string").alias("scored_text")).mapInArrow(run, f"{fields}n_words bigint, log_weight double, key double")
 
 
-def kth_largest(keys: DataFrame, k: int, column: str = "key") -> float:
-    """The k-th largest value of a column, by counting into 4096 ranges and going on inside the one that holds it."""
-    low, high, total = keys.agg(F.min(column), F.max(column), F.count(column)).first()
-    if not total or k >= total:
-        return float("-inf") if low is None else low
-    if k < 1:
-        return float("inf")
-    above = 0
-    while low < high:
-        width = (high - low) / 4096
-        inside = keys.filter((F.col(column) >= low) & (F.col(column) <= high))
-        place = F.least(F.lit(4095), F.floor((F.col(column) - low) / width)).alias("place") if width else F.lit(0).alias("place")
-        found = inside.groupBy(place).agg(F.count("*"), F.min(column), F.max(column)).collect()
-        for _, count, first, last in sorted(found, reverse=True):
-            if above + count >= k:
-                break
-            above += count
-        if (first, last) == (low, high):
-            break
-        low, high = first, last
-    return low
-
-
-def fitted(docs: DataFrame, labels: DataFrame, bound: int = SAMPLE) -> tuple[np.ndarray, DataFrame]:
+def fitted(docs: DataFrame, labels: DataFrame, bound: int | None = SAMPLE) -> tuple[np.ndarray, DataFrame]:
     """Log ratios, and the good labelled rows that are left for calibrating."""
     sample = written(label_sample(labels, bound).filter("good"), "labelled")
     return log_ratios(counts(docs, sample.filter("fold = 0"))), sample.filter("fold = 1")
@@ -162,12 +139,13 @@ def fitted(docs: DataFrame, labels: DataFrame, bound: int = SAMPLE) -> tuple[np.
 def calibrated_k(scores: DataFrame, held_out: DataFrame, recall: float) -> int:
     """The number of documents that weigh like all but ``1 - recall`` of the held-out good ones."""
     ids = held_out.select(F.col("doc_id").cast("string").alias("held_id"))
-    good = scores.select(F.col("doc_id").cast("string").alias("id"), "log_weight").join(F.broadcast(ids), F.col("id") == F.col("held_id"))
-    weights = np.array([r[0] for r in good.groupBy("id").agg(F.max("log_weight")).select("max(log_weight)").collect()])
-    return scores.filter(F.col("log_weight") >= lowest_kept(weights, recall)).count()
+    good = scores.select(F.col("doc_id").cast("string").alias("id"), "log_weight").join(ids, F.col("id") == F.col("held_id"))
+    weights = written(good.groupBy("id").agg(F.max("log_weight").alias("weight")), "held-out")
+    n = weights.count()
+    return scores.filter(F.col("log_weight") >= kth_largest(weights, n - int(n * (1 - recall)), "weight")).count()
 
 
-def classify(docs: DataFrame, labels: DataFrame, k: int | None = None, recall: float = RECALL, bound: int = SAMPLE, keep: Sequence[str] | None = None) -> DataFrame:
+def classify(docs: DataFrame, labels: DataFrame, k: int | None = None, recall: float = RECALL, bound: int | None = SAMPLE, keep: Sequence[str] | None = None) -> DataFrame:
     """``doc_id`` and the columns ``keep`` of ``docs`` (all without it) with ``n_words, log_weight, key, kept`` for every row.
 
     Scores are written once, with ids only, as they are read for the cut.

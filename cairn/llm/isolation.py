@@ -1,11 +1,11 @@
 """Quality rules: an isolation forest on rule statistics.
 
-Counts of each document (words, code points, symbols, repeated lines and windows, and others) give ratios.  Trees are grown on bounded samples of good
-labelled rows only, but split the whole space that ratios can take, so that they isolate kinds of anomalies that no label shows; a document that few splits isolate is an anomaly.  The score is ``2 ** -(mean path / c)``, and its
+Counts of each document (words, code points, symbols, repeated lines and windows, and others) give ratios.  Each tree is grown on ``PER_TREE`` rows, as the method says, drawn from all good
+labelled rows, but splits the whole space that ratios can take, so that trees isolate kinds of anomalies that no label shows; a document that few splits isolate is an anomaly.  The score is ``2 ** -(mean path / c)``, and its
 threshold is calibrated on labelled rows that no tree has seen: the largest share of good rows above it is ``1 - recall`` (on all good ones where those are too few).
 
 Scale.  Statistics are made in one pass over whole texts, as flat arrays; they are a narrow table.  The forest has a fixed size and is
-broadcast.  Only the labelled sample, of a documented bound, reaches the driver.  Memory per task: some arrays of eight
+broadcast.  Of the labelled rows only those that the trees draw reach the driver (``TREES * PER_TREE`` at most); bounds of the space and the threshold come from all of them, where they are.  Memory per task: some arrays of eight
 bytes a byte of text for a slice of 1 MB, or for one text that is longer.  Repeated lines and windows are told by 64-bit hashes.
 
 Defined results: null text counts as empty; fewer than 50 words, or over half of them in repeated windows, fail the base rules; without labelled
@@ -19,14 +19,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .labelled import label_sample
+from .labelled import kth_largest, label_sample
 from ..session import written
 from .textblock import _SPACE, flat, mixed, slices, span_hashes, word_spans
 
-SAMPLE = 20_000
+SAMPLE = None  # rows of labels to read: all
 TREES = 200
 PER_TREE = 256
 DEPTH = 24
@@ -118,19 +118,19 @@ def _c(n: np.ndarray | float) -> np.ndarray:
     return np.where(n > 2, 2 * (np.log(np.maximum(n - 1, 1)) + 0.5772156649) - 2 * (n - 1) / np.maximum(n, 1), np.where(n == 2, 1.0, 0.0))
 
 
-def grow(rows: np.ndarray, low: np.ndarray, high: np.ndarray, trees: int = TREES, per_tree: int = PER_TREE, depth: int = DEPTH, seed: int = 11) -> dict[str, np.ndarray]:
+def grow(rows: np.ndarray, low: np.ndarray, high: np.ndarray, trees: int = TREES, per_tree: int = PER_TREE, depth: int = DEPTH, seed: int = 11, chosen: list[np.ndarray] | None = None) -> dict[str, np.ndarray]:
     """The forest as arrays of shape (trees, nodes): feature (-1 at a leaf), split, left child (the right one is next to it), path length.
 
     ``low`` and ``high`` bound the space.  A node splits its part of the space anywhere, not only between its rows, so that empty
-    parts, where no sampled row was, are cut off early.
+    parts, where no sampled row was, are cut off early.  ``chosen`` are the places in ``rows`` of each tree's rows, otherwise they are drawn here.
     """
     random = np.random.default_rng(seed)
     per_tree = min(per_tree, len(rows))
     usable = np.flatnonzero(high > low)
     grown = []
-    for _ in range(trees):
+    for tree in range(trees):
         feature, split, left, path = [-1], [0.0], [0], [0.0]
-        todo = [(0, 0, rows[random.choice(len(rows), per_tree, replace=False)], low, high)]
+        todo = [(0, 0, rows[random.choice(len(rows), per_tree, replace=False) if chosen is None else chosen[tree]], low, high)]
         while todo:
             node, level, own, a, b = todo.pop()
             if level == depth or len(own) <= 1 or not len(usable):
@@ -173,28 +173,67 @@ def _columns(batch: pa.RecordBatch) -> dict[str, np.ndarray]:
     return {s: batch.column(s).to_numpy() for s in STATISTICS}
 
 
-def judge(docs: DataFrame, labels: DataFrame, bound: int = SAMPLE, recall: float = RECALL) -> DataFrame:
+def numbered(rows: DataFrame) -> DataFrame:
+    """``rows`` with ``number`` from 0, by a hash of ``sample_id``; counts of 4096 ranges place each range, and rows are sorted only inside theirs."""
+    ranged = rows.withColumn("h", F.xxhash64("sample_id")).withColumn("part", F.pmod("h", F.lit(4096)).cast("int"))
+    counts = np.zeros(4096, np.int64)
+    for part, count in ranged.groupBy("part").count().collect():
+        counts[part] = count
+    first = F.array(*(F.lit(int(n)) for n in np.cumsum(counts) - counts))
+    place = F.row_number().over(Window.partitionBy("part").orderBy("h", "sample_id"))
+    return ranged.withColumn("number", F.get(first, F.col("part")).cast("bigint") + place - 1).drop("h", "part")
+
+
+def _arrays(rows: DataFrame) -> dict[str, np.ndarray]:
+    table = rows.select(*STATISTICS).toArrow()
+    return {s: table.column(s).to_numpy() for s in STATISTICS}
+
+
+def tree_rows(rows: DataFrame, count: int, trees: int = TREES, per_tree: int = PER_TREE, seed: int = 12) -> tuple[np.ndarray, list[np.ndarray] | None]:
+    """Features of the rows that trees are grown on, out of all ``count``, and which are each tree's: all rows (None) where they are no more than the trees take."""
+    if count <= trees * per_tree:
+        return features(_arrays(rows.orderBy("sample_id"))), None
+    random = np.random.default_rng(seed)
+    drawn = [random.choice(count, per_tree, replace=False) for _ in range(trees)]
+    wanted = np.unique(np.concatenate(drawn))
+    numbers = rows.sparkSession.createDataFrame(pa.table({"wanted": wanted}))
+    own = numbered(rows).join(F.broadcast(numbers), F.col("number") == F.col("wanted")).orderBy("number")
+    return features(_arrays(own)), [np.searchsorted(wanted, d) for d in drawn]
+
+
+def _highest(rows: DataFrame) -> np.ndarray:
+    """The largest value of each feature."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                found = features(_columns(batch)).max(0)
+                yield pa.RecordBatch.from_arrays([pa.array(range(len(found)), pa.int32()), pa.array(found)], ["feature", "value"])
+
+    most = rows.select(*STATISTICS).mapInArrow(run, "feature int, value double").groupBy("feature").agg(F.max("value"))
+    return np.array([value for _, value in sorted(most.collect())])
+
+
+def judge(docs: DataFrame, labels: DataFrame, bound: int | None = SAMPLE, recall: float = RECALL) -> DataFrame:
     """``doc_id``, the counts, ``base_failed``, ``score`` and ``kept`` for every row."""
     stats = written(rule_statistics(docs), "statistics")
     base = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     stats = stats.withColumn("base_failed", base)
-    sample = label_sample(labels, bound)
-    # A row an id, so the sample's bound holds here too; of rows that share an id, the one of the smallest hash of its statistics.
-    sample = sample.select(F.col("doc_id").cast("string").alias("sample_id"), "good", "fold")
-    seen = stats.filter(~F.col("base_failed")).join(F.broadcast(sample), F.col("doc_id").cast("string") == F.col("sample_id"))
+    sample = label_sample(labels, bound).select(F.col("doc_id").cast("string").alias("sample_id"), "good", "fold")
+    # A row an id; of rows that share an id, the one of the smallest hash of its statistics.
+    seen = stats.filter(~F.col("base_failed")).join(sample, F.col("doc_id").cast("string") == F.col("sample_id"))
     one = seen.groupBy("sample_id").agg(F.min_by(F.struct("good", "fold", *STATISTICS), F.struct(F.xxhash64(*STATISTICS), *STATISTICS)).alias("row"))
-    rows = one.select("sample_id", "row.*").orderBy("sample_id").toPandas()
-    seen = {s: rows[s].to_numpy() for s in STATISTICS}
-    values, fold, good = features(seen), rows["fold"].to_numpy(), rows["good"].to_numpy(bool)
-    if not ((fold == 0) & good).any() or not ((fold == 1) & good).any():
+    rows = written(one.select("sample_id", "row.*"), "labelled")
+    fitting, calibrating = rows.filter("good and fold = 0"), rows.filter("good and fold = 1")
+    grown_on, held = fitting.count(), calibrating.count()
+    if not grown_on or not held:
         return stats.withColumn("score", F.lit(None).cast("double")).withColumn("kept", ~F.col("base_failed"))
     # The space is all that ratios can be, and not only what labelled rows are: a kind of anomaly may have no label.
-    forest = grow(values[(fold == 0) & good], np.zeros(values.shape[1]), np.maximum(values[fold == 0].max(0), 1.0))
-    calibrated = good & (fold == 1)
-    if calibrated.sum() * (1 - recall) < 1:  # too few rows for the share: all good rows stay
-        calibrated = good
-    held = np.sort(anomaly(forest, values[calibrated]))
-    threshold = float(held[min(len(held) - 1, int(np.ceil(len(held) * recall)))])
+    high = np.maximum(_highest(rows.filter("fold = 0")), 1.0)
+    values, chosen = tree_rows(fitting, grown_on)
+    forest = grow(values, np.zeros(len(high)), high, chosen=chosen)
+    if held * (1 - recall) < 1:  # too few rows for the share: all good rows stay
+        calibrating, held = rows.filter("good"), grown_on + held
     shared = stats.sparkSession.sparkContext.broadcast(forest)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -202,6 +241,10 @@ def judge(docs: DataFrame, labels: DataFrame, bound: int = SAMPLE, recall: float
             score = anomaly(shared.value, features(_columns(batch)))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(score)], [*batch.schema.names, "score"])
 
-    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in stats.schema.fields)
-    scored = stats.mapInArrow(run, f"{fields}, score double")
-    return scored.withColumn("kept", ~F.col("base_failed") & (F.col("score") <= threshold))
+    def scored(rows: DataFrame) -> DataFrame:
+        fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields)
+        return rows.mapInArrow(run, f"{fields}, score double")
+
+    scores = written(scored(calibrating.select(*STATISTICS)).select("score"), "scores")
+    threshold = kth_largest(scores, held - min(held - 1, int(np.ceil(held * recall))), "score")
+    return scored(stats).withColumn("kept", ~F.col("base_failed") & (F.col("score") <= threshold))

@@ -938,3 +938,16 @@ def test_odd_rows_pass_through_every_judge(spark, odd):
     labels = spark.createDataFrame([(1, 1, 0), (5, 0, 0), (None, None, None), (1, None, 1)], "doc_id bigint, quality int, toxic int")
     assert importance.classify(odd, labels, keep=["doc_id"]).count() == odd.count()
     assert isolation.judge(odd, labels).count() == odd.count()
+
+
+def test_every_label_is_read(spark):
+    """More labels than any sample took: all fit or calibrate, and trees draw from all rows."""
+    labels = spark.range(20_100).select(F.col("id").alias("doc_id"), F.lit(1).alias("quality"), F.lit(0).alias("toxic"))
+    for module in (importance, isolation):
+        assert module.label_sample(labels, module.SAMPLE).count() == 20_100
+    rows = spark.range(500).select(F.col("id").cast("string").alias("sample_id"), *(((F.col("id") + 1) if s != "n_symbols" else F.lit(0)).cast("bigint").alias(s) for s in isolation.STATISTICS))
+    assert sorted(r.number for r in isolation.numbered(rows).collect()) == list(range(500))
+    values, chosen = isolation.tree_rows(rows, 500, trees=30, per_tree=16)
+    assert all(len(set(c.tolist())) == 16 for c in chosen) and len(values) > 300  # of 480 draws out of 500 rows
+    assert len(np.unique(values, axis=0)) == len(values)
+    assert isolation.tree_rows(rows, 500, trees=40, per_tree=16)[0].shape[0] == 500
