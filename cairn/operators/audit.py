@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import present
-from ..session import bounded
+from ..session import bounded, written
 
 # Phrases that speak of a term or part rather than a whole.
 TERM_LIKE = (
@@ -157,10 +157,13 @@ def audit_mode(audit: DataFrame, intent: DataFrame) -> DataFrame:
 def audit_checks(audit: DataFrame, signalled: DataFrame, intent: DataFrame) -> DataFrame:
     """``code, subject``: candidates missing or extra, repeated records, what differs from the intent or from the policy without one, unresolved edits,
     and states that do not go together: after-fields before an edit, changes without one, edits without evidence, a later revision or the proposed claims.
+    The rows are made and written once, whatever the number of checks.
     """
-    wanted = signalled.filter(F.size("signals") > 0).select("qid").distinct()
+    audit, intent = written(audit, "audit"), written(intent, "intent")  # every check reads them
+    wanted = written(signalled.filter(F.size("signals") > 0).select("qid").distinct(), "wanted")
     code = lambda df, c: df.select(F.lit(c).alias("code"), F.col("qid").alias("subject"))
     both = audit.join(intent.select("qid", F.col("decision").alias("_d"), F.col("rationale").alias("_r"), F.col("evidence_urls").alias("_e")), "qid", "left")
+    both = written(both.select("qid", "decision", "rationale", "evidence_urls", "status", "signals", "_d", "_r", "_e"), "intended")
     editable, planned, done = F.col("status").isin(*EDITABLE), F.col("status").isin("planned", "approved"), F.col("status") == "executed"
     policy = F.when(F.array_contains("signals", F.lit("confirmed-exclusion")), "exclude-locally").otherwise("retain")
     edits, none = F.coalesce(F.size("operations"), F.lit(0)), F.array().cast("array<string>")

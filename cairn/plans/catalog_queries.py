@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import audit, claims, profile, records, related
 from ..session import written
-from .bindings import bound, sql
+from .bindings import ROWS, bound, sql
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -452,11 +452,14 @@ def claims_match_proposal(spark, sf_dir):
 
 
 def _audit(spark, sf_dir):
-    signalled = _signalled(spark, sf_dir)
+    # Records and claims are dealt out alike, so what follows by record neither grows with a file nor is dealt again.
+    before = bound(spark, sf_dir, "claim_edits")
+    parts = max(1, -(-before.count() // ROWS))
+    before, signalled = before.repartition(parts, "qid"), _signalled(spark, sf_dir).repartition(parts, "qid")
     n = F.substring("qid", 2, 20).cast("bigint") - 1000000
     intent = signalled.filter(n % 10 == 3).select("qid", F.lit("edit").alias("decision"), F.lit("because").alias("rationale"), F.array(F.lit("https://e.example/1")).alias("evidence_urls"))
     operations = bound(spark, sf_dir, "intent_edits").join(intent.select("qid"), "qid", "left_semi")
-    planned = audit.build_audit(signalled, bound(spark, sf_dir, "claim_edits"), intent, operations, signalled.select("qid", (n * 10 + 1).alias("revision")))
+    planned = audit.build_audit(signalled, before, intent, operations, signalled.select("qid", (n * 10 + 1).alias("revision")))
     kind = F.floor(n / 100) % 4
     left = F.transform("proposed_claims", lambda c: F.struct(c["property"].alias("property"), c["value"].alias("value"), F.when(c["guid"] == "", "new").otherwise(c["guid"]).alias("guid"), c["rank"].alias("rank")))
     made = planned.filter((n % 100 == 23) & (F.col("status") == "planned")).select(

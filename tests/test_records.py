@@ -384,3 +384,21 @@ def test_all_pairs_come_from_rows_that_are_alike(spark, monkeypatch):
         monkeypatch.setattr(related, "BLOCK", block)
         assert values(related.score_pairs(features, context, config), *columns) == wanted
         assert values(related.related_candidates(features, context, config), "subject", "candidate") == sorted(set(pairs))
+
+
+def test_audit_rows_are_made_once(spark):
+    made = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            made.add(batch.num_rows)
+            yield batch
+
+    signalled = spark.createDataFrame([(f"Q{i}", "x", ["confirmed-exclusion"], ["Q1"], ["https://x/"]) for i in range(8)], "qid string, label string, signals array<string>, matched_classes array<string>, websites array<string>")
+    intent = spark.createDataFrame([("Q1", "edit", "because", ["https://e/"])], "qid string, decision string, rationale string, evidence_urls array<string>")
+    before = spark.createDataFrame([("Q1", "g", "P1", "V1", "normal")], CLAIMS)
+    operations = spark.createDataFrame([("Q1", "remove", "P1", "V1")], "qid string, action string, property string, value string")
+    rows = audit.build_audit(signalled, before, intent, operations).filter("qid <> 'Q7'")
+    rows = rows.mapInArrow(counted, rows.schema)
+    assert values(audit.audit_checks(rows, signalled, intent), "code", "subject") == [("candidate-missing", "Q7")]
+    assert made.value == 7
