@@ -265,3 +265,14 @@ def test_evidence_without_cues(spark):
     found = {cues: postings.find_evidence(texts, terms, cues=cues) for cues in (True, False)}
     assert {cues: postings.classify_evidence(texts, e).first().classification for cues, e in found.items()} == {True: "not_match", False: "qualified"}
     assert {cues: postings.matched_concepts(e, "k:").count() for cues, e in found.items()} == {True: 0, False: 1}
+
+
+def test_matches_leave_a_task_in_parts():
+    import pyarrow as pa
+
+    terms = [("owl", False, "k:owl", "Owl", "S", "strong")]
+    names = ["id", "concept_uri", "concept_label", "concept_scheme", "strength", "matched_phrase", "source_field", "field_no", "negated"]
+    batch = pa.RecordBatch.from_arrays([pa.array(["a", "b"]), pa.array([0, 1], pa.int32()), pa.array(["owl " * 25_000, "Owl"])], ["id", "field_no", "text"])
+    parts = list(postings._evidence(batch, postings.TermScanner([t[:2] for t in terms]), terms, names, True))
+    assert max(p.num_rows for p in parts) <= postings.MATCHES and sum(p.num_rows for p in parts) == 25_001
+    assert parts[-1].to_pylist()[-1] == {"id": "b", "concept_uri": "k:owl", "concept_label": "Owl", "concept_scheme": "S", "strength": "strong", "matched_phrase": "Owl", "source_field": postings.FIELDS[1], "field_no": 1, "negated": False}
