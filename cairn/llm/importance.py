@@ -1,7 +1,7 @@
 """Quality classifier by importance resampling.
 
 Hashed n-gram models (bags of buckets) of target text, the good labelled rows, and of raw text, all documents, are
-counted in one pass.  A document's log importance weight is the mean log ratio of the two models over its n-grams, times its words, of which at most ``EVIDENCE``
+counted.  A document's log importance weight is the mean log ratio of the two models over its n-grams, times its words, of which at most ``EVIDENCE``
 count: n-grams of one text are not independent, and length alone shall not decide.  Gumbel noise is added to the weight and the top k are kept:
 sampling without replacement in proportion to the weights.  The draw decides among documents about as good as the k-th.
 
@@ -12,8 +12,9 @@ The n-grams are single words and pairs of words, and single shapes and pairs of
 whether it repeats the word before it.  A bucket's ratio is ``(t + s) / (e + s)`` of the count ``t`` in target text and ``e``, the count that raw text
 makes expect there; the smoothing ``s`` draws rare n-grams to one.  Two n-grams of one bucket share its ratio.
 
-Scale.  Counts are summed inside each task before anything leaves it: at most ``4 * BUCKETS`` rows a task.  The k-th largest key is
-found by counting into ranges, never by sorting all rows.  Only the model, of fixed size, reaches the driver; labelled rows meet their documents by joins, and the cut of held-out ones is found by counting, too.  Texts are
+Scale.  Counts are summed inside each task before anything leaves it: at most ``4 * BUCKETS`` counts a task, ``BLOCK`` in a row.  The k-th largest key is
+found by counting into ranges, never by sorting all rows.  Only the model, of fixed size, reaches the driver; labelled rows meet their documents by joins, for which of the texts little more than the
+target's is shuffled (``chosen``), and the cut of held-out ones is found by counting, too.  Texts are
 never written: where other columns than the id are asked for, documents are scored a second time instead.
 
 Defined results: null text counts as empty and has weight 0; a very long text is read whole, alone in its slice; equal texts get equal weights and equal noise; rows that tie with the
@@ -30,15 +31,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import written
+from ..session import bounded, written
 from .labelled import kth_largest, label_sample
 from .textblock import flat, mixed, slices, span_hashes, word_spans
 
 BUCKETS = 1 << 14
 ORDERS = 4
+BLOCK = 256  # buckets whose counts leave a task as one row
 SMOOTHING = 2.0
 EVIDENCE = 64
 SAMPLE = None  # rows of labels to read: all
+SLOTS = 1 << 24  # hashes of ids that a bit is kept for, 64 in a row: 262,144 rows at most
 RECALL = 0.998
 SEED = 7
 
@@ -70,28 +73,50 @@ def ngrams(column: pa.Array) -> tuple[list[tuple[np.ndarray, np.ndarray]], np.nd
     return orders, np.bincount(rows, minlength=len(column)), span_hashes(data, offsets[:-1], offsets[1:])
 
 
-def counts(docs: DataFrame, target: DataFrame) -> np.ndarray:
-    """Counts of each bucket in raw text and in the documents whose ids are in ``target``: shape (2, orders, buckets)."""
+def counted(texts: DataFrame) -> DataFrame:
+    """``block, n``: how often each bucket of a block of ``BLOCK`` stands in the ``text`` of all rows, a row for each task that has seen the block."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((2, ORDERS, BUCKETS), np.int64)
+        total = np.zeros((ORDERS, BUCKETS), np.int64)
         for batch in batches:
             for part in slices(batch, "text"):
-                wanted = part.column("wanted").to_numpy(zero_copy_only=False)
-                for order, (rows, buckets) in enumerate(ngrams(part.column("text"))[0]):
-                    total[0, order] += np.bincount(buckets, minlength=BUCKETS)
-                    total[1, order] += np.bincount(buckets[wanted[rows]], minlength=BUCKETS)
-        flat_ = total.reshape(2, -1)
-        seen = np.flatnonzero(flat_[0])
-        yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(flat_[0, seen]), pa.array(flat_[1, seen])], ["bucket", "raw", "target"])
-
-    ids = target.select(F.col("doc_id").cast("string").alias("target_id"), F.lit(True).alias("wanted"))
+                for order, (_, buckets) in enumerate(ngrams(part.column("text"))[0]):
+                    total[order] += np.bincount(buckets, minlength=BUCKETS)
+        blocks = total.reshape(-1, BLOCK)
+        seen = np.flatnonzero(blocks.any(1))
+        lists = pa.ListArray.from_arrays(pa.array(np.arange(len(seen) + 1, dtype=np.int32) * BLOCK), pa.array(blocks[seen].reshape(-1)))
+        yield pa.RecordBatch.from_arrays([pa.array(seen), lists], ["block", "n"])
+
+    return texts.select("text").mapInArrow(run, "block bigint, n array<bigint>")
+
+
+def chosen(texts: DataFrame, ids: DataFrame) -> DataFrame:
+    """Rows of ``texts`` (``id, text``) whose id is in ``ids`` (``target_id``, each once).
+
+    A bit for each of ``SLOTS`` hashes of ids goes to all tasks and leaves most other texts out where they are read; the join decides on the rest.
+    The join is of one kind at every size, so what is shuffled grows with the chosen texts.  It is no semi-join, which Spark would place before the bits.
+    """
+    slots = ids.select(F.pmod(F.xxhash64("target_id"), F.lit(SLOTS)).alias("slot"))
+    words = slots.groupBy(F.shiftright("slot", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, int(slot % 64))")).alias("bits"))
+    own = texts.withColumn("slot", F.pmod(F.xxhash64("id"), F.lit(SLOTS)))
+    likely = own.join(bounded(words), (F.shiftright("slot", 6) == F.col("word")) & (F.bit_get("bits", (F.col("slot") % 64).cast("int")) == 1)).select("id", "text")
+    return likely.join(ids.hint("shuffle_hash"), F.col("id") == F.col("target_id")).select("id", "text")
+
+
+def counts(docs: DataFrame, target: DataFrame) -> np.ndarray:
+    """Counts of each bucket in raw text and in the documents whose ids are in ``target``: shape (2, orders, buckets)."""
+    ids = target.select(F.col("doc_id").cast("string").alias("target_id")).distinct()
     texts = docs.select(F.col("doc_id").cast("string").alias("id"), F.col("text").cast("string").alias("text"))
-    marked = texts.join(ids, F.col("id") == F.col("target_id"), "left").select("text", F.coalesce("wanted", F.lit(False)).alias("wanted"))
-    summed = marked.mapInArrow(run, "bucket bigint, raw bigint, target bigint").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target"))
-    out = np.zeros((2, ORDERS * BUCKETS), np.int64)
-    for bucket, raw, own in summed.collect():
-        out[:, bucket] = raw, own
+
+    def add(rows: pa.Table) -> pa.Table:
+        lists, own = rows.column("n").combine_chunks().flatten().to_numpy().reshape(-1, BLOCK), rows.column("own").to_numpy()
+        return pa.table({"block": rows.column("block")[:1], "raw": [lists[~own].sum(0)], "target": [lists[own].sum(0)]})
+
+    both = counted(texts).withColumn("own", F.lit(False)).unionByName(counted(chosen(texts, ids)).withColumn("own", F.lit(True)))
+    summed = both.groupBy("block").applyInArrow(add, "block bigint, raw array<bigint>, target array<bigint>")
+    out = np.zeros((2, ORDERS * BUCKETS // BLOCK, BLOCK), np.int64)
+    for block, raw, own in summed.collect():
+        out[:, block] = raw, own
     return out.reshape(2, ORDERS, BUCKETS)
 
 
@@ -139,7 +164,7 @@ def fitted(docs: DataFrame, labels: DataFrame, bound: int | None = SAMPLE) -> tu
 def calibrated_k(scores: DataFrame, held_out: DataFrame, recall: float) -> int:
     """The number of documents that weigh like all but ``1 - recall`` of the held-out good ones."""
     ids = held_out.select(F.col("doc_id").cast("string").alias("held_id"))
-    good = scores.select(F.col("doc_id").cast("string").alias("id"), "log_weight").join(ids, F.col("id") == F.col("held_id"))
+    good = scores.select(F.col("doc_id").cast("string").alias("id"), "log_weight").join(ids.hint("shuffle_hash"), F.col("id") == F.col("held_id"))
     weights = written(good.groupBy("id").agg(F.max("log_weight").alias("weight")), "held-out")
     n = weights.count()
     return scores.filter(F.col("log_weight") >= kth_largest(weights, n - int(n * (1 - recall)), "weight")).count()

@@ -951,3 +951,28 @@ def test_every_label_is_read(spark):
     assert all(len(set(c.tolist())) == 16 for c in chosen) and len(values) > 300  # of 480 draws out of 500 rows
     assert len(np.unique(values, axis=0)) == len(values)
     assert isolation.tree_rows(rows, 500, trees=40, per_tree=16)[0].shape[0] == 500
+
+
+def _shuffled(spark) -> int:
+    """Bytes that all stages of the session have written for a shuffle."""
+    none = spark.sparkContext._gateway.new_array(spark.sparkContext._jvm.double, 0)
+    stages = spark.sparkContext._jsc.sc().statusStore().stageList(None, False, False, none, None)
+    return sum(stages.apply(i).shuffleWriteBytes() for i in range(stages.size()))
+
+
+def test_only_target_texts_are_shuffled(spark):
+    """Where ids are too many to broadcast: one text in ten is the target's, and the others stay where they are read."""
+    words = np.random.default_rng(3).integers(10**8, 10**8 + 10, (2000, 200))  # ten words, so counts of buckets are few
+    docs = spark.createDataFrame([(i, " ".join(map(str, row))) for i, row in enumerate(words.tolist())], "doc_id bigint, text string")
+    target = spark.range(0, 2000, 10).select(F.col("id").alias("doc_id"))
+    before, limit = _shuffled(spark), spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    docs.repartition(3, "doc_id").write.format("noop").mode("overwrite").save()
+    texts = _shuffled(spark) - before
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = importance.counts(docs, target)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    assert _shuffled(spark) - before - texts < texts / 2
+    mine = importance.counts(docs.filter("doc_id % 10 = 0"), target)
+    assert (found[1] == mine[0]).all() and (found[1] == mine[1]).all() and found[0].sum() == 2000 * (200 + 199) * 2
