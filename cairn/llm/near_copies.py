@@ -1,12 +1,12 @@
-"""Near copies by wide SimHash prints and exact Jaccard similarity: the form of near-duplicate removal for a pipeline.
+"""Near copies by wide SimHash prints, pivot distance tables and exact Jaccard similarity: the form of near-duplicate removal for a pipeline.
 
 Prints.  A text's set of word shingles (lower-cased A-Z; fewer words: all of them) is hashed to 64 bits a shingle, and a bit of its print of 256 bits is set
 when over half the set's hashes, taken anew for each 64 bits, have it.  Two sets of Jaccard similarity ``s`` have prints that differ in each bit with
 probability ``acos(2 s / (1 + s)) / pi``, 0.15 at 0.8.
 
 Candidates.  Texts of equal prints are one class.  A table's key is a sample of the print's bits; so many tables are made that a pair at the threshold
-meets in one of them with probability ``MEET``, and so many bits sampled that a key holds a few unrelated prints.  Inside a key, prints that differ in at most ``WIDE`` of all
-256 bits are joined, by pairs that were compared: each joins two groups of the key that no pair had joined before, so a dense key emits about a pair a row.  A key of more than ``LIMIT``
+meets in one of them with probability ``MEET``, and so many bits sampled that a key holds a few unrelated prints.  Inside a key, distances to pivots, two of its own prints, are
+a table that discards pairs, as no two prints within ``WIDE`` bits are further apart in it than ``WIDE``; pairs that are left are compared by all 256 bits.  Prints that differ in at most ``WIDE`` are joined by pairs that were compared: each joins two groups of the key that no pair had joined before, so a dense key emits about a pair a row.  A key of more than ``LIMIT``
 prints is joined as a whole, without a look at the prints: that makes components coarser, and loses nothing.
 
 Verification.  The sets of shingles of a component meet in a task, which searches it breadth first: a text is compared, by the exact Jaccard similarity
@@ -131,24 +131,38 @@ def _whole_keys(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.Ta
         yield pa.Table.from_batches(held)
 
 
+def differing(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The number of bits in which each two prints differ."""
+    return np.bitwise_count(a ^ b).sum(1, dtype=np.int64)
+
+
 def near_pairs(keys: np.ndarray, prints_: np.ndarray, near: int = WIDE) -> tuple[np.ndarray, np.ndarray]:
-    """Places of compared pairs within ``near`` bits whose components are those of all such pairs; the rows of a key stand together."""
-    ends, labels = np.searchsorted(keys, keys, "right"), np.arange(len(keys))
+    """Places of compared pairs within ``near`` bits whose components are those of all such pairs; ``keys`` are sorted.
+
+    A key's pivots are its first print and the one farthest from that; a pair whose distances to a pivot differ by more than ``near`` is never compared.
+    """
+    first = differing(prints_, prints_[np.searchsorted(keys, keys)])
+    order = np.lexsort((first, keys))
+    prints_, first, ends = prints_[order], first[order], np.searchsorted(keys, keys, "right")
+    second = differing(prints_, prints_[ends - 1])
+    labels = np.arange(len(keys))
     active, shift, left, right = np.arange(len(keys)), 0, [], []
     while len(active):
         shift += 1
         active = active[active + shift < ends[active]]
+        active = active[first[active + shift] - first[active] <= near]
         a, b = active, active + shift
-        open_ = labels[a] != labels[b]
+        open_ = (labels[a] != labels[b]) & (np.abs(second[a] - second[b]) <= near)
         a, b = a[open_], b[open_]
-        close = np.bitwise_count(prints_[a] ^ prints_[b]).sum(1, dtype=np.int64) <= near
+        close = differing(prints_[a], prints_[b]) <= near
         if close.any():
             a, b = a[close], b[close]
             left.append(a)
             right.append(b)
             labels = _joined(labels, a, b)
     none = np.zeros(0, np.int64)
-    return np.concatenate([none, *left]), np.concatenate([none, *right])
+    a, b = order[np.concatenate([none, *left])], order[np.concatenate([none, *right])]
+    return np.minimum(a, b), np.maximum(a, b)
 
 
 def candidates(classes: DataFrame, count: int, similarity: float) -> DataFrame:

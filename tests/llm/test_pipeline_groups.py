@@ -109,3 +109,23 @@ def test_pairs_in_a_key_are_pairs_that_were_compared():
     assert (keys[a] == keys[b]).all() and (np.bitwise_count(prints[a] ^ prints[b]).sum(1) <= near_copies.WIDE).all()
     joined = {(int(i), int(j)) for i, j in zip(a, b)}
     assert {(i, i + 1) for i in range(30) if i != 19} <= joined and len(joined) < 31
+
+
+def test_pivots_discard_pairs_and_lose_none(monkeypatch):
+    """A key of 60 near prints and 60 strangers: pivots tell them apart, and the components are those of all pairs."""
+    chance = np.random.default_rng(8)
+    turned = lambda a, bits: a ^ np.packbits(np.isin(np.arange(256), chance.choice(256, bits, replace=False))).view(np.uint64)
+    middle = chance.integers(0, 1 << 63, 4).astype(np.uint64)
+    rows = [turned(middle, int(chance.integers(24, 34))) for _ in range(60)] + list(chance.integers(0, 1 << 63, (60, 4)).astype(np.uint64))
+    prints, keys = np.stack(rows), np.repeat([3, 5], [120, 120])
+    prints = np.concatenate([prints, prints[chance.permutation(120)]])
+    compared, plain = [0], near_copies.differing
+    monkeypatch.setattr(near_copies, "differing", lambda a, b: (compared.__setitem__(0, compared[0] + len(a)), plain(a, b))[1])
+    a, b = near_copies.near_pairs(keys, prints)
+    some, every = np.arange(240), np.arange(240)
+    some = near_copies._joined(some, a, b)
+    i, j = np.triu_indices(240, 1)
+    near = (keys[i] == keys[j]) & (plain(prints[i], prints[j]) <= near_copies.WIDE)
+    assert (some == near_copies._joined(every, i[near], j[near])).all()
+    # 60 * 60 pairs of a stranger and a near print in each key, and of these hardly any is compared; strangers meet strangers.
+    assert compared[0] < 2 * (60 * 59 // 2 + 60 * 59 // 2 + 60 * 60 // 10)
