@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import page_type, present, qid, slug_from_url, trimmed
+from ..functions.columns import filled, page_type, present, qid, slug_from_url, trimmed
 
 # Descriptions that say nothing, and phrases of parked and missing pages.
 GENERIC = (
@@ -22,8 +22,8 @@ DATASETS = ("resource", "software")
 def content_filter(items: DataFrame) -> DataFrame:
     """A title that is no entity number, a description that says something, and a homepage."""
     description = F.lower(trimmed(F.coalesce("description", F.lit(""))))
-    fits = present("title").isNotNull() & ~F.startswith(trimmed("title"), F.lit("Q")) & (F.length(description) >= 15) & ~description.isin(*GENERIC)
-    return items.filter(fits & present("homepage").isNotNull())
+    fits = filled("title") & ~F.startswith(trimmed("title"), F.lit("Q")) & (F.length(description) >= 15) & ~description.isin(*GENERIC)
+    return items.filter(fits & filled("homepage"))
 
 
 def link_is_healthy(status: Column, body: Column) -> Column:
@@ -103,8 +103,13 @@ def _filled(value: Column) -> Column:
 
 
 def _json(value: Column) -> Column:
-    """A JSON string literal."""
-    return F.regexp_extract(F.to_json(F.struct(value.alias("v"))), r'^\{"v":(.*)\}$', 1)
+    """A JSON string literal of a text that is not null."""
+    return F.btrim(F.to_json(F.array(value)), F.lit("[]"))
+
+
+def _members(**texts: Column) -> Column:
+    """The members of a JSON object of texts, without its braces; nulls are left out.  Its ends are braces and quotes, so no brace of a text is taken for its own."""
+    return F.btrim(F.to_json(F.struct(*(v.cast("string").alias(k) for k, v in texts.items())), {"ignoreNullFields": "true"}), F.lit("{}"))
 
 
 def _one_or_all(values: Column) -> Column:
@@ -112,35 +117,36 @@ def _one_or_all(values: Column) -> Column:
 
 
 def project_json_ld(items: DataFrame, base: str, catalog_name: str) -> tuple[DataFrame, DataFrame]:
-    """``dataset, qid, json_ld``, and violations of items that lack a required field.  Optional fields are left out; lists of one are bare."""
+    """``dataset, qid, json_ld``, and violations of items that lack a required field.  Optional fields are left out; lists of one are bare.
+
+    Neighbouring texts become members in one call, and lists are cleaned once, in columns of their own.
+    """
     required = ("canonicalUrl", "title", "description", "homepage", "wikidataId")
-    missing = F.concat_ws(", ", *(F.when(present(c).isNull(), F.lit(c)) for c in required))
+    missing = F.concat_ws(", ", *(F.when(~F.coalesce(filled(c), F.lit(False)), F.lit(c)) for c in required))
     named = items.withColumn("_missing", missing)
     bad = named.filter("_missing <> ''").select(F.lit("json-ld-identity").alias("code"), F.lit("error").alias("severity"), "dataset", F.col("qid").alias("subject"), F.col("_missing").alias("message"))
-    text = lambda c: F.when(present(c).isNotNull(), _json(F.col(c).cast("string")))
-    person = lambda c: F.struct(
-        F.lit(0).alias("_"), c["type"].alias("type"), c["name"].alias("name"), _filled(F.array(c["wikidataId"], c["githubProfile"], c["googleScholarProfile"])).alias("same")
-    )
-    good = lambda c: (F.trim(F.coalesce(c["type"], F.lit(""))) != "") & (F.trim(F.coalesce(c["name"], F.lit(""))) != "")
+    text = lambda c: F.when(filled(c), F.col(c).cast("string"))
     pair = lambda k, v: F.when(v.isNotNull(), F.concat(F.lit(f'"{k}":'), v))
-    entry = lambda p: F.concat(F.lit("{"), F.concat_ws(",", pair("@type", _json(p["type"])), pair("name", _json(p["name"])), pair("sameAs", _one_or_all(p["same"]))), F.lit("}"))
-    creators = F.transform(F.filter(F.coalesce("creators", F.array().cast(items.schema["creators"].dataType)), good), lambda c: entry(person(c)))
-    some = F.when(F.size(creators) == 1, creators[0]).when(F.size(creators) > 1, F.concat(F.lit("["), F.array_join(creators, ","), F.lit("]")))
-    mention = lambda r: F.when(
-        page_type(base, r["canonicalUrl"]).isNotNull() & (F.trim(F.coalesce(r["title"], F.lit(""))) != ""),
-        F.concat(F.lit("{"), F.concat_ws(",", pair("@type", _json(page_type(base, r["canonicalUrl"]))), pair("@id", _json(r["canonicalUrl"])), pair("name", _json(r["title"]))), F.lit("}")),
-    )
-    mentions = F.array_compact(F.transform(F.coalesce("relatedTools", F.array().cast(items.schema["relatedTools"].dataType)), mention))
-    kind = F.when(F.col("dataset") == "software", F.lit('"SoftwareApplication"')).otherwise(F.lit('"DefinedTermSet"'))
-    whole = {
-        "@context": F.lit('"https://schema.org"'), "@type": kind, "@id": text("canonicalUrl"), "name": text("title"), "description": text("description"), "url": text("homepage"),
-        "sameAs": text("wikidataId"), "alternateName": _one_or_all(_filled(F.col("aliases"))), "license": F.when(F.size(_filled(F.col("licenses"))) > 0, _json(_filled(F.col("licenses"))[0])),
-        "isPartOf": F.concat(F.lit('{"@type":"DataCatalog","name":'), _json(F.lit(catalog_name)), F.lit(',"url":'), _json(F.lit(base)), F.lit("}")),
-        "softwareVersion": text("latestVersion"), "datePublished": text("releaseDate"), "codeRepository": text("sourceRepo"), "applicationCategory": text("softwareType"),
-        "programmingLanguage": _one_or_all(_filled(F.col("programmingLanguages"))), "creator": some, "mentions": F.when(F.size(mentions) > 0, F.concat(F.lit("["), F.array_join(mentions, ","), F.lit("]"))),
+    said = lambda v: F.trim(F.coalesce(v, F.lit(""))) != ""
+    all_of = lambda c: F.coalesce(c, F.array().cast(items.schema[c].dataType))
+    person = lambda c: F.struct(c["type"].alias("type"), c["name"].alias("name"), _filled(F.array(c["wikidataId"], c["githubProfile"], c["googleScholarProfile"])).alias("same"))
+    entry = lambda p: F.concat(F.lit("{"), F.concat_ws(",", _members(**{"@type": p["type"], "name": p["name"]}), pair("sameAs", _one_or_all(p["same"]))), F.lit("}"))
+    mention = lambda r: F.struct(page_type(base, r["canonicalUrl"]).alias("@type"), r["canonicalUrl"].alias("@id"), r["title"].alias("name"))
+    lists = {
+        "_aliases": _filled(F.col("aliases")), "_languages": _filled(F.col("programmingLanguages")), "_license": F.get(_filled(F.col("licenses")), F.lit(0)),
+        "_creators": F.transform(F.transform(F.filter(all_of("creators"), lambda c: said(c["type"]) & said(c["name"])), person), entry),
+        "_mentions": F.filter(F.transform(F.filter(all_of("relatedTools"), lambda r: said(r["title"])), mention), lambda m: m["@type"].isNotNull()),
     }
-    json = F.concat(F.lit("{"), F.concat_ws(",", *(pair(k, v) for k, v in whole.items())), F.lit("}"))
-    return named.filter("_missing = ''").select("dataset", "qid", json.alias("json_ld")), bad
+    kind = F.when(F.col("dataset") == "software", "SoftwareApplication").otherwise("DefinedTermSet")
+    identity = {"@context": F.lit("https://schema.org"), "@type": kind, "@id": F.col("canonicalUrl"), "name": F.col("title"), "description": F.col("description"), "url": F.col("homepage"), "sameAs": F.col("wikidataId")}
+    details = _members(softwareVersion=text("latestVersion"), datePublished=text("releaseDate"), codeRepository=text("sourceRepo"), applicationCategory=text("softwareType"))
+    some = F.when(F.size("_creators") == 1, F.col("_creators")[0]).when(F.size("_creators") > 1, F.concat(F.lit("["), F.array_join("_creators", ","), F.lit("]")))
+    whole = (
+        _members(**identity), pair("alternateName", _one_or_all(F.col("_aliases"))), pair("license", F.when(F.col("_license").isNotNull(), _json(F.col("_license")))),
+        F.concat(F.lit('"isPartOf":{'), _members(**{"@type": F.lit("DataCatalog"), "name": F.lit(catalog_name), "url": F.lit(base)}), F.lit("}")), F.nullif(details, F.lit("")),
+        pair("programmingLanguage", _one_or_all(F.col("_languages"))), pair("creator", some), pair("mentions", F.when(F.size("_mentions") > 0, F.to_json("_mentions"))),
+    )
+    return named.filter("_missing = ''").withColumns(lists).select("dataset", "qid", F.concat(F.lit("{"), F.concat_ws(",", *whole), F.lit("}")).alias("json_ld")), bad
 
 
 def sitemap_entries(pages: DataFrame, base: str, fixed: list[tuple[str, str, float]]) -> DataFrame:

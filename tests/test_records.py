@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cairn.functions import columns as c
-from cairn.operators import audit, claims, gates, records, related, search, snapshot
+from cairn.operators import audit, claims, gates, pages, records, related, search, snapshot
 from cairn.sources import catalog
 
 CLAIM = "subject string, property string, rank string, datatype string, value string, guid string"
@@ -402,3 +402,25 @@ def test_audit_rows_are_made_once(spark):
     rows = rows.mapInArrow(counted, rows.schema)
     assert values(audit.audit_checks(rows, signalled, intent), "code", "subject") == [("candidate-missing", "Q7")]
     assert made.value == 7
+
+
+def test_linked_data_keeps_every_text(spark):
+    """Line separators, quotes, brackets and braces at the ends of texts; pages of other places are no mentions."""
+    import json
+
+    base, odd = "https://c.example", '}]"a b\u0085c\n"[{'
+    tool = lambda title, url: (title, url)
+    row = {c: odd for c in ("title", "description", "homepage", "wikidataId", "latestVersion", "sourceRepo")} | {
+        "dataset": "software", "qid": "Q1", "canonicalUrl": base + "/software/a/", "releaseDate": "  ", "softwareType": None, "aliases": [odd, " ", None], "licenses": [None, odd, "x"],
+        "programmingLanguages": ["{", "]"], "creators": [(odd, "Person", odd, None, " "), (" ", "Person", None, None, None), ("B", "Group", "x", "y", None)],
+        "relatedTools": [tool(odd, base + "/resource/b/"), tool("c", base + "/software/c"), tool("d", base + "/software/d/e/"), tool(" ", base + "/software/f/"), tool("g", base + "/software/g/\n"), tool("h", "https://c-example/software/h/")],
+    }
+    kind = catalog.ITEM + ", dataset string, qid string"
+    items = spark.createDataFrame([row, row | {"qid": "Q2", "title": " \n"}], kind)
+    good, bad = pages.project_json_ld(items, base, odd)
+    assert [(r.qid, list(json.loads(r.json_ld).items())) for r in good.collect()] == [("Q1", list({
+        "@context": "https://schema.org", "@type": "SoftwareApplication", "@id": base + "/software/a/", "name": odd, "description": odd, "url": odd, "sameAs": odd, "alternateName": odd, "license": odd,
+        "isPartOf": {"@type": "DataCatalog", "name": odd, "url": base}, "softwareVersion": odd, "codeRepository": odd, "programmingLanguage": ["{", "]"],
+        "creator": [{"@type": "Person", "name": odd, "sameAs": odd}, {"@type": "Group", "name": "B", "sameAs": ["x", "y"]}], "mentions": [{"@type": "DefinedTermSet", "@id": base + "/resource/b/", "name": odd}],
+    }.items()))]
+    assert [(r.subject, r.message) for r in bad.collect()] == [("Q2", "title")]
