@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import is_absolute_iri, is_bare_id, page_iri, page_type, present, qid
+from ..functions.columns import filled, is_absolute_iri, is_bare_id, page_iri, page_type, present, qid
 from ..session import bounded, written
 
 # Limits of regressions.
@@ -247,30 +247,32 @@ def check_page_contracts(pages: DataFrame, items: DataFrame, sitemap: DataFrame,
 
     A page mentions the record's related links that have a page and a title, in their order, and has no list of mentions without any.
     """
-    named = pages.withColumn("url", page_iri(base, "dataset", "slug"))
     data = F.regexp_extract("html", r'(?s)<script type="application/ld\+json">(.*?)</script>', 1)
-    said = F.get_json_object(data, "$.mentions")
+    read = pages.select("dataset", page_iri(base, "dataset", "slug").alias("url"), data.alias("_data"))
+    said = F.get_json_object("_data", "$.mentions")
     # Each mention as its sorted entries, so that an additional one is a difference.
     listed_mentions = F.transform(F.from_json(said, MENTIONS), lambda m: F.array_sort(F.map_entries(m)))
-    named = named.withColumns({"_id": F.get_json_object(data, "$['@id']"), "_said": said, "_mentions": listed_mentions})
-    urls = named.select("url").distinct()
+    # Pages are read once: all checks below need only these columns.
+    named = written(read.select("dataset", "url", F.get_json_object("_data", "$['@id']").alias("_id"), said.isNotNull().alias("_said"), listed_mentions.alias("_mentions")), "pages")
+    urls = named.select("url")
     records = items.select("dataset", "qid", F.col("canonicalUrl").alias("url"))
     no_record = violations(named.join(records.select("url"), "url", "left_anti"), "page-without-record", "url")
     no_data = violations(named.filter(~F.col("_id").eqNullSafe(F.col("url"))), "page-data-differs", "url", F.coalesce("_id", F.lit("")))
     not_listed = violations(named.join(sitemap.select("url"), "url", "left_anti"), "page-not-in-sitemap", "url")
     listed = sitemap.filter(F.col("url").rlike("/(resource|software)/[^/]+/$")).join(urls, "url", "left_anti")
-    with_page = items.withColumn("url", F.col("canonicalUrl")).join(urls, "url", "left_semi")
-    links = with_page.select("dataset", "url", F.posexplode("relatedTools").alias("_pos", "_tool")).withColumn("_to", F.col("_tool.canonicalUrl"))
-    targets = urls.withColumnRenamed("url", "_to")
-    dead = violations(links.join(targets, "_to", "left_anti"), "related-without-page", "url", F.col("_to"))
-    pairs = {"@id": F.col("_to"), "@type": page_type(base, "_to"), "name": F.col("_tool.title")}
+    with_page = items.select("dataset", F.col("canonicalUrl").alias("url"), "relatedTools").join(urls, "url", "left_semi")
+    links = with_page.select("dataset", "url", F.posexplode("relatedTools").alias("_pos", "_tool")).select("dataset", "url", "_pos", F.col("_tool.canonicalUrl").alias("_to"), F.col("_tool.title").alias("_title"))
+    targets = urls.distinct().select(F.col("url").alias("_to"), F.lit(True).alias("_there"))
+    met_links = written(links.join(targets, "_to", "left"), "links")
+    dead = violations(met_links.filter("_there is null"), "related-without-page", "url", F.col("_to"))
+    pairs = {"@id": F.col("_to"), "@type": page_type(base, "_to"), "name": F.col("_title")}
     entry = F.array(*(F.struct(F.lit(k).alias("key"), v.alias("value")) for k, v in pairs.items()))
-    wanted = links.join(targets, "_to", "left_semi").filter(present("_tool.title").isNotNull()).groupBy("url").agg(F.array_sort(F.collect_list(F.struct("_pos", entry.alias("e")))).alias("_wanted"))
+    wanted = met_links.filter(F.col("_there") & filled("_title")).groupBy("url").agg(F.array_sort(F.collect_list(F.struct("_pos", entry.alias("e")))).alias("_wanted"))
     met = named.select("dataset", "url", "_said", "_mentions").join(wanted, "url", "left").withColumn("_wanted", F.transform("_wanted", lambda w: w["e"]))
     kind = met.schema["_mentions"].dataType
-    differs = F.when(F.col("_wanted").isNull(), F.col("_said").isNotNull()).otherwise(~F.col("_mentions").eqNullSafe(F.col("_wanted").cast(kind)))
+    differs = F.when(F.col("_wanted").isNull(), F.col("_said")).otherwise(~F.col("_mentions").eqNullSafe(F.col("_wanted").cast(kind)))
     mentions = violations(met.filter(differs), "page-mentions-differ", "url")
-    lost = baseline.select("dataset", "qid").join(records.select("dataset", "qid", "url"), ["dataset", "qid"]).join(urls, "url", "left_anti")
+    lost = baseline.select("dataset", "qid").join(records, ["dataset", "qid"]).join(urls, "url", "left_anti")
     return _all(no_record, no_data, not_listed, violations(listed, "sitemap-without-page", "url"), dead, mentions, violations(lost, "page-lost", "qid", "", "warning"))
 
 

@@ -424,3 +424,26 @@ def test_linked_data_keeps_every_text(spark):
         "creator": [{"@type": "Person", "name": odd, "sameAs": odd}, {"@type": "Group", "name": "B", "sameAs": ["x", "y"]}], "mentions": [{"@type": "DefinedTermSet", "@id": base + "/resource/b/", "name": odd}],
     }.items()))]
     assert [(r.subject, r.message) for r in bad.collect()] == [("Q2", "title")]
+
+
+def test_pages_are_read_once(spark):
+    made, base = spark.sparkContext.accumulator(0), "https://c.example"
+
+    def counted(batches):
+        for batch in batches:
+            made.add(batch.num_rows)
+            yield batch
+
+    url = lambda i: f"{base}/software/{i}/"
+    items = spark.createDataFrame(
+        [("software", f"Q{i}", url(i), [(f"T{i + 1}", url(i + 1))] * (i < 6)) for i in range(8)], "dataset string, qid string, canonicalUrl string, relatedTools array<struct<title:string,canonicalUrl:string>>"
+    )
+    body = lambda i: f'<script type="application/ld+json">{{"@id":"{url(i)}","mentions":[{{"@type":"SoftwareApplication","@id":"{url(i + 1)}","name":"T{i + 1}"}}]}}</script>'
+    pages = spark.createDataFrame([("software", str(i), body(i)) for i in (0, 1, 2, 4, 9)], "dataset string, slug string, html string")
+    sitemap = spark.createDataFrame([(url(i),) for i in (0, 1, 2, 7)], "url string")
+    out = gates.check_page_contracts(pages.mapInArrow(counted, pages.schema), items, sitemap, items.filter("qid = 'Q3'").select("dataset", "qid"), base)
+    assert values(out, "code", "subject") == sorted([
+        ("page-without-record", url(9)), ("page-not-in-sitemap", url(4)), ("page-not-in-sitemap", url(9)), ("sitemap-without-page", url(7)), ("related-without-page", url(2)), ("related-without-page", url(4)),
+        ("page-mentions-differ", url(2)), ("page-mentions-differ", url(4)), ("page-mentions-differ", url(9)), ("page-lost", "Q3"),
+    ])
+    assert made.value == 5
