@@ -27,7 +27,15 @@ def in_cohort(edges: DataFrame, cohort: DataFrame) -> DataFrame:
     """Edges with both ends in the cohort, and the catalogs of each end."""
     left = cohort.select(F.col("qid").alias("subject_qid"), F.col("catalogs").alias("subject_catalogs"))
     right = cohort.select(F.col("qid").alias("object_qid"), F.col("catalogs").alias("object_catalogs"))
-    return edges.distinct().join(left, "subject_qid").join(right, "object_qid")
+    return leaving(edges, cohort).join(left.hint("merge"), "subject_qid").join(right.hint("merge"), "object_qid")
+
+
+def leaving(edges: DataFrame, cohort: DataFrame) -> DataFrame:
+    """Distinct edges whose subject is in the cohort.
+
+    Edges are dealt out by subject once: the distinct after the join needs no other shuffle, as equal edges have met by then.  A cohort grows with its records, so it is merged at every size and never sent to all executors.
+    """
+    return edges.join(cohort.select(F.col("qid").alias("subject_qid")).hint("merge"), "subject_qid", "left_semi").distinct()
 
 
 def predicate_profile(edges: DataFrame, cohort: DataFrame, examples: int = 5) -> DataFrame:
@@ -66,7 +74,7 @@ def highest_degree(degrees: DataFrame, k: int = 20, by: str = "property_id") ->
 
 def reviewed_profile(edges: DataFrame, cohort: DataFrame, reviewed: DataFrame, k: int = 20) -> tuple[DataFrame, DataFrame]:
     """Statistics of the cohort's outgoing edges for each reviewed property (zeros without edges), and its objects of the highest degree."""
-    own = edges.distinct().join(cohort.select(F.col("qid").alias("subject_qid")), "subject_qid", "left_semi").join(F.broadcast(reviewed.select("property_id")), "property_id", "left_semi")
+    own = leaving(edges.join(F.broadcast(reviewed.select("property_id")), "property_id", "left_semi"), cohort)
     objects = own.groupBy("property_id", "object_qid").agg(F.count("*").alias("degree"))
     out = own.groupBy("property_id", "subject_qid").agg(F.count("*").alias("degree")).groupBy("property_id").agg(F.sum("degree").alias("edges"), F.count("*").alias("subjects"), *degree_aggregates("degree"))
     stats = reviewed.select("property_id").join(out, "property_id", "left").na.fill(0)

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cairn.functions import columns as c
-from cairn.operators import audit, claims, gates, pages, records, related, search, snapshot
+from cairn.operators import audit, claims, gates, pages, profile, records, related, search, snapshot
 from cairn.sources import catalog
 
 CLAIM = "subject string, property string, rank string, datatype string, value string, guid string"
@@ -447,3 +447,33 @@ def test_pages_are_read_once(spark):
         ("page-mentions-differ", url(2)), ("page-mentions-differ", url(4)), ("page-mentions-differ", url(9)), ("page-lost", "Q3"),
     ])
     assert made.value == 5
+
+
+def _rows_shuffled(spark) -> int:
+    none = spark.sparkContext._gateway.new_array(spark.sparkContext._jvm.double, 0)
+    stages = spark.sparkContext._jsc.sc().statusStore().stageList(None, False, False, none, None)
+    return sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()))
+
+
+def test_edges_are_shuffled_once(spark):
+    """Each edge stands there twice: equal ones meet where their subject does, and a cohort of any size is not sent to all."""
+    made = [(f"s{i % 700}", "p" if i % 3 else "q", f"o{i % 6}") for i in range(4200)]
+    edges = spark.createDataFrame(made + made, "subject_qid string, property_id string, object_qid string")
+    cohort = spark.createDataFrame([(f"s{i}", ["a"]) for i in range(0, 700, 2)], "qid string, catalogs array<string>")
+    reviewed = spark.createDataFrame([("p",), ("q",), ("r",)], "property_id string")
+    own = {(p, s, o) for s, p, o in made if int(s[1:]) % 2 == 0}
+    degrees = lambda p: sorted(((-sum(e[0] == p and e[2] == o for e in own), o) for o in {e[2] for e in own if e[0] == p}))[:2]
+    before, limit = _rows_shuffled(spark), spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        stats, best = profile.reviewed_profile(edges, cohort, reviewed, 2)
+        found = values(best, "property_id", "object_qid", "degree", "rank")
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    assert found == sorted((p, o, -d, i + 1) for p in "pq" for i, (d, o) in enumerate(degrees(p)))
+    assert _rows_shuffled(spark) - before < 2 * len(made) + 700  # each edge, the cohort and counts
+    assert {r.property_id: r.edges for r in stats.collect()} == {p: sum(e[0] == p for e in own) for p in "pqr"}
+    both = cohort.unionByName(spark.createDataFrame([("o0", ["a", "b"])], cohort.schema))
+    assert sorted((r.property_id, r.subject_qid, r.object_qid) for r in profile.in_cohort(edges, both).collect()) == sorted(e for e in own if e[2] == "o0")
+    plan = profile.leaving(edges, cohort)._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan
