@@ -477,3 +477,22 @@ def test_edges_are_shuffled_once(spark):
     assert sorted((r.property_id, r.subject_qid, r.object_qid) for r in profile.in_cohort(edges, both).collect()) == sorted(e for e in own if e[2] == "o0")
     plan = profile.leaving(edges, cohort)._jdf.queryExecution().executedPlan().toString()
     assert "Broadcast" not in plan
+
+
+def test_records_become_triples_with_their_nodes(spark, sf_dir):
+    """Creators, licenses and classes are nodes with their own fields, each made once; parents, source types and uses are links."""
+    from cairn.operators import triples
+    from cairn.plans import registry
+
+    node = "array<struct<iri: string, label: string, kind: string, licenseName: string, wikidataId: string, githubProfile: string>>"
+    kind = f"subject string, title string, category string, licenses array<string>, creators array<string>, parents array<string>, source_types array<string>, uses array<string>, nodes {node}"
+    maker, free, none = ("k:m", "Maker", "Person", None, "e:Q1", "g:m"), ("k:l", "Free", "License", "Free", None, None), (None, "x", "License", "x", None, None)
+    rows = [("u:1", "One", "k:c", ["k:l"], ["k:m"], ["e:Q2"], ["e:Q3"], ["e:Q4"], [maker, free, none, ("k:c", "C", "Category", None, None, None)]), ("u:2", None, None, None, ["k:m"], None, None, None, [maker])]
+    made = [(r.s, r.p, r.o, r.o_kind) for r in triples.records_to_triples(spark.createDataFrame(rows, kind)).collect()]
+    wanted = [("u:1", p, o, "iri") for p, o in (("category", "k:c"), ("license", "k:l"), ("creator", "k:m"), ("isPartOf", "e:Q2"), ("sourceType", "e:Q3"), ("uses", "e:Q4"))] + [("u:1", p, "One", "literal") for p in ("title", "label")]
+    wanted += [("u:2", "creator", "k:m", "iri"), ("k:m", "label", "Maker", "literal"), ("k:m", "rdf:type", "Person", "iri"), ("k:m", "wikidataId", "e:Q1", "iri"), ("k:m", "githubProfile", "g:m", "iri")]
+    wanted += [("k:l", p, "Free", "literal") for p in ("label", "licenseName")] + [("k:l", "rdf:type", "License", "iri"), ("k:c", "label", "C", "literal"), ("k:c", "rdf:type", "Category", "iri")]
+    assert sorted(made) == sorted(wanted)
+    whole = registry.QUERIES["records_to_triples"](spark, sf_dir)
+    assert {r.o for r in whole.filter("p = 'rdf:type'").collect()} == {"Category", "SoftwareType", "License", "Person"}  # no node before
+    assert whole.filter("p = 'creator'").count() == spark.read.parquet(f"{sf_dir}/part.parquet").count()
