@@ -386,6 +386,36 @@ def test_all_pairs_come_from_rows_that_are_alike(spark, monkeypatch):
         assert values(related.related_candidates(features, context, config), "subject", "candidate") == sorted(set(pairs))
 
 
+def test_pairs_are_scored_before_they_are_made(spark, sf_dir):
+    """Sets of any size score as by plain sets; of what a pair may name, only names that share a key are kept, and no text is made for a pair."""
+    import random
+    from itertools import permutations
+
+    from cairn.plans import registry
+
+    chance = random.Random(3)
+    kinds = {"creator": (3, 2), "category": (3, 3), "license": (4, 2), "token": (7, 5)}
+    sets = {f"s{i}": {kind: {f"{kind}{x}" for x in chance.sample(range(n), chance.randint(0, most))} for kind, (n, most) in kinds.items()} for i in range(14)}
+    rows = [("d", s, kind, key) for s, own in sets.items() for kind, keys in own.items() for key in keys] + [("d", s, "entity", s) for s in sets]
+    sets_of = lambda a, b, kind: (sets[a][kind], sets[b][kind])
+    wanted = []
+    for a, b in permutations(sets, 2):
+        share = {kind: len(set.intersection(*sets_of(a, b, kind))) for kind in kinds}
+        if share["creator"]:
+            close = share["token"] >= 2 and share["token"] / len(set.union(*sets_of(a, b, "token"))) >= 0.25
+            wanted.append((a, b, 55 + 4 * bool(share["category"]) + 2 * bool(share["license"]) + 3 * close, "shared_creator"))
+    features = spark.createDataFrame(rows, FEATURE)
+    context = related.similarity_context(features)
+    assert sorted(map(tuple, related.score_pairs(features, context).select("subject", "candidate", "score", "reason_text").collect())) == sorted(wanted)
+    named = next((a, b) for a, b, *_ in wanted)
+    links = [("d", named[0], "uses", named[1]), ("d", "x", "uses", named[1]), ("d", "x", "creator", "alone")]
+    features = features.union(spark.createDataFrame(links, FEATURE))
+    alike = related._alike(features, related._keyed(features, context, related.Config()), [])
+    assert [tuple(n) for r in alike.collect() for n in r.names] == [named]
+    plan = registry.QUERIES["score_pairs"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert "array_sort" not in plan.split("Generate explode(r_members")[0]  # a sort and a join of texts for each pair before
+
+
 def test_audit_rows_are_made_once(spark):
     made = spark.sparkContext.accumulator(0)
 
