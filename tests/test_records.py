@@ -416,6 +416,13 @@ def test_pairs_are_scored_before_they_are_made(spark, sf_dir):
     assert "array_sort" not in plan.split("Generate explode(r_members")[0]  # a sort and a join of texts for each pair before
 
 
+def test_names_are_looked_up_only_for_rows_that_have_some(spark, sf_dir):
+    from cairn.plans import registry
+
+    plan = registry.QUERIES["related_candidates"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("array_contains") == plan.count("CASE WHEN named") * 2 == 2  # for every pair before
+
+
 def test_audit_rows_are_made_once(spark):
     made = spark.sparkContext.accumulator(0)
 
